@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 #: Bounds of the model, whatever the corpus: training rows, languages, words and n-grams a language, characters of an n-gram.
-TRAIN_ROWS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 40_000, 64, 20_000, 8_000, 4
+TRAIN_ROWS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 64, 20_000, 8_000, 4
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words of which a worker keeps the score; the table is emptied when full.
 CACHE_ENTRIES = 200_000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -18,67 +19,94 @@ from pyspark.sql import functions as F
 from .common import cut, dense_rank_in, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's table from blank-delimited strings to their ids; it is emptied when full.
-CACHE_ENTRIES = 600_000
+#: Entries of a worker's table from words to their ids; it is emptied when full.
+CACHE_ENTRIES = 1_200_000
 #: str.split() also splits at these four, which the tokenizer's \s does not hold for white space.
-_SEPARATORS = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: White space of the tokenizer (fixed values).
-_SPACES = " \t\n\x0b\x0c\r\x85\xa0                　"
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that may follow a word; the apostrophe, which the tokenizer treats in its own way, is not among them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _state: dict = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> dict:
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), ids={})
-    return _state["tokenizer"], _state["ids"]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        _state.update(path=path, tokenizer=tokenizer, ends=ends, ids={})
+    return _state
+
+
+def _split(text: str) -> list[str]:
+    if any(c in text for c in _SEPARATORS):
+        for s in _SPACES:
+            text = text.replace(s, " ")
+        return [w for w in text.split(" ") if w]
+    return text.split()
+
+
+def _plain(word: str) -> bool:
+    """One run of letters to the tokenizer, also when it is lower-cased."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+
+def _learn(words: list[str], state: dict) -> None:
+    """Put the ids of these words into the worker's table. Plain words are encoded many at a time and told apart by their last ids."""
+    known, plain = state["ids"], [w for w in words if _plain(w)]
+    for k in range(0, len(plain), 5_000):
+        some = plain[k : k + 5_000]
+        lines = [" ".join(some[j : j + 100]) for j in range(0, len(some), 100)]
+        ids = np.array([i for e in state["tokenizer"].encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        ends = (np.flatnonzero(state["ends"][ids]) + 1).tolist()
+        if len(ends) == len(some):
+            data = ids.tobytes()
+            known.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+    rest = [w for w in words if w not in known]
+    for w, e in zip(rest, state["tokenizer"].encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them without special tokens.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    blank-delimited strings in turn. Each distinct string is encoded once and looked up afterwards.
+    blank-delimited strings in turn. Each distinct string is looked up; a word in any case with marks after it
+    is the lower-case word and the marks, which the tokenizer separates.
     """
-    tokenizer, known = _tokenizer(path)
-    words = []
-    for t in texts:
-        if len(t.translate(_SEPARATORS)) == len(t):
-            words.append(t.split())
-        else:
-            for s in _SPACES:
-                t = t.replace(s, " ")
-            words.append([w for w in t.split(" ") if w])
+    state = _tokenizer(path)
+    known, words = state["ids"], [_split(t) for t in texts]
     new = set().union(*words).difference(known)
     if len(known) + len(new) > CACHE_ENTRIES:
         known.clear()
         new = set().union(*words)
-    # letters then marks: the tokenizer splits them, so only the letters need encoding, and in one case
-    whole, parts = set(), {}
+    parts: dict[str, tuple[str, str]] = {}
+    needed: set[str] = set()
     for w in new:
-        stem = w.rstrip(".,")
-        if stem.isascii() and stem.isalpha():
-            parts[w] = (stem.lower(), w[len(stem) :])
-            whole.add(stem.lower())
-            if len(stem) < len(w):
-                whole.add(w[len(stem) :])
+        stem = w.rstrip(_MARKS)
+        if _plain(stem):
+            stem, marks = stem.lower(), w[len(stem) :]
+            needed.add(stem)
+            if marks:
+                needed.add(marks)
+            if stem != w:
+                parts[w] = (stem, marks)
         else:
-            whole.add(w)
-    todo = [w for w in whole if w not in known]
-    for k in range(0, len(todo), 20_000):
-        some = todo[k : k + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            needed.add(w)
+    _learn([w for w in needed if w not in known], state)
     for w, (stem, marks) in parts.items():
-        known[w] = known[stem] + (known[marks] if marks else b"")
+        known[w] = known[stem] + known[marks] if marks else known[stem]
     get = known.__getitem__
     return [b"".join(map(get, ws)) for ws in words]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    """Batches of (key, text) to batches of pieces; a batch holds about 4 MB of text at a time."""
+    """Batches of (key, text) to batches of pieces; about 8 MB of text are encoded at a time."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def some(keys: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
@@ -99,7 +127,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 keys.append(key)
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
-                if size > 4_000_000:
+                if size > 8_000_000:
                     yield some(keys, texts, batch.schema.field(0).type)
                     keys, texts, size = [], [], 0
             if keys:

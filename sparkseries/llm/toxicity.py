@@ -38,12 +38,12 @@ LEAST_WEIGHT, LEAST_SHARE, LEAST_PLACES, LEAST_SPREAD = 3.0, 0.005, 5, 0.25
 
 
 def fold(text: str | None) -> str:
-    """Lower case without accents and invisible characters, look-alikes as Latin letters; words between single blanks, a blank at each end."""
+    """Lower case without invisible characters, look-alikes as Latin letters; words between single blanks, a blank at each end."""
     if not text:
         return " "
     if text.isascii():
         return f" {_OTHER.sub(' ', text.lower().translate(_FOLD_LATIN)).strip()} "
-    text = _MARKS.sub("", unicodedata.normalize("NFKD", text.lower())).translate(_FOLD)
+    text = _MARKS.sub("", unicodedata.normalize("NFKC", text.lower())).translate(_FOLD)
     return f" {_OTHER_UNICODE.sub(' ', text).strip()} "
 
 
