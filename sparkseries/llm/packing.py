@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import gc
 import math
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -37,9 +39,10 @@ def _tokenizer(path: str) -> dict:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         tokenizer = Tokenizer.from_file(path)
-        ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
-        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        _state.update(path=path, tokenizer=tokenizer, ends=ends, ids={})
+        # byte-level letters of the bytes: printable bytes stand for themselves, the others for 256, 257, ... in turn
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+        _state.update(path=path, tokenizer=tokenizer, letters=letters, ids={})
     return _state
 
 
@@ -57,17 +60,14 @@ def _plain(word: str) -> bool:
 
 
 def _learn(words: list[str], state: dict) -> None:
-    """Put the ids of these words into the worker's table. Plain words are encoded many at a time and told apart by their last ids."""
-    known, plain = state["ids"], [w for w in words if _plain(w)]
-    for k in range(0, len(plain), 5_000):
-        some = plain[k : k + 5_000]
-        lines = [" ".join(some[j : j + 100]) for j in range(0, len(some), 100)]
-        ids = np.array([i for e in state["tokenizer"].encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
-        ends = (np.flatnonzero(state["ends"][ids]) + 1).tolist()
-        if len(ends) == len(some):
-            data = ids.tobytes()
-            known.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-    rest = [w for w in words if w not in known]
+    """Put the ids of these words into the worker's table. What is plain is one word to the model behind the tokenizer, and quicker there."""
+    known, model, letters, rest = state["ids"], state["tokenizer"].model, state["letters"], []
+    for w in words:
+        if not _plain(w):
+            rest.append(w)
+            continue
+        tokens = model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))
+        known[w] = array("I", [t.id for t in tokens]).tobytes()
     for w, e in zip(rest, state["tokenizer"].encode_batch_fast(rest, add_special_tokens=False), strict=True):
         known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
@@ -82,6 +82,8 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
     state = _tokenizer(path)
     known, words = state["ids"], [_split(t) for t in texts]
     new = set().union(*words).difference(known)
+    collecting = gc.isenabled()
+    gc.disable()  # millions of small objects, none in a circle
     if len(known) + len(new) > CACHE_ENTRIES:
         known.clear()
         new = set().union(*words)
@@ -102,7 +104,10 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
     for w, (stem, marks) in parts.items():
         known[w] = known[stem] + known[marks] if marks else known[stem]
     get = known.__getitem__
-    return [b"".join(map(get, ws)) for ws in words]
+    out = [b"".join(map(get, ws)) for ws in words]
+    if collecting:
+        gc.enable()
+    return out
 
 
 def _pieces(path: str, capacity: int, end_id: int):
