@@ -157,3 +157,18 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, learn(docs), ["doc_id"])
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def _accept(shared, at: int, least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shared.value.predict(x.as_py()) for x in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_accept(shared, docs.columns.index(text), least), docs.schema)

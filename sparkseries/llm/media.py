@@ -354,7 +354,7 @@ def tiff_pages(df: DataFrame, keep: list[str], *, media: str = "media") -> DataF
     Bytes that are null, cut short or not TIFF give the pages read so far and one row with ``error`` set and null
     pixels. Repeated rows are read each; an empty table gives no rows; other columns are ignored.
     """
-    kinds = {"page": "int", "width": "int", "height": "int", "samples": "int", "compression": "int", "predictor": "int", "tiled": "boolean", "pixels": "binary", "error": "string"}
+    kinds = {"page": "integer", "width": "integer", "height": "integer", "samples": "integer", "compression": "integer", "predictor": "integer", "tiled": "boolean", "pixels": "binary", "error": "string"}
     schema = T.StructType([df.schema[c] for c in keep])
     for n, t in kinds.items():
         schema = schema.add(n, t)

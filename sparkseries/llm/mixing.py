@@ -96,17 +96,20 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sou
 
     Null sources are one source; null or wordless texts cost nothing, follow their source, and are read
     once where the source has no tokens at all. Repeated rows share an order key and are taken
-    together. An empty table gives no rows. Other columns are carried along.
+    together. An empty table gives no rows. Other columns are
+    carried along, but for those named like an added one.
     """
     counted = cut(docs.select(F.col(key), F.col(source), token_count(text).alias("n_tokens")))
     plan = mix_plan(counted, key, source, **quota_options)
-    rows = join_checked(docs.withColumn("_n_tokens", token_count(text)).withColumn("_source", F.coalesce(F.col(source), F.lit(""))), plan, ["_source"], "left")
+    # the row as one column, so that none of its columns clashes with those of the plan
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source"), token_count(text).alias("_n_tokens"))
+    rows = join_checked(rows, plan, ["_source"], "left")
     rows = rows.withColumn("passes", F.coalesce("passes", F.lit(1).cast("long"))).withColumn("last", F.coalesce("last", F.lit(""))).withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))).withColumn("_order_key", order_key(F.col("_epoch"), key))
+    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))).withColumn("_order_key", order_key(F.col("_epoch"), "_key"))
     rows = rows.filter((F.col("_epoch") < F.col("passes")) | (F.col("_order_key") <= F.col("last")))
     at = (F.col("_epoch") + F.conv(F.substring("_order_key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))) / F.col("ratio")
-    rows = rows.withColumn("_mix_block", F.least(F.lit(mix_blocks - 1), F.floor(at * mix_blocks).cast("int")))
-    return rows.drop("_source", "passes", "last", "ratio").withColumn("_epoch", F.col("_epoch").cast("int"))
+    added = {"_epoch": F.col("_epoch").cast("int"), "_mix_block": F.least(F.lit(mix_blocks - 1), F.floor(at * mix_blocks).cast("int")), "_order_key": F.col("_order_key"), "_n_tokens": F.col("_n_tokens")}
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

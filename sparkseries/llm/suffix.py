@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, join_checked, table
 
@@ -371,15 +372,14 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.schema.names
-        texts = []
-        for text, begins, ends in zip(*(batch.column(names.index(c)) for c in ("_text", "_begins", "_ends")), strict=True):
+        row, texts = batch.column(0), []
+        for text, begins, ends in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
             body = text.as_py()
             removed = cover(begins.as_py() or (), ends.as_py() or ())
             # a character that is cut through goes whole
             texts.append(None if body is None else (keep(body, removed) if removed else body).decode("utf-8", "ignore"))
-        kept = [c for c in names if c[0] != "_" or c not in ("_text", "_begins", "_ends")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+        names = [row.type.field(k).name for k in range(row.type.num_fields)]
+        yield pa.RecordBatch.from_arrays([*(row.field(k) for k in range(len(names))), pa.array(texts, pa.string())], names=[*names, "text"])
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,12 +387,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     Strings are judged on the input; all places of a repeated string are taken out, in one text or many. Null texts
     stay null and match nothing, nor do texts shorter than LENGTH. Rows with equal ids and texts repeat each other. An
-    empty table gives no rows.
+    empty table gives no rows. Other columns, whatever their names, are carried along.
     """
     others = [c for c in docs.columns if c != text]
-    rows = with_spans(docs, {c: F.col(c) for c in others}, key=key, text=text)
-    from pyspark.sql import types as T
-
+    rows = with_spans(docs, {"_row": F.struct(*others)}, key=key, text=text)
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("text", T.StringType())])
     return rows.mapInArrow(_strip, schema).withColumnRenamed("text", text).select(*docs.columns)
 
