@@ -18,7 +18,7 @@ from .common import cut, join_checked, table
 LENGTH, ANCHOR = 400, 16
 SHARED = LENGTH // 2
 #: Different contexts under one key up to which they are sorted together; windows sorted at a time; bytes anchored at a time.
-HOT, CHUNK_WINDOWS, CHUNK_BYTES, MOST_BYTES = 128, 150_000, 1_000_000, 4_000_000
+HOT, CHUNK_WINDOWS, CHUNK_BYTES, MOST_BYTES = 512, 150_000, 1_000_000, 4_000_000
 
 _BASES = (np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93))
 _POSITION = np.uint64((1 << 24) - 1)
@@ -324,7 +324,11 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     single = fetched.filter(F.col("segment").isNull()).dropDuplicates(same).select(*same, "weight", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w"))
     single = single.select(*same, "weight", "at", "w.w1", "w.w2")
     twice = single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter(F.col("n") > 1).select("w1", "w2")
-    hot_runs = single.join(twice, ["w1", "w2"]).groupBy(*same).agg(F.array_sort(F.collect_list("at")).alias("begins")).select(*same, "begins", F.transform("begins", lambda x: x + 1).alias("ends"))
+    at = F.col("at")
+    hot_windows = single.join(twice, ["w1", "w2"]).groupBy(*same).agg(F.array_sort(F.collect_list("at")).alias("at"))
+    begins = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
+    ends = F.transform(F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != x + 1)), lambda x: x + 1)
+    hot_runs = hot_windows.select(*same, begins.alias("begins"), ends.alias("ends"))
     runs = cut(sorted_groups.unionByName(hot_runs))
 
     spans = places.join(runs, same).select("id", "h", "lo", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
