@@ -308,7 +308,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     """
     same = ["key", "ctx", "off", "windows"]
     found = cut(_identity(docs, key, text).mapInArrow(_contexts, "id long, h long, key long, ctx long, off int, lo long, windows int"))
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
+    # written first, so that the join below has exchanges of its own, of which Spark can split a hot key
+    often = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"))
     places = cut(found.join(often, "key"))
     first = F.min(F.struct("id", "h", "lo")).alias("first")
     contexts = cut(places.groupBy(*same).agg(F.count(F.lit(1)).alias("weight"), first))
@@ -316,7 +317,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     marked = join_checked(contexts, hot, ["key"], "left")
     wanted = F.collect_list(F.struct(*same, "weight", F.col("first.lo").alias("lo"), F.coalesce("hot", F.lit(False)).alias("hot")))
     by_text = cut(marked.groupBy(F.col("first.id").alias("id"), F.col("first.h").alias("h")).agg(wanted.alias("wanted")))
-    texts = join_checked(_identity(docs, key, text), by_text, ["id", "h"]).select("text", "wanted")
+    texts = _identity(docs, key, text).join(by_text, ["id", "h"]).select("text", "wanted")
     fetched = cut(texts.mapInArrow(_fetch, "key long, ctx long, off int, windows int, weight long, segment binary, w1 array<long>, w2 array<long>"))
 
     cold = fetched.filter(F.col("segment").isNotNull()).select(*same, "weight", "segment")
@@ -333,7 +334,12 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     spans = places.join(runs, same).select("id", "h", "lo", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
     pairs = F.array_sort(F.collect_set(F.struct((F.col("lo") + F.col("r.begins")).alias("begin"), (F.col("lo") + F.col("r.ends")).alias("end"))))
-    return cut(spans.groupBy("id", "h").agg(pairs.alias("r")).select("id", "h", F.col("r.begin").alias("begins"), F.col("r.end").alias("ends")))
+    # windows of contexts that follow each other are one run
+    r = F.col("r")
+    merged = spans.groupBy("id", "h").agg(pairs.alias("r"))
+    begins = F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["end"] < x["begin"]))["begin"]
+    ends = F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.get(r, i + 1)["begin"] > x["end"]))["end"]
+    return cut(merged.select("id", "h", begins.alias("begins"), ends.alias("ends")))
 
 
 def cover(begins: Iterable[int], ends: Iterable[int]) -> list[tuple[int, int]]:
