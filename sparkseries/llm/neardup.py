@@ -17,8 +17,8 @@ from .common import cut, join_checked, table
 COORDINATES, MATCHES = 64, 32
 #: Words of a shingle; a link needs SHARE_OF times the intersection to be at least SHARE times the union.
 WORDS, SHARE, SHARE_OF = 5, 75, 100
-#: Members of a posting list that meet in one task.
-BLOCK_ROWS = 512
+#: Members of a posting list that meet in one task, and bits of what is known there of a set.
+BLOCK_ROWS, SKETCH_BITS = 512, 2048
 #: About so many bytes of text are shingled at a time.
 CHUNK_BYTES = 1_000_000
 
@@ -166,18 +166,40 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
     return prefixes.select(F.col("x.key").alias("key"), "node", "weight")
 
 
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text a byte of every coordinate, and which of SKETCH_BITS numbers its shingles fall on."""
+    with np.errstate(over="ignore"):
+        for ids, sets in _chunks(batches):
+            lows, bits = [], []
+            for s in sets:
+                lows.append((signature(s) & 255).astype(np.uint8).tobytes() if len(s) else b"")
+                flags = np.zeros(SKETCH_BITS, dtype=bool)
+                flags[(s % np.uint64(SKETCH_BITS)).astype(np.int64)] = True
+                bits.append(np.packbits(flags).tobytes())
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(lows, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "low", "bits"])
+
+
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a cell's nodes, from its two blocks, that agree in enough coordinates and are not yet connected."""
+    """Pairs of a cell's nodes, from its two blocks, that may be links and are not yet connected.
+
+    Bytes of coordinates agree at least as often as coordinates. A number that only one of two sets falls on is a shingle
+    that the other lacks, which bounds the intersection; no link is lost by either test but for the one in a
+    million that MATCHES loses.
+    """
     one = group[group["side"] == 0]
     two = group[group["side"] == 1] if (group["side"] == 1).any() else one
-    found = []
-    signatures, nodes, roots = np.array(two["sig"].tolist()), two["node"].to_numpy(), two["root"].to_numpy()
-    for sig, node, root in zip(one["sig"], one["node"].tolist(), one["root"].tolist(), strict=True):
-        apart = np.flatnonzero(roots != root)
-        if len(apart):
-            near = apart[(signatures[apart] == np.asarray(sig)).sum(axis=1) >= MATCHES]
-            found += [(max(node, x), min(node, x)) for x in nodes[near].tolist()]
-    return pd.DataFrame(sorted(set(found)), columns=["u", "v"])
+    lows, bits = (lambda g: np.frombuffer(b"".join(g["low"]), dtype=np.uint8).reshape(len(g), -1)), (lambda g: np.frombuffer(b"".join(g["bits"]), dtype=np.uint64).reshape(len(g), -1))
+    lows2, bits2, n2, nodes, roots = lows(two), bits(two), two["n"].to_numpy(), two["node"].to_numpy(), two["root"].to_numpy()
+    found = set()
+    for low, bit, n, node, root in zip(lows(one), bits(one), one["n"].tolist(), one["node"].tolist(), one["root"].tolist(), strict=True):
+        near = np.flatnonzero(roots != root)
+        near = near[(lows2[near] == low).sum(axis=1) >= MATCHES]
+        if len(near):
+            most = np.minimum(n - np.bitwise_count(bit & ~bits2[near]).sum(axis=1, dtype=np.int64), n2[near] - np.bitwise_count(bits2[near] & ~bit).sum(axis=1, dtype=np.int64))
+            near = near[SHARE_OF * most >= SHARE * (n + n2[near] - most)]
+            found.update((max(node, x), min(node, x)) for x in nodes[near].tolist())
+    return pd.DataFrame(sorted(found), columns=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +209,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     2. Nodes are posted under the pairs of their prefixes. Each list's most shared node is compared with the
        others: those that agree in MATCHES coordinates are confirmed on the full sets and linked.
     3. Lists that are then still in several components are met block by block; only pairs from different
-       components that agree in MATCHES coordinates are confirmed, so copies of one text never form all their pairs.
+       components that can be links by their coordinates and sketches are confirmed, so copies of one text never form all their pairs.
     4. Components are the stars that the links lead to.
 
     Null and wordless texts have an empty set and are linked with nothing; fewer than five words are one shingle. Rows
@@ -214,9 +236,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     labelled = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter((F.col("members") > 2) & (F.col("low") != F.col("high")))
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    left = labelled.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = cut(labelled.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "root").join(sigs, "node")
+    cell = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "root")
+    sketches = cut(texts_of(docs, left.select("node").distinct(), key, text).mapInArrow(_sketches, "node long, n long, low binary, bits binary"))
+    cell = cell.join(sketches, "node")
     pairs = cell.groupBy("key", "i", "j").applyInPandas(_meet, "u long, v long").distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
@@ -230,11 +254,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, text`` of these nodes."""
+    return join_checked(docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("text")), cut(nodes), ["node"], "left_semi")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs ``u, v`` whose full shingle sets are similar enough."""
-    needed = cut(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
-    texts = join_checked(docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("text")), needed, ["node"], "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "node long, shingles array<long>"))
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = cut(texts_of(docs, needed, key, text).mapInArrow(_sets, "node long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(SHARE_OF * shared >= SHARE * (F.size("a") + F.size("b") - shared)).select("u", "v").distinct()
