@@ -18,8 +18,8 @@ from .common import cut, table
 #: Bounds of the model, whatever the corpus: training rows, languages, words and n-grams a language, characters of an n-gram.
 TRAIN_ROWS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 64, 20_000, 8_000, 4
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words of which a worker keeps the score; the table is emptied when full.
-CACHE_ENTRIES = 200_000
+#: Unseen words whose numbers a worker keeps; the table is emptied when full.
+CACHE_ENTRIES = 400_000
 UNKNOWN = "und"
 
 
@@ -59,36 +59,56 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log frequencies by language of words and n-grams; ``score`` sums them over a text's words."""
+    """Log frequencies by language of words and n-grams; ``predict`` sums them over a text's words."""
 
     def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables, self.seen = langs, tables, {}
+        self.langs, self.tables = langs, tables
+        self._reset()
+
+    def _reset(self) -> None:
+        """A row of numbers for each known word; rows of unseen words are added as they come, up to CACHE_ENTRIES."""
+        self.rows = {w: k for k, w in enumerate(self.tables[0])} if self.tables else {}
+        self.known = len(self.rows)
+        self.values = np.zeros((self.known + CACHE_ENTRIES, len(self.langs)))
+        if self.known:
+            self.values[: self.known] = list(self.tables[0].values())
+
+    def __getstate__(self):
+        return {"langs": self.langs, "tables": self.tables}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._reset()
 
     def word(self, word: str) -> np.ndarray:
         """A known word's log frequencies, or the mean of those of its longest n-grams that are known; zeros if none is."""
         found = self.tables[0].get(word)
         if found is not None:
             return found
-        if (found := self.seen.get(word)) is None:
-            found = np.zeros(len(self.langs))
-            for n in range(LONGEST, 0, -1):
-                known = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
-                if known:
-                    found = np.mean(known, axis=0)
-                    break
-            if len(self.seen) >= CACHE_ENTRIES:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+        for n in range(LONGEST, 0, -1):
+            known = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
+            if known:
+                return sum(known[1:], known[0]) / len(known)
+        return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        sums = np.array(list(words.values()), dtype=float) @ np.array([self.word(w) for w in words])
+        new = [w for w in words if w not in self.rows]
+        if len(self.rows) + len(new) > len(self.values):
+            self._reset()
+            new = [w for w in words if w not in self.rows]
+        if len(self.rows) + len(new) > len(self.values):  # one text alone has too many
+            sums = sum(c * self.word(w) for w, c in sorted(words.items()))
+        else:
+            for w in new:
+                k = self.rows[w] = len(self.rows)
+                self.values[k] = self.word(w)
+            at = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
+            sums = np.fromiter(words.values(), dtype=float, count=len(words)) @ self.values[at]
         # per-word evidence, sharpened by the square root of the number of words, which are not independent
-        n = sum(words.values())
-        p = np.exp((sums - sums.max()) / math.sqrt(n))
+        p = np.exp((sums - sums.max()) / math.sqrt(sum(words.values())))
         best = int(sums.argmax())
         return self.langs[best], float(p[best] / p.sum())
 
