@@ -31,6 +31,8 @@ _OTHER = re.compile(r"[^a-z]+")
 _OTHER_UNICODE = re.compile(r"[\W\d_]+")
 _FOLD_LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items() if k.isascii()})
 
+#: Labelled rows that the lexicon is learnt from at most, chosen evenly by a hash of the key.
+TRAIN_ROWS = 20_000
 #: Bounds of the lexicon: characters of a stem, candidates, terms, exceptions.
 STEM, MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = (4, 5, 6), 50_000, 2_000, 5_000
 #: A term's least weight (natural log of how much likelier it is in toxic rows), least share of toxic rows, least number of neighbourhoods and their least share of its uses.
@@ -151,8 +153,8 @@ def _raws(shared):
     return run
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: Sequence[str] = ()) -> Lexicon:
-    """Learn terms, exceptions and the calibration from all labelled rows whose key is not held out.
+def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: Sequence[str] = (), max_rows: int = TRAIN_ROWS) -> Lexicon:
+    """Learn terms, exceptions and the calibration from labelled rows whose key is not held out: all of them, or about ``max_rows`` chosen by hash.
 
     A term is a whole word or the first letters of one. Its weight is the log of how much likelier it is in
     toxic rows than in others. It is kept if it is in enough toxic rows and its uses have enough
@@ -160,10 +162,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     mostly in clean rows become exceptions, besides those given.
     """
     spark = docs.sparkSession
-    marked = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    # distinct texts only, so that a text that was copied often counts once
-    train = docs.filter(F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(text).alias("text")).join(marked, ["key"])
-    train = cut(train.withColumn("digest", F.xxhash64("text")).select("digest", "toxic", "text"))
+    marked = labels.filter(F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    share = min(1.0, max_rows / max(1, marked.count()))
+    # at most about max_rows short rows, so the texts need not be shuffled
+    chosen = F.broadcast(marked.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000)))
+    train = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, ["key"])
+    train = cut(train.select("toxic", "text"))
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic:
