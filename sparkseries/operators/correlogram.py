@@ -110,7 +110,7 @@ def chi2_tail(x: float, k: int) -> float:
     return total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(a, int(b)) for a, b in zip(x, k, strict=True)])
 

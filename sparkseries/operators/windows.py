@@ -151,8 +151,9 @@ def decimate(df: DataFrame, time: str, value: str, most: int, series=(), tiebrea
     bucket = Window.partitionBy(*keys, "_bucket")
     v = F.col(value).cast("double")
     low, high = F.min(F.when(F.col("_ok"), F.struct(v, "_i"))).over(bucket), F.min(F.when(F.col("_ok"), F.struct(-v, "_i"))).over(bucket)
-    keep = (F.col("_n") <= most) | (F.col("_ok") & ((F.col("_i") == low["_i"]) | (F.col("_i") == high["_i"])))
-    return rows.filter(keep).drop("_n", "_ok", "_valid", "_i", "_bucket")
+    rows = rows.withColumn("_low", low["_i"]).withColumn("_high", high["_i"])
+    keep = (F.col("_n") <= most) | (F.col("_ok") & ((F.col("_i") == F.col("_low")) | (F.col("_i") == F.col("_high"))))
+    return rows.filter(keep).drop("_n", "_ok", "_valid", "_i", "_bucket", "_low", "_high")
 
 
 def gap_breaks(df: DataFrame, x: str, y: str, series=(), factor: float = 10.0, broken: str | None = None) -> DataFrame:
