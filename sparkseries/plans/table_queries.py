@@ -86,10 +86,10 @@ def target_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT *, p_partkey % 5 AS fold FROM part), c AS (SELECT p_brand, fold, sum(p_retailprice) AS s, count(*) AS n FROM f GROUP BY 1, 2),
 o AS (SELECT p_brand, fold, sum(s) OVER (PARTITION BY p_brand) - s AS s, sum(n) OVER (PARTITION BY p_brand) - n AS n FROM c),
 g AS (SELECT fold, (SELECT avg(p_retailprice) FROM f f2 WHERE f2.fold <> d.fold) AS m FROM (SELECT DISTINCT fold FROM f) d)
-SELECT p_partkey, round(coalesce((s + 5 * m) / nullif(n + 5, 0), m), 5) AS p_brand FROM f JOIN o ON f.p_brand = o.p_brand AND f.fold = o.fold JOIN g ON g.fold = f.fold""")
+SELECT p_partkey, round(coalesce((s + 3.7::DOUBLE * m) / (n + 3.7::DOUBLE), m), 5) AS p_brand FROM f JOIN o ON f.p_brand = o.p_brand AND f.fold = o.fold JOIN g ON g.fold = f.fold""")
 def target_encode_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir).withColumn("fold", F.col("p_partkey") % 5)
-    return tidy(categorical.TargetEncoder("p_brand", "p_retailprice", 5.0).fit_transform(rows, "fold").select("p_partkey", "p_brand"), 5)
+    return tidy(categorical.TargetEncoder("p_brand", "p_retailprice", 3.7).fit_transform(rows, "fold").select("p_partkey", "p_brand"), 5)
 
 
 @query("WITH c AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1), t AS (SELECT count(*) AS t FROM part) SELECT p_partkey, CASE WHEN n >= 0.02 * t THEN part.p_size::VARCHAR ELSE 'Other' END AS p_size FROM part JOIN c ON part.p_size = c.p_size, t")
