@@ -6,7 +6,7 @@ from .html import op6_html
 from .language import op5_language
 from .media import op7_media
 from .mixing import OP3_SQL, op3_mixing
-from .neardup import op10_neardup
+from .neardup import OP10_SQL, op10_neardup
 from .packing import op1_packing
 from .search import OP9_SQL, op9_search
 from .sharding import op8_shards
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_neardup": op10_neardup,
 }
 
-SQL = {"op3_mixing": OP3_SQL, "op9_search": OP9_SQL}
+SQL = {"op3_mixing": OP3_SQL, "op9_search": OP9_SQL, "op10_neardup": OP10_SQL}
