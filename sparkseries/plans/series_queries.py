@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import correlogram, difference, windows
+from ..operators import correlogram, difference, longseries, windows
 from .registry import BY_PRIORITY_SQL, DAILY_SQL, daily, events, panel, query, tidy
 
 _USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -195,3 +195,20 @@ def time_series_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residual_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.LagFeatures("total", [7], "day", "series").transform(panel(spark, sf_dir)).withColumn("e", F.col("total") - F.col("total_lag_7")).filter(F.col("e").isNotNull())
     return tidy(correlogram.residual_tests(rows, "e", "day", ["series"]))
+
+
+_ALL = "OVER (ORDER BY ts, event_id)"
+
+
+@query(f"""SELECT event_id, lag(value, 1) {_ALL} AS value_lag_1, lag(value, 30) {_ALL} AS value_lag_30, round(CASE WHEN count(value) OVER w >= 20 THEN avg(value) OVER w END, 6) AS value_ma_20, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS value_sum
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def long_series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, in chunks: no window holds the table."""
+
+    def features(rows: DataFrame, order: str, series: str) -> DataFrame:
+        return windows.MovingAverage("value", 20, order, series).transform(windows.LagFeatures("value", [1, 30], order, series).transform(rows))
+
+    size = 20_000
+    rows = longseries.running_sum(events(spark, sf_dir), ["ts", "event_id"], "value", "value_sum", size)
+    out = longseries.by_chunks(rows, ["ts", "event_id"], 30, features, size)
+    return tidy(out.select("event_id", "value_lag_1", "value_lag_30", "value_ma_20", F.round("value_sum", 2).alias("value_sum")))

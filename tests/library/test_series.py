@@ -155,3 +155,27 @@ def test_leverage_equals_the_hat_matrix(spark):
 def test_global_index_is_the_order(spark):
     df = spark.range(0, 500).select((F.pmod(F.col("id") * 7919, F.lit(501))).alias("k"))
     assert column(folds.global_index(df, ["k"], "i"), "i", ["k"]) == list(range(500))
+
+
+@pytest.mark.parametrize("size", [7, 50, 1000])
+def test_chunks_of_one_long_series(spark, size):
+    from sparkseries.operators import longseries
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300).round(3)
+    df = spark.createDataFrame([(i * 3 % 301, float(x[i * 3 % 301 - 1])) for i in range(1, 301)], "t long, x double")
+    plain = windows.MovingAverage("x", 5, "t").transform(windows.LagFeatures("x", [1, 6], "t").transform(df))
+    chunked = longseries.by_chunks(df, ["t"], 6, lambda rows, order, series: windows.MovingAverage("x", 5, order, series).transform(windows.LagFeatures("x", [1, 6], order, series).transform(rows)), size)
+    for name in ("x_lag_1", "x_lag_6", "x_ma_5"):
+        a, b = column(plain, name, ["t"]), column(chunked, name, ["t"])
+        assert [v is None for v in a] == [v is None for v in b] and [v for v in a if v is not None] == pytest.approx([v for v in b if v is not None])
+    in_order = [v for _, v in sorted((r.t, r.x) for r in df.collect())]
+    assert column(longseries.running_sum(df, ["t"], "x", "s", size), "s", ["t"]) == pytest.approx(np.cumsum(in_order).tolist())
+    near_one = df.withColumn("x", 1 + F.col("x") / 1000)
+    assert column(longseries.running_product(near_one, ["t"], "x", "s", size), "s", ["t"]) == pytest.approx(np.cumprod([1 + v / 1000 for v in in_order]).tolist())
+
+
+def test_feature_plans_have_no_python_and_no_products(panel):
+    for step in (windows.LagFeatures("x", [1], "t", "s"), windows.MovingAverage("x", 3, "t", "s"), windows.RateOfChange("x", "t", "s"), difference.Difference("x", "t", "s").fit(panel)):
+        plan = step.transform(panel)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "Python" not in plan and plan.count("Exchange hashpartitioning") == 1
