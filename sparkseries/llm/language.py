@@ -19,7 +19,7 @@ from .common import cut, table
 TRAIN_ROWS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 64, 20_000, 8_000, 4
 WORDS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose numbers a worker keeps; the table is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 UNKNOWN = "und"
 
 
@@ -53,7 +53,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for n in range(1, LONGEST + 1):
                     for g in grams_of(word, n):
                         counts[lang, n, g] += c
-            if len(counts) > 400_000:
+            if len(counts) > 150_000:
                 yield flush()
     yield flush()
 
@@ -93,7 +93,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         new = [w for w in words if w not in self.rows]
         if len(self.rows) + len(new) > len(self.values):

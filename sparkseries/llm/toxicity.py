@@ -121,7 +121,7 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
             counts[int(toxic)].update(terms_of(set(fold(text).split())))
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield flush()
     yield flush()
 
