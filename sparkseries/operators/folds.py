@@ -54,19 +54,20 @@ def global_index(df: DataFrame, order: Sequence[str], name: str, parts: int | No
     """The place of each row in the order, from 0: rows are dealt into ranges, numbered in each, and moved up by the counts of the ranges before."""
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the bounds of the ranges are a bounded sample's quantiles; fixed once, so that both uses agree
-    first = order[0]
-    some = df.select(F.col(first).alias("v")).filter(F.col("v").isNotNull())
+    # the bounds of the ranges are a bounded sample's quantiles, over all columns of the order, so that one hot value of the first
+    # is split too; fixed once, so that both uses agree
+    place = F.struct(*order)
+    some = df.select(place.alias("v"))
     n = some.count()
     share = min(1.0, 100_000 / max(n, 1))
     picked = some.filter(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct().orderBy("v").limit(200_000).collect()
-    bounds = sorted({picked[len(picked) * k // parts]["v"] for k in range(1, parts)}) if picked else []
+    bounds = list(dict.fromkeys(picked[len(picked) * k // parts]["v"] for k in range(1, parts))) if picked else []
     if not bounds:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    kind = df.schema[first].dataType
     part = F.lit(0)
     for b in bounds:
-        part = part + F.when(F.col(first) >= F.lit(b).cast(kind), 1).otherwise(0)
+        edge = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True)])
+        part = part + F.when(place >= edge, 1).otherwise(0)
     keyed = df.withColumn("_part", part)
     counts = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -138,6 +139,14 @@ def recursive_backtest(df: DataFrame, target: str, time: str, series, cutoffs: S
     return out
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def forecast_any(predict, history: DataFrame, future: DataFrame, builder: TargetHistory, time: str, series) -> DataFrame:
     """The same with any fitted model: ``predict`` maps rows with the builder's features to ``keys, time, pred``.
 
@@ -153,10 +162,12 @@ def forecast_any(predict, history: DataFrame, future: DataFrame, builder: Target
     for h in range(1, int(steps.agg(F.max("step")).first()[0] or 0) + 1):
         now = steps.filter(F.col("step") == h).drop("step")
         rows = builder.transform(context.unionByName(now, allowMissingColumns=True))
-        made = predict(rows.join(now.select(*keys, time), [*keys, time], "left_semi")).select(*keys, time, F.col("pred").cast("double").alias("pred")).checkpoint()
+        made = predict(rows.join(now.select(*keys, time), [*keys, time], "left_semi")).select(*keys, time, F.col("pred").cast("double").alias("pred"))
+        made = _written(made)
         part = made.withColumn("step", F.lit(h))
         out = part if out is None else out.unionByName(part)
-        context = tail(context.unionByName(made.withColumnRenamed("pred", target)), builder.lookback, time, keys).checkpoint()
+        context = tail(context.unionByName(made.withColumnRenamed("pred", target)), builder.lookback, time, keys)
+        context = _written(context)
     return out
 
 

@@ -152,6 +152,15 @@ def test_forecast_ignores_future_targets_and_follows_the_rule(spark):
         forecasts.recursive_forecast(model, history, df, "y", "t", "s")
 
 
+def test_forecast_step_by_step_with_any_model(spark):
+    df = spark.createDataFrame([(s, t, float(b + 2 * t)) for s, b in (("A", 10), ("B", 100)) for t in range(12)], "s string, t long, y double")
+    history, future = df.filter("t < 9"), df.filter("t >= 9")
+    builder = windows.TargetHistory("y", "t", "s", [1, 2])
+    next_on_the_line = lambda rows_: rows_.withColumn("pred", 2 * F.col("y_lag_1") - F.col("y_lag_2"))
+    out = forecasts.forecast_any(next_on_the_line, history, future, builder, "t", "s")
+    assert [(r.s, r.t, r.pred) for r in out.orderBy("s", "t").collect()] == [(s, t, float(b + 2 * t)) for s, b in (("A", 10), ("B", 100)) for t in range(9, 12)]
+
+
 def test_out_of_fold_models_and_blends(spark):
     rng = np.random.default_rng(2)
     data = [(i, float(a), float(b), float(2 * a + b), int(a + b > 0), i % 3) for i, (a, b) in enumerate(rng.normal(size=(150, 2)))]
