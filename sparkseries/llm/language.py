@@ -17,6 +17,8 @@ from .common import cut, table
 
 #: Bounds of the model, whatever the corpus: training rows, languages, words and n-grams a language, characters of an n-gram.
 TRAIN_ROWS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 64, 20_000, 8_000, 4
+#: Rows are chosen in units of one over this number, fine enough for any table.
+SHARES = 1 << 40
 WORDS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose numbers a worker keeps; the table is emptied when full.
 CACHE_ENTRIES = 150_000
@@ -113,8 +115,22 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
+def rows_each(sizes: Iterable[int], max_rows: int) -> int:
+    """The most rows to take of one language so that all take ``max_rows`` together: languages of fewer rows give all they have."""
+    sizes = sorted(sizes)
+    for k, n in enumerate(sizes):
+        even = max_rows // (len(sizes) - k)
+        if n > even:
+            return even
+        max_rows -= n
+    return max(sizes, default=0)
+
+
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on rows with a language whose key is not held out, all of them or an even share by hash of about ``max_rows``.
+    """Fit on rows with a language whose key is not held out, all of them or about ``max_rows`` by hash: see ``rows_each`` for how many of each language.
+
+    A language of at most ``max_rows / MAX_LANGS`` rows is thus learnt from all of them. A language without a word in its rows is never
+    predicted. A term that a language lacks has one frequency for all languages, below that of any known term, however little a language was seen.
 
     The languages kept are the ``MAX_LANGS`` most frequent; of each, at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams
     of each length, the most frequent (equally frequent ones are kept or left out together). These bounds
@@ -122,12 +138,13 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     found = sorted(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect(), key=lambda r: r["lang"])
-    langs = [r["lang"] for r in found]
-    share = min(1.0, max_rows / max(1, sum(r["n"] for r in found)))
-    some = rows.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
+    each = rows_each([r["n"] for r in found], max_rows)
+    below = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(math.ceil(min(1.0, each / r["n"]) * SHARES))) for r in found], F.lit(0))
+    some = rows.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(SHARES)) < below)
     counts = some.select("lang", "text").mapInPandas(_count, "lang string, n int, term string, count long").groupBy("lang", "n", "term").agg(F.sum("count").alias("count"))
     counts = cut(counts)
     totals = {(r["lang"], r["n"]): (r["t"], r["k"]) for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("t"), F.count(F.lit(1)).alias("k")).collect()}
+    langs = sorted({x for x, _ in totals})
     # how frequent a term must be, from the number of terms of each frequency: no window holds the terms
     most = F.when(F.col("n") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
     sizes = counts.groupBy("lang", "n", "count").agg(F.count(F.lit(1)).alias("terms")).withColumn("upto", F.sum("terms").over(Window.partitionBy("lang", "n").orderBy(F.desc("count"))))
@@ -136,7 +153,8 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     index = {x: k for k, x in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = []
     for n in range(LONGEST + 1):
-        floor = np.array([math.log(0.1 / (t + k)) for t, k in (totals.get((x, n), (1, 1)) for x in langs)])
+        # of the language seen most: a language seen less must not be likelier where it knows nothing
+        floor = np.full(len(langs), math.log(0.1 / max((sum(totals[x, n]) for x in langs if (x, n) in totals), default=1)))
         of: dict[str, np.ndarray] = {}
         for r in kept:
             if r["n"] == n:

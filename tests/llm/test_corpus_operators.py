@@ -192,6 +192,22 @@ def test_language_of_nothing(none, docs):
     assert {r.lang_pred for r in language.identify(docs, model, ["doc_id"]).collect()} == {"und"}
 
 
+def test_rare_languages_are_learnt_whole_and_do_not_win_otherwise(spark):
+    words = {"aa": "bado kelin mirt sola fenu gort halim", "bb": "cheu voix plé trans nuit soir", "rare": "zyx wqo xuq qyz yqw"}
+    rows = [(i, " ".join(words[lang].split()[(i * j) % len(words[lang].split())] for j in range(1, 9)), lang) for i, lang in enumerate(["aa"] * 300 + ["bb"] * 300 + ["rare"] * 4)]
+    rows += [(1000 + i, "12 345 ", "digits") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for max_rows in (40, 10_000):
+        model = language.learn(d, max_rows=max_rows)
+        got = {r.doc_id: r.lang_pred for r in language.identify(d, model, ["doc_id"]).collect()}
+        assert all(got[i] == lang for i, _, lang in rows if lang != "digits")
+        assert model.langs == ["aa", "bb", "rare"]
+
+
+def test_rows_each():
+    assert [language.rows_each(s, 100) for s in ([], [5], [500], [60, 60], [1, 2, 500, 600], [30, 70])] == [0, 5, 100, 50, 48, 70]
+
+
 def test_words_back_off_to_shorter_grams():
     v = np.array([0.0, -1.0])
     model = language.Model(["a", "b"], [{"known": v}, {"k": v - 4}, {"kn": v - 3}, {"kno": v - 2}, {"know": v - 1}])
