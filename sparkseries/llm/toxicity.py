@@ -35,8 +35,8 @@ _FOLD_LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items() if k.isascii()}
 TRAIN_ROWS = 20_000
 #: Bounds of the lexicon: characters of a stem, candidates, terms, exceptions.
 STEM, MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = (4, 5, 6), 50_000, 2_000, 5_000
-#: A term's least weight (natural log of how much likelier it is in toxic rows), least share of toxic rows, least number of neighbourhoods and their least share of its uses.
-LEAST_WEIGHT, LEAST_SHARE, LEAST_PLACES, LEAST_SPREAD = 3.0, 0.005, 5, 0.25
+#: A term's least weight (natural log of how much likelier it is in toxic rows), least share of toxic rows, least number of different neighbourhoods.
+LEAST_WEIGHT, LEAST_SHARE, LEAST_PLACES = 3.0, 0.005, 5
 
 
 def fold(text: str | None) -> str:
@@ -127,20 +127,20 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _places(candidates):
-    """For each use of a candidate: the term and a hash of its neighbours."""
+    """For each candidate the neighbours of its uses, once in a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = candidates.value
         for batch in batches:
-            rows: Counter = Counter()
+            rows: set = set()
             for text in batch["text"]:
                 words = fold(text).split()
                 around = ["", *words, ""]
                 for i, w in enumerate(words):
                     for term in terms_of((w,)):
                         if term in known:
-                            rows[term, f"{around[i]} {around[i + 2]}"] += 1
-            yield pd.DataFrame([(t, p, n) for (t, p), n in rows.items()], columns=["term", "place", "uses"])
+                            rows.add((term, f"{around[i]} {around[i + 2]}"))
+            yield pd.DataFrame(list(rows), columns=["term", "place"])
 
     return run
 
@@ -156,6 +156,8 @@ def _raws(shared):
 def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: Sequence[str] = (), max_rows: int = TRAIN_ROWS) -> Lexicon:
     """Learn terms, exceptions and the calibration from labelled rows whose key is not held out: all of them, or about ``max_rows`` chosen by hash.
 
+    Rows of one text and label count once, so copies of a text neither weigh a term up nor hide it.
+
     A term is a whole word or the first letters of one. Its weight is the log of how much likelier it is in
     toxic rows than in others. It is kept if it is in enough toxic rows and its uses have enough
     different neighbours (rare words of a text that was copied often have few). A word whose stem is kept is left out unless it is heavier. Words that begin with a kept stem but are
@@ -167,7 +169,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     # at most about max_rows short rows, so the texts need not be shuffled
     chosen = F.broadcast(marked.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000)))
     train = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, ["key"])
-    train = cut(train.select("toxic", "text"))
+    train = cut(train.select("toxic", "text").distinct())
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic:
@@ -178,8 +180,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     found = counts.withColumn("weight", weight).filter((F.col("toxic") >= least) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("toxic"), "term").limit(MAX_CANDIDATES).collect()
     candidates = {r["term"]: r["weight"] for r in found}
     shared = spark.sparkContext.broadcast(frozenset(candidates))
-    places = train.filter(F.col("toxic") == 1).select("text").mapInPandas(_places(shared), "term string, place string, uses long").groupBy("term", "place").agg(F.sum("uses").alias("uses"))
-    spread = places.groupBy("term").agg(F.count(F.lit(1)).alias("places"), F.sum("uses").alias("uses")).filter((F.col("places") >= LEAST_PLACES) & (F.col("places") >= LEAST_SPREAD * F.col("uses")))
+    places = train.filter(F.col("toxic") == 1).select("text").mapInPandas(_places(shared), "term string, place string").distinct()
+    spread = places.groupBy("term").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") >= LEAST_PLACES)
     wide = spread.orderBy(F.desc("places"), "term").limit(MAX_CANDIDATES).collect()
     kept = {r["term"]: candidates[r["term"]] for r in wide}
 

@@ -163,6 +163,19 @@ def test_toxicity_learns_words_and_stems_and_folds(spark):
     assert got[0][1] >= 0.5 and [s for _, s in got[1:]] == [0.0] * 5
 
 
+def test_copies_of_a_toxic_text_do_not_hide_its_words(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(rng.choice(plain, 30)) for _ in range(260)]
+    toxic = [f"{t[:60]} zorgblat {t[60:]}" for t in texts[:60]]
+    rows = list(enumerate(toxic + texts[60:] + [toxic[0]] * 400))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int("zorgblat" in t)) for i, t in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(d, lab)
+    assert any("zorgblat".startswith(t.strip()) for t in lexicon.weights)
+    assert all((r.score >= 0.5) == ("zorgblat" in rows[r.doc_id][1]) for r in toxicity.score_toxicity(d, lexicon, ["doc_id"]).collect())
+
+
 def test_toxicity_without_labels(spark, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.learn_lexicon(none, labels).weights == {}
