@@ -17,7 +17,9 @@ from .common import cut, join_checked, table
 
 #: Element names and class words (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math canvas xmp noembed".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
+#: Skipped with all in them up to their own closing tag; one without a closing tag is only a tag.
+NESTED = frozenset("template svg math canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center div html main section table tbody td tr".split())
 DROPPED = frozenset("head nav footer aside form menu button select option input dialog object audio video".split())
@@ -61,6 +63,19 @@ def _is_dropped(tag: str, attributes: dict[str, str], inside_article: bool) -> b
     return tag not in ("html", "body", "article", "main") and bool(words & DROPPED_WORDS)
 
 
+def _ends(tag: str, html: str) -> dict[int, int]:
+    """Where each element of a tag of ``NESTED`` ends, by the end of its opening tag; a self-closed svg or math ends there."""
+    out, opened = {}, []
+    for m in re.finditer(rf"""<(/?){tag}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", html, re.IGNORECASE):
+        if not m[1] and tag in ("svg", "math") and m[2].endswith("/"):
+            out[m.end()] = m.end()
+        elif not m[1]:
+            opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def parse(html: str | None) -> tuple[list[Element], list[tuple[int, str, float]]]:
     """The elements in page order, and the blocks of text: (element, text, share of it in links)."""
     elements = [Element("", -1, "", False, True)]
@@ -107,6 +122,7 @@ def parse(html: str | None) -> tuple[list[Element], list[tuple[int, str, float]]
                 linked += len(part)
 
     at, html = 0, html or ""
+    ends: dict[str, dict[int, int]] = {}
     while at < len(html):
         m = _TAG.search(html, at)
         if not m:
@@ -127,6 +143,11 @@ def parse(html: str | None) -> tuple[list[Element], list[tuple[int, str, float]]
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
             continue
+        if tag in NESTED:
+            if tag not in ends:
+                ends[tag] = _ends(tag, html)
+            at = ends[tag].get(at, at)
+            continue
         if tag in ("br", "wbr"):
             text(" " if tag == "br" else "")
             continue

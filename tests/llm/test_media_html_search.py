@@ -100,6 +100,12 @@ def test_parser_on_odd_markup():
     assert html.extract("<p a='>'>q</p>", None) == "q"
 
 
+def test_skipped_elements_end_where_they_close():
+    for icon in ('<svg class="i"/>', "<svg><g><svg></svg>x</g></svg>", "<math><svg/>x</math>", "<canvas>", "<svg>", "<template><p>x<template>y</template></template>"):
+        assert html.extract(f"<div><p>one {icon}two</p><p>three</p><svg><text>no</text></svg><p>four</p></div>", None) == "one two\n\nthree\n\nfour"
+    assert html.extract("<p>one</p><script>never closed <p>x", None) == "one"
+
+
 # -- search ------------------------------------------------------------------------------------------------------
 
 
