@@ -22,12 +22,16 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed".split(
 NESTED = frozenset("template svg math canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center div html main section table tbody td tr".split())
-DROPPED = frozenset("head nav footer aside form menu button select option input dialog object audio video".split())
+DROPPED = frozenset("head nav footer aside menu button select option input dialog object audio video".split())
 CLOSES_P = BLOCK - {"body", "html"}
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply pagination pager search toolbar form skip".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
+#: Words that name a heading's place, not something beside the text.
+HEADING_WORDS, HEADINGS = frozenset("header masthead banner".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element with a class word and at least this share of the page's text is no box beside the text.
+WHOLE = 0.8
 #: Elements that end when another of them begins inside the same parent.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
@@ -39,13 +43,14 @@ _DIGITS = re.compile(r"\d+")
 
 @dataclass
 class Element:
-    """An open or closed element: its parent, generalised path, whether its text is left out, and its place among containers."""
+    """An open or closed element: its parent, generalised path, whether its text is left out, its place among containers, and whether its text may be left out."""
 
     tag: str
     parent: int
     path: str
     dropped: bool
     container: bool
+    suspect: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -57,10 +62,30 @@ def _is_dropped(tag: str, attributes: dict[str, str], inside_article: bool) -> b
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    words = set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return tag not in ("html", "body", "article", "main") and bool(words & DROPPED_WORDS)
+    return attributes.get("role", "").lower() in DROPPED_ROLES or tag not in BLOCK and _is_suspect(tag, attributes)
+
+
+def _is_suspect(tag: str, attributes: dict[str, str]) -> bool:
+    """A form, or a class or id word says that it is beside the text; ``_kept`` decides for blocks."""
+    words = set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) & DROPPED_WORDS
+    if tag in HEADINGS:
+        words -= HEADING_WORDS
+    return tag == "form" or attributes.get("role", "").lower() == "form" or bool(words) and tag not in ("html", "body", "article", "main") and "-" not in tag
+
+
+def _kept(elements: list[Element], blocks: list[tuple[int, str, float]]) -> list[tuple[int, str, float]]:
+    """The blocks outside suspect elements; one that holds main, h1, an article of most of the page's text, or nearly all of the text is none. All blocks if none is left."""
+    if not any(e.suspect for e in elements):
+        return blocks
+    inside = _weights(elements, blocks)
+    holds, gone = [False] * len(elements), [False] * len(elements)
+    for k in range(len(elements) - 1, 0, -1):
+        e = elements[k]
+        holds[k] |= not e.dropped and (e.tag in ("main", "h1") or e.tag == "article" and inside[k] > 0.5 * inside[0])
+        holds[e.parent] |= holds[k]
+    for k, e in enumerate(elements[1:], 1):
+        gone[k] = gone[e.parent] or e.suspect and not holds[k] and not inside[k] >= WHOLE * inside[0] > 0
+    return [b for b in blocks if not gone[b[0]]] or blocks
 
 
 def _ends(tag: str, html: str) -> dict[int, int]:
@@ -169,11 +194,11 @@ def parse(html: str | None) -> tuple[list[Element], list[tuple[int, str, float]]
             path = f"{parent.path}>{name}" if parent.path else name
         else:
             path = parent.path
-        elements.append(Element(tag, stack[-1], path, dropped, tag in CONTAINER))
+        elements.append(Element(tag, stack[-1], path, dropped, tag in CONTAINER, tag in BLOCK and _is_suspect(tag, attributes)))
         stack.append(len(elements) - 1)
         links += tag == "a"
     flush()
-    return elements, blocks
+    return elements, _kept(elements, blocks)
 
 
 def _weights(elements: list[Element], blocks: list[tuple[int, str, float]]) -> list[float]:

@@ -106,6 +106,19 @@ def test_skipped_elements_end_where_they_close():
     assert html.extract("<p>one</p><script>never closed <p>x", None) == "one"
 
 
+def test_layout_words_do_not_take_the_article():
+    text = "A long sentence of the article that goes on and on, as articles do."
+    for page in (
+        f'<div class="content has-sidebar"><h1 class="page-header">Title</h1><p>{text}</p><div class="sidebar">more</div></div>',
+        f'<div id="page-with-comments"><article><h1>Title</h1><p>{text}</p></article><div class="comments">me too</div></div>',
+        f'<form action="x"><input><div><div class="article-header"><h1>Title</h1></div><p>{text}</p></div></form>',
+        f'<div class="share"><main><h2 class="section-header">Title</h2><p>{text}</p></main></div><div class="related"><article>other</article></div>',
+    ):
+        assert html.extract(f"<body>{page}<footer>all</footer></body>", None) == f"Title\n\n{text}"
+    assert html.extract('<body><div class="notice"><p>one</p></div></body>', None) == "one"
+    assert html.extract(f'<div><p>{text}</p><form><p>Send your name</p></form><span class="share">now</span></div>', None) == text
+
+
 # -- search ------------------------------------------------------------------------------------------------------
 
 
