@@ -11,7 +11,7 @@ from ..functions.exprs import correlation, is_finite, normal_density, normal_qua
 from .base import as_list, ordered
 from .correlogram import acf, band, direction, pair_correlation
 from .profile import histogram
-from .windows import blocks, trailing_mean
+from .windows import blocks
 
 
 def residual_summary(df: DataFrame, y: str, p: str, series: str) -> DataFrame:
@@ -56,14 +56,14 @@ def residual_bands(df: DataFrame, residual: str, time: str, series, fold: str) -
     w = ordered(time, keys)
     rows = blocks(df, F.col("_changes"), time, keys) if "_changes" in df.columns else blocks(df.withColumn("_changes", F.col(fold) != F.lag(fold).over(w)), F.col("_changes"), time, keys).drop("_changes")
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(residual).alias("_s"), F.avg(residual).alias("_m"))
-    widths = [r[0] for r in size.select(F.greatest(F.lit(7), F.floor(F.col("_n") / 20)).cast("int").alias("w")).distinct().limit(1000).collect()]
     rows = rows.join(F.broadcast(size), keys) if keys else rows.crossJoin(F.broadcast(size))
-    block = Window.partitionBy(*keys, "block").orderBy(time)
-    width = F.greatest(F.lit(7), F.floor(F.col("_n") / 20))
-    rolling = F.lit(None).cast("double")
-    for k in widths:
-        rolling = F.when(width == k, trailing_mean(residual, k, block, k // 2)).otherwise(rolling)
-    return rows.withColumns({"rolling": rolling, "low": F.col("_m") - 2 * F.col("_s"), "high": F.col("_m") + 2 * F.col("_s")}).drop("_n", "_s", "_m")
+    # in units of a series' own width one frame fits them all: rows less than one width back, less a margin for widths up to 9e8
+    width, one = F.greatest(F.lit(7), F.floor(F.col("_n") / 20)), 10**12
+    block = Window.partitionBy(*keys, "block")
+    rows = rows.withColumn("_at", F.round(F.row_number().over(block.orderBy(time)) / width * one).cast("long"))
+    last = block.orderBy("_at").rangeBetween(1000 - one, 0)
+    rolling = F.when(F.count(residual).over(last) >= F.floor(width / 2), F.avg(residual).over(last))
+    return rows.withColumns({"rolling": rolling, "low": F.col("_m") - 2 * F.col("_s"), "high": F.col("_m") + 2 * F.col("_s")}).drop("_n", "_s", "_m", "_at")
 
 
 def importance(attributions: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

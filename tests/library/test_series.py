@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseries.operators import correlogram, difference, folds, windows
+from sparkseries.operators import correlogram, difference, evaluate, folds, windows
 
 
 def column(df, name, order):
@@ -179,3 +179,18 @@ def test_feature_plans_have_no_python_and_no_products(panel):
     for step in (windows.LagFeatures("x", [1], "t", "s"), windows.MovingAverage("x", 3, "t", "s"), windows.RateOfChange("x", "t", "s"), difference.Difference("x", "t", "s").fit(panel)):
         plan = step.transform(panel)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "Python" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_residual_bands_know_the_width_of_every_series(spark, monkeypatch):
+    rows = [(s, t, None if t % 11 == 3 else float((t * t) % 17), t // 100) for s, n in (("a", 30), ("b", 170), ("c", 200), ("d", 263)) for t in range(n)]
+    df = spark.createDataFrame(rows, "s string, t long, e double, fold long")
+    limit = type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: limit(self, 1))  # no list of widths, however many there are
+    got = {(r.s, r.t): r.rolling for r in evaluate.residual_bands(df, "e", "t", "s", "fold").collect()}
+    sizes = {s: sum(r[0] == s for r in rows) for s in "abcd"}
+    assert len(got) == len(rows)
+    for s, t, _, fold in rows:
+        w = max(7, sizes[s] // 20)
+        near = [e for s2, t2, e, f in rows if s2 == s and f == fold and t - w < t2 <= t and e is not None]
+        want = sum(near) / len(near) if len(near) >= w // 2 else None
+        assert got[s, t] == (want if want is None else pytest.approx(want))
