@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Bounds of the model, whatever the corpus: training rows, languages, words and n-grams a language, characters of an n-gram.
-TRAIN_ROWS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 64, 20_000, 8_000, 4
+#: Bounds of the model, whatever the corpus: training rows (or one a language, if those are more), words and n-grams a language, characters of an n-gram.
+TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 20_000, 8_000, 4
 #: Rows are chosen in units of one over this number, fine enough for any table.
 SHARES = 1 << 40
 WORDS = re.compile(r"[^\W\d_]+")
-#: Unseen words whose numbers a worker keeps; the table is emptied when full.
-CACHE_ENTRIES = 150_000
+#: Words whose numbers a worker keeps, and bytes of these numbers; the table is emptied when full.
+CACHE_ENTRIES, CACHE_BYTES = 100_000, 16_000_000
 UNKNOWN = "und"
 
 
@@ -60,20 +61,42 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
+class Table:
+    """Log frequencies of terms: of each term those of the languages that have it; a language that lacks a term has ``floor``."""
+
+    def __init__(self, entries: list[tuple[str, int, float]], floor: float):
+        """``entries``: term, language, log frequency."""
+        entries = sorted(entries)
+        self.floor = floor
+        self.at = {t: k for k, t in reversed(list(enumerate(t for t, _, _ in entries)))}
+        terms = [t for t, _, _ in entries]
+        self.last = [k + 1 == len(terms) or terms[k + 1] != t for k, t in enumerate(terms)]
+        self.langs = array("I", [x for _, x, _ in entries])
+        self.values = array("d", [v for _, _, v in entries])
+
+    def add(self, term: str, to: list[float]) -> bool:
+        """Add the term's log frequencies, less the floor, to a row of languages; False if no language has it."""
+        k = self.at.get(term)
+        if k is None:
+            return False
+        while True:
+            to[self.langs[k]] += self.values[k] - self.floor
+            if self.last[k]:
+                return True
+            k += 1
+
+
 class Model:
-    """Log frequencies by language of words and n-grams; ``predict`` sums them over a text's words."""
+    """Log frequencies by language of words (first table) and n-grams; ``predict`` sums them over a text's words."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: list[Table]):
         self.langs, self.tables = langs, tables
         self._reset()
 
     def _reset(self) -> None:
-        """A row of numbers for each known word; rows of unseen words are added as they come, up to CACHE_ENTRIES."""
-        self.rows = {w: k for k, w in enumerate(self.tables[0])} if self.tables else {}
-        self.known = len(self.rows)
-        self.values = np.zeros((self.known + CACHE_ENTRIES, len(self.langs)))
-        if self.known:
-            self.values[: self.known] = list(self.tables[0].values())
+        """Rows of numbers of the words met, filled as they come."""
+        self.rows: dict[str, int] = {}
+        self.values = np.zeros((max(1, min(CACHE_ENTRIES, CACHE_BYTES // (8 * max(1, len(self.langs))))), len(self.langs)))
 
     def __getstate__(self):
         return {"langs": self.langs, "tables": self.tables}
@@ -82,16 +105,14 @@ class Model:
         self.__dict__.update(state)
         self._reset()
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> list[float]:
         """A known word's log frequencies, or the mean of those of its longest n-grams that are known; zeros if none is."""
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
-        for n in range(LONGEST, 0, -1):
-            known = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
-            if known:
-                return sum(known[1:], known[0]) / len(known)
-        return np.zeros(len(self.langs))
+        for n, of in enumerate([self.tables[0], *self.tables[:0:-1]] if self.tables else []):
+            row = [0.0] * len(self.langs)
+            found = sum(of.add(g, row) for g in (grams_of(word, len(self.tables) - n) if n else [word]))
+            if found:
+                return [of.floor + x / found for x in row]
+        return [0.0] * len(self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -100,9 +121,9 @@ class Model:
         new = [w for w in words if w not in self.rows]
         if len(self.rows) + len(new) > len(self.values):
             self._reset()
-            new = [w for w in words if w not in self.rows]
-        if len(self.rows) + len(new) > len(self.values):  # one text alone has too many
-            sums = sum(c * self.word(w) for w, c in sorted(words.items()))
+            new = list(words)
+        if len(new) > len(self.values):  # one text alone has too many
+            sums = sum(c * np.array(self.word(w)) for w, c in sorted(words.items()))
         else:
             for w in new:
                 k = self.rows[w] = len(self.rows)
@@ -116,51 +137,53 @@ class Model:
 
 
 def rows_each(sizes: Iterable[int], max_rows: int) -> int:
-    """The most rows to take of one language so that all take ``max_rows`` together: languages of fewer rows give all they have."""
+    """The most rows to take of one language so that all take ``max_rows`` together: languages of fewer rows give all they have, any other at least one."""
     sizes = sorted(sizes)
     for k, n in enumerate(sizes):
         even = max_rows // (len(sizes) - k)
         if n > even:
-            return even
+            return max(1, even)
         max_rows -= n
     return max(sizes, default=0)
 
 
+def sampled(rows: int, of: int) -> int:
+    """The bound under which about ``rows`` of ``of`` hashes modulo SHARES lie; never 0."""
+    return math.ceil(min(1.0, rows / max(1, of)) * SHARES)
+
+
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = TRAIN_ROWS) -> Model:
     """Fit on rows with a language whose key is not held out, all of them or about ``max_rows`` by hash: see ``rows_each`` for how many of each language.
 
-    A language of at most ``max_rows / MAX_LANGS`` rows is thus learnt from all of them. A language without a word in its rows is never
-    predicted. A term that a language lacks has one frequency for all languages, below that of any known term, however little a language was seen.
+    A language of at most ``max_rows`` over the number of languages rows is thus learnt from all of them, and every language takes part. One
+    without a word in its rows is never predicted. A term that a language lacks has one frequency for all languages, below that
+    of any known term, however little a language was seen.
 
-    The languages kept are the ``MAX_LANGS`` most frequent; of each, at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams
-    of each length, the most frequent (equally frequent ones are kept or left out together). These bounds
-    make the model's size independent of the corpus.
+    Of each language at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each length are kept, the most frequent, ties
+    in order of the terms. The sample and these bounds make the model's size independent of the corpus.
     """
+    spark = docs.sparkSession
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    found = sorted(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect(), key=lambda r: r["lang"])
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not found:
+        return Model([], [])
     each = rows_each([r["n"] for r in found], max_rows)
-    below = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(math.ceil(min(1.0, each / r["n"]) * SHARES))) for r in found], F.lit(0))
-    some = rows.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(SHARES)) < below)
+    below = spark.createDataFrame([(r["lang"], sampled(each, r["n"])) for r in found], "lang string, below long")
+    some = rows.join(F.broadcast(below), "lang").filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(SHARES)) < F.col("below"))
     counts = some.select("lang", "text").mapInPandas(_count, "lang string, n int, term string, count long").groupBy("lang", "n", "term").agg(F.sum("count").alias("count"))
     counts = cut(counts)
     totals = {(r["lang"], r["n"]): (r["t"], r["k"]) for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("t"), F.count(F.lit(1)).alias("k")).collect()}
     langs = sorted({x for x, _ in totals})
-    # how frequent a term must be, from the number of terms of each frequency: no window holds the terms
     most = F.when(F.col("n") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
-    sizes = counts.groupBy("lang", "n", "count").agg(F.count(F.lit(1)).alias("terms")).withColumn("upto", F.sum("terms").over(Window.partitionBy("lang", "n").orderBy(F.desc("count"))))
-    least = sizes.filter(F.col("upto") <= most).groupBy("lang", "n").agg(F.min("count").alias("least"))
-    kept = counts.join(F.broadcast(least), ["lang", "n"]).filter(F.col("count") >= F.col("least")).collect()
+    # a window holds terms of the sample only
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "term")))
+    kept = ranked.filter(F.col("rank") <= most).select("lang", "n", "term", "count").collect()
     index = {x: k for k, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = []
+    tables = []
     for n in range(LONGEST + 1):
         # of the language seen most: a language seen less must not be likelier where it knows nothing
-        floor = np.full(len(langs), math.log(0.1 / max((sum(totals[x, n]) for x in langs if (x, n) in totals), default=1)))
-        of: dict[str, np.ndarray] = {}
-        for r in kept:
-            if r["n"] == n:
-                t, k = totals[r["lang"], n]
-                of.setdefault(r["term"], floor.copy())[index[r["lang"]]] = math.log((r["count"] + 0.1) / (t + k))
-        tables.append(of)
+        floor = math.log(0.1 / max((sum(totals[x, n]) for x in langs if (x, n) in totals), default=1))
+        tables.append(Table([(r["term"], index[r["lang"]], math.log((r["count"] + 0.1) / sum(totals[r["lang"], n]))) for r in kept if r["n"] == n], floor))
     return Model(langs, tables)
 
 

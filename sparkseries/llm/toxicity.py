@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, table
-from .language import held_out
+from .language import SHARES, held_out, sampled
 
 #: Characters that stand for a Latin letter: Cyrillic and Greek look-alikes, digits and signs (fixed values).
 LOOKALIKES = {
@@ -165,9 +165,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     """
     spark = docs.sparkSession
     marked = labels.filter(F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    share = min(1.0, max_rows / max(1, marked.count()))
+    below = sampled(max_rows, marked.count())
     # at most about max_rows short rows, so the texts need not be shuffled
-    chosen = F.broadcast(marked.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000)))
+    chosen = F.broadcast(marked.filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxic")), F.lit(SHARES)) < below))
     train = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, ["key"])
     train = cut(train.select("toxic", "text").distinct())
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -1,6 +1,9 @@
 """Each operator against brute force on a small corpus with nulls, ties, copies, repeated rows, odd texts and clashing columns."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -218,15 +221,85 @@ def test_rare_languages_are_learnt_whole_and_do_not_win_otherwise(spark):
 
 
 def test_rows_each():
-    assert [language.rows_each(s, 100) for s in ([], [5], [500], [60, 60], [1, 2, 500, 600], [30, 70])] == [0, 5, 100, 50, 48, 70]
+    assert [language.rows_each(s, 100) for s in ([], [5], [500], [60, 60], [1, 2, 500, 600], [30, 70], [9] * 200)] == [0, 5, 100, 50, 48, 70, 1]
+
+
+def test_samples_of_any_table_have_rows():
+    for n in (0, 1, 10**6, 10**10, 10**12):
+        below = language.sampled(10_000, n)
+        assert 0 < below <= language.SHARES and (n < 10_000 or abs(below / language.SHARES * n / 10_000 - 1) < 0.01)
+
+
+def test_many_languages_and_words_that_occur_once(spark):
+    """Seventy languages, each of letters of its own, of which no word occurs twice."""
+    rng = random.Random(4)
+    rows, letters = [], [chr(0x4E00 + k) for k in range(70 * 8)]
+    for k in range(70):
+        own = letters[8 * k : 8 * k + 8]
+        words = ["".join(p) for p in itertools.permutations(own, 3)]
+        rng.shuffle(words)
+        for j in range(12):
+            rows.append((len(rows), " ".join(words[20 * j : 20 * j + 20]), f"l{k:02}"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(d)
+    assert len(model.langs) == 70
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language.identify(d, model, ["doc_id"]).collect())
+
+
+def test_terms_of_one_frequency_are_kept_up_to_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_WORDS", 5)
+    d = spark.createDataFrame([(1, "b a d c f e h g", "x"), (2, "z y w", "y")], "doc_id long, text string, lang string")
+    words = language.learn(d).tables[0]
+    assert sorted(words.at) == ["a", "b", "c", "d", "e", "w", "y", "z"]
+
+
+def plain_language(docs, text):
+    """The same rule without tables: counts of all training texts, words first, then the longest known n-grams."""
+    counts = defaultdict(Counter)
+    for body, lang in docs:
+        for w in re.findall(r"[^\W\d_]+", body.lower()):
+            counts[lang, 0][w] += 1
+            for n in range(1, language.LONGEST + 1):
+                counts[lang, n].update(language.grams_of(w, n))
+    langs = sorted({lang for lang, _ in counts})
+    size = {k: sum(c.values()) + len(c) for k, c in counts.items()}
+
+    def number(lang, n, term):
+        c = counts[lang, n][term]
+        return math.log((c + 0.1) / size[lang, n]) if c else math.log(0.1 / max(size[x, n] for x in langs))
+
+    total = dict.fromkeys(langs, 0.0)
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    for w in words:
+        for n in (0, 4, 3, 2, 1):
+            known = [t for t in ([w] if n == 0 else language.grams_of(w, n)) if any(counts[x, n][t] for x in langs)]
+            if known:
+                for x in langs:
+                    total[x] += sum(number(x, n, t) for t in known) / len(known)
+                break
+    p = {x: math.exp((v - max(total.values())) / math.sqrt(len(words))) for x, v in total.items()}
+    best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, p[best] / sum(p.values())
+
+
+def test_language_follows_the_rule(docs, rows):
+    model = language.learn(docs)
+    train = [(t, lang) for i, t, lang, *_ in rows if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 5]
+    got = {r.doc_id: r for r in language.identify(docs, model, ["doc_id"]).collect()}
+    seen = 0
+    for i, text, *_ in rows:
+        if re.search(r"[^\W\d_]", text or ""):
+            lang, score = plain_language(train, text)
+            assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-9
+            seen += 1
+    assert seen > 30
 
 
 def test_words_back_off_to_shorter_grams():
-    v = np.array([0.0, -1.0])
-    model = language.Model(["a", "b"], [{"known": v}, {"k": v - 4}, {"kn": v - 3}, {"kno": v - 2}, {"know": v - 1}])
-    assert model.word("known") is v
-    assert (model.word("know") == v - 1).all() and (model.word("knox") == v - 2).all() and (model.word("kn") == v - 3).all() and (model.word("k") == v - 4).all()
-    assert (model.word("zzz") == 0).all()
+    table = lambda term, v: language.Table([(term, 0, v), (term, 1, v - 1)], -9.0)
+    model = language.Model(["a", "b"], [table("known", 0.0), table("k", -4.0), table("kn", -3.0), table("kno", -2.0), table("know", -1.0)])
+    assert [model.word(w)[0] for w in ("known", "know", "knox", "kn", "k", "zzz")] == [0.0, -1.0, -2.0, -3.0, -4.0, 0.0]
+    assert model.word("know")[1] == -2.0 and language.Model([], []).predict("a") == ("und", 0.0)
 
 
 # -- sharding ----------------------------------------------------------------------------------------------------
