@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +23,7 @@ TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 20_000, 8_000, 4
 SHARES = 1 << 40
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words whose numbers a worker keeps, and bytes of these numbers; the table is emptied when full.
-CACHE_ENTRIES, CACHE_BYTES = 100_000, 16_000_000
+CACHE_ENTRIES, CACHE_BYTES = 150_000, 16_000_000
 UNKNOWN = "und"
 
 
@@ -61,75 +62,88 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-class Table:
-    """Log frequencies of terms: of each term those of the languages that have it; a language that lacks a term has ``floor``."""
-
-    def __init__(self, entries: list[tuple[str, int, float]], floor: float):
-        """``entries``: term, language, log frequency."""
-        entries = sorted(entries)
-        self.floor = floor
-        self.at = {t: k for k, t in reversed(list(enumerate(t for t, _, _ in entries)))}
-        terms = [t for t, _, _ in entries]
-        self.last = [k + 1 == len(terms) or terms[k + 1] != t for k, t in enumerate(terms)]
-        self.langs = array("I", [x for _, x, _ in entries])
-        self.values = array("d", [v for _, _, v in entries])
-
-    def add(self, term: str, to: list[float]) -> bool:
-        """Add the term's log frequencies, less the floor, to a row of languages; False if no language has it."""
-        k = self.at.get(term)
-        if k is None:
-            return False
-        while True:
-            to[self.langs[k]] += self.values[k] - self.floor
-            if self.last[k]:
-                return True
-            k += 1
-
-
 class Model:
-    """Log frequencies by language of words (first table) and n-grams; ``predict`` sums them over a text's words."""
+    """Log frequencies by language of words (``entries[0]``) and n-grams (``entries[n]``); ``predict`` sums them over a text's words.
+
+    Entries are (term, language's number, log frequency); a language that lacks a term known in others has ``floors[n]``.
+    What is kept grows with the entries, not with terms times languages.
+    """
 
-    def __init__(self, langs: list[str], tables: list[Table]):
-        self.langs, self.tables = langs, tables
+    def __init__(self, langs: list[str], entries: list[list[tuple[str, int, float]]], floors: list[float]):
+        self.langs, self.floors = langs, np.array(floors)
+        self.terms: list[dict[str, int]] = []
+        sizes: list[int] = []
+        of: list[tuple[int, float]] = []
+        for n, some in enumerate(entries):
+            at: dict[str, int] = {}
+            for term, group in itertools.groupby(sorted(some), key=lambda e: e[0]):
+                at[term] = len(sizes)
+                of += ((lang, v - floors[n]) for _, lang, v in group)
+                sizes.append(len(of))
+            self.terms.append(at)
+        self.ends = np.array([0, *sizes])
+        self.lang_of = np.array([x for x, _ in of], dtype=np.int64)
+        self.values = np.array([v for _, v in of], dtype=float)
         self._reset()
 
     def _reset(self) -> None:
         """Rows of numbers of the words met, filled as they come."""
         self.rows: dict[str, int] = {}
-        self.values = np.zeros((max(1, min(CACHE_ENTRIES, CACHE_BYTES // (8 * max(1, len(self.langs))))), len(self.langs)))
+        self.cached = np.zeros((max(1, min(CACHE_ENTRIES, CACHE_BYTES // (8 * max(1, len(self.langs))))), len(self.langs)))
 
     def __getstate__(self):
-        return {"langs": self.langs, "tables": self.tables}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "cached")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._reset()
 
-    def word(self, word: str) -> list[float]:
-        """A known word's log frequencies, or the mean of those of its longest n-grams that are known; zeros if none is."""
-        for n, of in enumerate([self.tables[0], *self.tables[:0:-1]] if self.tables else []):
-            row = [0.0] * len(self.langs)
-            found = sum(of.add(g, row) for g in (grams_of(word, len(self.tables) - n) if n else [word]))
-            if found:
-                return [of.floor + x / found for x in row]
-        return [0.0] * len(self.langs)
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """A row of languages for each word: a known word's log frequencies, or the mean of those of its longest n-grams that are known; zeros if none is."""
+        found: list[int] = []
+        counts, floors = np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
+        if self.terms:
+            known = self.terms[0].get
+            for i, w in enumerate(words):
+                k = known(w)
+                if k is not None:
+                    found.append(k)
+                    counts[i], floors[i] = 1, self.floors[0]
+                    continue
+                for n in range(len(self.terms) - 1, 0, -1):
+                    get = self.terms[n].get
+                    some = [k for g in grams_of(w, n) if (k := get(g)) is not None]
+                    if some:
+                        found += some
+                        counts[i], floors[i] = len(some), self.floors[n]
+                        break
+        terms = np.array(found, dtype=np.int64)
+        sizes = self.ends[terms + 1] - self.ends[terms]
+        word = np.repeat(np.repeat(np.arange(len(words)), counts), sizes)
+        at = np.arange(len(word)) + np.repeat(self.ends[terms] - (np.cumsum(sizes) - sizes), sizes)
+        sums = np.bincount(word * len(self.langs) + self.lang_of[at], weights=self.values[at], minlength=len(words) * len(self.langs))
+        return sums.reshape(len(words), len(self.langs)) / np.maximum(1, counts)[:, None] + floors[:, None]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         new = [w for w in words if w not in self.rows]
-        if len(self.rows) + len(new) > len(self.values):
+        if len(self.rows) + len(new) > len(self.cached):
             self._reset()
             new = list(words)
-        if len(new) > len(self.values):  # one text alone has too many
-            sums = sum(c * np.array(self.word(w)) for w, c in sorted(words.items()))
+        sums = np.zeros(len(self.langs))
+        if len(new) > len(self.cached):  # one text alone has too many
+            for k in range(0, len(new), len(self.cached)):
+                some = new[k : k + len(self.cached)]
+                sums += np.array([words[w] for w in some], dtype=float) @ self.evidence(some)
         else:
-            for w in new:
-                k = self.rows[w] = len(self.rows)
-                self.values[k] = self.word(w)
+            if new:
+                first = len(self.rows)
+                self.cached[first : first + len(new)] = self.evidence(new)
+                self.rows.update(zip(new, range(first, first + len(new)), strict=True))
             at = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
-            sums = np.fromiter(words.values(), dtype=float, count=len(words)) @ self.values[at]
+            sums += np.fromiter(words.values(), dtype=float, count=len(words)) @ self.cached[at]
         # per-word evidence, sharpened by the square root of the number of words, which are not independent
         p = np.exp((sums - sums.max()) / math.sqrt(sum(words.values())))
         best = int(sums.argmax())
@@ -166,7 +180,7 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not found:
-        return Model([], [])
+        return Model([], [], [])
     each = rows_each([r["n"] for r in found], max_rows)
     below = spark.createDataFrame([(r["lang"], sampled(each, r["n"])) for r in found], "lang string, below long")
     some = rows.join(F.broadcast(below), "lang").filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(SHARES)) < F.col("below"))
@@ -179,17 +193,17 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "term")))
     kept = ranked.filter(F.col("rank") <= most).select("lang", "n", "term", "count").collect()
     index = {x: k for k, x in enumerate(langs)}
-    tables = []
-    for n in range(LONGEST + 1):
-        # of the language seen most: a language seen less must not be likelier where it knows nothing
-        floor = math.log(0.1 / max((sum(totals[x, n]) for x in langs if (x, n) in totals), default=1))
-        tables.append(Table([(r["term"], index[r["lang"]], math.log((r["count"] + 0.1) / sum(totals[r["lang"], n]))) for r in kept if r["n"] == n], floor))
-    return Model(langs, tables)
+    entries: list[list[tuple[str, int, float]]] = [[] for _ in range(LONGEST + 1)]
+    for r in kept:
+        entries[r["n"]].append((r["term"], index[r["lang"]], math.log((r["count"] + 0.1) / sum(totals[r["lang"], r["n"]]))))
+    # of the language seen most: a language seen less must not be likelier where it knows nothing
+    floors = [math.log(0.1 / max((sum(totals[x, n]) for x in langs if (x, n) in totals), default=1)) for n in range(LONGEST + 1)]
+    return Model(langs, entries, floors)
 
 
 def _predict(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = pickle.loads(shared.value)  # the worker is used again, so what it unpacks must end with the task
         for batch in batches:
             got = [model.predict(x.as_py()) for x in batch.column(batch.schema.get_field_index("_text"))]
             columns = [c for c in batch.schema.names if c != "_text"]
@@ -207,7 +221,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], *, text: str = "tex
     """
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     # a name of its own for the text, so that no column in ``keep`` clashes with it
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -222,8 +236,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _accept(shared, at: int, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(shared.value)
         for batch in batches:
-            got = [shared.value.predict(x.as_py()) for x in batch.column(at)]
+            got = [model.predict(x.as_py()) for x in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
 
     return run
@@ -231,5 +246,5 @@ def _accept(shared, at: int, least: float):
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, *, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of at least ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     return docs.mapInArrow(_accept(shared, docs.columns.index(text), least), docs.schema)

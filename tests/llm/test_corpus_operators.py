@@ -249,8 +249,8 @@ def test_many_languages_and_words_that_occur_once(spark):
 def test_terms_of_one_frequency_are_kept_up_to_the_bound(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_WORDS", 5)
     d = spark.createDataFrame([(1, "b a d c f e h g", "x"), (2, "z y w", "y")], "doc_id long, text string, lang string")
-    words = language.learn(d).tables[0]
-    assert sorted(words.at) == ["a", "b", "c", "d", "e", "w", "y", "z"]
+    words = language.learn(d).terms[0]
+    assert sorted(words) == ["a", "b", "c", "d", "e", "w", "y", "z"]
 
 
 def plain_language(docs, text):
@@ -296,10 +296,22 @@ def test_language_follows_the_rule(docs, rows):
 
 
 def test_words_back_off_to_shorter_grams():
-    table = lambda term, v: language.Table([(term, 0, v), (term, 1, v - 1)], -9.0)
-    model = language.Model(["a", "b"], [table("known", 0.0), table("k", -4.0), table("kn", -3.0), table("kno", -2.0), table("know", -1.0)])
-    assert [model.word(w)[0] for w in ("known", "know", "knox", "kn", "k", "zzz")] == [0.0, -1.0, -2.0, -3.0, -4.0, 0.0]
-    assert model.word("know")[1] == -2.0 and language.Model([], []).predict("a") == ("und", 0.0)
+    both = lambda term, v: [(term, 0, v), (term, 1, v - 1)]
+    entries = [both("known", 0.0), both("k", -4.0), both("kn", -3.0), both("kno", -2.0), both("know", -1.0)]
+    model = language.Model(["a", "b"], entries, [-9.0] * 5)
+    got = model.evidence(["known", "know", "knox", "kn", "k", "zzz"])
+    assert np.allclose(got[:, 0], [0.0, -1.0, -2.0, -3.0, -4.0, 0.0]) and np.allclose(got[:5, 1], got[:5, 0] - 1)
+    assert language.Model([], [], []).predict("a") == ("und", 0.0)
+
+
+def test_more_words_than_a_worker_keeps(docs, rows, monkeypatch):
+    model = language.learn(docs)
+    want = [model.predict(t) for _, t, *_ in rows]
+    monkeypatch.setattr(language, "CACHE_ENTRIES", 20)
+    model._reset()
+    for (lang, score), (_, t, *_) in zip(want, rows, strict=True):
+        got = model.predict(t)
+        assert got[0] == lang and abs(got[1] - score) < 1e-9
 
 
 # -- sharding ----------------------------------------------------------------------------------------------------
