@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 #: Words of a text are the runs of bytes other than blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only if it has been counted and has no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast only if it has been counted and has no more rows, and no more bytes as stored, than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a folder of our own in local mode (tests), else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("sparkseries.scratch", "")
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
             spark.conf.set("sparkseries.scratch", found)
     return found.rstrip("/")
@@ -41,10 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a table that has been cut before may be broadcast: by its rows, and by the bytes that Spark knows of its files."""
+    if (df.count() if rows is None else rows) > BROADCAST_ROWS:
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def join_checked(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join with a table that has been cut before: broadcast up to BROADCAST_ROWS rows, else a shuffle join (AQE splits hot keys)."""
-    n = small.count() if rows is None else rows
-    return df.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+    """Join with a table that has been cut before: broadcast if it ``is_small``, else a shuffle join (AQE splits hot keys)."""
+    return df.join(F.broadcast(small) if is_small(small, rows) else small, on, how)
 
 
 def dense_rank_in(df: DataFrame, group: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:

@@ -17,8 +17,10 @@ from .common import cut, join_checked, table
 #: Bytes of a repeated string; of an anchor; that the strings of a group have in common with each other at least.
 LENGTH, ANCHOR = 400, 16
 SHARED = LENGTH // 2
-#: Different contexts under one key up to which they are sorted together; windows sorted at a time; bytes anchored at a time.
-HOT, CHUNK_WINDOWS, CHUNK_BYTES, MOST_BYTES = 512, 150_000, 1_000_000, 4_000_000
+#: Different contexts under one key up to which they are sorted together, and windows of the parts into which those of a key with more are cut, again and again.
+HOT, STEPS = 256, (50, 7, 1)
+#: Windows sorted at a time; bytes anchored at a time.
+CHUNK_WINDOWS, CHUNK_BYTES, MOST_BYTES = 100_000, 500_000, 4_000_000
 
 _BASES = (np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93))
 _POSITION = np.uint64((1 << 24) - 1)
@@ -36,7 +38,7 @@ class _Hashes:
 
     def __init__(self, data: np.ndarray, which: int):
         if which not in _powers or len(_powers[which][0]) <= len(data):
-            size = max(len(data) + 1, CHUNK_BYTES + 200_000)
+            size = max(len(data) + 1, CHUNK_BYTES + 150_000)
             pair = []
             for b in (_BASES[which], np.uint64(pow(int(_BASES[which]), -1, 2**64))):
                 steps = np.full(size, b, dtype=np.uint64)
@@ -224,34 +226,66 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each context its bytes, or under a hot key two hashes of each window."""
-    names = ["key", "ctx", "off", "windows", "weight", "segment", "w1", "w2"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    """Of each context its bytes."""
+    names = ["key", "ctx", "off", "windows", "weight", "hot", "segment"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            rows, size = [], 0
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                body = text.as_py()
-                for w in wanted.as_py():
-                    segment = body[w["lo"] : w["lo"] + w["windows"] + LENGTH - 1]
-                    if w["hot"]:
-                        data = np.frombuffer(segment, dtype=np.uint8)
-                        at = np.arange(w["windows"])
-                        hashes = [_Hashes(data, k).of(at, at + LENGTH).view(np.int64) for k in (0, 1)]
-                        segment = None
-                    else:
-                        hashes = [None, None]
-                    rows.append((w["key"], w["ctx"], w["off"], w["windows"], w["weight"], segment, *hashes))
-                    size += w["windows"] * (16 if w["hot"] else 1) + LENGTH
-                    if size > 4_000_000:
+    for batch in batches:
+        rows, size = [], 0
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            body = text.as_py()
+            for w in wanted.as_py():
+                rows.append((*(w[n] for n in names[:-1]), body[w["lo"] : w["lo"] + w["windows"] + LENGTH - 1]))
+                size += len(rows[-1][-1])
+                if size > 4_000_000:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+
+def parts_of(segment: bytes, off: int, windows: int, step: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """The parts of a context with up to ``step`` windows each: shift, key, context, off, windows, segment.
+
+    Windows with one anchor are parted by the place of the anchor in them, so equal windows are in equal places of their parts.
+    All windows of a part have LENGTH - ``step`` + 1 bytes in common, which with that place are the key.
+    """
+    data = np.frombuffer(segment, dtype=np.uint8)
+    one, two = _Hashes(data, 0), _Hashes(data, 1)
+    place = (off - np.arange(windows)) // step
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    count = np.diff(np.concatenate([first, [windows]]))
+    last = off - place[first] * step  # where the last window of a whole part begins; the first one ends LENGTH - step + 1 further on
+    key = _mix(one.of(last, last + LENGTH - step + 1) ^ _mix(place[first].astype(np.uint64) + np.uint64(step) * _BASES[1]))
+    context = two.of(first, first + count + LENGTH - 1)
+    for k, c, shift, n in zip(key.view(np.int64).tolist(), context.view(np.int64).tolist(), first.tolist(), count.tolist(), strict=True):
+        yield shift, k, c, off - shift, n, segment[shift : shift + n + LENGTH - 1]
+
+
+def _cut_up(step: int):
+    """Contexts to their parts."""
+    names = ["of_key", "of_ctx", "of_off", "of_windows", "weight", "shift", "key", "ctx", "off", "windows", "segment"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                rows = []
+                for key, ctx, off, windows, weight, segment in zip(*(batch.column(n).to_pylist() for n in ("key", "ctx", "off", "windows", "weight", "segment")), strict=True):
+                    rows += ((key, ctx, off, windows, weight, *part) for part in parts_of(segment, off, windows, step))
+                    if len(rows) > 10_000:
                         yield made(rows)
-                        rows, size = [], 0
-            if rows:
-                yield made(rows)
+                        rows = []
+                if rows:
+                    yield made(rows)
+
+    return run
 
 
 def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,6 +329,39 @@ def _identity(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
 
 
+_SAME = ["key", "ctx", "off", "windows"]
+
+
+def _joined(spans: Column) -> tuple[Column, Column]:
+    """Begins and ends of the runs that sorted runs (begin, end), some of which touch, make up."""
+    begins = F.filter(spans, lambda x, i: (i == 0) | (F.get(spans, i - 1)["end"] < x["begin"]))["begin"]
+    ends = F.filter(spans, lambda x, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["begin"] > x["end"]))["end"]
+    return begins.alias("begins"), ends.alias("ends")
+
+
+def _repeated_runs(contexts: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """Of contexts (with ``weight, hot, segment``) the runs of windows that occur more than once: ``key, ctx, off, windows, begins, ends``.
+
+    Keys that are not hot are suffix-sorted, each in one task. Contexts of a hot key are cut into parts, which have keys of their own, and so on down
+    to parts of one window, of which there is only one under a key.
+    """
+    cold = contexts.filter(~F.col("hot")).select(*_SAME, "weight", "segment")
+    found = cold.repartition("key").sortWithinPartitions("key").mapInPandas(_sort_groups, "key long, ctx long, off int, windows int, begins array<int>, ends array<int>")
+    hot = contexts.filter("hot")
+    if not steps or hot.isEmpty():
+        return found
+    once = hot.groupBy(*_SAME).agg(F.first("weight").alias("weight"), F.first("segment").alias("segment"))
+    parts = cut(once.mapInArrow(_cut_up(steps[0]), "of_key long, of_ctx long, of_off int, of_windows int, weight long, shift int, key long, ctx long, off int, windows int, segment binary"))
+    differ = parts.groupBy(*_SAME).agg(F.sum("weight").alias("weight"), F.first("segment").alias("segment"))
+    many = cut(parts.select(*_SAME).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.lit(True).alias("hot")))
+    within = cut(_repeated_runs(cut(join_checked(differ, many, ["key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))), steps[1:]))
+    of = ["of_key", "of_ctx", "of_off", "of_windows"]
+    spans = parts.select(*of, "shift", *_SAME).join(within, _SAME).select(*of, "shift", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
+    pairs = F.array_sort(F.collect_set(F.struct((F.col("shift") + F.col("r.begins")).alias("begin"), (F.col("shift") + F.col("r.ends")).alias("end"))))
+    above = spans.groupBy(*of).agg(pairs.alias("r")).select(*(F.col(x).alias(n) for x, n in zip(of, _SAME, strict=True)), *_joined(F.col("r")))
+    return found.unionByName(above)
+
+
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, h, begins, ends``: for each text with repeats, the runs of window starts whose LENGTH bytes also start elsewhere.
 
@@ -302,44 +369,28 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
        than once can hold repeats; of equal contexts one is kept, with a weight.
     2. The bytes of those contexts are dealt by key and suffix-sorted; windows whose adjacent common prefixes reach
        LENGTH are one string, repeated if their weights sum to two.
-    3. A key with more than HOT different contexts is not gathered: each of its windows is dealt by two hashes
-       of all its bytes and counted, so such a group spreads over all tasks.
+    3. A key with more than HOT different contexts is not gathered: its contexts are cut into parts, whose keys are
+       hashes of longer strings, and these are sorted, so such a group spreads over all tasks.
     4. What was found for a context holds for every place where it occurs.
     """
-    same = ["key", "ctx", "off", "windows"]
     found = cut(_identity(docs, key, text).mapInArrow(_contexts, "id long, h long, key long, ctx long, off int, lo long, windows int"))
     # written first, so that the join below has exchanges of its own, of which Spark can split a hot key
     often = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"))
     places = cut(found.join(often, "key"))
     first = F.min(F.struct("id", "h", "lo")).alias("first")
-    contexts = cut(places.groupBy(*same).agg(F.count(F.lit(1)).alias("weight"), first))
+    contexts = cut(places.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("weight"), first))
     hot = cut(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.lit(True).alias("hot")))
     marked = join_checked(contexts, hot, ["key"], "left")
-    wanted = F.collect_list(F.struct(*same, "weight", F.col("first.lo").alias("lo"), F.coalesce("hot", F.lit(False)).alias("hot")))
+    wanted = F.collect_list(F.struct(*_SAME, "weight", F.col("first.lo").alias("lo"), F.coalesce("hot", F.lit(False)).alias("hot")))
     by_text = cut(marked.groupBy(F.col("first.id").alias("id"), F.col("first.h").alias("h")).agg(wanted.alias("wanted")))
     texts = _identity(docs, key, text).join(by_text, ["id", "h"]).select("text", "wanted")
-    fetched = cut(texts.mapInArrow(_fetch, "key long, ctx long, off int, windows int, weight long, segment binary, w1 array<long>, w2 array<long>"))
-
-    cold = fetched.filter(F.col("segment").isNotNull()).select(*same, "weight", "segment")
-    sorted_groups = cold.repartition("key").sortWithinPartitions("key").mapInPandas(_sort_groups, "key long, ctx long, off int, windows int, begins array<int>, ends array<int>")
-    single = fetched.filter(F.col("segment").isNull()).dropDuplicates(same).select(*same, "weight", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w"))
-    single = single.select(*same, "weight", "at", "w.w1", "w.w2")
-    twice = single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter(F.col("n") > 1).select("w1", "w2")
-    at = F.col("at")
-    hot_windows = single.join(twice, ["w1", "w2"]).groupBy(*same).agg(F.array_sort(F.collect_list("at")).alias("at"))
-    begins = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
-    ends = F.transform(F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != x + 1)), lambda x: x + 1)
-    hot_runs = hot_windows.select(*same, begins.alias("begins"), ends.alias("ends"))
-    runs = cut(sorted_groups.unionByName(hot_runs))
-
-    spans = places.join(runs, same).select("id", "h", "lo", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
+    fetched = cut(texts.mapInArrow(_fetch, "key long, ctx long, off int, windows int, weight long, hot boolean, segment binary"))
+    runs = cut(_repeated_runs(fetched))
+
+    spans = places.join(runs, _SAME).select("id", "h", "lo", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
     pairs = F.array_sort(F.collect_set(F.struct((F.col("lo") + F.col("r.begins")).alias("begin"), (F.col("lo") + F.col("r.ends")).alias("end"))))
     # windows of contexts that follow each other are one run
-    r = F.col("r")
-    merged = spans.groupBy("id", "h").agg(pairs.alias("r"))
-    begins = F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["end"] < x["begin"]))["begin"]
-    ends = F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.get(r, i + 1)["begin"] > x["end"]))["end"]
-    return cut(merged.select("id", "h", begins.alias("begins"), ends.alias("ends")))
+    return cut(spans.groupBy("id", "h").agg(pairs.alias("r")).select("id", "h", *_joined(F.col("r"))))
 
 
 def cover(begins: Iterable[int], ends: Iterable[int]) -> list[tuple[int, int]]:

@@ -97,6 +97,22 @@ def test_suffix_removes_just_the_repeated_bytes(spark, docs, rows, monkeypatch,
     assert Counter((r.doc_id, r.text) for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 2])
+def test_suffix_query_against_brute_force(spark, rows, tmp_path, monkeypatch, hot):
+    """With a group of near copies that share a passage, and one whose repeated windows differ at their edges only."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    more = [(1000 + k, "x" * rng.randrange(300) + passage[: 390 + rng.randrange(110)] + "".join(rng.choice("yz") for _ in range(rng.randrange(60))), "en", "s", 1) for k in range(40)]
+    some = rows + more
+    spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for (i, text, *_), c in zip(some, repeats([raw(r[1]) for r in some]), strict=True):
+        left = bytes(b for b, x in zip(raw(text), c, strict=True) if not x)
+        want[i, len(raw(text)), sum(c), len(re.findall(b"\1+", c)), hashlib.sha256(left).hexdigest()] += 1
+    assert Counter(tuple(r) for r in suffix.op2_suffix(spark, str(tmp_path)).collect()) == want
+
+
 def test_suffix_of_nothing(none):
     assert suffix.remove_repeats(none).count() == 0
 
