@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from .common import cut, join_checked, table
 COORDINATES, MATCHES = 64, 32
 #: Words of a shingle; a link needs SHARE_OF times the intersection to be at least SHARE times the union.
 WORDS, SHARE, SHARE_OF = 5, 75, 100
-#: Members of a posting list that meet in one task, and bits of what is known there of a set.
-BLOCK_ROWS, SKETCH_BITS = 512, 2048
+#: Members of a posting list that meet in one cell; bits of what is known there of a set; rows of whole cells, and pairs, that are held at a time.
+BLOCK_ROWS, SKETCH_BITS, HELD_ROWS, HELD_PAIRS = 2048, 2048, 4096, 1_000_000
 #: About so many bytes of text are shingled at a time.
 CHUNK_BYTES = 1_000_000
 
@@ -126,18 +127,19 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root``: every node of a link (columns ``u, v``) with the smallest node that links lead to.
 
     Alternates large stars (each larger neighbour is linked to the least of the neighbourhood) and small stars (each
-    smaller one is) until nothing changes; a hub's neighbours are never gathered.
+    smaller one is) until nothing changes; a hub's neighbours are never gathered. The least neighbours are written before they are joined,
+    so that the join is by broadcast, or has exchanges of its own of which Spark can split a hub.
     """
 
     def stars(edges: DataFrame, large: bool) -> DataFrame:
         of = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        least = of.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        near = of.join(least, "u")
+        least = cut(of.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        near = join_checked(of, least, ["u"])
         if large:
             out = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = near.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.filter(F.col("u") != F.col("v")).distinct()
+        return cut(out.filter(F.col("u") != F.col("v")).distinct())
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -145,7 +147,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before, now = None, mark(edges)
     while before != now:
-        edges = cut(stars(stars(edges, True), False))
+        edges = stars(stars(edges, True), False)
         before, now = now, mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -180,26 +182,108 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "low", "bits"])
 
 
-def _meet(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a cell's nodes, from its two blocks, that may be links and are not yet connected.
+def colliding(cell: np.ndarray, probe: np.ndarray, member: np.ndarray, root: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (probe, member) of rows of one cell and different roots whose ``low`` agree in MATCHES columns at least.
+
+    The members of each cell are posted under their coordinate-value pairs. Of a probe's lists the shortest, as many
+    as one more than may miss, are merged: a member that is on none of them cannot match often enough. The
+    longer lists are then gone through from the shortest up, each only for members found before, and a member is left
+    as soon as all lists to come could not bring it to MATCHES.
+    """
+    width = low.shape[1]
+    merged = width - MATCHES + 1
+    rows = np.flatnonzero(member)
+    pair = np.arange(width) * 256 + low  # a coordinate and its value, of each row
+    code = cell[:, None] * (width * 256) + pair
+    posted = code[rows].ravel()
+    order = np.argsort(posted, kind="stable")
+    posted = posted[order]
+    probes = np.flatnonzero(probe)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    first = np.searchsorted(posted, code[probes].ravel(), "left").reshape(-1, width)
+    sizes = np.searchsorted(posted, code[probes].ravel(), "right").reshape(-1, width) - first
+    by_size = np.argsort(sizes, axis=1, kind="stable")
+    short = by_size[:, :merged]
+    first, sizes = np.take_along_axis(first, short, 1), np.take_along_axis(sizes, short, 1)
+    upto = np.cumsum(sizes.sum(axis=1))
+    a = 0
+    while a < len(probes):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HELD_PAIRS, "right")))
+        n, begin = sizes[a:b].ravel(), first[a:b].ravel()
+        at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        p = np.repeat(np.repeat(np.arange(a, b), merged), n)
+        both, count = np.unique(p * len(rows) + order[at] // width, return_counts=True)
+        p, m = both // len(rows), rows[both % len(rows)]
+        differ = root[probes[p]] != root[m]
+        p, m, count = p[differ], m[differ], count[differ]
+        for k in range(merged, width):
+            stays = count + (width - k) >= MATCHES
+            p, m, count = p[stays], m[stays], count[stays]
+            column = by_size[p, k]
+            count = count + (low[probes[p], column] == low[m, column])
+        out.append((probes[p[count >= MATCHES]], m[count >= MATCHES]))
+        a = b
+    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (probes, probes)
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells in order to the pairs of their nodes that may be links and are not yet connected.
 
     Bytes of coordinates agree at least as often as coordinates. A number that only one of two sets falls on is a shingle
     that the other lacks, which bounds the intersection; no link is lost by either test but for the one in a
     million that MATCHES loses.
     """
-    one = group[group["side"] == 0]
-    two = group[group["side"] == 1] if (group["side"] == 1).any() else one
-    lows, bits = (lambda g: np.frombuffer(b"".join(g["low"]), dtype=np.uint8).reshape(len(g), -1)), (lambda g: np.frombuffer(b"".join(g["bits"]), dtype=np.uint64).reshape(len(g), -1))
-    lows2, bits2, n2, nodes, roots = lows(two), bits(two), two["n"].to_numpy(), two["node"].to_numpy(), two["root"].to_numpy()
-    found = set()
-    for low, bit, n, node, root in zip(lows(one), bits(one), one["n"].tolist(), one["node"].tolist(), one["root"].tolist(), strict=True):
-        near = np.flatnonzero(roots != root)
-        near = near[(lows2[near] == low).sum(axis=1) >= MATCHES]
-        if len(near):
-            most = np.minimum(n - np.bitwise_count(bit & ~bits2[near]).sum(axis=1, dtype=np.int64), n2[near] - np.bitwise_count(bits2[near] & ~bit).sum(axis=1, dtype=np.int64))
-            near = near[SHARE_OF * most >= SHARE * (n + n2[near] - most)]
-            found.update((max(node, x), min(node, x)) for x in nodes[near].tolist())
-    return pd.DataFrame(sorted(found), columns=["u", "v"])
+    cell = ["key", "i", "j"]
+
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        low = np.frombuffer(b"".join(rows["low"]), dtype=np.uint8).reshape(len(rows), -1).astype(np.int64)
+        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
+        side, n, node = rows["side"].to_numpy(), rows["n"].to_numpy(), rows["node"].to_numpy()
+        number = np.cumsum((rows[cell] != rows[cell].shift()).any(axis=1).to_numpy()) - 1
+        p, m = colliding(number, side != 1, side != 0, rows["root"].to_numpy(), low)
+        most = np.minimum(n[p] - np.bitwise_count(bits[p] & ~bits[m]).sum(axis=1, dtype=np.int64), n[m] - np.bitwise_count(bits[m] & ~bits[p]).sum(axis=1, dtype=np.int64))
+        likely = SHARE_OF * most >= SHARE * (n[p] + n[m] - most)
+        u, v = node[p[likely]], node[m[likely]]
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).drop_duplicates()
+
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        while len(batch):
+            # whole cells, about HELD_ROWS rows together
+            last = held[-1][cell].iloc[-1] if held else None
+            new = (batch[cell] != batch[cell].shift()).any(axis=1).to_numpy().copy()
+            new[0] = last is not None and bool((batch[cell].iloc[0] != last).any())
+            ends = np.flatnonzero(new)
+            ends = ends[ends + size >= HELD_ROWS]
+            if not len(ends):
+                held.append(batch)
+                size += len(batch)
+                break
+            held.append(batch[: ends[0]])
+            yield done(pd.concat(held))
+            held, size, batch = [], 0, batch[ends[0] :]
+    if size:
+        yield done(pd.concat(held))
+
+
+def cells(labelled: DataFrame) -> DataFrame:
+    """``key, i, j, side, node, root``: the cells in which nodes of different components meet, of lists (``key, node, root``) that hold several.
+
+    The nodes of a list's largest component do not meet each other: their blocks (i below 0) meet the blocks of the others
+    (j from 0), and these meet one another. ``side`` is 0 and 1 for the two blocks, 2 where a block meets itself. A list of two
+    nodes is a star that has been tried.
+    """
+    in_list = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = cut(in_list.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("roots")).filter((F.col("members") > 2) & (F.col("roots") > 1)))
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    left = labelled.join(mixed.select("key", "main", blocks(F.col("most")).alias("of_main"), blocks(F.col("members") - F.col("most")).alias("of_rest")), "key")
+    is_main = F.col("root") == F.col("main")
+    block = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int")
+    left = left.withColumn("block", F.when(is_main, -1 - block).otherwise(block))
+    met = left.withColumn("other", F.explode(F.sequence(F.when(is_main, F.lit(0)).otherwise(-F.col("of_main")), F.col("of_rest") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "root")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,8 +292,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     1. Every text gives its number of distinct shingles, two hashes of the set, and a signature. Equal sets are one node.
     2. Nodes are posted under the pairs of their prefixes. Each list's most shared node is compared with the
        others: those that agree in MATCHES coordinates are confirmed on the full sets and linked.
-    3. Lists that are then still in several components are met block by block; only pairs from different
-       components that can be links by their coordinates and sketches are confirmed, so copies of one text never form all their pairs.
+    3. Lists that are then still in several components: collisions of nodes of different components are counted by merging
+       the posting lists of their coordinates (``colliding``), block by block; pairs that collide often enough and can be links by their
+       sketches are confirmed. Nodes of one component do not meet, so copies of one text never form all their pairs.
     4. Components are the stars that the links lead to.
 
     Null and wordless texts have an empty set and are linked with nothing; fewer than five words are one shingle. Rows
@@ -229,27 +314,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     stars = stars.join(sigs, "node").join(sigs.select(F.col("node").alias("center"), F.col("sig").alias("sig2")), "center")
     agree = F.size(F.filter(F.arrays_zip("sig", "sig2"), lambda x: x["sig"] == x["sig2"]))
     stars = cut(stars.filter(agree >= MATCHES).select(F.col("node").alias("u"), F.col("center").alias("v")))
-    links = cut(confirm(docs, stars, key, text))
+    links = confirm(docs, stars, key, text)
+    # sets of one key are one vertex
+    placed = cut(base.select("doc_id", *same).join(nodes.select(*same, "node"), same, "left"))
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter(F.col("v") < F.col("last"))
+    links = cut(links.unionByName(placed.join(cut(several.select("doc_id", "v")), "doc_id").filter(F.col("node") > F.col("v")).select(F.col("node").alias("u"), "v")))
     roots = cut(components(links))
 
     # 3: what is left between components
-    labelled = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter((F.col("members") > 2) & (F.col("low") != F.col("high")))
-    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    left = cut(labelled.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "root")
-    sketches = cut(texts_of(docs, left.select("node").distinct(), key, text).mapInArrow(_sketches, "node long, n long, low binary, bits binary"))
-    cell = cell.join(sketches, "node")
-    pairs = cell.groupBy("key", "i", "j").applyInPandas(_meet, "u long, v long").distinct()
+    met = cut(cells(lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))))
+    sketches = cut(texts_of(docs, met.select("node").distinct(), key, text).mapInArrow(_sketches, "node long, n long, low binary, bits binary"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(met.count() / (4 * HELD_ROWS)))
+    pairs = met.join(sketches, "node").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_meet, "u long, v long").distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
     if not pairs.isEmpty():
         links = links.unionByName(confirm(docs, pairs, key, text))
         roots = cut(components(links))
 
-    found = nodes.select(*same, "node").join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
-    out = base.select("doc_id", *same).join(found, same, "left")
+    out = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

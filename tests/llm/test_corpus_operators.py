@@ -392,6 +392,43 @@ def test_near_duplicates_are_all_links(docs, rows, monkeypatch, block):
     assert sum(not w[2] for w in want.values()) >= 5
 
 
+def test_collisions_are_those_of_a_plain_count():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (6, 64))
+    low = np.where(rng.random((300, 64)) < rng.random((300, 1)), base[rng.integers(0, 6, 300)], rng.integers(0, 256, (300, 64)))
+    cell, side, root = np.sort(rng.integers(0, 5, 300)), rng.integers(0, 3, 300), rng.integers(0, 40, 300)
+    p, m = neardup.colliding(cell, side != 1, side != 0, root, low)
+    want = {(a, b) for a in range(300) for b in range(300) if cell[a] == cell[b] and side[a] != 1 and side[b] != 0 and root[a] != root[b] and (low[a] == low[b]).sum() >= neardup.MATCHES}
+    assert len(want) > 50 and sorted(zip(p.tolist(), m.tolist(), strict=True)) == sorted(want)
+
+
+def test_nodes_of_different_components_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 3)
+    rng = random.Random(2)
+    rows = [(k % 3, n, (0 if n < 30 else rng.randrange(4, 9)) if k % 3 else n) for k in range(3) for n in range(50)]
+    met = defaultdict(lambda: ([], [], []))
+    for r in neardup.cells(spark.createDataFrame(rows, "key long, node long, root long")).collect():
+        met[r.key, r.i, r.j][r.side].append((r.node, r.root))
+    seen = Counter()
+    for (key, _, _), (a, b, own) in met.items():
+        assert not (own and (a or b)) and max(map(len, (a, b, own))) < 20
+        for x, y in [*itertools.product(a, b), *itertools.combinations(own, 2)]:
+            if x[1] != y[1]:
+                seen[key, min(x[0], y[0]), max(x[0], y[0])] += 1
+    of = defaultdict(list)
+    for key, n, root in rows:
+        of[key].append((n, root))
+    want = {(key, min(a, b), max(a, b)) for key, ns in of.items() for (a, x), (b, y) in itertools.combinations(ns, 2) if x != y}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
+def test_one_id_with_two_texts_is_one_vertex(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (9, b), (3, "alone here")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == {(1, 1): 1, (5, 1): 2, (9, 1): 1, (3, 3): 1}
+
+
 def test_near_duplicates_by_chains(spark):
     """Each text is close to the next one only, and no star links them all."""
     words = [f"w{k}" for k in range(400)]
