@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import contextlib
 import gc
 import math
 import os
@@ -22,7 +23,7 @@ from .common import cut, dense_rank_in, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's table from words to their ids; it is emptied when full.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: str.split() also splits at these four, which the tokenizer's \s does not hold for white space.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: White space of the tokenizer (fixed values).
@@ -46,6 +47,18 @@ def _tokenizer(path: str) -> dict:
     return _state
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without cyclic collection, which would go over millions of small objects, none in a circle, again and again."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def _split(text: str) -> list[str]:
     if any(c in text for c in _SEPARATORS):
         for s in _SPACES:
@@ -82,8 +95,6 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
     state = _tokenizer(path)
     known, words = state["ids"], [_split(t) for t in texts]
     new = set().union(*words).difference(known)
-    collecting = gc.isenabled()
-    gc.disable()  # millions of small objects, none in a circle
     if len(known) + len(new) > CACHE_ENTRIES:
         known.clear()
         new = set().union(*words)
@@ -104,19 +115,18 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
     for w, (stem, marks) in parts.items():
         known[w] = known[stem] + known[marks] if marks else known[stem]
     get = known.__getitem__
-    out = [b"".join(map(get, ws)) for ws in words]
-    if collecting:
-        gc.enable()
-    return out
+    return [b"".join(map(get, ws)) for ws in words]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    """Batches of (key, text) to batches of pieces; about 8 MB of text are encoded at a time."""
+    """Batches of (key, text) to batches of pieces; about 3 MB of text are encoded at a time."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def some(keys: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
         out: dict[str, list] = {n: [] for n in ("key", "piece", "start", "length", "ids_crc32")}
-        for key, ids in zip(keys, encode_all(texts, path), strict=True):
+        with _uncollected():
+            encoded = encode_all(texts, path)
+        for key, ids in zip(keys, encoded, strict=True):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
@@ -132,7 +142,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 keys.append(key)
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
-                if size > 8_000_000:
+                if size > 3_000_000:
                     yield some(keys, texts, batch.schema.field(0).type)
                     keys, texts, size = [], [], 0
             if keys:
