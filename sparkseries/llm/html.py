@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
@@ -24,9 +25,15 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CONTAINER = frozenset("article body center div html main section table tbody td tr".split())
 DROPPED = frozenset("head nav footer aside menu button select option input dialog object audio video".split())
 CLOSES_P = BLOCK - {"body", "html"}
+_HIDES_P = CONTAINER | {"li", "td", "th", "blockquote"}
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply pagination pager search toolbar form skip".split()
 )
+#: Of these, words that also have another use, and words that tell no use: "related-posts" stands beside the text, "related-work" may not.
+WEAK_WORDS = frozenset("related header form notice notices alert search social aside skip widget reply respond banner rail pager toolbar login share sharing menu".split())
+PLACE_WORDS = frozenset("area articles bar block body bottom box btn button buttons col column container content global group holder inner item items left line link links list main module outer page panel post posts primary region right row secondary section site slot stories sub top user wrap wrapper reader".split())
+#: "has-sidebar" is no sidebar.
+OTHERWISE = frozenset("has have is hide no non not with without".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 #: Words that name a heading's place, not something beside the text.
 HEADING_WORDS, HEADINGS = frozenset("header masthead banner".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,16 +41,19 @@ HEADING_WORDS, HEADINGS = frozenset("header masthead banner".split()), frozenset
 WHOLE = 0.8
 #: Elements that end when another of them begins inside the same parent.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+_HIDES = {tag: of | {"table", "div", "article"} for tag, of in SIBLINGS.items()}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_END_OR_VALUE = re.compile(r"[>=]")
+_SPACE = re.compile(r"\s*")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
-    """An open or closed element: its parent, generalised path, whether its text is left out, its place among containers, and whether its text may be left out."""
+    """An open or closed element: its parent, generalised path, whether its text is left out, its place among containers, whether its text may be left out, its innermost block, and whether it is in an article."""
 
     tag: str
     parent: int
@@ -51,6 +61,8 @@ class Element:
     dropped: bool
     container: bool
     suspect: bool = False
+    block: int = 0
+    article: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -65,12 +77,21 @@ def _is_dropped(tag: str, attributes: dict[str, str], inside_article: bool) -> b
     return attributes.get("role", "").lower() in DROPPED_ROLES or tag not in BLOCK and _is_suspect(tag, attributes)
 
 
+def _names_a_box(token: str) -> bool:
+    """Whether a class or id word says that its element is beside the text."""
+    parts = set(_WORD.findall(token))
+    found = parts & DROPPED_WORDS
+    if not found or parts & OTHERWISE:
+        return False
+    return bool(found - WEAK_WORDS) or parts <= DROPPED_WORDS | PLACE_WORDS
+
+
 def _is_suspect(tag: str, attributes: dict[str, str]) -> bool:
     """A form, or a class or id word says that it is beside the text; ``_kept`` decides for blocks."""
-    words = set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) & DROPPED_WORDS
+    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
     if tag in HEADINGS:
-        words -= HEADING_WORDS
-    return tag == "form" or attributes.get("role", "").lower() == "form" or bool(words) and tag not in ("html", "body", "article", "main") and "-" not in tag
+        tokens = [t for t in tokens if not set(_WORD.findall(t)) & HEADING_WORDS]
+    return tag == "form" or attributes.get("role", "").lower() == "form" or tag not in ("html", "body", "article", "main") and "-" not in tag and any(map(_names_a_box, tokens))
 
 
 def _kept(elements: list[Element], blocks: list[tuple[int, str, float]]) -> list[tuple[int, str, float]]:
@@ -91,7 +112,7 @@ def _kept(elements: list[Element], blocks: list[tuple[int, str, float]]) -> list
 def _ends(tag: str, html: str) -> dict[int, int]:
     """Where each element of a tag of ``NESTED`` ends, by the end of its opening tag; a self-closed svg or math ends there."""
     out, opened = {}, []
-    for m in re.finditer(rf"""<(/?){tag}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", html, re.IGNORECASE):
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])([^>]*)>", re.IGNORECASE).finditer(html, 0, html.rfind(">") + 1):
         if not m[1] and tag in ("svg", "math") and m[2].endswith("/"):
             out[m.end()] = m.end()
         elif not m[1]:
@@ -101,102 +122,131 @@ def _ends(tag: str, html: str) -> dict[int, int]:
     return out
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """The tags of a page in order: begin, end, whether it closes, name in small letters (empty for comments and the like), attributes.
+
+    Each character is looked at a bounded number of times. A value whose quote is not closed ends like one without quotes; behind
+    the last tag that ends all is text. ``send`` a place to go on from there.
+    """
+    at, unclosed = 0, set()
+    while (begin := html.find("<", at)) >= 0:
+        closes = html.startswith("/", begin + 1)
+        name = _NAME.match(html, begin + 1 + closes)
+        attributes = ""
+        if name:
+            end = name.end()
+            while (m := _END_OR_VALUE.search(html, end)) and m[0] == "=":
+                end = _SPACE.match(html, m.end()).end()
+                quote = html[end : end + 1]
+                if quote in ("'", '"') and quote not in unclosed:
+                    close = html.find(quote, end + 1)
+                    if close < 0:
+                        unclosed.add(quote)
+                    end = max(end, close) + 1
+            if not m:
+                return
+            end = m.end()
+            attributes = html[name.end() : end - 1]
+        elif html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4) + 3
+            end = end if end >= 3 else len(html)
+        elif html.startswith(("<!", "<?"), begin):
+            end = html.find(">", begin) + 1
+            if not end:
+                return
+        else:
+            at = begin + 1
+            continue
+        at = (yield begin, end, closes, name[0].lower() if name else "", attributes) or end
+
+
 def parse(html: str | None) -> tuple[list[Element], list[tuple[int, str, float]]]:
     """The elements in page order, and the blocks of text: (element, text, share of it in links)."""
+    html = html or ""
     elements = [Element("", -1, "", False, True)]
     blocks: list[tuple[int, str, float]] = []
-    stack, held, linked = [0], [], 0
-    links = 0
+    stack: list[int] = [0]
+    places: dict[str, list[int]] = {}  # of each tag, the places in the stack where it is open
+    held: list[str] = []
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             if text:
-                blocks.append((owner(), text, min(1.0, linked / len(text))))
+                blocks.append((elements[stack[-1]].block, text, min(1.0, linked / len(text))))
             held.clear()
         linked = 0
 
-    def owner() -> int:
-        return next(i for i in reversed(stack) if elements[i].tag in BLOCK or i == 0)
-
     def close(upto: int) -> None:
         """Close the element at this place of the stack and all in it."""
-        nonlocal links
-        if any(elements[i].tag in BLOCK for i in stack[upto:]):
+        if elements[stack[-1]].block >= stack[upto]:
             flush()
-        links -= sum(elements[i].tag == "a" for i in stack[upto:])
+        for i in stack[upto:]:
+            places[elements[i].tag].pop()
         del stack[upto:]
 
-    def innermost(tag: str, within: frozenset[str] | set[str]) -> int:
+    def innermost(tag: str, within: Iterable[str] = ()) -> int:
         """The place of the last open ``tag`` that no element of ``within`` hides, or 0."""
-        for at in range(len(stack) - 1, 0, -1):
-            name = elements[stack[at]].tag
-            if name == tag:
-                return at
-            if name in within:
-                return 0
-        return 0
+        own = places.get(tag)
+        if not own or any(name != tag and places.get(name) and places[name][-1] > own[-1] for name in within):
+            return 0
+        return own[-1]
 
     def text(part: str) -> None:
         nonlocal linked
         if part and not elements[stack[-1]].dropped:
             part = entities.unescape(part) if "&" in part else part
             held.append(part)
-            if links:
+            if places.get("a"):
                 linked += len(part)
 
-    at, html = 0, html or ""
-    ends: dict[str, dict[int, int]] = {}
-    while at < len(html):
-        m = _TAG.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "br" or tag == "p" and not innermost("p", ()):
+    at, ends = 0, {}
+    scan = tags(html)
+    found = next(scan, None)
+    while found:
+        begin, end, closes, tag, raw = found
+        text(html[at:begin])
+        at = end
+        if not tag:
+            pass
+        elif closes:
+            if tag == "br" or tag == "p" and not innermost("p"):
                 flush() if tag == "p" else text(" ")
-            elif place := innermost(tag, CONTAINER - {tag} if tag not in BLOCK else ()):
+            elif place := innermost(tag, CONTAINER if tag not in BLOCK else ()):
                 close(place)
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if tag in NESTED:
+        elif tag in RAW:
+            over = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
+            at = over.end() if over else len(html)
+        elif tag in NESTED:
             if tag not in ends:
                 ends[tag] = _ends(tag, html)
             at = ends[tag].get(at, at)
-            continue
-        if tag in ("br", "wbr"):
+        elif tag in ("br", "wbr"):
             text(" " if tag == "br" else "")
-            continue
-        if tag in CLOSES_P and (place := innermost("p", CONTAINER | {"li", "td", "th", "blockquote"})):
-            close(place)
-        if tag in SIBLINGS and (place := innermost(tag, SIBLINGS[tag] | {"table", "div", "article"})):
-            close(place)
-        if tag in BLOCK:
-            flush()
-        if tag in VOID:
-            continue
-        attributes = _attributes(m[3])
-        parent = elements[stack[-1]]
-        inside = any(elements[i].tag in ("article", "main") for i in stack)
-        dropped = parent.dropped or _is_dropped(tag, attributes, inside)
-        if tag in BLOCK and tag not in ("html", "body"):
-            classes = ".".join(sorted(_DIGITS.sub("#", attributes.get("class", "").lower()).split()))
-            name = f"{tag}.{classes}" if classes else tag
-            path = f"{parent.path}>{name}" if parent.path else name
         else:
-            path = parent.path
-        elements.append(Element(tag, stack[-1], path, dropped, tag in CONTAINER, tag in BLOCK and _is_suspect(tag, attributes)))
-        stack.append(len(elements) - 1)
-        links += tag == "a"
+            if tag in CLOSES_P and (place := innermost("p", _HIDES_P)):
+                close(place)
+            if tag in SIBLINGS and (place := innermost(tag, _HIDES[tag])):
+                close(place)
+            if tag in BLOCK:
+                flush()
+            if tag not in VOID:
+                attributes, parent, path = _attributes(raw), elements[stack[-1]], ""
+                dropped = parent.dropped or _is_dropped(tag, attributes, parent.article)
+                if tag in BLOCK and tag not in ("html", "body"):
+                    # the path by its hash, or deep pages would take the square of their depth
+                    classes = ".".join(sorted(_DIGITS.sub("#", attributes.get("class", "").lower()).split()))
+                    path = f"{tag}:{hashlib.blake2b(f'{parent.path}>{tag}.{classes}'.encode('utf-8', 'replace'), digest_size=12).hexdigest()}"
+                elements.append(Element(tag, stack[-1], path or parent.path, dropped, tag in CONTAINER, tag in BLOCK and _is_suspect(tag, attributes), len(elements) if tag in BLOCK else parent.block, parent.article or tag in ("article", "main")))
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(len(elements) - 1)
+        try:
+            found = scan.send(at)
+        except StopIteration:
+            break
+    text(html[at:])
     flush()
     return elements, _kept(elements, blocks)
 

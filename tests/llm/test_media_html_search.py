@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +120,43 @@ def test_layout_words_do_not_take_the_article():
     assert html.extract(f'<div><p>{text}</p><form><p>Send your name</p></form><span class="share">now</span></div>', None) == text
 
 
+def test_words_in_class_names_are_not_boxes():
+    text = "A long sentence of the article that goes on and on, as articles do."
+    assert html.extract(f'<body><div class="container has-sidebar"><p>{text}</p></div></body>', None) == text
+    assert html.extract(f'<body><div class="no-header-widget"><p>{text}</p></div></body>', None) == text
+    assert html.extract(f'<article><div class="post-header"><h1>Title</h1></div><p>{text}</p></article>', None) == f"Title\n\n{text}"
+    assert html.extract(f'<article><p>{text}</p><section class="related-work"><p>Others did so too.</p></section><div class="related-posts"><p>Read on</p></div></article>', None) == f"{text}\n\nOthers did so too."
+
+
+@pytest.mark.parametrize("page", ["<a href='" * 120_000, '<p class="x>' * 90_000, "<a ='>' " * 120_000, "<div>" * 100_000 + "deep", "<b>" * 100_000 + "<div>x" * 20_000, "<svg " * 150_000, "<svg>" * 100_000, "<" * 1_000_000, "<!--" * 250_000, "&amp" * 200_000, "</p>" * 200_000, "<p>" * 200_000, "<li><a>" * 100_000, "<script " * 100_000, "</div x='" * 100_000])
+def test_hostile_pages_take_no_time(page):
+    at = time.time()
+    html.extract(page, None)
+    assert time.time() - at < 8  # about 1 s when the machine is idle; the square of the length would be hours
+
+
+def test_generated_pages_give_back_their_articles(spark):
+    """Pages of hosts with layouts of their own, articles with inline markup, lists and odd classes, menus, boxes, and comments."""
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "ku") for b in ("ban", "ser", "dil", "fon", "")]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    rows, want = [], {}
+    for host in range(6):
+        box, shell = rng.choice(["div", "section", "article"]), rng.choice(["main-col", "content has-sidebar", "post wide"])
+        for k in range(8):
+            paragraphs = [say(rng.randint(20, 60)) for _ in range(rng.randint(2, 6))]
+            items = [say(3) for _ in range(rng.randint(0, 4))]
+            body = "".join(f"<p>{p.replace(' ', ' <b>', 1).replace('.', '</b>.', 1)}" + rng.choice(["</p>", ""]) for p in paragraphs) + ("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>" if items else "")
+            head, ids = say(4), len(rows)
+            links = "".join(f'<li><a href="/{j}">{say(2)}</a></li>' for j in range(rng.randint(3, 9)))
+            page = f'<html><head><title>{head}</title><style>.x{{}}</style></head><body><header class="site-header"><nav><ul>{links}</ul></nav></header><div id="page"><{box} class="{shell} id{k}"><h1>{head}</h1>{body}<div class="share-buttons"><a href="#">{say(2)}</a></div></{box}><aside class="sidebar"><p>{say(9)}</p></aside><div class="comments"><p>{say(15)}</p><form><textarea>{say(4)}</textarea></form></div></div><div class="cookie-banner"><p>{say(10)}</p></div><footer>{say(8)}</footer><script>var a = "<p>{say(3)}</p>";</script></body></html>'
+            rows.append((ids, f"http://h{host}.example/{k}", page))
+            want[ids] = "\n\n".join([head, *paragraphs, *items])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(pages, ["page_id"]).collect()}
+    assert got == want
+
+
 # -- search ------------------------------------------------------------------------------------------------------
 
 
