@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q", 17: "q
 #: LZW codes of the format (fixed values): clear, end, first free, widest.
 CLEAR, END, FREE, WIDEST = 256, 257, 258, 12
 
-#: The stored form of a payload: samples in a row, most rows on a page, rows in a strip, edge of a tile.
+#: Of a stored payload: samples in a row, most rows on a page, rows in a strip, edge of a tile.
 ROW, PAGE_ROWS, STRIP_ROWS, TILE = 576, 1024, 64, 64
 
 
@@ -67,83 +68,83 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, highest bit first; the width grows one code early, as the format has it."""
-    out, bits, held = bytearray(), 0, 0
-    codes: dict[bytes, int] = {}
-    width, free = 9, FREE
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(CLEAR)
-    run = b""
-    for k in range(len(data)):
-        longer = run + data[k : k + 1]
-        if len(longer) == 1 or longer in codes:
-            run = longer
-            continue
-        put(codes[run] if len(run) > 1 else run[0])
-        codes[longer] = free
-        free += 1
-        if free + 1 > 1 << width:
-            if width < WIDEST:
-                width += 1
-            else:
-                put(CLEAR)
-                codes, width, free = {}, 9, FREE
-        run = longer[-1:]
-    if run:
-        put(codes[run] if len(run) > 1 else run[0])
-        if free + 2 > 1 << width and width < WIDEST:
-            width += 1
-    put(END)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+#: Of the codes since the last clear the widths (the width grows one code early, as the format has it) and where each begins.
+_WIDTHS = np.repeat(np.arange(9, WIDEST + 1), [(1 << 9) - FREE, 1 << 9, 1 << 10, 1 << 12])
+_BEGINS = np.cumsum(_WIDTHS) - _WIDTHS
+#: Codes after which the writer clears its table.
+_FULL = (1 << WIDEST) - FREE
+_SINGLES = [*(bytes((k,)) for k in range(256)), b"", b""]
 
 
-def lzw_decode(data: bytes, size: int) -> bytes:
-    out = bytearray()
-    strings: list[bytes] = []
-    width, bits, held, last = 9, 0, 0, b""
-    singles = [bytes((k,)) for k in range(256)]
+def lzw_encode(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first."""
+    codes, since = [CLEAR], [0]  # the first clear is of the width of a first code
+    longer: dict[int, int] = {}
+    run, n = -1, 0
     for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        if bits < width:
+        if run < 0:
+            run = byte
             continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == CLEAR:
-            strings, width, last = [], 9, b""
+        key = run << 8 | byte
+        found = longer.get(key)
+        if found is not None:
+            run = found
             continue
-        if code == END or len(out) >= size:
+        codes.append(run)
+        longer[key] = FREE + n
+        n += 1
+        if n == _FULL:
+            codes.append(CLEAR)
+            since.append(len(codes))
+            longer, n = {}, 0
+        run = byte
+    if run >= 0:
+        codes.append(run)
+    codes.append(END)
+    since = [0, 1, *since[1:], len(codes)]
+    widths = np.concatenate([_WIDTHS[: b - a] for a, b in zip(since, since[1:], strict=False)])
+    bit = widths[:, None] - 1 - np.arange(WIDEST)
+    return np.packbits((np.array(codes)[:, None] >> np.maximum(bit, 0) & 1)[bit >= 0].astype(np.uint8)).tobytes()
+
+
+def lzw_decode(data: bytes, size: int) -> bytes:
+    """The first ``size`` bytes at most. Codes are taken from the bits some thousands at a time, up to the next clear."""
+    padded = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int64)
+    out, made = [], 0
+    strings, last = list(_SINGLES), b""
+    bit, since, bits = 0, 0, 8 * len(data)
+    while made < size:
+        at = np.arange(since, since + 4096)
+        known = np.minimum(at, len(_WIDTHS) - 1)
+        width, begin = _WIDTHS[known], bit + _BEGINS[known] - _BEGINS[known[0]] + WIDEST * (at - known - (since - known[0]))
+        begin, width = begin[begin + width <= bits], width[: np.count_nonzero(begin + width <= bits)]
+        if not len(begin):
+            break
+        byte = begin >> 3
+        codes = (padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]) >> (24 - (begin & 7) - width) & ((1 << width) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(stops[0]) if len(stops) else len(codes)
+        for code in codes[:n].tolist():
+            if code < len(strings):
+                string = strings[code]
+            elif code == len(strings) and last:
+                string = last + last[:1]
+            else:
+                raise BadTiff(f"LZW code {code} is not known")
+            if last:
+                strings.append(last + string[:1])
+            out.append(string)
+            made += len(string)
+            last = string
+        if not len(stops):
+            since += n
+            bit = int(begin[-1] + width[-1])
+        elif codes[n] == END:
             break
-        k = code - FREE
-        if code < 256:
-            string = singles[code]
-        elif k < len(strings):
-            string = strings[k]
-        elif k == len(strings) and last:
-            string = last + last[:1]
         else:
-            raise BadTiff(f"LZW code {code} is not known")
-        if last:
-            strings.append(last + string[:1])
-        # the reader's table is one entry behind the writer's
-        if len(strings) + FREE + 1 >= 1 << width and width < WIDEST:
-            width += 1
-        out += string
-        last = string
-    return bytes(out[:size])
+            bit, since = int(begin[n] + width[n]), 0
+            strings, last = list(_SINGLES), b""
+    return b"".join(out)[:size]
 
 
 def compress(data: bytes, scheme: int) -> bytes:
@@ -242,10 +243,24 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, number: int
     return Page(number, scheme, predictor, tiled, image)
 
 
-def write_tiff(pages: Iterable[np.ndarray], scheme: int, *, predictor: int = 1, tile: int = 0, strip_rows: int = STRIP_ROWS) -> bytes:
-    """A classic little-endian TIFF of 8-bit grey pages in strips, or in square tiles of ``tile`` (a multiple of 16)."""
+@dataclass(frozen=True)
+class Form:
+    """How a page is stored: compression, predictor (2: differences), edge of its tiles (a multiple of 16; 0: strips)."""
+
+    scheme: int
+    predictor: int = 1
+    tile: int = 0
+
+
+#: The forms that pages of payloads take by turns, whatever their size.
+FORMS = (Form(DEFLATE, 2), Form(PACKBITS, 1, TILE), Form(LZW))
+
+
+def write_tiff(pages: Iterable[np.ndarray], forms: Sequence[Form], *, strip_rows: int = STRIP_ROWS) -> bytes:
+    """A classic little-endian TIFF of 8-bit grey pages, which take the forms by turns."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    for image in pages:
+    for image, form in zip(pages, itertools.cycle(forms)):
+        scheme, predictor, tile = form.scheme, form.predictor, form.tile
         length, width = image.shape
         blocks = []
         if tile:
@@ -278,21 +293,16 @@ def write_tiff(pages: Iterable[np.ndarray], scheme: int, *, predictor: int = 1,
     return bytes(out)
 
 
-def store_payload(text: str | None) -> bytes:
+def store_payload(text: str | None, forms: Sequence[Form] = FORMS) -> bytes:
     """A text's UTF-8 bytes, with bytes 255 up to a positive multiple of ``ROW``, as a TIFF.
 
-    The form depends on the payload only: one row as LZW, up to four as PackBits, both in strips; more as
-    deflate with differences, in strips, or in tiles where the number of rows is even.
+    Pages take the forms by turns, beginning at one that the payload's checksum names, so all sizes go through all codecs.
     """
     raw = (text or "").encode()
     payload = raw + b"\xff" * (-len(raw) % ROW or (0 if raw else ROW))
     image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
-    pages = [image[k : k + PAGE_ROWS] for k in range(0, len(image), PAGE_ROWS)]
-    if len(image) == 1:
-        return write_tiff(pages, LZW)
-    if len(image) <= 4:
-        return write_tiff(pages, PACKBITS)
-    return write_tiff(pages, DEFLATE, predictor=2, tile=0 if len(image) % 2 else TILE)
+    first = zlib.crc32(payload) % len(forms)
+    return write_tiff([image[k : k + PAGE_ROWS] for k in range(0, len(image), PAGE_ROWS)], [*forms[first:], *forms[:first]])
 
 
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,21 +377,22 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for value in batch.column(batch.schema.get_field_index("media")):
             media = value.as_py()
-            sha, size, tail, pages, counts, kind = hashlib.sha256(), 0, b"", 0, np.zeros(256, dtype=np.int64), 0
+            sha, size, tail, pages, counts, kinds = hashlib.sha256(), 0, b"", 0, np.zeros(256, dtype=np.int64), set()
             for row in page_rows(media):
                 if row[8]:
                     raise BadTiff(row[8])
                 sha.update(row[7])
-                size, tail, pages, kind = size + len(row[7]), row[7][-32:], pages + 1, row[4]
+                size, tail, pages = size + len(row[7]), row[7][-32:], pages + 1
+                kinds.add(row[4])
                 counts += np.bincount(np.frombuffer(row[7], dtype=np.uint8), minlength=256)
             p = counts[counts > 0] / max(1, size)
             mean = float(counts @ np.arange(256)) / max(1, size)
-            feature = f"pages={pages};compression={kind};mean={mean:.4f};entropy={-float(p @ np.log2(p)):.4f};distinct={len(p)}"
+            feature = f"pages={pages};compression={','.join(map(str, sorted(kinds)))};mean={mean:.4f};entropy={-float(p @ np.log2(p)):.4f};distinct={len(p)}"
             for n, v in zip(out, (size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
                 out[n].append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = [c for c in batch.schema.names if c != "media"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=[*names, *out])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=[*names, *out])
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

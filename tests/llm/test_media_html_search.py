@@ -16,9 +16,11 @@ from sparkseries.llm import html, media, search
 @pytest.mark.parametrize("scheme", [media.NONE, media.LZW, media.PACKBITS, media.DEFLATE])
 @pytest.mark.parametrize("options", [{}, {"predictor": 2}, {"tile": 16}, {"tile": 32, "predictor": 2}, {"strip_rows": 1}])
 def test_tiff_round_trip(scheme, options):
+    options = dict(options)
     rng = np.random.default_rng(scheme)
     pages = [rng.integers(0, k, (h, w), dtype=np.uint8) for k, h, w in ((256, 1, 1), (2, 40, 70), (256, 33, 65), (1, 100, 100))]
-    got = list(media.read_tiff(media.write_tiff(pages, scheme, **options)))
+    rows = {k: options.pop(k) for k in list(options) if k == "strip_rows"}
+    got = list(media.read_tiff(media.write_tiff(pages, [media.Form(scheme, **options)], **rows)))
     assert [p.page for p in got] == [0, 1, 2, 3]
     for p, image in zip(got, pages, strict=True):
         assert p.compression == scheme and (p.samples[:, :, 0] == image).all()
@@ -32,6 +34,28 @@ def test_codecs_are_lossless(n, letters):
     assert media.packbits_decode(media.packbits_encode(data), n) == data
 
 
+def test_lzw_example_of_the_format():
+    """Codes of the two ends of the widest table, and of a table that is never cleared."""
+    data = random.Random(1).randbytes(20_000)
+    stored = media.lzw_encode(data)
+    assert stored[:2] == bytes((0x80, data[0] >> 2)) and media.lzw_decode(stored, len(data)) == data
+    assert media.lzw_decode(stored, 100) == data[:100]
+    # 9 bits each: clear, 7, 258 (not known yet: 7 7), 259 (7 7 7), end
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 259, 257)) + "000"
+    assert media.lzw_decode(bytes(int(bits[k : k + 8], 2) for k in range(0, 48, 8)), 99) == b"\7" * 6
+    with pytest.raises(media.BadTiff):
+        media.lzw_decode(bytes(int(f"{256:09b}{300:09b}{0:06b}"[k : k + 8], 2) for k in range(0, 24, 8)), 99)
+
+
+def test_pages_of_any_size_take_all_forms():
+    kinds = set()
+    for n in (0, 1, 5, 40):
+        for k in range(12):
+            kinds.add((n, next(media.read_tiff(media.store_payload(f"{k} " + "word " * 115 * n))).compression))
+    assert kinds == {(n, f.scheme) for n in (0, 1, 5, 40) for f in media.FORMS}
+    assert [p.compression for p in media.read_tiff(media.store_payload("long " * 400_000, media.FORMS))] in ([8, 32773, 5, 8], [32773, 5, 8, 32773], [5, 8, 32773, 5])
+
+
 def test_packbits_example_of_the_format():
     stored = bytes.fromhex("fe aa 02 80 00 2a fd aa 03 80 00 2a 22 f7 aa".replace(" ", ""))
     plain = bytes.fromhex("aa aa aa 80 00 2a aa aa aa aa 80 00 2a 22 aa aa aa aa aa aa aa aa aa aa".replace(" ", ""))
