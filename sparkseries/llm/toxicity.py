@@ -6,7 +6,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -35,6 +35,8 @@ _FOLD_LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items() if k.isascii()}
 TRAIN_ROWS = 20_000
 #: Bounds of the lexicon: characters of a stem, candidates, terms, exceptions.
 STEM, MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = (4, 5, 6), 50_000, 2_000, 5_000
+#: Clean rows that a phrase must be in to be an exception.
+LEAST_CLEAN = 3
 #: A term's least weight (natural log of how much likelier it is in toxic rows), least share of toxic rows, least number of different neighbourhoods.
 LEAST_WEIGHT, LEAST_SHARE, LEAST_PLACES = 3.0, 0.005, 5
 
@@ -101,7 +103,16 @@ class Lexicon:
         if not hits:
             return 0.0
         if spared:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in spared)}
+            # both in order, so that a long text is gone through once
+            spared.sort()
+            left, at, upto = {}, 0, -1
+            for s in sorted(hits):
+                while at < len(spared) and spared[at][0] <= s:
+                    upto = max(upto, spared[at][1])
+                    at += 1
+                if s >= upto:
+                    left[s] = hits[s]
+            hits = left
         return sum(hits.values()) / math.sqrt(max(1, folded.count(" ") - 1))
 
     def score(self, text: str | None) -> float:
@@ -145,6 +156,24 @@ def _places(candidates):
     return run
 
 
+def phrases_of(text: str | None, weights: Mapping[str, float]) -> set[str]:
+    """The pairs of neighbouring words of which one is matched by a term."""
+    words = fold(text).split()
+    hit = [any(t in weights for t in terms_of((w,))) for w in words]
+    return {f" {a} {b} " for a, b, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y}
+
+
+def _count_phrases(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                counts.update((phrase, int(toxic)) for phrase in phrases_of(text, shared.value))
+            yield pd.DataFrame([(p, n if toxic else 0, 0 if toxic else n) for (p, toxic), n in counts.items()], columns=["phrase", "toxic", "clean"])
+
+    return run
+
+
 def _raws(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,7 +190,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     A term is a whole word or the first letters of one. Its weight is the log of how much likelier it is in
     toxic rows than in others. It is kept if it is in enough toxic rows and its uses have enough
     different neighbours (rare words of a text that was copied often have few). A word whose stem is kept is left out unless it is heavier. Words that begin with a kept stem but are
-    mostly in clean rows become exceptions, besides those given.
+    mostly in clean rows become exceptions, besides those given, and so do phrases, a term's word and a neighbour, that are likelier in clean rows.
+
+    Rows without a text, a label or a partner in the other table are not learnt from; a key with several labels is toxic if one of them is. Where
+    candidates, terms or exceptions are more than their bounds, the most frequent (heaviest) are kept, ties in order of the terms. Other columns, whatever
+    their names, are ignored. Without a toxic row the lexicon is empty.
     """
     spark = docs.sparkSession
     marked = labels.filter(F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
@@ -189,7 +222,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
         """A stem that is at least as heavy, within a small margin, says as much."""
         return any(kept.get(term[: n + 1], -1.0) >= kept[term] - 1.0 for n in STEM if len(term) > n + 1)
 
-    weights = dict(sorted(((t, w) for t, w in kept.items() if not covered(t)), key=lambda x: -x[1])[:MAX_TERMS])
+    weights = dict(sorted(((t, w) for t, w in kept.items() if not covered(t)), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
     stems = [t for t in weights if not t.endswith(" ")]
     spared: list[str] = list(exceptions)
     if stems:
@@ -198,6 +231,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
             begins = begins | F.col("term").startswith(s)
         mostly = counts.filter(F.col("term").endswith(" ") & begins & (F.col("clean") > F.col("toxic"))).orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS)
         spared += [r["term"] for r in mostly.collect()]
+    pairs = train.select("toxic", "text").mapInPandas(_count_phrases(spark.sparkContext.broadcast(weights)), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    spared += [r["phrase"] for r in pairs.filter((F.col("clean") >= LEAST_CLEAN) & (weight < 0)).orderBy(F.desc("clean"), "phrase").limit(MAX_EXCEPTIONS).collect()]
     lexicon = Lexicon(weights, tuple(spared))
     raws = train.select("toxic", "text").mapInPandas(_raws(spark.sparkContext.broadcast(lexicon)), "toxic int, raw double")
     low = raws.filter(F.col("toxic") == 1).agg(F.percentile_approx("raw", 0.02)).first()[0] or 0.0

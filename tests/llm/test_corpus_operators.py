@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,6 +196,53 @@ def test_copies_of_a_toxic_text_do_not_hide_its_words(spark):
     assert all((r.score >= 0.5) == ("zorgblat" in rows[r.doc_id][1]) for r in toxicity.score_toxicity(d, lexicon, ["doc_id"]).collect())
 
 
+def plain_raw(text, weights, exceptions):
+    """Every term and phrase tried at every place."""
+    t = toxicity.fold(text)
+    spared = [(s, s + len(p) - 1) for p in exceptions for s in range(len(t)) if t.startswith(p, s)]
+    total = 0.0
+    for s in range(len(t)):
+        found = [w for term, w in weights.items() if t.startswith(term, s)]
+        if found and not any(a <= s < b for a, b in spared):
+            total += max(found)
+    return total / math.sqrt(max(1, len(t.split())))
+
+
+def test_matches_are_those_of_plain_search():
+    rng = random.Random(9)
+    words = ["scum", "scumm", "sc", "moron", "river", "fine", "SCUM!", "m0r0n", "a"]
+    weights, exceptions = {" scum": 3.0, " scum ": 4.0, " moron ": 5.0, " fi": 1.0}, (" moron river ", " scumm ", " a fine ")
+    lexicon = toxicity.Lexicon(weights, exceptions)
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(30)))
+        assert abs(lexicon.raw(text) - plain_raw(text, weights, exceptions)) < 1e-9
+    at = time.time()
+    lexicon.raw("scum moron river " * 200_000)
+    assert time.time() - at < 20
+
+
+def test_phrases_of_clean_rows_are_exceptions(spark):
+    rng = np.random.default_rng(5)
+    plain = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = []
+    for i in range(900):
+        words = list(rng.choice(plain, 30))
+        kind = i % 30
+        if kind < 10:
+            words[int(rng.integers(1, 29))] = "gurk"
+        elif i % 60 == 10:
+            words[7:9] = ["gurk", "berry"]  # the word in a harmless phrase
+        rows.append((i, " ".join(words), int(kind < 10)))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    for c in ("term", "toxic", "clean", "key", "weight", "phrase", "raw"):
+        d = d.withColumn(c, F.lit("clash"))
+    lab = spark.createDataFrame([(i, y, y) for i, _, y in rows] + [(0, None, 1), (None, 1, 1), (99999, 1, 1)], "doc_id long, toxic int, text int")
+    lexicon = toxicity.learn_lexicon(d, lab)
+    assert " gurk berry " in lexicon.exceptions
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(d, lexicon, ["doc_id", "toxic"]).collect()}
+    assert all((scores[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+
 def test_toxicity_without_labels(spark, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.learn_lexicon(none, labels).weights == {}

@@ -203,7 +203,7 @@ def test_search_is_exact(spark, block_rows, pivots):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(4, 8))
     rows = [(i, [float(x) for x in centers[i % 4] + 0.1 * rng.normal(size=8)]) for i in range(90)]
-    rows += [(i, list(rows[0][1])) for i in (200, 201, 205)] + [rows[5], (300, None), (305, [1.0, None] + [0.0] * 6), (310, [float("nan")] * 8), (315, [float("inf")] * 8), (320, [1.0, 2.0]), (325, [0.0] * 8), (None, [1.0] * 8)]
+    rows += [(i, list(rows[0][1])) for i in (200, 201, 205)] + [rows[5], (300, None), (305, [1.0, None] + [0.0] * 6), (310, [float("nan")] * 8), (315, [float("inf")] * 8), (320, [1.0, 2.0]), (325, [0.0] * 8), (None, [1.0] * 8), (330, []), (335, []), (336, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("v", F.lit("clash"))
     got = search.top_k(df, F.col("id") % 5 == 0, 5, n_pivots=pivots, block_rows=block_rows)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(brute_top(rows, 5))
