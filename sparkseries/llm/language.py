@@ -42,24 +42,28 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words (n = 0) and n-grams by language, passed on whenever they are many."""
+    """Counts of words (n = 0) and n-grams by language, passed on whenever the words are many. N-grams are those of the words met, once for each."""
     counts: Counter = Counter()
 
-    def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["lang", "n", "term", "count"])
+    def flush() -> Iterator[pd.DataFrame]:
+        words = sorted(counts.items())
         counts.clear()
-        return out
+        for k in range(0, len(words), 20_000):
+            terms: Counter = Counter()
+            for (lang, word), c in words[k : k + 20_000]:
+                terms[lang, 0, word] += c
+                for n in range(1, LONGEST + 1):
+                    for g in grams_of(word, n):
+                        terms[lang, n, g] += c
+            yield pd.DataFrame([(*t, c) for t, c in terms.items()], columns=["lang", "n", "term", "count"])
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             for word, c in words_of(text).items():
-                counts[lang, 0, word] += c
-                for n in range(1, LONGEST + 1):
-                    for g in grams_of(word, n):
-                        counts[lang, n, g] += c
-            if len(counts) > 150_000:
-                yield flush()
-    yield flush()
+                counts[lang, word] += c
+            if len(counts) > 60_000:
+                yield from flush()
+    yield from flush()
 
 
 class Model:
