@@ -16,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 4_000_000
 
 
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_short_batches(df: DataFrame) -> DataFrame:
+    """``df``, of which Python workers get BATCH_ROWS rows at a time: rows are whole texts, and a worker and its JVM hold some batches each. A number that the session has been given stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def is_small(df: DataFrame, rows: int | None = None) -> bool:
     """Whether a table that has been cut before may be broadcast: by its rows, and by the bytes that Spark knows of its files."""
     if (df.count() if rows is None else rows) > BROADCAST_ROWS:

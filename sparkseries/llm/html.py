@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_checked, table
+from .common import cut, in_short_batches, join_checked, table
 
 #: Element names and class words (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -337,7 +337,7 @@ def extract_pages(pages: DataFrame, keep: list[str], *, url: str = "url", html:
     extracted each; an empty table gives no rows.
     """
     winners = cut(host_paths(pages, url=url, html=html)).withColumnsRenamed({"host": "_host", "path": "_path"})
-    rows = pages.select(*[F.col(c) for c in keep], host_of(url).alias("_host"), F.col(html).alias("_html"))
+    rows = in_short_batches(pages).select(*[F.col(c) for c in keep], host_of(url).alias("_host"), F.col(html).alias("_html"))
     joined = join_checked(rows, winners, ["_host"], "left").select(*keep, "_html", "_path")
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType())])
     return joined.mapInArrow(_extract, schema)

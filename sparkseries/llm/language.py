@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, in_short_batches, table
 
 #: Bounds of the model, whatever the corpus: training rows (or one a language, if those are more), words and n-grams a language, characters of an n-gram.
 TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 20_000, 8_000, 4
@@ -23,7 +23,7 @@ TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 20_000, 8_000, 4
 SHARES = 1 << 40
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words whose numbers a worker keeps, and bytes of these numbers; the table is emptied when full.
-CACHE_ENTRIES, CACHE_BYTES = 150_000, 16_000_000
+CACHE_ENTRIES, CACHE_BYTES = 100_000, 16_000_000
 UNKNOWN = "und"
 
 
@@ -48,9 +48,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush() -> Iterator[pd.DataFrame]:
         words = sorted(counts.items())
         counts.clear()
-        for k in range(0, len(words), 20_000):
+        for k in range(0, len(words), 10_000):
             terms: Counter = Counter()
-            for (lang, word), c in words[k : k + 20_000]:
+            for (lang, word), c in words[k : k + 10_000]:
                 terms[lang, 0, word] += c
                 for n in range(1, LONGEST + 1):
                     for g in grams_of(word, n):
@@ -61,7 +61,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             for word, c in words_of(text).items():
                 counts[lang, word] += c
-            if len(counts) > 60_000:
+            if len(counts) > 40_000:
                 yield from flush()
     yield from flush()
 
@@ -181,7 +181,7 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     in order of the terms. The sample and these bounds make the model's size independent of the corpus.
     """
     spark = docs.sparkSession
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = in_short_batches(docs).filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not found:
         return Model([], [], [])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_short_batches, table
 
 #: Tags and values of the format (fixed values).
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
@@ -319,7 +319,7 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(docs: DataFrame, keep: list[str], *, text: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``n_bytes`` and ``media``, the text as a TIFF. A null text is stored like an empty one."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(_store, schema)
+    return in_short_batches(docs).select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(_store, schema)
 
 
 _PAGE_FIELDS = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_checked, table
+from .common import cut, in_short_batches, join_checked, table
 
 #: Coordinates of a signature, and how many must agree. At similarity 0.75 a coordinate agrees with probability 0.75; fewer than
 #: 32 of 64 do so with probability 2e-6.
@@ -19,9 +19,9 @@ COORDINATES, MATCHES = 64, 32
 #: Words of a shingle; a link needs SHARE_OF times the intersection to be at least SHARE times the union.
 WORDS, SHARE, SHARE_OF = 5, 75, 100
 #: Members of a posting list that meet in one cell; bits of what is known there of a set; rows of whole cells, and pairs, that are held at a time.
-BLOCK_ROWS, SKETCH_BITS, HELD_ROWS, HELD_PAIRS = 2048, 2048, 4096, 1_000_000
+BLOCK_ROWS, SKETCH_BITS, HELD_ROWS, HELD_PAIRS = 2048, 2048, 4096, 300_000
 #: About so many bytes of text are shingled at a time.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 _BASE, _STEP = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.Generator(np.random.PCG64(20240601))
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     empty table gives no rows. Other columns are ignored.
     """
     body = F.col(text).cast("binary")
-    base = cut(docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"))
+    base = cut(in_short_batches(docs).select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"))
     same = ["n_shingles", "s1", "s2"]
     nodes = cut(base.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")))
     lists = cut(posting_lists(nodes))

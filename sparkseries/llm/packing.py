@@ -19,11 +19,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dense_rank_in, table
+from .common import cut, dense_rank_in, in_short_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's table from words to their ids; it is emptied when full.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: str.split() also splits at these four, which the tokenizer's \s does not hold for white space.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: White space of the tokenizer (fixed values).
@@ -119,7 +119,7 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    """Batches of (key, text) to batches of pieces; about 3 MB of text are encoded at a time."""
+    """Batches of (key, text) to batches of pieces; about 2 MB of text are encoded at a time."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def some(keys: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
@@ -142,7 +142,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 keys.append(key)
                 texts.append(text.as_py() or "")
                 size += len(texts[-1])
-                if size > 3_000_000:
+                if size > 2_000_000:
                     yield some(keys, texts, batch.schema.field(0).type)
                     keys, texts, size = [], [], 0
             if keys:
@@ -239,7 +239,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, *, key: str = "doc_id"
     """
     path = public_tokenizers.path(tokenizer)
     kind = docs.schema[key].dataType.simpleString()
-    pieces = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_pieces(path, capacity, end_id), f"key {kind}, piece int, start long, length long, ids_crc32 long"))
+    pieces = cut(in_short_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_pieces(path, capacity, end_id), f"key {kind}, piece int, start long, length long, ids_crc32 long"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = np.array(sorted(plan_packing(counts, capacity)[0]), dtype=np.int64).reshape(-1, 5)
     buckets = max(8, math.ceil(sum(counts.values()) / 1_000_000))

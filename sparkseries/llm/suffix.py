@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_checked, table
+from .common import cut, in_short_batches, join_checked, table
 
 #: Bytes of a repeated string; of an anchor; that the strings of a group have in common with each other at least.
 LENGTH, ANCHOR = 400, 16
@@ -20,7 +20,7 @@ SHARED = LENGTH // 2
 #: Different contexts under one key up to which they are sorted together, and windows of the parts into which those of a key with more are cut, again and again.
 HOT, STEPS = 256, (50, 7, 1)
 #: Windows sorted at a time; bytes anchored at a time.
-CHUNK_WINDOWS, CHUNK_BYTES, MOST_BYTES = 100_000, 500_000, 4_000_000
+CHUNK_WINDOWS, CHUNK_BYTES, MOST_BYTES = 60_000, 300_000, 1_000_000
 
 _BASES = (np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93))
 _POSITION = np.uint64((1 << 24) - 1)
@@ -373,7 +373,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
        hashes of longer strings, and these are sorted, so such a group spreads over all tasks.
     4. What was found for a context holds for every place where it occurs.
     """
-    found = cut(_identity(docs, key, text).mapInArrow(_contexts, "id long, h long, key long, ctx long, off int, lo long, windows int"))
+    found = cut(_identity(in_short_batches(docs), key, text).mapInArrow(_contexts, "id long, h long, key long, ctx long, off int, lo long, windows int"))
     # written first, so that the join below has exchanges of its own, of which Spark can split a hot key
     often = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"))
     places = cut(found.join(often, "key"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, in_short_batches, table
 from .language import SHARES, held_out, sampled
 
 #: Characters that stand for a Latin letter: Cyrillic and Greek look-alikes, digits and signs (fixed values).
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[str], *, text:
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(_score(shared), schema)
+    return in_short_batches(docs).select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(_score(shared), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
