@@ -253,8 +253,11 @@ def influence(df: DataFrame, features: Sequence[str], residual: str) -> DataFram
     middle = rows.agg(*[F.percentile(x, 0.5).alias(c) for c, x in clean.items()]).first()
     filled = {c: F.coalesce(x, F.lit(float(middle[c]) if middle[c] is not None else 0.0)) for c, x in clean.items()}
     scale = rows.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(filled.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = [F.lit(1.0)] + [(x - F.lit(scale[f"m{i}"])) / F.lit(scale[f"s{i}"]) if scale[f"s{i}"] else F.lit(0.0) for i, x in enumerate(filled.values())]
-    p = len(z)
+    standard = [(x - F.lit(scale[f"m{i}"])) / F.lit(scale[f"s{i}"]) if scale[f"s{i}"] else F.lit(0.0) for i, x in enumerate(filled.values())]
+    # a generator of one row keeps the expressions above from being copied into each place that uses them
+    rows = rows.select("*", F.inline(F.array(F.struct(F.lit(1.0).alias("_z0"), *[x.alias(f"_z{i}") for i, x in enumerate(standard, 1)]))))
+    p = len(features) + 1
+    z = [F.col(f"_z{i}") for i in range(p)]
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col(residual), F.lit(2))).alias("sse"), *[F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]).first()
     gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)])
     rank = int((np.linalg.eigvalsh(gram) > 1e-10 * max(gram.trace(), 1e-300)).sum())
@@ -264,11 +267,9 @@ def influence(df: DataFrame, features: Sequence[str], residual: str) -> DataFram
     inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
     h = F.lit(0.0)
     for i in range(p):
-        for j in range(p):
-            if inverse[i, j]:
-                h = h + F.lit(float(inverse[i, j])) * z[i] * z[j]
+        h = h + z[i] * sum((F.lit(float(inverse[i, j])) * z[j] for j in range(p)), F.lit(0.0))
     mse = sums["sse"] / (n - rank)
-    out = rows.withColumn("leverage", F.least(h, F.lit(1.0)))
+    out = rows.select(*df.columns, F.inline(F.array(F.struct(F.least(h, F.lit(1.0)).alias("leverage")))))
     left = 1 - F.col("leverage")
     out = out.withColumn("standardized_residual", ratio(F.col(residual), F.sqrt(F.lit(mse) * left)))
     return out.withColumn("cooks_distance", ratio(F.pow("standardized_residual", F.lit(2)) * F.col("leverage"), left * rank))
@@ -279,9 +280,8 @@ def top_influence(df: DataFrame, k: int) -> DataFrame:
 
 
 def above_threshold(df: DataFrame) -> DataFrame:
-    """Rows whose distance is over 4 / n."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return df.crossJoin(F.broadcast(n)).filter(F.col("cooks_distance") > 4.0 / F.col("_n")).drop("_n")
+    """Rows whose distance is over 4 / n. The rows are counted first (a count reads no column), so that the filter is by a number."""
+    return df.filter(F.col("cooks_distance") > 4.0 / max(1, df.count()))
 
 
 def cook_contour(leverage: Column, distance: float, rank: int) -> Column:

@@ -65,7 +65,7 @@ class DifferenceModel(Learned):
         if not lacking.isEmpty():
             raise ValueError(f"a series has fewer than {p} rows of history")
         rows = df.withColumn("_rn", F.row_number().over(ordered(s.order_by, keys)) - 1).withColumn("_phase", F.col("_rn") % p)
-        rows = rows.join(F.broadcast(anchors), [*keys, "_phase"], "left")
+        rows = rows.join(anchors, [*keys, "_phase"], "left")
         w = Window.partitionBy(*keys, "_phase").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
         first = F.col("_rn") < p if same else F.lit(False)
         out = {}

@@ -56,7 +56,7 @@ def residual_bands(df: DataFrame, residual: str, time: str, series, fold: str) -
     w = ordered(time, keys)
     rows = blocks(df, F.col("_changes"), time, keys) if "_changes" in df.columns else blocks(df.withColumn("_changes", F.col(fold) != F.lag(fold).over(w)), F.col("_changes"), time, keys).drop("_changes")
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(residual).alias("_s"), F.avg(residual).alias("_m"))
-    rows = rows.join(F.broadcast(size), keys) if keys else rows.crossJoin(F.broadcast(size))
+    rows = rows.join(size, keys) if keys else rows.crossJoin(F.broadcast(size))
     # in units of a series' own width one frame fits them all: rows less than one width back, less a margin for widths up to 9e8
     width, one = F.greatest(F.lit(7), F.floor(F.col("_n") / 20)), 10**12
     block = Window.partitionBy(*keys, "block")

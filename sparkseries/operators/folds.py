@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +51,30 @@ def kfold(df: DataFrame, key: str, n_splits: int = 5, shuffle: bool = False, see
     return rows.crossJoin(F.broadcast(total)).withColumn(name, F.floor(F.col("_i") * n_splits / F.col("_n")).cast("int")).drop("_i", "_n")
 
 
+#: Rows are sampled in units of one over this number, fine enough for any table.
+_SHARES = 1 << 40
+
+
+def _bounds_upto(place: Column, edges: Column, n: int) -> Column:
+    """How many of ``n`` ascending edges are at most ``place``, by halving."""
+
+    def halved(a: Column, _: Column) -> Column:
+        middle = F.shiftright(a["low"] + a["high"], 1)
+        right = place >= F.get(edges, middle)
+        smaller = F.struct(F.when(right, middle + 1).otherwise(a["low"]).alias("low"), F.when(right, a["high"]).otherwise(middle).alias("high"))
+        return F.when(a["low"] < a["high"], smaller).otherwise(a)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halved)["low"]
+
+
+def _index_within(df: DataFrame, by: str, order: Sequence[str], name: str) -> DataFrame:
+    """The place of each row in the order of the rows with its value of ``by``, from 0; one hot value is dealt into ranges like many."""
+    rows = global_index(df, [by, *order], "_all")
+    first = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_c")).orderBy("_by")
+    first = first.withColumn("_first", F.coalesce(F.sum("_c").over(Window.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col("_all") - F.col("_first")).drop("_all", "_by", "_c", "_first")
+
+
 def global_index(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
     """The place of each row in the order, from 0: rows are dealt into ranges, numbered in each, and moved up by the counts of the ranges before."""
     spark = df.sparkSession
@@ -59,16 +84,13 @@ def global_index(df: DataFrame, order: Sequence[str], name: str, parts: int | No
     place = F.struct(*order)
     some = df.select(place.alias("v"))
     n = some.count()
-    share = min(1.0, 100_000 / max(n, 1))
-    picked = some.filter(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct().orderBy("v").limit(200_000).collect()
+    below = math.ceil(min(1.0, 100_000 / max(n, 1)) * _SHARES)
+    picked = some.filter(F.pmod(F.xxhash64("v"), F.lit(_SHARES)) < below).distinct().orderBy("v").limit(200_000).collect()
     bounds = list(dict.fromkeys(picked[len(picked) * k // parts]["v"] for k in range(1, parts))) if picked else []
     if not bounds:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    part = F.lit(0)
-    for b in bounds:
-        edge = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True)])
-        part = part + F.when(place >= edge, 1).otherwise(0)
-    keyed = df.withColumn("_part", part)
+    edges = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True)]) for b in bounds])
+    keyed = df.withColumn("_part", _bounds_upto(place, edges, len(bounds)))
     counts = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     local = keyed.withColumn("_l", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
@@ -76,16 +98,15 @@ def global_index(df: DataFrame, order: Sequence[str], name: str, parts: int | No
 
 
 def stratified(df: DataFrame, key: str, label: str, n_splits: int = 5, shuffle: bool = False, seed: int = 0, name: str = "fold") -> DataFrame:
-    """Every fold has the classes in their proportions: rows of a class take turns."""
-    w = Window.partitionBy(label).orderBy(*_order(key, shuffle, seed))
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1, F.lit(n_splits)).cast("int"))
+    """Every fold has the classes in their proportions: rows of a class take turns. No window holds a class, however large; classes are few."""
+    rows = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)) if shuffle else F.lit(0).cast("long"))
+    return _index_within(rows, label, ["_h", key], "_at").withColumn(name, F.pmod("_at", F.lit(n_splits)).cast("int")).drop("_h", "_at")
 
 
 def group_fold(df: DataFrame, group: str, n_splits: int = 5, name: str = "fold") -> DataFrame:
-    """A group is in one fold. Groups by size take turns back and forth, so folds are nearly equal; only the table of groups is ordered."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    at = F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1
-    turn = sizes.withColumn("_at", at).withColumn("_k", F.col("_at") % n_splits).withColumn("_r", F.floor(F.col("_at") / n_splits) % 2)
+    """A group is in one fold. Groups by size take turns back and forth, so folds are nearly equal; only the table of groups is ordered, by ranges."""
+    sizes = df.groupBy(group).agg((-F.count(F.lit(1))).alias("_n"))
+    turn = global_index(sizes, ["_n", group], "_at").withColumn("_k", F.col("_at") % n_splits).withColumn("_r", F.floor(F.col("_at") / n_splits) % 2)
     folds = turn.select(group, F.when(F.col("_r") == 0, F.col("_k")).otherwise(n_splits - 1 - F.col("_k")).cast("int").alias(name))
     return df.join(folds, group)
 
@@ -94,10 +115,10 @@ def stratified_group(df: DataFrame, group: str, label: str, n_splits: int = 5, n
     """Groups stay whole and classes are spread: groups of one leading class take turns by size."""
     counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
     of_group = counts.groupBy(group).agg(F.sum("_n").alias("_n"), F.max_by(label, F.struct("_n", label)).alias("_top"))
-    turn = F.row_number().over(Window.partitionBy("_top").orderBy(F.desc("_n"), group)) - 1
+    turns = _index_within(of_group.withColumn("_n", -F.col("_n")), "_top", ["_n", group], "_turn")
     # each class begins where its number says, so that small classes do not all begin with fold 0
-    start = F.dense_rank().over(Window.orderBy("_top")) - 1
-    folds = of_group.select(group, F.pmod(turn + start, F.lit(n_splits)).cast("int").alias(name))
+    classes = of_group.select(F.col("_top").alias("_class")).distinct().withColumn("_start", F.row_number().over(Window.orderBy("_class")) - 1)
+    folds = turns.join(classes, F.col("_top").eqNullSafe(F.col("_class"))).select(group, F.pmod(F.col("_turn") + F.col("_start"), F.lit(n_splits)).cast("int").alias(name))
     return df.join(folds, group)
 
 

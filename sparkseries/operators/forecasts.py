@@ -79,7 +79,7 @@ def recursive_forecast(model: LinearHistoryModel, history: DataFrame, future: Da
     series whose future does not begin after its history is an error. Predictions are clipped after they are back on the original scale.
     """
     keys = as_list(series)
-    if not overlapping_series(history, future, time, keys[0]).isEmpty():
+    if not overlapping_series(history, future, time, keys).isEmpty():
         raise ValueError("a future begins before its history ends")
     back = Window.partitionBy(*keys).orderBy(F.desc(time))
     past = history.filter(F.col(target).isNotNull()).withColumn("_rn", F.row_number().over(back)).filter(F.col("_rn") <= model.lookback)
@@ -140,10 +140,13 @@ def recursive_backtest(df: DataFrame, target: str, time: str, series, cutoffs: S
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """A checkpoint in the folder of ``spark.checkpoint.dir``; a folder of our own only in local mode, where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

@@ -34,11 +34,14 @@ def match_rate(joined: DataFrame, marker: str) -> DataFrame:
     return joined.agg(n.alias("rows"), hit.alias("matched"), (n - hit).alias("unmatched"), F.try_divide(hit.cast("double"), n).alias("rate"))
 
 
-def overlapping_series(history: DataFrame, future: DataFrame, time: str, series: str) -> DataFrame:
-    """Series whose future does not begin after their history: ``series, last, first``."""
-    last = history.groupBy(series).agg(F.max(time).alias("last"))
-    first = future.groupBy(series).agg(F.min(time).alias("first"))
-    return last.join(first, series).filter(F.col("first") <= F.col("last"))
+def overlapping_series(history: DataFrame, future: DataFrame, time: str, series: str | Sequence[str]) -> DataFrame:
+    """Series (by all their keys) whose future does not begin after their history: ``series, last, first``."""
+    keys = [series] if isinstance(series, str) else list(series)
+    last = history.groupBy(*keys).agg(F.max(time).alias("last"))
+    first = future.groupBy(*keys).agg(F.min(time).alias("first"))
+    if not keys:
+        return last.crossJoin(first).filter(F.col("first") <= F.col("last"))
+    return last.join(first, keys).filter(F.col("first") <= F.col("last"))
 
 
 def missing_days(df: DataFrame, time: str) -> DataFrame:

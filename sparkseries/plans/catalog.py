@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import model_queries, series_queries, table_queries  # noqa: F401
+from . import evaluation_queries, model_queries, series_queries, table_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

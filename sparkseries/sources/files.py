@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,7 +117,10 @@ def source_signature(spark: SparkSession, source: str) -> str:
 
 
 def materialize(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """The source as parquet, written once and read again as long as the source's files have not changed."""
+    """The source as parquet, written once and read again as long as the source's files have not changed.
+
+    A new version goes to a folder of its own; the mark, which names it, is written last, so readers find whole versions only.
+    """
     signature = source_signature(spark, source)
     mark = f"{target}/_signature"
     try:
@@ -125,10 +129,12 @@ def materialize(spark: SparkSession, source: str, target: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         kept = None
-    if kept is None or kept.strip() != signature:
-        read_table(spark, source).write.mode("overwrite").parquet(f"{target}/data")
-        spark.createDataFrame([(signature,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
-    return spark.read.parquet(f"{target}/data")
+    folder, _, of = (kept or "").strip().partition("\n")
+    if of != signature:
+        folder = f"data-{uuid.uuid4().hex}"
+        read_table(spark, source).write.parquet(f"{target}/{folder}")
+        spark.createDataFrame([(f"{folder}\n{signature}",)], "value string").coalesce(1).write.mode("overwrite").text(mark)
+    return spark.read.parquet(f"{target}/{folder}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
