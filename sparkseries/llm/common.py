@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +60,25 @@ def in_short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy_worker(run: Callable[[Iterable], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterable], Iterator]:
+    """``run``, after which the worker, which other tasks use again, forgets its tables and gives free memory back to the system.
+
+    ``forget`` is a function of a module, as the worker's own tables are meant, not copies that travel with the task.
+    """
+
+    def wrapped(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def is_small(df: DataFrame, rows: int | None = None) -> bool:
     """Whether a table that has been cut before may be broadcast: by its rows, and by the bytes that Spark knows of its files."""
     if (df.count() if rows is None else rows) > BROADCAST_ROWS:

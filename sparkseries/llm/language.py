@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_short_batches, table
+from .common import cut, in_short_batches, table, tidy_worker
 
 #: Bounds of the model, whatever the corpus: training rows (or one a language, if those are more), words and n-grams a language, characters of an n-gram.
 TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 20_000, 8_000, 4
@@ -188,7 +188,7 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     each = rows_each([r["n"] for r in found], max_rows)
     below = spark.createDataFrame([(r["lang"], sampled(each, r["n"])) for r in found], "lang string, below long")
     some = rows.join(F.broadcast(below), "lang").filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(SHARES)) < F.col("below"))
-    counts = some.select("lang", "text").mapInPandas(_count, "lang string, n int, term string, count long").groupBy("lang", "n", "term").agg(F.sum("count").alias("count"))
+    counts = some.select("lang", "text").mapInPandas(tidy_worker(_count), "lang string, n int, term string, count long").groupBy("lang", "n", "term").agg(F.sum("count").alias("count"))
     counts = cut(counts)
     totals = {(r["lang"], r["n"]): (r["t"], r["k"]) for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("t"), F.count(F.lit(1)).alias("k")).collect()}
     langs = sorted({x for x, _ in totals})
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], *, text: str = "tex
     # a name of its own for the text, so that no column in ``keep`` clashes with it
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(shared), schema)
+    return rows.mapInArrow(tidy_worker(_predict(shared)), schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,4 +251,4 @@ def _accept(shared, at: int, least: float):
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, *, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of at least ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    return docs.mapInArrow(_accept(shared, docs.columns.index(text), least), docs.schema)
+    return docs.mapInArrow(tidy_worker(_accept(shared, docs.columns.index(text), least)), docs.schema)

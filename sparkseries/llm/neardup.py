@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_short_batches, join_checked, table
+from .common import cut, in_short_batches, join_checked, table, tidy_worker
 
 #: Coordinates of a signature, and how many must agree. At similarity 0.75 a coordinate agrees with probability 0.75; fewer than
 #: 32 of 64 do so with probability 2e-6.
@@ -35,6 +35,10 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _powers: dict[str, np.ndarray] = {}
 
 
+def _forget() -> None:
+    _powers.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spread 64 bits over 64 bits, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -302,7 +306,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     empty table gives no rows. Other columns are ignored.
     """
     body = F.col(text).cast("binary")
-    base = cut(in_short_batches(docs).select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"))
+    base = cut(in_short_batches(docs).select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).mapInArrow(tidy_worker(_signatures, _forget), "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"))
     same = ["n_shingles", "s1", "s2"]
     nodes = cut(base.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")))
     lists = cut(posting_lists(nodes))
@@ -323,9 +327,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     # 3: what is left between components
     met = cut(cells(lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))))
-    sketches = cut(texts_of(docs, met.select("node").distinct(), key, text).mapInArrow(_sketches, "node long, n long, low binary, bits binary"))
+    sketches = cut(texts_of(docs, met.select("node").distinct(), key, text).mapInArrow(tidy_worker(_sketches, _forget), "node long, n long, low binary, bits binary"))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(met.count() / (4 * HELD_ROWS)))
-    pairs = met.join(sketches, "node").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_meet, "u long, v long").distinct()
+    pairs = met.join(sketches, "node").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(tidy_worker(_meet), "u long, v long").distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
     if not pairs.isEmpty():
@@ -345,7 +349,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFram
 def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs ``u, v`` whose full shingle sets are similar enough."""
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = cut(texts_of(docs, needed, key, text).mapInArrow(_sets, "node long, shingles array<long>"))
+    sets = cut(texts_of(docs, needed, key, text).mapInArrow(tidy_worker(_sets, _forget), "node long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(SHARE_OF * shared >= SHARE * (F.size("a") + F.size("b") - shared)).select("u", "v").distinct()

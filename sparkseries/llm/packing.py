@@ -19,11 +19,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dense_rank_in, in_short_batches, table
+from .common import cut, dense_rank_in, in_short_batches, table, tidy_worker
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's table from words to their ids; it is emptied when full.
-CACHE_ENTRIES = 200_000
+#: Entries of a worker's table from words to their ids; it is emptied when full, and when the task ends.
+CACHE_ENTRIES = 150_000
 #: str.split() also splits at these four, which the tokenizer's \s does not hold for white space.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: White space of the tokenizer (fixed values).
@@ -34,6 +34,10 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _state: dict = {}
 
 
+def _forget() -> None:
+    _state.clear()
+
+
 def _tokenizer(path: str) -> dict:
     if _state.get("path") != path:
         from tokenizers import Tokenizer
@@ -239,7 +243,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, *, key: str = "doc_id"
     """
     path = public_tokenizers.path(tokenizer)
     kind = docs.schema[key].dataType.simpleString()
-    pieces = cut(in_short_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_pieces(path, capacity, end_id), f"key {kind}, piece int, start long, length long, ids_crc32 long"))
+    pieces = cut(in_short_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy_worker(_pieces(path, capacity, end_id), _forget), f"key {kind}, piece int, start long, length long, ids_crc32 long"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = np.array(sorted(plan_packing(counts, capacity)[0]), dtype=np.int64).reshape(-1, 5)
     buckets = max(8, math.ceil(sum(counts.values()) / 1_000_000))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, in_short_batches, join_checked, table
+from .common import cut, in_short_batches, join_checked, table, tidy_worker
 
 #: Bytes of a repeated string; of an anchor; that the strings of a group have in common with each other at least.
 LENGTH, ANCHOR = 400, 16
@@ -27,6 +27,10 @@ _POSITION = np.uint64((1 << 24) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _forget() -> None:
+    _powers.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -346,12 +350,12 @@ def _repeated_runs(contexts: DataFrame, steps: tuple[int, ...] = STEPS) -> DataF
     to parts of one window, of which there is only one under a key.
     """
     cold = contexts.filter(~F.col("hot")).select(*_SAME, "weight", "segment")
-    found = cold.repartition("key").sortWithinPartitions("key").mapInPandas(_sort_groups, "key long, ctx long, off int, windows int, begins array<int>, ends array<int>")
+    found = cold.repartition("key").sortWithinPartitions("key").mapInPandas(tidy_worker(_sort_groups), "key long, ctx long, off int, windows int, begins array<int>, ends array<int>")
     hot = contexts.filter("hot")
     if not steps or hot.isEmpty():
         return found
     once = hot.groupBy(*_SAME).agg(F.first("weight").alias("weight"), F.first("segment").alias("segment"))
-    parts = cut(once.mapInArrow(_cut_up(steps[0]), "of_key long, of_ctx long, of_off int, of_windows int, weight long, shift int, key long, ctx long, off int, windows int, segment binary"))
+    parts = cut(once.mapInArrow(tidy_worker(_cut_up(steps[0]), _forget), "of_key long, of_ctx long, of_off int, of_windows int, weight long, shift int, key long, ctx long, off int, windows int, segment binary"))
     differ = parts.groupBy(*_SAME).agg(F.sum("weight").alias("weight"), F.first("segment").alias("segment"))
     many = cut(parts.select(*_SAME).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.lit(True).alias("hot")))
     within = cut(_repeated_runs(cut(join_checked(differ, many, ["key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))), steps[1:]))
@@ -373,7 +377,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
        hashes of longer strings, and these are sorted, so such a group spreads over all tasks.
     4. What was found for a context holds for every place where it occurs.
     """
-    found = cut(_identity(in_short_batches(docs), key, text).mapInArrow(_contexts, "id long, h long, key long, ctx long, off int, lo long, windows int"))
+    found = cut(_identity(in_short_batches(docs), key, text).mapInArrow(tidy_worker(_contexts, _forget), "id long, h long, key long, ctx long, off int, lo long, windows int"))
     # written first, so that the join below has exchanges of its own, of which Spark can split a hot key
     often = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"))
     places = cut(found.join(often, "key"))
@@ -384,7 +388,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     wanted = F.collect_list(F.struct(*_SAME, "weight", F.col("first.lo").alias("lo"), F.coalesce("hot", F.lit(False)).alias("hot")))
     by_text = cut(marked.groupBy(F.col("first.id").alias("id"), F.col("first.h").alias("h")).agg(wanted.alias("wanted")))
     texts = _identity(docs, key, text).join(by_text, ["id", "h"]).select("text", "wanted")
-    fetched = cut(texts.mapInArrow(_fetch, "key long, ctx long, off int, windows int, weight long, hot boolean, segment binary"))
+    fetched = cut(texts.mapInArrow(tidy_worker(_fetch), "key long, ctx long, off int, windows int, weight long, hot boolean, segment binary"))
     runs = cut(_repeated_runs(fetched))
 
     spans = places.join(runs, _SAME).select("id", "h", "lo", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
@@ -453,10 +457,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     others = [c for c in docs.columns if c != text]
     rows = with_spans(docs, {"_row": F.struct(*others)}, key=key, text=text)
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("text", T.StringType())])
-    return rows.mapInArrow(_strip, schema).withColumnRenamed("text", text).select(*docs.columns)
+    return rows.mapInArrow(tidy_worker(_strip), schema).withColumnRenamed("text", text).select(*docs.columns)
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs, {"doc_id": F.col("doc_id")}).mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, {"doc_id": F.col("doc_id")}).mapInArrow(tidy_worker(_digest), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
