@@ -19,7 +19,7 @@ COORDINATES, MATCHES = 64, 32
 #: Words of a shingle; a link needs SHARE_OF times the intersection to be at least SHARE times the union.
 WORDS, SHARE, SHARE_OF = 5, 75, 100
 #: Members of a posting list that meet in one cell; bits of what is known there of a set; rows of whole cells, and pairs, that are held at a time.
-BLOCK_ROWS, SKETCH_BITS, HELD_ROWS, HELD_PAIRS = 2048, 2048, 4096, 300_000
+BLOCK_ROWS, SKETCH_BITS, HELD_ROWS, HELD_PAIRS = 512, 2048, 4096, 300_000
 #: About so many bytes of text are shingled at a time.
 CHUNK_BYTES = 500_000
 
