@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ class LinearHistoryModel:
     coefficients: Sequence[float]
     intercept: float
     difference: int = 0
+    log_offset: float | None = None
 
     @property
     def lookback(self) -> int:
@@ -41,24 +43,49 @@ class LinearHistoryModel:
         return self.intercept + sum(a * b for a, b in zip(self.coefficients, x, strict=True))
 
     def forecast(self, history: Sequence[float], steps: int) -> list[float]:
-        """The next ``steps`` values; with ``difference`` p the model's series is y_t - y_{t-p} and values are added back on."""
-        y, p = [float(v) for v in history], self.difference
+        """The next ``steps`` values; with ``difference`` p the model's series is y_t - y_{t-p} and values are added back on.
+
+        With ``log_offset`` c the series is log(y + c) before any difference; a past value with no logarithm makes what rests on it NaN.
+        """
+        y, p, c = [float(v) for v in history], self.difference, self.log_offset
+        if c is not None:
+            y = [math.log(v + c) if v + c > 0 else math.nan for v in y]
         z = [b - a for a, b in zip(y, y[p:], strict=False)] if p else y
         out = []
         for _ in range(steps):
             if len(z) < self.lookback - p:
                 return out + [float("nan")] * (steps - len(out))
             step = self.predict(z)
-            out.append(step + y[-p] if p else step)
+            value = step + y[-p] if p else step
             if p:
                 z.append(step)
-            y.append(out[-1])
+            y.append(value)
+            out.append(value if c is None else _exp(value) - c)
         return out
 
 
-def fit_linear_history(df: DataFrame, target: str, time: str, series, lags: Sequence[int] = (1,), windows: Sequence[int] = (), roc: bool = False, difference: int = 0, reg: float = 0.0) -> LinearHistoryModel:
-    """One linear model for all series on features of the past of the target, or of its difference over ``difference`` rows."""
-    rows = df
+def _exp(v: float) -> float:
+    """As Spark's ``exp``: too large a power is infinite, not an error."""
+    try:
+        return math.exp(v)
+    except OverflowError:
+        return math.inf
+
+
+def _log_target(df: DataFrame, target: str, log_offset: float | None) -> DataFrame:
+    return df if log_offset is None else df.withColumn(target, F.log(F.col(target) + F.lit(float(log_offset))))
+
+
+def fit_linear_history(df: DataFrame, target: str, time: str, series, lags: Sequence[int] = (1,), windows: Sequence[int] = (), roc: bool = False, difference: int = 0, reg: float = 0.0, log_offset: float | None = None) -> LinearHistoryModel:
+    """One linear model for all series on features of the past of the target, or of its difference over ``difference`` rows.
+
+    With ``log_offset`` c it is fitted to log(target + c); a target without a logarithm is an error. Nulls are left out.
+    """
+    if log_offset is not None:
+        bad = df.filter(F.col(target) + F.lit(float(log_offset)) <= 0).count()
+        if bad:
+            raise ValueError(f"{bad} values of {target} plus {log_offset} have no logarithm")
+    rows = _log_target(df, target, log_offset)
     if difference:
         rows = rows.withColumn(target, F.col(target) - F.lag(target, difference).over(ordered(time, series)))
         rows = rows.filter(F.col(target).isNotNull())
@@ -69,7 +96,7 @@ def fit_linear_history(df: DataFrame, target: str, time: str, series, lags: Sequ
         ok = ok & is_finite(c)
     vectors = VectorAssembler(inputCols=history.names, outputCol="features").transform(rows.filter(ok))
     model = LinearRegression(featuresCol="features", labelCol=target, regParam=reg).fit(vectors)
-    return LinearHistoryModel(tuple(lags), tuple(windows), roc, model.coefficients.toArray().tolist(), float(model.intercept), difference)
+    return LinearHistoryModel(tuple(lags), tuple(windows), roc, model.coefficients.toArray().tolist(), float(model.intercept), difference, log_offset)
 
 
 def recursive_forecast(model: LinearHistoryModel, history: DataFrame, future: DataFrame, target: str, time: str, series, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -105,19 +132,21 @@ def recursive_forecast(model: LinearHistoryModel, history: DataFrame, future: Da
 
 def one_step(model: LinearHistoryModel, df: DataFrame, target: str, time: str, series) -> DataFrame:
     """``df`` with ``pred_one_step``: each row predicted from the true past, as an expression."""
-    p = model.difference
-    rows = df
-    z = target
+    p, c = model.difference, model.log_offset
+    y = F.col(target) if c is None else F.log(F.col(target) + F.lit(float(c)))
+    rows, z, base = df.withColumn("_y", y), "_y", F.lag("_y", p or 1).over(ordered(time, series))
     if p:
-        rows, z = df.withColumn("_z", F.col(target) - F.lag(target, p).over(ordered(time, series))), "_z"
+        rows, z = rows.withColumn("_z", F.col("_y") - base), "_z"
     history = TargetHistory(z, time, series, model.lags, model.windows, model.roc)
     rows = history.transform(rows)
     pred = F.lit(model.intercept)
-    for c, b in zip(history.names, model.coefficients, strict=True):
-        pred = pred + F.lit(float(b)) * F.col(c)
+    for name, b in zip(history.names, model.coefficients, strict=True):
+        pred = pred + F.lit(float(b)) * F.col(name)
     if p:
-        pred = pred + F.lag(target, p).over(ordered(time, series))
-    return rows.withColumn("pred_one_step", pred).drop(*history.names, *(["_z"] if p else []))
+        pred = pred + base
+    if c is not None:
+        pred = F.exp(pred) - F.lit(float(c))
+    return rows.withColumn("pred_one_step", pred).drop(*history.names, "_y", "_z")
 
 
 def recursive_backtest(df: DataFrame, target: str, time: str, series, cutoffs: Sequence, horizon: int, options: Mapping | None = None, low: float | None = None, high: float | None = None) -> DataFrame:

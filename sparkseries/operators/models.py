@@ -9,9 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,18 +84,43 @@ def predictions(model: PipelineModel, rows: DataFrame, task: str, keep: Sequence
     return out.select(*keep, *[F.coalesce(ratio(of(k), total), F.lit(0.0)).alias(f"pred_{k}") for k in range(classes)])
 
 
-def run_cv(df: DataFrame, pipeline: Estimator, task: str, key: str, label: str, fold: str = "fold", classes: int = 2, callback: Callable[[int, PipelineModel], None] | None = None) -> tuple[DataFrame, dict[int, PipelineModel]]:
+def fit_early(pipeline: Pipeline, train: DataFrame, held: DataFrame) -> PipelineModel:
+    """``pipeline`` fitted on ``train``; its boosted trees stop when the loss on ``held`` falls no further.
+
+    Preprocessing sees training rows only. The model keeps the trees up to its best iteration.
+    """
+    *steps, last = pipeline.getStages()
+    if not last.hasParam("validationIndicatorCol"):
+        raise ValueError("only boosted trees of one score stop early")
+    before = Pipeline(stages=steps).fit(train)
+    rows = before.transform(train).withColumn("_held", F.lit(False)).unionByName(before.transform(held).withColumn("_held", F.lit(True)))
+    return PipelineModel([*before.stages, last.copy({last.getParam("validationIndicatorCol"): "_held"}).fit(rows)])
+
+
+def best_iteration(fitted: Mapping[int, PipelineModel]) -> int:
+    """The mean number of trees that the folds' models kept, rounded, at least 1."""
+    return max(1, round(sum(len(m.stages[-1].treeWeights) for m in fitted.values()) / len(fitted)))
+
+
+def refit(df: DataFrame, pipeline: Pipeline, fitted: Mapping[int, PipelineModel]) -> PipelineModel:
+    """The pipeline fitted on all rows with the folds' mean best iteration, for ``predict_test``."""
+    *steps, last = pipeline.getStages()
+    return Pipeline(stages=[*steps, last.copy({last.getParam("maxIter"): best_iteration(fitted)})]).fit(df)
+
+
+def run_cv(df: DataFrame, pipeline: Estimator, task: str, key: str, label: str, fold: str = "fold", classes: int = 2, callback: Callable[[int, PipelineModel], None] | None = None, early: bool = False) -> tuple[DataFrame, dict[int, PipelineModel]]:
     """Out-of-fold predictions and the folds' models.
 
     For each fold, preprocessing and model are fitted on the other rows and predict the fold's own. Rows of fold -1 are in
-    training only, and have null predictions. The driver loops over folds; fitting and scoring are Spark jobs.
+    training only, and have null predictions. The driver loops over folds; fitting and scoring are Spark jobs. ``early`` stops
+    boosted trees by the fold's own rows (``fit_early``).
     """
     folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None and r[0] >= 0)
     parts, fitted = [], {}
     for k in folds:
         train = df.filter(F.col(fold) != k)
         seen = None if task in ("regression", "time_series") else [r[0] for r in train.select(label).distinct().collect()]
-        fitted[k] = pipeline.fit(train)
+        fitted[k] = fit_early(pipeline, train, df.filter(F.col(fold) == k)) if early else pipeline.fit(train)
         if callback:
             callback(k, fitted[k])
         parts.append(predictions(fitted[k], df.filter(F.col(fold) == k), task, [key, fold, label], classes, seen))
@@ -161,11 +186,15 @@ def _mean_std(xs: Sequence[float]) -> tuple[float, float]:
     return m, math.sqrt(sum((x - m) ** 2 for x in xs) / len(xs))
 
 
-def training_history(model) -> list[float]:
-    """The loss after each iteration of a linear or boosted model."""
+def training_history(model, rows: DataFrame | None = None, loss: str = "squared") -> list[float]:
+    """The loss after each iteration: of a linear model as it was trained, of boosted trees on ``rows`` (``loss`` for regression)."""
+    if isinstance(model, GBTRegressionModel):
+        return list(model.evaluateEachIteration(rows, loss))
+    if isinstance(model, GBTClassificationModel):
+        return list(model.evaluateEachIteration(rows))
     if hasattr(model, "summary"):
         return list(model.summary.objectiveHistory)
-    raise TypeError("this model keeps no history; boosted trees have evaluateEachIteration")
+    raise TypeError("this model keeps no history")
 
 
 def sample_space(space: Mapping[str, tuple], seed: int, trial: int) -> dict:

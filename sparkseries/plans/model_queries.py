@@ -267,6 +267,16 @@ def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(models.run_cv(rows, pipeline, "regression", "l_orderkey", "price")[0], 3)
 
 
+@query()
+def oof_boosted_early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees stopped by each fold's own rows, then all rows predicted by a refit with the folds' mean best iteration."""
+    rows, features = _lines(spark, sf_dir), ["quantity", "discount", "lines"]
+    pipeline = models.make_pipeline(models.model_factory("gbt", "regression", "price", maxIter=10, maxDepth=4, stepSize=0.3), features)
+    out, fitted = models.run_cv(rows, pipeline, "regression", "l_orderkey", "price", early=True)
+    whole = models.predict_test(rows, "regression", "l_orderkey", refit=models.refit(rows, pipeline, fitted))
+    return tidy(out.join(whole.withColumnRenamed("pred", "pred_refit"), "l_orderkey"), 3)
+
+
 @query()
 def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = models.fold_attributions(_lines(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
@@ -293,6 +303,12 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out, 3)
 
 
+@query()
+def backtest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = {"lags": [1, 7], "difference": 7, "log_offset": 1.0}
+    return tidy(forecasts.recursive_backtest(panel(spark, sf_dir), "total", "day", "series", ["2000-06-01", "2001-01-01"], 28, options), 3)
+
+
 @query()
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _two(spark, sf_dir).withColumn("key", F.xxhash64("series", "day"))

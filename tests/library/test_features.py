@@ -178,6 +178,48 @@ def test_out_of_fold_models_and_blends(spark):
     assert abs(best["x"] - 3) < 1 and len(trials) == 30
 
 
+def test_boosted_trees_stop_early_and_are_refitted(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, float(a), float((a > 0) + n), i % 3) for i, (a, n) in enumerate(rng.normal(size=(180, 2)))]
+    df = spark.createDataFrame(data, "i long, a double, y double, fold int")
+    pipeline = models.make_pipeline(models.model_factory("gbt", "regression", "y", maxIter=15, maxDepth=4, stepSize=0.5), ["a"])
+    out, fitted = models.run_cv(df, pipeline, "regression", "i", "y", early=True)
+    trees = [len(m.stages[-1].treeWeights) for m in fitted.values()]
+    assert out.filter("pred is not null").count() == 180 and max(trees) < 15
+    for k, m in fitted.items():
+        held = df.filter(F.col("fold") == k)
+        alone = pipeline.fit(df.filter(F.col("fold") != k)).stages[-1]
+        ready = m
+        for_held = ready.stages[1].transform(ready.stages[0].transform(held))
+        loss = models.training_history(alone, for_held)
+        assert len(loss) == 15 and loss[len(m.stages[-1].treeWeights) - 1] <= loss[-1]
+    again = models.refit(df, pipeline, fitted)
+    assert len(again.stages[-1].treeWeights) == models.best_iteration(fitted) == max(1, round(sum(trees) / 3))
+    assert models.predict_test(df, "regression", "i", refit=again).count() == 180
+    with pytest.raises(ValueError):
+        models.fit_early(models.make_pipeline(models.model_factory("linear", "regression", "y"), ["a"]), df, df)
+
+
+@pytest.mark.parametrize("difference", [0, 1, 7])
+def test_forecasts_of_logarithms(spark, difference):
+    n = 60
+    y = [math.exp(0.02 * t + 0.3 * math.sin(2 * math.pi * t / 7)) - 0.5 for t in range(n)]
+    df = spark.createDataFrame([("a", t, v) for t, v in enumerate(y)], "s string, t int, y double")
+    model = forecasts.fit_linear_history(df.filter("t < 50"), "y", "t", "s", lags=[1, 2, 7], difference=difference, log_offset=0.5)
+    got = [r.pred for r in forecasts.recursive_forecast(model, df.filter("t < 50"), df.filter("t >= 50").select("s", "t"), "y", "t", "s").orderBy("step").collect()]
+    logs, want = [math.log(v + 0.5) for v in y[:50]], []
+    for _ in range(10):
+        z = [b - a for a, b in zip(logs, logs[difference:])] if difference else logs
+        step = model.intercept + sum(b * z[-k] for b, k in zip(model.coefficients, [1, 2, 7]))
+        logs.append(step + logs[-difference] if difference else step)
+        want.append(math.exp(logs[-1]) - 0.5)
+    assert got == pytest.approx(want, rel=1e-9) and got == pytest.approx(y[50:], rel=0.05)
+    first = forecasts.one_step(model, df, "y", "t", "s").filter("t = 50").first()
+    assert first.pred_one_step == pytest.approx(got[0], rel=1e-9)
+    with pytest.raises(ValueError, match="no logarithm"):
+        forecasts.fit_linear_history(df.withColumn("y", F.col("y") - 100), "y", "t", "s", log_offset=0.5)
+
+
 def test_files(spark, tmp_path):
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     folder = tmp_path / "csv"
