@@ -347,12 +347,15 @@ def texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFram
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs ``u, v`` whose full shingle sets are similar enough."""
+    """The pairs ``u, v`` whose full shingle sets are similar enough; a pair may come twice where rows share a key.
+
+    No step after the joins asks for rows in place by ``v``, so that Spark can split a hub.
+    """
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     sets = cut(texts_of(docs, needed, key, text).mapInArrow(tidy_worker(_sets, _forget), "node long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(SHARE_OF * shared >= SHARE * (F.size("a") + F.size("b") - shared)).select("u", "v").distinct()
+    return both.filter(SHARE_OF * shared >= SHARE * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
