@@ -201,7 +201,14 @@ def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.first("low").alias("low"), F.first("high").alias("high")), 2)
 
 
-@query()
+@query("""WITH x AS (SELECT l_orderkey, l_partkey, l_quantity, l_discount, l_tax, l_extendedprice - 1500 * l_quantity AS e FROM lineitem),
+m AS (SELECT count(*)::DOUBLE AS n, sum(e * e) AS sse, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_tax) AS m3, stddev_pop(l_quantity) AS s1, stddev_pop(l_discount) AS s2, stddev_pop(l_tax) AS s3,
+  corr(l_quantity, l_discount) AS r12, corr(l_quantity, l_tax) AS r13, corr(l_discount, l_tax) AS r23 FROM x),
+z AS (SELECT x.*, m.*, (l_quantity - m1) / s1 AS a, (l_discount - m2) / s2 AS b, (l_tax - m3) / s3 AS c FROM x, m),
+h AS (SELECT *, (1 + ((1 - r23 * r23) * a * a + (1 - r13 * r13) * b * b + (1 - r12 * r12) * c * c + 2 * ((r13 * r23 - r12) * a * b + (r12 * r23 - r13) * a * c + (r12 * r13 - r23) * b * c))
+  / (1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23)) / n AS h FROM z),
+t AS (SELECT *, e / sqrt(sse / (n - 4) * (1 - h)) AS t FROM h)
+SELECT l_orderkey, l_partkey, l_quantity, l_discount, l_tax, round(e, 6) AS e, round(h, 6) AS leverage, round(t, 6) AS standardized_residual, round(t * t * h / ((1 - h) * 4), 6) AS cooks_distance FROM t WHERE t * t * h / ((1 - h) * 4) > 4 / n""")
 def cooks_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") - 1500 * F.col("l_quantity")).alias("e"))
     return tidy(correlogram.above_threshold(correlogram.influence(rows, ["l_quantity", "l_discount", "l_tax"], "e")))

@@ -176,7 +176,14 @@ def jarque_bera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.select("event_type", "n", "skewness", "kurtosis")).join(tidy(out.select("event_type", "jb"), 4), "event_type")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BY_PRIORITY_SQL}, x AS (SELECT series, total - avg(total) OVER (PARTITION BY series) AS x, row_number() OVER (PARTITION BY series ORDER BY day) AS i, count(*) OVER (PARTITION BY series) AS n FROM panel),
+s AS (SELECT series, n, sum(x * x) AS s0 FROM x GROUP BY 1, 2), k AS (SELECT unnest(range(0, 21)) AS lag),
+c AS (SELECT a.series, k.lag, sum(a.x * b.x) AS s FROM x a, k, x b WHERE a.series = b.series AND b.i = a.i + k.lag GROUP BY 1, 2),
+r AS (SELECT c.series, n, list(c.s / s.s0 ORDER BY c.lag) AS r FROM c JOIN s ON c.series = s.series WHERE n >= 10 AND 2 * c.lag < n GROUP BY 1, 2),
+d(series, n, r, k, phi, last) AS (SELECT series, n, r, 0::BIGINT, []::DOUBLE[], 1.0::DOUBLE FROM r UNION ALL
+  SELECT series, n, r, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - next * phi[k + 1 - i]), next), next
+  FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i + 1])), 0)) AS next FROM d WHERE k + 1 < len(r)) t)
+SELECT series, n, k AS lag, round(last, 6) AS pacf FROM d""")
 def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(correlogram.pacf(panel(spark, sf_dir), "total", "day", "series", 20))
 
@@ -186,7 +193,13 @@ def unit_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(correlogram.unit_root(panel(spark, sf_dir), "total", "day", "series"))
 
 
-@query()
+@query(f"""WITH {BY_PRIORITY_SQL}, l AS (SELECT series, day, total AS raw, CASE WHEN total > 0 THEN ln(total) END AS log FROM panel),
+u AS (SELECT series, day, raw, log, raw - lag(raw) {_SERIES} AS diff, log - lag(log) {_SERIES} AS log_diff, raw - lag(raw, 7) {_SERIES} AS seasonal_diff, log - lag(log, 7) {_SERIES} AS log_seasonal_diff FROM l),
+v AS (SELECT series, day, variant, value FROM u UNPIVOT (value FOR variant IN (raw, log, diff, log_diff, seasonal_diff, log_seasonal_diff))),
+x AS (SELECT series, variant, value - avg(value) OVER w AS x, row_number() OVER (PARTITION BY series, variant ORDER BY day) AS i, count(*) OVER w AS n FROM v WINDOW w AS (PARTITION BY series, variant)),
+s AS (SELECT series, variant, n, sum(x * x) AS s0 FROM x GROUP BY 1, 2, 3), k AS (SELECT unnest(range(0, 11)) AS lag),
+c AS (SELECT a.series, a.variant, k.lag, sum(a.x * b.x) AS s FROM x a, k, x b WHERE a.series = b.series AND a.variant = b.variant AND b.i = a.i + k.lag GROUP BY 1, 2, 3)
+SELECT c.series, 'total' AS "column", c.variant, n, c.lag, round(c.s / s.s0, 6) AS acf, round(1.96 / sqrt(n), 6) AS band FROM c JOIN s ON c.series = s.series AND c.variant = s.variant WHERE n >= 10 AND c.lag < n""")
 def time_series_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(correlogram.series_checks(panel(spark, sf_dir), "day", ["total"], "series", 10))
 
