@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs
 from ..operators import correlogram, ensembles, evaluate, folds, forecasts, metrics, models, windows
 from .registry import BY_PRIORITY_SQL, DAILY_SQL, daily, events, panel, query, read, tidy
 
@@ -188,7 +189,17 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(correlogram.pair_correlation(daily(spark, sf_dir), "n", "total"))
 
 
-@query()
+def _horner(x: str, coefficients: tuple[float, ...]) -> str:
+    """The polynomial as SQL, highest power first."""
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+@query(f"""{_NAIVE}, e AS (SELECT series, day, y - p AS e FROM v), i AS (SELECT series, day, count(*) OVER w AS n, row_number() OVER (PARTITION BY series ORDER BY e, day) AS i, (e - avg(e) OVER w) / stddev_samp(e) OVER w AS z FROM e WINDOW w AS (PARTITION BY series)),
+u AS (SELECT *, CASE WHEN i = 1 THEN 1 - pow(0.5, 1.0::DOUBLE / n) WHEN i = n THEN pow(0.5, 1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM i), q AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS t, (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS r FROM u)
+SELECT series, day, round(CASE WHEN p BETWEEN 0.02425 AND 0.97575 THEN {_horner("r", exprs._A)} * (p - 0.5::DOUBLE) / {_horner("r", exprs._B)} ELSE sign(0.5 - p) * {_horner("t", exprs._C)} / {_horner("t", exprs._D)} END, 6) AS theoretical, round(z, 6) AS standardized FROM q""")
 def qq_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _naive(spark, sf_dir).filter("p is not null").withColumn("e", F.col("y") - F.col("p"))
     return tidy(evaluate.qq_points(rows, "e", "day", ["series"]))
@@ -267,11 +278,27 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.kfold(rows, "l_orderkey", 3, shuffle=True)
 
 
-@query()
+def _lines_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in folds that SQL knows too."""
+    return _lines(spark, sf_dir).withColumn("fold", (F.col("l_orderkey") % 3).cast("int"))
+
+
+def _least_squares(reg: float = 0.0) -> str:
+    """Table ``fit``: of each fold the means and coefficients of a linear model of the other rows of ``l`` (x1, x2, x3, y), from correlations with ``reg`` over y's deviation added to the diagonal."""
+    return f"""f AS (SELECT DISTINCT fold FROM l), m AS (SELECT f.fold, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3, stddev_pop(y) AS sy, corr(x1, x2) AS r12, corr(x1, x3) AS r13, corr(x2, x3) AS r23,
+  corr(x1, y) AS q1, corr(x2, y) AS q2, corr(x3, y) AS q3, 1 + {reg!r}::DOUBLE / stddev_pop(y) AS u FROM l JOIN f ON l.fold <> f.fold GROUP BY 1), d AS (SELECT *, u * u * u + 2 * r12 * r13 * r23 - u * (r12 * r12 + r13 * r13 + r23 * r23) AS det FROM m),
+fit AS (SELECT fold, my, m1, m2, m3, ((u * u - r23 * r23) * q1 + (r13 * r23 - u * r12) * q2 + (r12 * r23 - u * r13) * q3) / det * sy / s1 AS b1,
+  ((r13 * r23 - u * r12) * q1 + (u * u - r13 * r13) * q2 + (r12 * r13 - u * r23) * q3) / det * sy / s2 AS b2, ((r12 * r23 - u * r13) * q1 + (r12 * r13 - u * r23) * q2 + (u * u - r12 * r12) * q3) / det * sy / s3 AS b3 FROM d)"""
+
+
+_LINES = "WITH l AS (SELECT l_orderkey, sum(l_quantity) AS x1, avg(l_discount) AS x2, count(*)::DOUBLE AS x3, sum(l_extendedprice) AS y, l_orderkey % 3 AS fold FROM lineitem GROUP BY 1)"
+
+
+@query(f"{_LINES}, {_least_squares(0.1)} SELECT l_orderkey, l.fold, round(y, 2) AS price, round(my + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3), 1) AS pred FROM l JOIN fit ON l.fold = fit.fold")
 def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir)
     pipeline = models.make_pipeline(models.model_factory("linear", "regression", "price", regParam=0.1), ["quantity", "discount", "lines"])
-    return tidy(models.run_cv(rows, pipeline, "regression", "l_orderkey", "price")[0], 3)
+    out = models.run_cv(_lines_by_key(spark, sf_dir), pipeline, "regression", "l_orderkey", "price")[0]
+    return tidy(out.withColumn("pred", F.round("pred", 1)), 2)
 
 
 @query()
@@ -284,16 +311,22 @@ def oof_boosted_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.join(whole.withColumnRenamed("pred", "pred_refit"), "l_orderkey"), 3)
 
 
-@query()
+_ATTRIBUTED = f"{_LINES}, {_least_squares()}, a AS (SELECT l.*, b1 * (x1 - m1) AS a1, b2 * (x2 - m2) AS a2, b3 * (x3 - m3) AS a3 FROM l JOIN fit ON l.fold = fit.fold)"
+
+
+@query(f"{_ATTRIBUTED} SELECT l_orderkey, fold, round(a1, 1) AS attr_quantity, round(a2, 1) AS attr_discount, round(a3, 1) AS attr_lines FROM a")
 def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.fold_attributions(_lines(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
-    return tidy(out.select("l_orderkey", "fold", "attr_quantity", "attr_discount", "attr_lines"), 3)
+    out = models.fold_attributions(_lines_by_key(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
+    return tidy(out.select("l_orderkey", "fold", "attr_quantity", "attr_discount", "attr_lines"), 1)
 
 
-@query()
+@query(f"""{_ATTRIBUTED}, x AS (SELECT 'quantity' AS feature, x1 AS x, a1 AS a FROM a UNION ALL SELECT 'discount', x2, a2 FROM a UNION ALL SELECT 'lines', x3, a3 FROM a),
+r AS (SELECT feature, x, a, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY feature ORDER BY a) + (count(*) OVER (PARTITION BY feature, a) - 1) / 2.0::DOUBLE AS ra FROM x),
+c AS (SELECT feature, count(*) AS n, corr(x, a) AS pearson, corr(rx, ra) AS spearman FROM r GROUP BY 1)
+SELECT feature, n, round(pearson, 4) AS pearson, round(spearman, 4) AS spearman, CASE WHEN spearman > 0.05 THEN '+' WHEN spearman < -0.05 THEN '-' ELSE 'none' END AS direction FROM c""")
 def attribution_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.fold_attributions(_lines(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
-    return tidy(evaluate.attribution_correlation(out, ["quantity", "discount", "lines"]))
+    out = models.fold_attributions(_lines_by_key(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
+    return tidy(evaluate.attribution_correlation(out, ["quantity", "discount", "lines"]), 4)
 
 
 @query()
@@ -316,7 +349,9 @@ def backtest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(forecasts.recursive_backtest(panel(spark, sf_dir), "total", "day", "series", ["2000-06-01", "2001-01-01"], 28, options), 3)
 
 
-@query()
+@query(f"""{_TWO}, l AS (SELECT series || ' ' || day AS key, fold, y, a AS x1, b AS x2 FROM t), f AS (SELECT DISTINCT fold FROM l),
+m AS (SELECT f.fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(y) / stddev_pop(x1) AS s1, stddev_pop(y) / stddev_pop(x2) AS s2, corr(x1, x2) AS r, corr(x1, y) AS q1, corr(x2, y) AS q2 FROM l JOIN f ON l.fold <> f.fold GROUP BY 1)
+SELECT key, l.fold, y, round(my + (q1 - r * q2) / (1 - r * r) * s1 * (x1 - m1) + (q2 - r * q1) / (1 - r * r) * s2 * (x2 - m2), 1) AS pred FROM l JOIN m ON l.fold = m.fold""")
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _two(spark, sf_dir).withColumn("key", F.xxhash64("series", "day"))
-    return tidy(ensembles.stack(rows, ["a", "b"], "y", "key"), 3)
+    rows = _two(spark, sf_dir).withColumn("key", F.concat_ws(" ", "series", "day"))
+    return tidy(ensembles.stack(rows, ["a", "b"], "y", "key").withColumn("pred", F.round("pred", 1)), 2)
