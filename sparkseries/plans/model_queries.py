@@ -329,24 +329,45 @@ def attribution_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(evaluate.attribution_correlation(out, ["quantity", "discount", "lines"]), 4)
 
 
-@query()
+#: One fit on all rows of ``t`` (x1, x2, x3, y): that of fold 0, which only a row without values is in.
+_ALL_ROWS = "l AS (SELECT x1, x2, x3, y, -1 AS fold FROM t WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL UNION ALL SELECT NULL, NULL, NULL, NULL, 0)"
+
+
+@query(f"""WITH RECURSIVE {BY_PRIORITY_SQL}, t AS (SELECT total AS y, lag(total) OVER w AS x1, lag(total, 7) OVER w AS x2, avg(total) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS x3 FROM panel WHERE day < '2001-06-01' WINDOW w AS (PARTITION BY series ORDER BY day)),
+{_ALL_ROWS}, {_least_squares()}, h AS (SELECT series, list(total ORDER BY day)[-7:] AS past FROM panel WHERE day < '2001-06-01' GROUP BY 1), a AS (SELECT series, day, row_number() OVER (PARTITION BY series ORDER BY day) AS step FROM panel WHERE day >= '2001-06-01'),
+g(series, step, past) AS (SELECT series, 0::BIGINT, past FROM h UNION ALL SELECT g.series, g.step + 1, list_append(past[2:], my + b1 * (past[7] - m1) + b2 * (past[1] - m2) + b3 * (list_avg(past) - m3)) FROM g, fit WHERE fold = 0 AND EXISTS (SELECT 1 FROM a WHERE a.series = g.series AND a.step = g.step + 1))
+SELECT a.series, day, a.step, round(greatest(past[7], 0), 1) AS pred FROM a JOIN g ON a.series = g.series AND a.step = g.step""")
 def recursive_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel(spark, sf_dir)
     history, future = rows.filter("day < '2001-06-01'"), rows.filter("day >= '2001-06-01'")
     model = forecasts.fit_linear_history(history, "total", "day", "series", lags=[1, 7], windows=[7])
-    return tidy(forecasts.recursive_forecast(model, history, future, "total", "day", "series", low=0.0), 3)
+    return tidy(forecasts.recursive_forecast(model, history, future, "total", "day", "series", low=0.0), 1)
 
 
-@query()
+def _backtest_sql(there: str, back: str) -> str:
+    """The backtest on weekly differences of a transformed total: of each cut a fit of two lags on the rows before, 28 steps ahead, and one step from the true past."""
+    return f"""WITH RECURSIVE {BY_PRIORITY_SQL}, cuts(k, a, b) AS (VALUES (0, '2000-06-01', '2001-01-01'), (1, '2001-01-01', '9999-12-31')), y AS (SELECT series, day, total, {there} AS y FROM panel),
+z AS (SELECT *, y - lag(y, 7) OVER (PARTITION BY series ORDER BY day) AS z FROM y), x AS (SELECT *, lag(z) OVER w AS x1, lag(z, 7) OVER w AS x2, y - z AS base FROM z WINDOW w AS (PARTITION BY series ORDER BY day)),
+l AS (SELECT k, z, x1, x2 FROM x, cuts WHERE day < a AND x2 IS NOT NULL), m AS (SELECT k, avg(x1) AS m1, avg(x2) AS m2, avg(z) AS mz, stddev_pop(z) / stddev_pop(x1) AS s1, stddev_pop(z) / stddev_pop(x2) AS s2, corr(x1, x2) AS r, corr(x1, z) AS q1, corr(x2, z) AS q2 FROM l GROUP BY 1),
+fit AS (SELECT k, mz, m1, m2, (q1 - r * q2) / (1 - r * r) * s1 AS b1, (q2 - r * q1) / (1 - r * r) * s2 AS b2 FROM m), h AS (SELECT k, series, list(y ORDER BY day)[-7:] AS ys, list(z ORDER BY day)[-7:] AS zs FROM z, cuts WHERE day < a GROUP BY 1, 2),
+g(k, series, step, ys, zs) AS (SELECT k, series, 0::BIGINT, ys, zs FROM h UNION ALL SELECT k, series, step + 1, list_append(ys[2:], ys[1] + d), list_append(zs[2:], d) FROM (SELECT g.*, mz + b1 * (zs[7] - m1) + b2 * (zs[1] - m2) AS d FROM g JOIN fit ON g.k = fit.k WHERE step < 28) t),
+v AS (SELECT k, x.*, row_number() OVER (PARTITION BY k, series ORDER BY day) AS step FROM x, cuts WHERE day >= a AND day < b), p AS (SELECT v.*, ys[7] AS ahead, base + mz + b1 * (x1 - m1) + b2 * (x2 - m2) AS one FROM v JOIN g ON v.k = g.k AND v.series = g.series AND v.step = g.step JOIN fit ON v.k = fit.k)
+SELECT k::BIGINT AS fold, series, day, step, total AS target, round({back.format("ahead")}, 1) AS pred, round({back.format("one")}, 1) AS pred_one_step FROM p"""
+
+
+def _backtest(spark: SparkSession, sf_dir: str, options: dict) -> DataFrame:
+    out = forecasts.recursive_backtest(panel(spark, sf_dir), "total", "day", "series", ["2000-06-01", "2001-01-01"], 28, options)
+    return tidy(out.withColumns({c: F.round(c, 1) for c in ("pred", "pred_one_step")}), 2)
+
+
+@query(_backtest_sql("total", "{}"))
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = forecasts.recursive_backtest(panel(spark, sf_dir), "total", "day", "series", ["2000-06-01", "2001-01-01"], 28, {"lags": [1, 7], "difference": 7})
-    return tidy(out, 3)
+    return _backtest(spark, sf_dir, {"lags": [1, 7], "difference": 7})
 
 
-@query()
+@query(_backtest_sql("ln(total + 1)", "exp({}) - 1"))
 def backtest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = {"lags": [1, 7], "difference": 7, "log_offset": 1.0}
-    return tidy(forecasts.recursive_backtest(panel(spark, sf_dir), "total", "day", "series", ["2000-06-01", "2001-01-01"], 28, options), 3)
+    return _backtest(spark, sf_dir, {"lags": [1, 7], "difference": 7, "log_offset": 1.0})
 
 
 @query(f"""{_TWO}, l AS (SELECT series || ' ' || day AS key, fold, y, a AS x1, b AS x2 FROM t), f AS (SELECT DISTINCT fold FROM l),
