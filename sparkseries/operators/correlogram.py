@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import correlation, is_finite, ratio
 from .base import as_list, ordered
+from .quantiles import quantiles
+from .ranges import RANGE_ROWS, along
 
 
 def acf(df: DataFrame, value: str, order_by, series=(), nlags: int = 40, max_points: int | None = None) -> DataFrame:
@@ -221,18 +223,18 @@ def residual_tests(df: DataFrame, residual: str, order_by, series, level: float
     return out.withColumn("uncorrelated", F.col("lb_p") >= level).withColumn("normal", F.col("jb_p") >= level)
 
 
-def average_rank(df: DataFrame, column: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1, equal values share the mean of theirs. Counts per value first, so the window holds distinct values only."""
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(name, upto - (F.col("_n") - 1) / 2.0).drop("_n")
-    return df.join(ranks, [*by, column])
+def average_rank(df: DataFrame, column: str, name: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Ranks from 1, equal values share the mean of theirs; null and NaN values and keys have a rank too. Rows per value are counted first, and added up by ranges of values."""
+    rows = df.withColumn("_value", F.struct(column, *by))
+    counts = rows.groupBy("_value", F.col(column).alias("_v"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(F.count(F.lit(1)).alias("_n"))
+    upto = along(counts, [f"_k{i}" for i in range(len(by))], ["_v"], sums={"_upto": F.col("_n")}, range_rows=range_rows, rows=df.count())
+    return rows.join(upto.select("_value", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name)), "_value").drop("_value")
 
 
-def pair_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def pair_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """``by, n, pearson, spearman`` over pairs of finite values; null with fewer than three or a constant side."""
     rows = df.filter(is_finite(x) & is_finite(y)).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    rows = average_rank(average_rank(rows, "_x", "_rx", by), "_y", "_ry", by)
+    rows = average_rank(average_rank(rows, "_x", "_rx", by, range_rows), "_y", "_ry", by, range_rows)
     enough = F.count(F.lit(1)) >= 3
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(enough, correlation("_x", "_y")).alias("pearson"), F.when(enough, correlation("_rx", "_ry")).alias("spearman"))
 
@@ -250,8 +252,8 @@ def influence(df: DataFrame, features: Sequence[str], residual: str) -> DataFram
     """
     rows = df.filter(is_finite(residual))
     clean = {c: F.when(is_finite(c), F.col(c).cast("double")) for c in features}
-    middle = rows.agg(*[F.percentile(x, 0.5).alias(c) for c, x in clean.items()]).first()
-    filled = {c: F.coalesce(x, F.lit(float(middle[c]) if middle[c] is not None else 0.0)) for c, x in clean.items()}
+    middle = quantiles(rows, clean, [0.5]).first()
+    filled = {c: F.coalesce(x, F.lit(float(middle[c][0]) if middle[c] is not None else 0.0)) for c, x in clean.items()}
     scale = rows.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(filled.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     standard = [(x - F.lit(scale[f"m{i}"])) / F.lit(scale[f"s{i}"]) if scale[f"s{i}"] else F.lit(0.0) for i, x in enumerate(filled.values())]
     # a generator of one row keeps the expressions above from being copied into each place that uses them

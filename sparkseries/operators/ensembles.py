@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .correlogram import average_rank
 from .metrics import mse
+from .ranges import RANGE_ROWS
 
 
 def join_members(members: dict[str, DataFrame], key: str = "key", keep: Sequence[str] = ("target", "fold")) -> DataFrame:
@@ -26,12 +27,12 @@ def mean_blend(names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c) for c in names]) / len(names)
 
 
-def rank_mean_blend(df: DataFrame, names: Sequence[str], output: str = "pred") -> DataFrame:
+def rank_mean_blend(df: DataFrame, names: Sequence[str], output: str = "pred", range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mean of each member's average ranks scaled to 0..1; a single row gets 0.5."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     out = df
     for c in names:
-        out = average_rank(out, c, f"_r_{c}")
+        out = average_rank(out, c, f"_r_{c}", range_rows=range_rows)
     out = out.crossJoin(F.broadcast(n))
     scaled = [F.when(F.col("_n") > 1, (F.col(f"_r_{c}") - 1) / (F.col("_n") - 1)).otherwise(0.5) for c in names]
     return out.withColumn(output, reduce(lambda a, b: a + b, scaled) / len(names)).drop("_n", *[f"_r_{c}" for c in names])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, is_finite, ratio
+from .ranges import RANGE_ROWS, along
 
 EPS = 2.220446049250313e-16
 
@@ -114,33 +115,32 @@ def agreement_scores(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return both.select(*by, ratio(c, s).alias("accuracy"), F.coalesce(ratio(c * s - F.col("tp_"), below), F.lit(0.0)).alias("mcc"), "g_mean")
 
 
-def _score_counts(df: DataFrame, y: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives at each distinct score, with running sums from the highest; what follows works on distinct scores only."""
+def _score_counts(df: DataFrame, y: str, score: str, by: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Positives and negatives at each distinct score, with running sums from the highest, by ranges of scores; what follows works on distinct scores only."""
     at = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) != 1).cast("long")).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return at.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).withColumn("pos", F.sum("p").over(whole)).withColumn("neg", F.sum("q").over(whole))
+    p, q = F.col("p"), F.col("q")
+    return along(at, by, ["score"], sums={"tp": p, "fp": q}, totals={"pos": p, "neg": q}, descending=True, range_rows=range_rows, rows=df.count())
 
 
-def roc_points(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def roc_points(df: DataFrame, y: str, score: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """``by, score, fpr, tpr`` at each distinct score and the origin (null score)."""
-    rows = _score_counts(df, y, score, by)
+    rows = _score_counts(df, y, score, by, range_rows)
     points = rows.select(*by, "score", ratio("fp", "neg").alias("fpr"), ratio("tp", "pos").alias("tpr"))
     origin = (df.select(*by).distinct() if by else df.limit(1)).select(*by, F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 
-def pr_points(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def pr_points(df: DataFrame, y: str, score: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """``by, score, precision, recall, chance`` at each distinct score."""
-    rows = _score_counts(df, y, score, by)
+    rows = _score_counts(df, y, score, by, range_rows)
     return rows.select(*by, "score", ratio("tp", F.col("tp") + F.col("fp")).alias("precision"), ratio("tp", "pos").alias("recall"), ratio("pos", F.col("pos") + F.col("neg")).alias("chance"))
 
 
-def ranking_scores(df: DataFrame, y: str, score: str, by: Sequence[str] = (), max_fpr: float = 0.1) -> DataFrame:
+def ranking_scores(df: DataFrame, y: str, score: str, by: Sequence[str] = (), max_fpr: float = 0.1, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``by, n_pos, n_neg, roc_auc, average_precision, pauc``: equal scores share a point; ``pauc`` is the area up to ``max_fpr`` as McClish scales it. Null where a class is absent."""
     if not 0 < max_fpr <= 1:
         raise ValueError("the rate must be in (0, 1]")
-    rows = _score_counts(df, y, score, by)
+    rows = _score_counts(df, y, score, by, range_rows)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     # twice the pairs ordered right: each positive beats the negatives below it and half of those beside it
     beaten = F.sum(F.col("p") * (2 * (F.col("neg") - F.col("fp")) + F.col("q")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 from .base import Learned, Learner, Step, require
+from .quantiles import quantiles
 
 
 class _InPlace(Step):
@@ -115,7 +116,7 @@ class MinMaxScaler(_Scaler):
 
 
 class RobustScaler(_Scaler):
-    """The median and the distance of two quantiles, 25 and 75 percent unless given, interpolated linearly."""
+    """The median and the distance of two quantiles, 25 and 75 percent unless given, interpolated linearly and exact at any size."""
 
     def __init__(self, variables, quantile_range: tuple[float, float] = (25.0, 75.0)):
         super().__init__(variables)
@@ -124,8 +125,11 @@ class RobustScaler(_Scaler):
             raise ValueError("quantiles must be ascending percentages")
         self.low, self.high = low / 100, high / 100
 
-    def state(self, x: Column) -> tuple[Column, Column]:
-        return F.percentile(x, 0.5), F.percentile(x, self.high) - F.percentile(x, self.low)
+    def _fit(self, dataset: DataFrame) -> ScalerModel:
+        require(dataset, self.variables)
+        row = quantiles(dataset, {c: F.col(c) for c in self.variables}, [0.5, self.low, self.high]).first()
+        found = {c: row[c] or [0.0, 0.0, 0.0] for c in self.variables}
+        return ScalerModel(self.variables, {c: (middle, (high - low) or 1.0) for c, (middle, low, high) in found.items()})
 
 
 class MeanNormalizer(_Scaler):
@@ -146,8 +150,8 @@ class StandardImputer(_Scaler):
     def _fit(self, dataset: DataFrame) -> StandardImputerModel:
         require(dataset, self.variables)
         clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        middle = dataset.agg(*[F.percentile(clean(c), 0.5).alias(c) for c in self.variables]).first().asDict()
-        fill = {c: (v if v is not None else 0.0) for c, v in middle.items()}
+        middle = quantiles(dataset, {c: clean(c) for c in self.variables}, [0.5]).first().asDict()
+        fill = {c: (v[0] if v is not None else 0.0) for c, v in middle.items()}
         filled = {c: F.coalesce(clean(c), F.lit(fill[c])) for c in self.variables}
         row = dataset.agg(*[f(filled[c]).alias(f"{n}{k}") for k, c in enumerate(self.variables) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         return StandardImputerModel(self.variables, {c: (row[f"m{k}"] or 0.0, row[f"s{k}"] or 1.0) for k, c in enumerate(self.variables)}, fill)

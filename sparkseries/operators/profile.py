@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import correlation, is_finite, ratio
 from .base import as_list
+from .quantiles import EXACT_ROWS, quantiles
 from .reshape import time_column
 
 
@@ -30,25 +31,28 @@ def table_profile(df: DataFrame, name: str = "") -> DataFrame:
 _STATS = ("mean", "std", "min", "p25", "median", "p75", "max", "skewness")
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """One row per column: ``column, dtype, missing, missing_rate, n_unique`` (null counts as a value), ``unique_rate, mode, mode_rate``, and for numbers
     ``mean, std, min, p25, median, p75, max, skewness`` (sample deviation, linear quantiles, population skewness).
 
-    The statistics of all columns are one aggregate; the values of all columns are counted in one unpivoted pass, ties of the mode go
+    The statistics of all columns are one aggregate, but for the quantiles (``quantiles``); the values of all columns are counted in one unpivoted pass, ties of the mode go
     to the first value in order of its text.
     """
-    parts, kinds = [], dict(df.dtypes)
+    parts, wanted, kinds = [], {}, dict(df.dtypes)
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     for i, c in enumerate(df.columns):
         x = F.col(f"`{c}`")
         parts.append(F.count_if(x.isNull()).alias(f"n{i}"))
         if c in numeric:
             v = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
-            q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            parts.append(F.array(F.avg(v), F.stddev_samp(v), F.min(v), q[0], q[1], q[2], F.max(v), F.skewness(v)).alias(f"s{i}"))
-        else:
-            parts.append(F.lit(None).cast("array<double>").alias(f"s{i}"))
+            wanted[f"q{i}"] = v
+            parts.append(F.array(F.avg(v), F.stddev_samp(v), F.min(v), F.max(v), F.skewness(v)).alias(f"t{i}"))
     one = df.agg(F.count(F.lit(1)).alias("n_rows"), *parts)
+    if wanted:
+        # one row each
+        one = one.crossJoin(quantiles(df, wanted, [0.25, 0.5, 0.75], exact_rows=exact_rows))
+    joined = lambda i: F.concat(F.slice(f"t{i}", 1, 3), F.coalesce(F.col(f"q{i}"), F.array(*[F.lit(None).cast("double")] * 3)), F.slice(f"t{i}", 4, 2))
+    one = one.withColumns({f"s{i}": joined(i) if f"q{i}" in wanted else F.lit(None).cast("array<double>") for i in range(len(df.columns))})
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype"), F.col(f"n{i}").alias("missing"), F.col(f"s{i}").alias("s")) for i, c in enumerate(df.columns)])
     stats = one.select("n_rows", F.explode(items).alias("x")).select("n_rows", "x.*")
     values = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column", "v")
@@ -136,7 +140,7 @@ def yearly_means(df: DataFrame, time: str, ranges: Mapping[str, tuple[float, flo
     return df.groupBy(F.year(time).cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n_days"), *means)
 
 
-def monthly_boxes(df: DataFrame, time: str, value: str, low: float | None = None, high: float | None = None) -> DataFrame:
+def monthly_boxes(df: DataFrame, time: str, value: str, low: float | None = None, high: float | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """``month, n, excluded, q1, median, q3, whisker_low, whisker_high, outliers``: whiskers at the last values within 1.5 times the quartile distance."""
     inside = F.lit(True)
     if low is not None:
@@ -144,8 +148,9 @@ def monthly_boxes(df: DataFrame, time: str, value: str, low: float | None = None
     if high is not None:
         inside = inside & (F.col(value) <= high)
     rows = df.select(F.month(time).cast("long").alias("month"), F.when(inside, F.col(value).cast("double")).alias("v"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quartiles = rows.groupBy("month").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("excluded"), q.alias("q")).select("month", "n", "excluded", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    of_month = quantiles(rows, {"q": F.col("v")}, [0.25, 0.5, 0.75], ["month"], exact_rows).withColumnRenamed("month", "_month")
+    counts = rows.groupBy("month").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("excluded"))
+    quartiles = counts.join(of_month, F.col("month").eqNullSafe(F.col("_month"))).select("month", "n", "excluded", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     span = 1.5 * (F.col("q3") - F.col("q1"))
     within = F.col("v").between(F.col("q1") - span, F.col("q3") + span)
     by = rows.join(F.broadcast(quartiles), "month").groupBy("month", "n", "excluded", "q1", "median", "q3")

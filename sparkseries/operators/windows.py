@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import is_finite, ratio
 from .base import Step, as_list, ordered, require
+from .quantiles import quantiles
+from .ranges import RANGE_ROWS, along
 
 
 class _Windowed(Step):
@@ -122,12 +124,11 @@ class TargetHistory(_Windowed):
         return out
 
 
-def systematic_sample(df: DataFrame, most: int, order_by, series=()) -> DataFrame:
+def systematic_sample(df: DataFrame, most: int, order_by, series=(), range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every step-th row of each series, step = max(1, rows // most), from the first row on."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*as_list(series)))
-    step = F.greatest(F.lit(1), F.floor(n / F.lit(most)))
-    rows = df.withColumn("_i", F.row_number().over(ordered(order_by, series)) - 1).withColumn("_step", step)
-    return rows.filter(F.col("_i") % F.col("_step") == 0).drop("_i", "_step")
+    rows = along(df, as_list(series), as_list(order_by), place="_i", totals={"_n": F.lit(1).cast("long")}, range_rows=range_rows)
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(most)))
+    return rows.filter((F.col("_i") - 1) % step == 0).drop("_i", "_n")
 
 
 def random_sample(df: DataFrame, most: int, key: str, seed: int = 0) -> DataFrame:
@@ -135,76 +136,75 @@ def random_sample(df: DataFrame, most: int, key: str, seed: int = 0) -> DataFram
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
 
 
-def decimate(df: DataFrame, time: str, value: str, most: int, series=(), tiebreak: Sequence[str] = ()) -> DataFrame:
+def decimate(df: DataFrame, time: str, value: str, most: int, series=(), tiebreak: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """At most ``most`` rows of each series that keep its peaks: the least and the greatest finite value of each of most // 2 buckets of rows.
 
     A series of no more than ``most`` rows is kept as it is; of equal values the first in time is kept. Values that are
-    not finite are in no bucket.
+    not finite are in no bucket. Numbers of rows come by ranges, and the rows of a bucket meet in an aggregate only; the numbers of those to keep are joined back.
     """
     if most < 2:
         raise ValueError("two rows at least")
     keys = as_list(series)
-    whole, w = Window.partitionBy(*keys), ordered([time, *tiebreak], keys)
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_ok", is_finite(value))
-    rows = rows.withColumn("_valid", F.count_if("_ok").over(whole)).withColumn("_i", F.when(F.col("_ok"), F.count_if("_ok").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    rows = rows.withColumn("_bucket", F.floor(F.col("_i") * (most // 2) / F.col("_valid")))
-    bucket = Window.partitionBy(*keys, "_bucket")
+    one, ok = F.lit(1).cast("long"), is_finite(value)
+    rows = along(df, keys, [time, *tiebreak], sums={"_i": ok.cast("long")}, totals={"_n": one, "_valid": ok.cast("long")}, range_rows=range_rows)
+    rows = rows.withColumn("_i", F.when(ok, F.col("_i") - 1)).withColumn("_series", F.struct(F.lit(0), *keys))
     v = F.col(value).cast("double")
-    low, high = F.min(F.when(F.col("_ok"), F.struct(v, "_i"))).over(bucket), F.min(F.when(F.col("_ok"), F.struct(-v, "_i"))).over(bucket)
-    rows = rows.withColumn("_low", low["_i"]).withColumn("_high", high["_i"])
-    keep = (F.col("_n") <= most) | (F.col("_ok") & ((F.col("_i") == F.col("_low")) | (F.col("_i") == F.col("_high"))))
-    return rows.filter(keep).drop("_n", "_ok", "_valid", "_i", "_bucket", "_low", "_high")
+    ends = rows.filter(ok & (F.col("_n") > most)).groupBy("_series", F.floor(F.col("_i") * (most // 2) / F.col("_valid")).alias("_bucket")).agg(F.min(F.struct(v, "_i"))["_i"].alias("_low"), F.min(F.struct(-v, "_i"))["_i"].alias("_high"))
+    kept = ends.select("_series", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_i"), F.lit(True).alias("_end"))
+    return rows.join(kept, ["_series", "_i"], "left").filter((F.col("_n") <= most) | F.col("_end")).select(*df.columns)
 
 
-def gap_breaks(df: DataFrame, x: str, y: str, series=(), factor: float = 10.0, broken: str | None = None) -> DataFrame:
-    """``y`` with null at the first row after a gap longer than ``factor`` times the series' median positive step (three rows at least)."""
+def gap_breaks(df: DataFrame, x: str, y: str, series=(), factor: float = 10.0, broken: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``y`` with null at the first row after a gap longer than ``factor`` times the series' median positive step (three rows at least).
+
+    The median is exact, also of a series that no task holds.
+    """
     keys = as_list(series)
-    gap = F.col(x).cast("double") - F.lag(F.col(x).cast("double")).over(ordered(x, keys))
-    rows = df.withColumn("_gap", gap)
-    middle = rows.groupBy(*keys).agg(F.median(F.when(F.col("_gap") > 0, F.col("_gap"))).alias("_median"), F.count(F.lit(1)).alias("_rows"))
-    rows = rows.join(middle, keys) if keys else rows.crossJoin(F.broadcast(middle))
+    rows = along(df, keys, [x], previous={"_before": F.col(x).cast("double")}, totals={"_rows": F.lit(1).cast("long")}, range_rows=range_rows)
+    rows = rows.withColumn("_gap", F.col(x).cast("double") - F.col("_before")).withColumn("_series", F.struct(F.lit(0), *keys))
+    middle = quantiles(rows.filter(F.col("_gap") > 0), {"_median": F.col("_gap")}, [0.5], ["_series"], exact_rows=range_rows)
+    rows = rows.join(middle.select("_series", F.col("_median")[0].alias("_median")), "_series", "left")
     after = F.coalesce((F.col("_rows") >= 3) & (F.col("_gap") > factor * F.col("_median")), F.lit(False))
-    return rows.withColumn(broken or y, F.when(~after, F.col(y))).drop("_gap", "_median", "_rows")
+    return rows.withColumn(broken or y, F.when(~after, F.col(y))).select(*dict.fromkeys([*df.columns, broken or y]))
+
 
+def blocks(df: DataFrame, starts: Column, order_by, series=(), name: str = "block", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Number the runs of rows of each series: a run begins where ``starts`` is true."""
+    flag = F.coalesce(starts, F.lit(False)).cast("long")
+    return along(df.withColumn("_starts", flag), as_list(series), as_list(order_by), sums={name: F.col("_starts")}, range_rows=range_rows).drop("_starts")
 
-def blocks(df: DataFrame, starts: Column, order_by, series=(), name: str = "block") -> DataFrame:
-    """Number the runs of rows of each series: a run begins where ``starts`` (over the current and the row before) is true."""
-    flagged = df.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("long"))
-    return flagged.withColumn(name, F.sum("_starts").over(ordered(order_by, series).rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
 
+def change_blocks(df: DataFrame, column: str, order_by, series=(), name: str = "block", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Number the runs of equal values of ``column`` of each series, from 0; a null neither begins nor ends a run."""
+    rows = along(df, as_list(series), as_list(order_by), previous={"_before": F.col(column)}, range_rows=range_rows)
+    return blocks(rows, F.col(column) != F.col("_before"), order_by, series, name, range_rows).drop("_before")
 
-def interpolate(df: DataFrame, value: str, valid: Column, order_by, series=()) -> DataFrame:
-    """Replace invalid values: linearly between the valid neighbours by row number, else by the last one before, else by the next one."""
-    w = ordered(order_by, series)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    # looking ahead in the opposite order: a frame that shrinks row by row would take quadratic time
-    ahead = Window.partitionBy(*as_list(series)).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+
+def interpolate(df: DataFrame, value: str, valid: Column, order_by, series=(), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Replace invalid values: linearly between the valid neighbours by row number, else by the last one before, else by the next one.
+
+    The neighbours are carried from range to range, however many invalid rows lie between.
+    """
     at = F.when(F.coalesce(valid, F.lit(False)), F.struct(F.col("_i").alias("i"), F.col(value).cast("double").alias("v")))
-    rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_at", at)
-    rows = rows.withColumn("_a", F.last("_at", ignorenulls=True).over(back)).withColumn("_b", F.last("_at", ignorenulls=True).over(ahead))
+    rows = along(df, as_list(series), as_list(order_by), place="_i", last={"_a": at}, following={"_b": at}, range_rows=range_rows)
     share = ratio(F.col("_i") - F.col("_a.i"), F.col("_b.i") - F.col("_a.i"))
     between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
-    filled = F.when(F.col("_at").isNotNull(), F.col("_at.v")).otherwise(F.coalesce(between, F.col("_a.v"), F.col("_b.v")))
-    return rows.withColumn(value, filled).drop("_i", "_at", "_a", "_b")
+    filled = F.when(F.col("_a.i") == F.col("_i"), F.col("_a.v")).otherwise(F.coalesce(between, F.col("_a.v"), F.col("_b.v")))
+    return rows.withColumn(value, filled).drop("_i", "_a", "_b")
 
 
-def nearest_value(df: DataFrame, probes: DataFrame, time: str, value: str, at: str, series: Sequence[str] = ()) -> DataFrame:
+def nearest_value(df: DataFrame, probes: DataFrame, time: str, value: str, at: str, series: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each probe with ``nearest_time`` and ``nearest_value``: the observation closest in time that is not null, the earlier of two equally close.
 
-    One union, sorted by time within the series: each probe sees the last observation up to it and the first from it on.
+    One union, ordered by time within the series: each probe sees the last observation up to it and the first from it on, which are carried from range to range. Of observations
+    at one time the greatest counts for later probes and those at that time, the least for earlier ones.
     """
     require(probes, [at, *series])
     keys = list(series)
-    seen = df.filter(F.col(value).isNotNull() & F.col(time).isNotNull())
-    left = probes.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast("struct<t:timestamp_ntz,v:double>").alias("_o"))
-    right = seen.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_probe"), F.struct(F.col(time).cast("timestamp_ntz").alias("t"), F.col(value).cast("double").alias("v")).alias("_o"))
-    # rows at one time: observations before probes when looking back, so a range frame takes them all
-    rows = left.unionByName(right)
-    w = Window.partitionBy(*keys).orderBy("_t")
-    before = F.max("_o").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min("_o").over(Window.partitionBy(*keys).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    both = rows.withColumn("_b", before).withColumn("_a", after).filter(F.col("_probe") == 1)
+    seen = df.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).groupBy(*keys, F.col(time).alias("_t")).agg(F.min(F.col(value).cast("double")).alias("low"), F.max(F.col(value).cast("double")).alias("high"))
+    left = probes.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast("struct<t:timestamp_ntz,low:double,high:double>").alias("_o"))
+    right = seen.select(*keys, "_t", F.lit(0).alias("_probe"), F.struct(F.col("_t").cast("timestamp_ntz").alias("t"), "low", "high").alias("_o"))
+    both = along(left.unionByName(right), keys, ["_t", "_probe"], last={"_b": F.col("_o")}, following={"_a": F.col("_o")}, range_rows=range_rows, rows=df.count() + probes.count()).filter(F.col("_probe") == 1)
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
     take_after = F.col("_b").isNull() | (F.col("_a").isNotNull() & (gap(F.col("_t"), F.col("_a.t")) < gap(F.col("_b.t"), F.col("_t"))))
-    chosen = F.when(take_after, F.col("_a")).otherwise(F.col("_b"))
-    return both.select(*keys, F.col("_t").alias(at), chosen["t"].alias("nearest_time"), chosen["v"].alias("nearest_value"))
+    return both.select(*keys, F.col("_t").alias(at), F.when(take_after, F.col("_a.t")).otherwise(F.col("_b.t")).alias("nearest_time"), F.when(take_after, F.col("_a.low")).otherwise(F.col("_b.high")).alias("nearest_value"))

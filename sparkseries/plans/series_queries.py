@@ -143,11 +143,7 @@ def linear_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS block
 FROM (SELECT *, CASE WHEN event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS s FROM events) e""")
 def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir)
-    w = windows.ordered(["ts", "event_id"], "user_id")
-    changed = rows.withColumn("_c", F.col("event_type") != F.lag("event_type").over(w))
-    return windows.blocks(changed, F.col("_c"), ["ts", "event_id"], "user_id").select("event_id", "block")
-
+    return windows.change_blocks(events(spark, sf_dir), "event_type", ["ts", "event_id"], "user_id").select("event_id", "block")
 
 
 @query(f"""WITH {BY_PRIORITY_SQL}, x AS (SELECT series, total - avg(total) OVER (PARTITION BY series) AS x, row_number() OVER (PARTITION BY series ORDER BY day) AS i, count(*) OVER (PARTITION BY series) AS n FROM panel),
