@@ -138,89 +138,22 @@ def ljung_box(df: DataFrame, value: str, order_by, series=(), lags: Sequence[int
     return kept.select(*keys, "n", "lag", "q", _chi2("q", F.col("lag") - model_df).alias("p_value"))
 
 
-#: MacKinnon's (2010) coefficients of the critical values with a constant, and the KPSS (1992) level table (fixed values).
-ADF_CRITICAL = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040), 0.10: (-2.56677, -1.5384, -2.809, 0.0)}
-KPSS_CRITICAL = {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
-
-
-def adf_statistic(x: np.ndarray, most: int | None = None) -> tuple[float, int, int]:
-    """The augmented Dickey-Fuller t statistic with a constant, lags by Akaike's criterion on one common sample: statistic, lags, observations."""
-    d = np.diff(x)
-    n = len(d)
-    most = min(int(math.ceil(12 * (len(x) / 100) ** 0.25)), n // 2 - 2) if most is None else most
-
-    def design(p: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        y = d[skip:]
-        return np.column_stack([x[skip:-1], np.ones(len(y)), *(d[skip - j : n - j] for j in range(1, p + 1))]), y
-
-    def residual(p: int, skip: int):
-        a, y = design(p, skip)
-        beta, *_ = np.linalg.lstsq(a, y, rcond=None)
-        return a, y, beta, float(((y - a @ beta) ** 2).sum())
-
-    def criterion(p: int) -> float:
-        _, y, _, sse = residual(p, most)
-        return len(y) * math.log(max(sse, 1e-300) / len(y)) + 2 * (p + 2)
-
-    best = min(range(max(0, most) + 1), key=criterion)
-    a, y, beta, sse = residual(best, best)
-    variance = sse / max(1, len(y) - a.shape[1]) * np.linalg.pinv(a.T @ a)[0, 0]
-    return float(beta[0] / math.sqrt(variance)) if variance > 0 else float("nan"), best, len(y)
-
-
-def kpss_statistic(x: np.ndarray) -> tuple[float, int]:
-    """The KPSS level statistic with Bartlett weights and the automatic bandwidth of Hobijn, Franses and Ooms."""
-    n = len(x)
-    e = x - x.mean()
-    cov = lambda k: float(e[k:] @ e[: n - k]) / n
-    upto = int(n ** (2 / 9))
-    s0, s1 = cov(0), 0.0
-    for k in range(1, upto + 1):
-        s0 += 2 * cov(k)
-        s1 += 2 * k * cov(k)
-    lags = min(n - 1, int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3))) if s0 else 0
-    long_run = cov(0) + 2 * sum((1 - k / (lags + 1)) * cov(k) for k in range(1, lags + 1))
-    return (float((np.cumsum(e) ** 2).sum() / (n**2 * long_run)) if long_run > 0 else float("nan")), lags
-
-
-def unit_root(df: DataFrame, value: str, order_by, series=(), level: float = 0.05) -> DataFrame:
-    """``series, n, adf, adf_lags, adf_critical, kpss, kpss_critical, verdict`` per series of at least 20 finite values.
-
-    Verdicts: stationary (ADF rejects, KPSS does not), unit root (the reverse), difference stationary (both reject), inconclusive
-    (neither). Each series is one group: its length is what one task holds.
+def residual_tests(df: DataFrame, residual: str, order_by, series, level: float = 0.05, *, lags: Sequence[int] | None = None, period: int | None = None, model_df: int = 0, regression: str = "c") -> DataFrame:
+    """One row per series: the Ljung-Box test at its greatest lag, Jarque-Bera, ADF and KPSS, and what each says at ``level``.
+
+    ``autocorrelation`` (found, not found), ``normality`` (rejected, not rejected) and ``stationarity`` (the verdict of ``unit_root``) are "not computed" where a test is. ``ljung_box`` with the same
+    arguments has all lags.
     """
+    from .unitroot import unit_root
+
     keys = as_list(series)
-    rows = df.filter(is_finite(value)).select(*keys, *as_list(order_by), F.col(value).cast("double").alias("_v"))
-    if not keys:
-        rows, keys = rows.withColumn("series", F.lit("all")), ["series"]
-    fields = [rows.schema[k] for k in keys]
-    coefficients, kpss_at = ADF_CRITICAL[level], KPSS_CRITICAL[level]
-    order = as_list(order_by)
-
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(order)["_v"].to_numpy()
-        base = {k: [group[k].iloc[0]] for k in keys} | {"n": [len(x)]}
-        if len(x) < 20 or np.ptp(x) == 0:
-            return pd.DataFrame(base | {"adf": [None], "adf_lags": [None], "adf_critical": [None], "kpss": [None], "kpss_critical": [kpss_at], "verdict": ["not computed"]})
-        t, lags, used = adf_statistic(x)
-        critical = sum(c / used**k for k, c in enumerate(coefficients))
-        level_statistic, _ = kpss_statistic(x)
-        rejects, drifts = t < critical, level_statistic > kpss_at
-        verdict = {(True, False): "stationary", (False, True): "unit root", (True, True): "difference stationary", (False, False): "inconclusive"}[bool(rejects), bool(drifts)]
-        return pd.DataFrame(base | {"adf": [t], "adf_lags": [lags], "adf_critical": [critical], "kpss": [level_statistic], "kpss_critical": [kpss_at], "verdict": [verdict]})
-
-    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in (("n", T.LongType()), ("adf", T.DoubleType()), ("adf_lags", T.DoubleType()), ("adf_critical", T.DoubleType()), ("kpss", T.DoubleType()), ("kpss_critical", T.DoubleType()), ("verdict", T.StringType())))])
-    return rows.groupBy(*keys).applyInPandas(test, schema).withColumn("adf_lags", F.col("adf_lags").cast("long"))
-
-
-def residual_tests(df: DataFrame, residual: str, order_by, series, level: float = 0.05) -> DataFrame:
-    """One row per series: the Ljung-Box test at its default lag, Jarque-Bera, unit-root verdict, and whether each is passed."""
-    keys = as_list(series)
-    box = ljung_box(df, residual, order_by, keys).select(*keys, F.col("lag").alias("lb_lag"), F.col("q").alias("lb_q"), F.col("p_value").alias("lb_p"))
+    greatest = F.max_by(F.struct(F.col("lag").alias("lb_lag"), F.col("q").alias("lb_q"), F.col("p_value").alias("lb_p")), "lag")
+    box = ljung_box(df, residual, order_by, keys, lags, period, model_df).groupBy(*keys).agg(greatest.alias("_b")).select(*keys, "_b.*")
     normal = jarque_bera(df, residual, keys).select(*keys, "n", "skewness", "kurtosis", "jb", F.col("p_value").alias("jb_p"))
-    roots = unit_root(df, residual, order_by, keys, level).select(*keys, "adf", "kpss", "verdict")
+    roots = unit_root(df, residual, order_by, keys, level, regression).drop("n")
+    says = lambda p, yes, no: F.when(F.col(p).isNull() | F.isnan(p), "not computed").when(F.col(p) < level, yes).otherwise(no)
     out = normal.join(box, keys, "left").join(roots, keys, "left")
-    return out.withColumn("uncorrelated", F.col("lb_p") >= level).withColumn("normal", F.col("jb_p") >= level)
+    return out.withColumn("autocorrelation", says("lb_p", "found", "not found")).withColumn("normality", says("jb_p", "rejected", "not rejected")).withColumn("stationarity", F.coalesce("verdict", F.lit("not computed"))).drop("verdict")
 
 
 def average_rank(df: DataFrame, column: str, name: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .correlogram import average_rank
 from .metrics import mse
 from .ranges import RANGE_ROWS
+from .ridge import ridge_cv
 
 
 def join_members(members: dict[str, DataFrame], key: str = "key", keep: Sequence[str] = ("target", "fold")) -> DataFrame:
@@ -95,7 +96,4 @@ def member_scores(df: DataFrame, names: Sequence[str], target: str) -> DataFrame
 
 def stack(df: DataFrame, names: Sequence[str], target: str, key: str, fold: str = "fold", reg: float = 0.0) -> DataFrame:
     """A linear model on the members' predictions, each fold's rows by the model of the other folds."""
-    from .models import make_pipeline, model_factory, run_cv
-
-    out, _ = run_cv(df, make_pipeline(model_factory("linear", "regression", target, regParam=reg), names, standardize=False), "regression", key, target, fold)
-    return out
+    return ridge_cv(df, names, target, key, fold, reg)[0]

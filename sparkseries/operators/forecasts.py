@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import is_finite
+from ..functions.exprs import clip, is_finite
 from .base import as_list, ordered
 from .joins import overlapping_series
 from .windows import TargetHistory, step_index
@@ -42,25 +42,31 @@ class LinearHistoryModel:
             x.append((past[-1] - past[-2]) / past[-2] if past[-2] else float("nan"))
         return self.intercept + sum(a * b for a, b in zip(self.coefficients, x, strict=True))
 
-    def forecast(self, history: Sequence[float], steps: int) -> list[float]:
-        """The next ``steps`` values; with ``difference`` p the model's series is y_t - y_{t-p} and values are added back on.
+    def forecast(self, history: Sequence[float], steps: int, low: float | None = None, high: float | None = None) -> list[float]:
+        """The next ``steps`` values, each limited to ``low`` and ``high`` before it becomes the past of the next; with ``difference`` p the model's series is y_t - y_{t-p} and values are added back on.
 
         With ``log_offset`` c the series is log(y + c) before any difference; a past value with no logarithm makes what rests on it NaN.
+        On the scale of a difference or a logarithm limits mean nothing: then only what is returned is limited, and the past goes on without.
         """
         y, p, c = [float(v) for v in history], self.difference, self.log_offset
         if c is not None:
             y = [math.log(v + c) if v + c > 0 else math.nan for v in y]
         z = [b - a for a, b in zip(y, y[p:], strict=False)] if p else y
-        out = []
+        out: list[float] = []
+
+        def limited(v: float) -> float:
+            v = low if low is not None and v < low else v
+            return high if high is not None and v > high else v
+
         for _ in range(steps):
             if len(z) < self.lookback - p:
                 return out + [float("nan")] * (steps - len(out))
             step = self.predict(z)
-            value = step + y[-p] if p else step
+            value = step + y[-p] if p else step if c is not None else limited(step)
             if p:
                 z.append(step)
             y.append(value)
-            out.append(value if c is None else _exp(value) - c)
+            out.append(limited(value if c is None else _exp(value) - c))
         return out
 
 
@@ -103,7 +109,8 @@ def recursive_forecast(model: LinearHistoryModel, history: DataFrame, future: Da
     """``series, time, step, pred`` for every future row, one task group per series and no driver loop over steps.
 
     Of the history, only the last ``lookback`` rows of each series travel. The future's target column, if any, is not read. A
-    series whose future does not begin after its history is an error. Predictions are clipped after they are back on the original scale.
+    series whose future does not begin after its history is an error. Each step is clipped to ``low`` and ``high`` before it becomes the history of the next; a model of
+    differences or logarithms is clipped on the original scale only, after the recursion.
     """
     keys = as_list(series)
     if not overlapping_series(history, future, time, keys).isEmpty():
@@ -116,18 +123,13 @@ def recursive_forecast(model: LinearHistoryModel, history: DataFrame, future: Da
 
     def run(batches):
         for batch in batches:
-            out = [model.forecast(p if p is not None else [], int(n)) for p, n in zip(batch["_past"], batch["_steps"], strict=True)]
+            out = [model.forecast(p if p is not None else [], int(n), low, high) for p, n in zip(batch["_past"], batch["_steps"], strict=True)]
             yield batch[keys].assign(_preds=out)
 
     schema = T.StructType([*(steps.schema[k] for k in keys), T.StructField("_preds", T.ArrayType(T.DoubleType()))])
     found = steps.mapInPandas(run, schema)
     pred = F.nanvl(F.get("_preds", (F.col("step") - 1).cast("int")), F.lit(None).cast("double"))
-    out = ahead.join(found, keys).select(*keys, time, "step", pred.alias("pred"))
-    if low is not None:
-        out = out.withColumn("pred", F.when(F.col("pred") < low, F.lit(float(low))).otherwise(F.col("pred")))
-    if high is not None:
-        out = out.withColumn("pred", F.when(F.col("pred") > high, F.lit(float(high))).otherwise(F.col("pred")))
-    return out
+    return ahead.join(found, keys).select(*keys, time, "step", pred.alias("pred"))
 
 
 def one_step(model: LinearHistoryModel, df: DataFrame, target: str, time: str, series) -> DataFrame:
@@ -179,8 +181,8 @@ def _written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def forecast_any(predict, history: DataFrame, future: DataFrame, builder: TargetHistory, time: str, series) -> DataFrame:
-    """The same with any fitted model: ``predict`` maps rows with the builder's features to ``keys, time, pred``.
+def forecast_any(predict, history: DataFrame, future: DataFrame, builder: TargetHistory, time: str, series, low: float | None = None, high: float | None = None) -> DataFrame:
+    """The same with any fitted model: ``predict`` maps rows with the builder's features to ``keys, time, pred``; each step is clipped before it becomes the history of the next.
 
     A loop over steps on the driver; each step carries ``lookback`` rows per series and is written to the shared checkpoint
     folder, so that a lost executor costs one step.
@@ -194,7 +196,7 @@ def forecast_any(predict, history: DataFrame, future: DataFrame, builder: Target
     for h in range(1, int(steps.agg(F.max("step")).first()[0] or 0) + 1):
         now = steps.filter(F.col("step") == h).drop("step")
         rows = builder.transform(context.unionByName(now, allowMissingColumns=True))
-        made = predict(rows.join(now.select(*keys, time), [*keys, time], "left_semi")).select(*keys, time, F.col("pred").cast("double").alias("pred"))
+        made = predict(rows.join(now.select(*keys, time), [*keys, time], "left_semi")).select(*keys, time, clip(F.col("pred").cast("double"), low, high).alias("pred"))
         made = _written(made)
         part = made.withColumn("step", F.lit(h))
         out = part if out is None else out.unionByName(part)

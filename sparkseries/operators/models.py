@@ -142,17 +142,6 @@ def linear_attributions(df: DataFrame, coefficients: Mapping[str, float], means:
     return df.withColumns({f"{prefix}{c}": F.lit(float(b)) * (F.col(c) - F.lit(float(means[c]))) for c, b in coefficients.items()})
 
 
-def fold_attributions(df: DataFrame, features: Sequence[str], label: str, fold: str, reg: float = 0.0) -> DataFrame:
-    """Each fold's rows explained by the linear model of the other rows and their means."""
-    parts = []
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        train = ModelInput(list(features)).transform(df.filter(F.col(fold) != k))
-        model = LinearRegression(featuresCol="features", labelCol=label, regParam=reg).fit(train)
-        means = train.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
-        parts.append(linear_attributions(df.filter(F.col(fold) == k), dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), means))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def learning_curve(df: DataFrame, pipeline: Estimator, label: str, key: str, shares: Sequence[float], score: Callable[[DataFrame], float], fold: str = "fold") -> DataFrame:
     """``share, train_score, valid_score, train_std, valid_std``: fits on a share of each fold's training rows, chosen by hash of the key."""
     rows = []

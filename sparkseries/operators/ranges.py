@@ -126,7 +126,7 @@ def with_past(df: DataFrame, series: Sequence[str], order: Sequence[str], lookba
     Each series is cut into chunks of about ``range_rows``, and each chunk also has the last ``lookback`` rows of the one before.
     """
     keys, n = list(series), df.count()
-    size = max(range_rows, lookback, 1)
+    size = max(range_rows, lookback, 1)  # so that the rows looked back at are in one chunk
     if n <= size:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_i", F.row_number().over(w).cast("long")), [*keys, "_chunk"], "_i", F.lit(True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import correlogram, ensembles, evaluate, folds, forecasts, metrics, models, windows
+from ..operators import correlogram, ensembles, evaluate, folds, forecasts, metrics, models, ridge, windows
 from .registry import BY_PRIORITY_SQL, DAILY_SQL, daily, events, panel, query, read, tidy
 
 # -- folds -------------------------------------------------------------------------------------------------------
@@ -296,8 +296,7 @@ _LINES = "WITH l AS (SELECT l_orderkey, sum(l_quantity) AS x1, avg(l_discount) A
 
 @query(f"{_LINES}, {_least_squares(0.1)} SELECT l_orderkey, l.fold, round(y, 2) AS price, round(my + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3), 1) AS pred FROM l JOIN fit ON l.fold = fit.fold")
 def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pipeline = models.make_pipeline(models.model_factory("linear", "regression", "price", regParam=0.1), ["quantity", "discount", "lines"])
-    out = models.run_cv(_lines_by_key(spark, sf_dir), pipeline, "regression", "l_orderkey", "price")[0]
+    out, _ = ridge.ridge_cv(_lines_by_key(spark, sf_dir), ["quantity", "discount", "lines"], "price", "l_orderkey", reg=0.1)
     return tidy(out.withColumn("pred", F.round("pred", 1)), 2)
 
 
@@ -316,7 +315,7 @@ _ATTRIBUTED = f"{_LINES}, {_least_squares()}, a AS (SELECT l.*, b1 * (x1 - m1) A
 
 @query(f"{_ATTRIBUTED} SELECT l_orderkey, fold, round(a1, 1) AS attr_quantity, round(a2, 1) AS attr_discount, round(a3, 1) AS attr_lines FROM a")
 def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.fold_attributions(_lines_by_key(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
+    out = ridge.ridge_attributions(_lines_by_key(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
     return tidy(out.select("l_orderkey", "fold", "attr_quantity", "attr_discount", "attr_lines"), 1)
 
 
@@ -325,7 +324,7 @@ r AS (SELECT feature, x, a, rank() OVER (PARTITION BY feature ORDER BY x) + (cou
 c AS (SELECT feature, count(*) AS n, corr(x, a) AS pearson, corr(rx, ra) AS spearman FROM r GROUP BY 1)
 SELECT feature, n, round(pearson, 4) AS pearson, round(spearman, 4) AS spearman, CASE WHEN spearman > 0.05 THEN '+' WHEN spearman < -0.05 THEN '-' ELSE 'none' END AS direction FROM c""")
 def attribution_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.fold_attributions(_lines_by_key(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
+    out = ridge.ridge_attributions(_lines_by_key(spark, sf_dir), ["quantity", "discount", "lines"], "price", "fold")
     return tidy(evaluate.attribution_correlation(out, ["quantity", "discount", "lines"]), 4)
 
 
@@ -344,6 +343,21 @@ def recursive_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(forecasts.recursive_forecast(model, history, future, "total", "day", "series", low=0.0), 1)
 
 
+#: Between bounds that many steps cross; a clipped step is the past of the next.
+_LOW, _HIGH = 120_000, 200_000
+
+
+@query(f"""WITH RECURSIVE {BY_PRIORITY_SQL}, t AS (SELECT total AS y, lag(total) OVER w AS x1, lag(total, 7) OVER w AS x2, avg(total) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS x3 FROM panel WHERE day < '2001-06-01' WINDOW w AS (PARTITION BY series ORDER BY day)),
+{_ALL_ROWS}, {_least_squares()}, h AS (SELECT series, list(total ORDER BY day)[-7:] AS past FROM panel WHERE day < '2001-06-01' GROUP BY 1), a AS (SELECT series, day, row_number() OVER (PARTITION BY series ORDER BY day) AS step FROM panel WHERE day >= '2001-06-01'),
+g(series, step, past) AS (SELECT series, 0::BIGINT, past FROM h UNION ALL SELECT g.series, g.step + 1, list_append(past[2:], least(greatest(my + b1 * (past[7] - m1) + b2 * (past[1] - m2) + b3 * (list_avg(past) - m3), {_LOW}), {_HIGH})) FROM g, fit WHERE fold = 0 AND EXISTS (SELECT 1 FROM a WHERE a.series = g.series AND a.step = g.step + 1))
+SELECT a.series, day, a.step, round(past[7], 1) AS pred FROM a JOIN g ON a.series = g.series AND a.step = g.step""")
+def recursive_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel(spark, sf_dir)
+    history, future = rows.filter("day < '2001-06-01'"), rows.filter("day >= '2001-06-01'")
+    model = forecasts.fit_linear_history(history, "total", "day", "series", lags=[1, 7], windows=[7])
+    return tidy(forecasts.recursive_forecast(model, history, future, "total", "day", "series", low=_LOW, high=_HIGH), 1)
+
+
 def _backtest_sql(there: str, back: str) -> str:
     """The backtest on weekly differences of a transformed total: of each cut a fit of two lags on the rows before, 28 steps ahead, and one step from the true past."""
     return f"""WITH RECURSIVE {BY_PRIORITY_SQL}, cuts(k, a, b) AS (VALUES (0, '2000-06-01', '2001-01-01'), (1, '2001-01-01', '9999-12-31')), y AS (SELECT series, day, total, {there} AS y FROM panel),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import correlogram, difference, longseries, windows
+from ..operators import correlogram, difference, longseries, unitroot, windows
 from .registry import BY_PRIORITY_SQL, DAILY_SQL, daily, events, panel, query, tidy
 
 _USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -186,7 +188,46 @@ def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def unit_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(correlogram.unit_root(panel(spark, sf_dir), "total", "day", "series"))
+    return tidy(unitroot.unit_root(panel(spark, sf_dir), "total", "day", "series"))
+
+
+@query()
+def unit_root_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(unitroot.unit_root(panel(spark, sf_dir), "total", "day", "series", regression="ct"))
+
+
+#: Both tests in closed form: the regression without past differences has one slope; KPSS with its automatic bandwidth, for which ``e`` are the residuals of the level or the trend.
+def _unit_root_sql(trend: bool) -> str:
+    residual = "v - m - b * (i - (n + 1) / 2.0::DOUBLE)" if trend else "v - m"
+    # of a regression on the value before and on time, by partial correlations
+    adf = "(q1 - r * q2) / sqrt((1 - r * r) * (1 - q2 * q2) - pow(q1 - r * q2, 2)) * sqrt(o - 3)" if trend else "q1 / sqrt(1 - q1 * q1) * sqrt(o - 2)"
+    table = "[(0.0, 0.119, 0.1), (0.119, 0.146, 0.05), (0.146, 0.176, 0.025), (0.176, 0.216, 0.01)]" if trend else "[(0.0, 0.347, 0.1), (0.347, 0.463, 0.05), (0.463, 0.574, 0.025), (0.574, 0.739, 0.01)]"
+    at = [float(x) for x in re.findall(r", (0\.\d+), ", table)]
+    steps = list(zip(at, (0.1, 0.05, 0.025, 0.01), strict=True))
+    cases = " ".join(f"WHEN kpss <= {b} THEN {p} + ({q} - {p}) * (kpss - {a}) / ({b} - {a})" for (a, p), (b, q) in zip(steps, steps[1:], strict=False))
+    return f"""WITH {BY_PRIORITY_SQL}, x AS (SELECT series, total AS v, row_number() {_SERIES} AS i, count(*) OVER (PARTITION BY series) AS n, lag(total) {_SERIES} AS past FROM panel),
+d AS (SELECT series, corr(past, v - past) AS q1, corr(i, v - past) AS q2, corr(past, i) AS r, count(past) AS o FROM x WHERE past IS NOT NULL GROUP BY 1), s AS (SELECT series, avg(v) AS m, regr_slope(v, i) AS b FROM x GROUP BY 1),
+e AS (SELECT x.series, n, i, {residual} AS e FROM x JOIN s ON x.series = s.series), c AS (SELECT a.series, a.n, b.i - a.i AS k, sum(a.e * b.e) AS c FROM e a JOIN e b ON a.series = b.series AND b.i - a.i BETWEEN 0 AND 200 GROUP BY 1, 2, 3),
+w AS (SELECT series, n, (sum(CASE WHEN k BETWEEN 1 AND floor(pow(n, 2 / 9.0::DOUBLE)) THEN 2 * k * c END) / sum(CASE WHEN k = 0 THEN c WHEN k <= floor(pow(n, 2 / 9.0::DOUBLE)) THEN 2 * c END)) AS s FROM c GROUP BY 1, 2),
+l AS (SELECT series, n, least(n - 1, floor(1.1447::DOUBLE * pow(s * s, 1 / 3.0::DOUBLE) * pow(n, 1 / 3.0::DOUBLE)))::BIGINT AS lags FROM w),
+v AS (SELECT c.series, sum(CASE WHEN k = 0 THEN c WHEN k <= lags THEN 2 * (1 - k / (lags + 1.0::DOUBLE)) * c END) / any_value(c.n) AS var FROM c JOIN l ON c.series = l.series GROUP BY 1),
+u AS (SELECT series, sum(s * s) AS s2 FROM (SELECT series, sum(e) OVER (PARTITION BY series ORDER BY i) AS s FROM e) t GROUP BY 1), k AS (SELECT l.series, n, lags, s2 / (n::DOUBLE * n * var) AS kpss FROM l JOIN u ON l.series = u.series JOIN v ON l.series = v.series)
+SELECT k.series, n, round({adf}, 4) AS adf, 0::BIGINT AS adf_lags, round(kpss, 6) AS kpss, round(CASE WHEN kpss <= {at[0]} THEN 0.1 {cases} ELSE 0.01 END::DOUBLE, 6) AS kpss_p, lags AS kpss_lags FROM k JOIN d ON k.series = d.series"""
+
+
+def _plain_unit_root(spark: SparkSession, sf_dir: str, regression: str) -> DataFrame:
+    out = unitroot.unit_root(panel(spark, sf_dir), "total", "day", "series", regression=regression, adf_lags=0)
+    return tidy(out.select("series", "n", F.round("adf", 4).alias("adf"), "adf_lags", "kpss", "kpss_p", "kpss_lags"))
+
+
+@query(_unit_root_sql(False))
+def dickey_fuller_kpss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_unit_root(spark, sf_dir, "c")
+
+
+@query(_unit_root_sql(True))
+def dickey_fuller_kpss_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_unit_root(spark, sf_dir, "ct")
 
 
 @query(f"""WITH {BY_PRIORITY_SQL}, l AS (SELECT series, day, total AS raw, CASE WHEN total > 0 THEN ln(total) END AS log FROM panel),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseries.operators import correlogram, difference, evaluate, folds, windows
+from sparkseries.operators import correlogram, difference, evaluate, folds, unitroot, windows
 
 
 def column(df, name, order):
@@ -131,7 +131,7 @@ def test_verdicts(spark):
     noise = rng.normal(size=400)
     rows = [("noise", i, float(v)) for i, v in enumerate(noise)] + [("walk", i, float(v)) for i, v in enumerate(np.cumsum(rng.normal(size=400)))]
     df = spark.createDataFrame(rows, "s string, t long, x double")
-    got = {r.s: r.verdict for r in correlogram.unit_root(df, "x", "t", "s").collect()}
+    got = {r.s: r.verdict for r in unitroot.unit_root(df, "x", "t", "s").collect()}
     assert got["noise"] == "stationary" and got["walk"] == "unit root"
     lb = {r.s: r.p_value for r in correlogram.ljung_box(df, "x", "t", "s").collect()}
     assert lb["noise"] > 0.01 and lb["walk"] < 1e-6
