@@ -29,6 +29,12 @@ CLEAR, END, FREE, WIDEST = 256, 257, 258, 12
 ROW, PAGE_ROWS, STRIP_ROWS, TILE = 576, 1024, 64, 64
 
 
+#: The tags that are read; values of others are not looked at.
+READ_TAGS = frozenset((WIDTH, LENGTH, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES))
+#: Bytes that one stored byte can stand for at most: a code of 9 bits or more for a string of under 4096; two bytes for 128; deflate's longest match of 258 in two bits.
+MOST_FROM_A_BYTE = {NONE: 1, LZW: 4096, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032}
+
+
 class BadTiff(ValueError):
     """The bytes are not a TIFF that can be read."""
 
@@ -185,7 +191,7 @@ def _entries(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tup
     tags: dict[int, tuple[int, ...]] = {}
     for k in range(n):
         tag, kind, many = struct.unpack_from(order + "HH" + where, data, at + k * size)
-        if kind not in KINDS:
+        if kind not in KINDS or tag not in READ_TAGS:
             continue
         form = f"{order}{many}{KINDS[kind]}"
         inline = at + k * size + (12 if big else 8)
@@ -211,32 +217,49 @@ def read_tiff(data: bytes) -> Iterator[Page]:
             seen.add(at)
             tags, at = _entries(data, at, order, magic == 43)
             yield _page(data, tags, order, len(seen) - 1)
-    except (struct.error, KeyError, IndexError) as e:
+    except (struct.error, KeyError, IndexError, OverflowError) as e:
         raise BadTiff(f"cut short or incomplete: {e!r}") from e
 
 
+def _checked(tags: dict[int, tuple[int, ...]], tag: int, default: int | None = None) -> int:
+    """The first value of a tag, a whole number of at least 1."""
+    value = tags[tag][0] if tag in tags or default is None else default
+    if not isinstance(value, int) or value < 1:
+        raise BadTiff(f"tag {tag} is {value!r}")
+    return value
+
+
 def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, number: int) -> Page:
-    width, length = tags[WIDTH][0], tags[LENGTH][0]
-    samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (1,))
-    scheme, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-    if len(set(bits)) != 1 or bits[0] not in (8, 16, 32) or tags.get(PLANAR, (1,))[0] != 1 or predictor not in (1, 2):
+    """One image. Nothing is allocated before it is known that the stored bytes can yield as much."""
+    width, length, samples = _checked(tags, WIDTH), _checked(tags, LENGTH), _checked(tags, SAMPLES, 1)
+    scheme, predictor, bits = _checked(tags, COMPRESSION, NONE), _checked(tags, PREDICTOR, 1), tags.get(BITS, (1,))
+    if len(set(bits)) != 1 or bits[0] not in (8, 16, 32) or _checked(tags, PLANAR, 1) != 1 or predictor not in (1, 2):
         raise BadTiff("only chunky samples of 8, 16 or 32 bits, with horizontal differences at most")
+    if scheme not in MOST_FROM_A_BYTE:
+        raise BadTiff(f"compression {scheme} is not known")
     kind = np.dtype(f"{order}u{bits[0] // 8}")
     tiled = TILE_OFFSETS in tags
     if tiled:
-        wide, high, offsets, sizes = tags[TILE_WIDTH][0], tags[TILE_LENGTH][0], tags[TILE_OFFSETS], tags[TILE_BYTES]
+        wide, high, offsets, sizes = _checked(tags, TILE_WIDTH), _checked(tags, TILE_LENGTH), tags[TILE_OFFSETS], tags[TILE_BYTES]
     else:
-        wide, high, offsets, sizes = width, min(length, tags.get(ROWS_PER_STRIP, (length,))[0]), tags[STRIP_OFFSETS], tags[STRIP_BYTES]
-    across = -(-width // wide)
+        wide, high, offsets, sizes = width, min(length, _checked(tags, ROWS_PER_STRIP, length)), tags[STRIP_OFFSETS], tags[STRIP_BYTES]
+    across, down = -(-width // wide), -(-length // high)
+    if not len(offsets) == len(sizes) == across * down:
+        raise BadTiff(f"{across * down} strips or tiles with {len(offsets)} places and {len(sizes)} sizes")
+    if not all(isinstance(x, int) and x >= 0 for x in (*offsets, *sizes)):
+        raise BadTiff("a place or size of a strip or tile is no number")
+    stored = [data[offset : offset + size] for offset, size in zip(offsets, sizes, strict=True)]
+    rows_of = [high if tiled else min(high, length - k * high) for k in range(down) for _ in range(across)]
+    wants = [rows * wide * samples * kind.itemsize for rows in rows_of]
+    if any(want > len(block) * MOST_FROM_A_BYTE[scheme] for want, block in zip(wants, stored, strict=True)):
+        raise BadTiff("a strip or tile is cut short")
     image = np.zeros((length, width, samples), dtype=kind.newbyteorder("="))
-    for k, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
+    for k, (rows, want) in enumerate(zip(rows_of, wants, strict=True)):
         top, left = k // across * high, k % across * wide
-        rows = high if tiled else min(high, length - top)
-        want = rows * wide * samples * kind.itemsize
-        block = decompress(data[offset : offset + size], scheme, want)
+        block = decompress(stored[k], scheme, want)
         if len(block) < want:
             raise BadTiff("a strip or tile is cut short")
-        part = np.frombuffer(block, dtype=kind).reshape(rows, wide, samples).astype(image.dtype)
+        part = np.frombuffer(block, dtype=kind, count=want // kind.itemsize).reshape(rows, wide, samples).astype(image.dtype)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=image.dtype)
         image[top : top + rows, left : left + wide] = part[: length - top, : width - left]
@@ -317,7 +340,11 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_media(docs: DataFrame, keep: list[str], *, text: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``n_bytes`` and ``media``, the text as a TIFF. A null text is stored like an empty one."""
+    """Columns ``keep`` of ``docs`` with ``n_bytes`` and ``media``, the text as a TIFF.
+
+    A null text is stored like an empty one, a text of any length as pages of ``PAGE_ROWS`` rows. Rows are stored each by itself, so that equal texts, repeated
+    rows among them, have equal bytes; an empty table gives no rows. Other columns are ignored.
+    """
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     return in_short_batches(docs).select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(_store, schema)
 
@@ -361,8 +388,8 @@ def _explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tiff_pages(df: DataFrame, keep: list[str], *, media: str = "media") -> DataFrame:
     """One row per page of the TIFFs in ``media``: columns ``keep`` and ``page, width, height, samples, compression, predictor, tiled, pixels, error``.
 
-    Bytes that are null, cut short or not TIFF give the pages read so far and one row with ``error`` set and null
-    pixels. Repeated rows are read each; an empty table gives no rows; other columns are ignored.
+    Bytes that are null, cut short or not TIFF, and headers that contradict themselves or the bytes stored (sizes of 0, images larger than the stored bytes can yield, numbers of strips that don't fit), give
+    the pages read so far and one row with ``error`` set and null pixels. Repeated rows are read each; an empty table gives no rows; other columns are ignored.
     """
     kinds = {"page": "integer", "width": "integer", "height": "integer", "samples": "integer", "compression": "integer", "predictor": "integer", "tiled": "boolean", "pixels": "binary", "error": "string"}
     schema = T.StructType([df.schema[c] for c in keep])
