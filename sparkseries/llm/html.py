@@ -29,7 +29,9 @@ _HIDES_P = CONTAINER | {"li", "td", "th", "blockquote"}
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply pagination pager search toolbar form skip".split()
 )
-#: Of these, words that also have another use, and words that tell no use: "related-posts" stands beside the text, "related-work" may not.
+#: Of these, words of what readers wrote, however much of it there is.
+COMMENT_WORDS = frozenset("comment comments disqus respond reply".split())
+#: Of all, words that also have another use, and words that tell no use: "related-posts" stands beside the text, "related-work" may not.
 WEAK_WORDS = frozenset("related header form notice notices alert search social aside skip widget reply respond banner rail pager toolbar login share sharing menu".split())
 PLACE_WORDS = frozenset("area articles bar block body bottom box btn button buttons col column container content global group holder inner item items left line link links list main module outer page panel post posts primary region right row secondary section site slot stories sub top user wrap wrapper reader".split())
 #: "has-sidebar" is no sidebar.
@@ -37,8 +39,10 @@ OTHERWISE = frozenset("has have is hide no non not with without".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 #: Words that name a heading's place, not something beside the text.
 HEADING_WORDS, HEADINGS = frozenset("header masthead banner".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
-#: An element with a class word and at least this share of the page's text is no box beside the text.
+#: An element with a class word of a layout and at least this share of the page's text is no box beside the text.
 WHOLE = 0.8
+#: The best container holds at least this share of the text of each element around it.
+MOST = 0.8
 #: Elements that end when another of them begins inside the same parent.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 _HIDES = {tag: of | {"table", "div", "article"} for tag, of in SIBLINGS.items()}
@@ -53,7 +57,7 @@ _DIGITS = re.compile(r"\d+")
 
 @dataclass(slots=True)
 class Element:
-    """An open or closed element: its parent, generalised path, whether its text is left out, its place among containers, whether its text may be left out, its innermost block, and whether it is in an article."""
+    """An open or closed element: its parent, generalised path, whether its text is left out, its place among containers, whether its text may be left out, its innermost block, whether it is in an article, and whether it is what readers wrote."""
 
     tag: str
     parent: int
@@ -63,6 +67,7 @@ class Element:
     suspect: bool = False
     block: int = 0
     article: bool = False
+    comment: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -86,26 +91,43 @@ def _names_a_box(token: str) -> bool:
     return bool(found - WEAK_WORDS) or parts <= DROPPED_WORDS | PLACE_WORDS
 
 
+def _tokens(tag: str, attributes: dict[str, str]) -> list[str]:
+    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return [t for t in tokens if not set(_WORD.findall(t)) & HEADING_WORDS] if tag in HEADINGS else tokens
+
+
+def _is_comment(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a class or id word says that readers wrote it."""
+    return tag not in ("html", "body", "main") and "-" not in tag and any(set(_WORD.findall(t)) & COMMENT_WORDS and _names_a_box(t) for t in _tokens(tag, attributes))
+
+
 def _is_suspect(tag: str, attributes: dict[str, str]) -> bool:
     """A form, or a class or id word says that it is beside the text; ``_kept`` decides for blocks."""
-    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
-    if tag in HEADINGS:
-        tokens = [t for t in tokens if not set(_WORD.findall(t)) & HEADING_WORDS]
-    return tag == "form" or attributes.get("role", "").lower() == "form" or tag not in ("html", "body", "article", "main") and "-" not in tag and any(map(_names_a_box, tokens))
+    return tag == "form" or attributes.get("role", "").lower() == "form" or tag not in ("html", "body", "article", "main") and "-" not in tag and any(map(_names_a_box, _tokens(tag, attributes)))
 
 
 def _kept(elements: list[Element], blocks: list[tuple[int, str, float]]) -> list[tuple[int, str, float]]:
-    """The blocks outside suspect elements; one that holds main, h1, an article of most of the page's text, or nearly all of the text is none. All blocks if none is left."""
-    if not any(e.suspect for e in elements):
+    """The blocks outside suspect elements; all blocks if none is left.
+
+    An element that holds main, h1 or an article of most of the page's text is no suspect. Nor is a layout (not comments) that holds nearly all of the text,
+    unless an article, main or h1 lies beside it.
+    """
+    if not any(e.suspect or e.comment for e in elements):
         return blocks
     inside = _weights(elements, blocks)
-    holds, gone = [False] * len(elements), [False] * len(elements)
+    holds, gone, beside = [False] * len(elements), [False] * len(elements), [False] * len(elements)
+    marks = [0] * len(elements)  # articles, mains and h1 with text in the element, outside comments
+    for k, e in enumerate(elements[1:], 1):
+        beside[k] = beside[e.parent] or e.suspect or e.comment or e.dropped
+        marks[k] = int(inside[k] > 0 and not e.comment and (e.tag in ("main", "article") or e.tag == "h1" and not beside[k]))
     for k in range(len(elements) - 1, 0, -1):
         e = elements[k]
-        holds[k] |= not e.dropped and (e.tag in ("main", "h1") or e.tag == "article" and inside[k] > 0.5 * inside[0])
+        holds[k] |= not e.dropped and (e.tag in ("main", "h1") or e.tag == "article" and not e.comment and inside[k] > 0.5 * inside[0])
         holds[e.parent] |= holds[k]
+        marks[e.parent] += marks[k]
     for k, e in enumerate(elements[1:], 1):
-        gone[k] = gone[e.parent] or e.suspect and not holds[k] and not inside[k] >= WHOLE * inside[0] > 0
+        whole = not e.comment and inside[k] >= WHOLE * inside[0] > 0 and marks[k] == marks[0]
+        gone[k] = gone[e.parent] or (e.suspect or e.comment) and not holds[k] and not whole
     return [b for b in blocks if not gone[b[0]]] or blocks
 
 
@@ -239,7 +261,7 @@ def parse(html: str | None) -> tuple[list[Element], list[tuple[int, str, float]]
                     # the path by its hash, or deep pages would take the square of their depth
                     classes = ".".join(sorted(_DIGITS.sub("#", attributes.get("class", "").lower()).split()))
                     path = f"{tag}:{hashlib.blake2b(f'{parent.path}>{tag}.{classes}'.encode('utf-8', 'replace'), digest_size=12).hexdigest()}"
-                elements.append(Element(tag, stack[-1], path or parent.path, dropped, tag in CONTAINER, tag in BLOCK and _is_suspect(tag, attributes), len(elements) if tag in BLOCK else parent.block, parent.article or tag in ("article", "main")))
+                elements.append(Element(tag, stack[-1], path or parent.path, dropped, tag in CONTAINER, tag in BLOCK and _is_suspect(tag, attributes), len(elements) if tag in BLOCK else parent.block, parent.article or tag in ("article", "main"), tag in BLOCK and _is_comment(tag, attributes)))
                 places.setdefault(tag, []).append(len(stack))
                 stack.append(len(elements) - 1)
         try:
@@ -262,16 +284,36 @@ def _weights(elements: list[Element], blocks: list[tuple[int, str, float]]) -> l
 
 
 def best_container(elements: list[Element], blocks: list[tuple[int, str, float]]) -> int:
-    """Down from the page to the container that still holds four fifths of the text around it."""
+    """Down from the page to the container that still holds ``MOST`` of the text of each element around it.
+
+    Nothing goes on below an article or main, or past the page's h1: of two elements of which only the outer one holds it, the outer one is the
+    container, unless that holds an article beside the inner one.
+    """
     inside, at = _weights(elements, blocks), 0
     children: dict[int, list[int]] = {}
     for k, e in enumerate(elements[1:], 1):
         children.setdefault(e.parent, []).append(k)
-    while True:
-        below = [k for k in children.get(at, ()) if inside[k] >= 0.8 * inside[at] > 0]
+    down = [0]
+    while elements[at].tag not in ("article", "main"):
+        below = [k for k in children.get(at, ()) if inside[k] >= MOST * inside[at] > 0]
         if not below or not elements[below[0]].container:
-            return at
+            break
         at = below[0]
+        down.append(at)
+    written = {e for e, _, _ in blocks}
+    title = next((k for k, e in enumerate(elements) if e.tag == "h1" and k in written), None)
+    if title is None:
+        return at
+    around = {title}
+    while title > 0:
+        title = elements[title].parent
+        around.add(title)
+    common = next(k for k in reversed(down) if k in around)
+    within = [False] * len(elements)
+    for k, e in enumerate(elements):
+        within[k] = k == at or (e.parent >= 0 and within[e.parent])
+    others = any(e.tag == "article" and not e.comment and not within[k] and inside[k] > 0 and k not in down and k not in around for k, e in enumerate(elements))
+    return at if others else common
 
 
 def vote(html: str | None) -> tuple[str, float] | None:

@@ -92,6 +92,48 @@ def test_broken_media_give_a_row_with_the_error(spark):
     assert media.tiff_pages(bad.limit(0), ["id"]).count() == 0
 
 
+def made_tiff(tags, body: bytes = b"") -> bytes:
+    """A TIFF of one directory from (tag, kind, values)."""
+    out, extra, entries = bytearray(b"II" + struct.pack("<HI", 42, 8)), b"", []
+    for tag, kind, values in tags:
+        raw = struct.pack(f"<{len(values)}{media.KINDS[kind]}", *values)
+        inline = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", 8 + 2 + 12 * len(tags) + 4 + len(extra))
+        extra += raw if len(raw) > 4 else b""
+        entries.append(struct.pack("<HHI", tag, kind, len(values)) + inline)
+    return bytes(out + struct.pack("<H", len(tags)) + b"".join(entries) + b"\0\0\0\0" + extra + body)
+
+
+HEADER = {256: (4, [4]), 257: (4, [4]), 258: (3, [8]), 259: (3, [1]), 273: (4, [0]), 278: (4, [4]), 279: (4, [16])}
+TILED = {k: v for k, v in HEADER.items() if k not in (273, 278, 279)} | {322: (4, [0]), 323: (4, [16]), 324: (4, [0]), 325: (4, [16])}
+
+
+@pytest.mark.parametrize(
+    "tags",
+    [HEADER | {256: (4, [0])}, HEADER | {257: (9, [-5])}, HEADER | {256: (4, [2**31]), 257: (4, [2**31])}, HEADER | {256: (4, [2**31]), 257: (4, [2**31]), 278: (4, [2**31])}, HEADER | {273: (4, [0, 8])}, HEADER | {273: (4, [])}, HEADER | {256: (2, [b"a"])}, HEADER | {273: (2, [b"a"])}, HEADER | {278: (4, [0])}, HEADER | {277: (4, [10**9])}, HEADER | {259: (3, [8]), 256: (4, [30_000]), 257: (4, [30_000]), 278: (4, [30_000])}, TILED, TILED | {322: (4, [2**30]), 323: (4, [2**30])}],
+)
+def test_headers_that_cannot_be_are_an_error_row(tags):
+    assert [r[8] for r in media.page_rows(made_tiff([(t, *v) for t, v in HEADER.items()]))] == [None]
+    (row,) = media.page_rows(made_tiff([(t, *v) for t, v in sorted(tags.items())]))
+    assert row[0] == 0 and row[7] is None and row[8]
+
+
+def test_changed_headers_never_crash():
+    import tracemalloc
+
+    rng = random.Random(1)
+    bases = [media.store_payload("word " * k) for k in (0, 5, 400)] + [made_tiff([(t, *v) for t, v in d.items()]) for d in (HEADER, TILED)]
+    errors = 0
+    tracemalloc.start()
+    for _ in range(10_000):
+        data = bytearray(rng.choice(bases))
+        for _ in range(rng.randint(1, 6)):
+            data[rng.choice([rng.randrange(len(data)), max(0, len(data) - rng.randint(1, 160)), rng.randrange(min(16, len(data)))])] = rng.choice([0, 255, 128, 1, rng.randrange(256)])
+        errors += any(r[8] for r in media.page_rows(bytes(data[: rng.randrange(len(data))] if rng.random() < 0.1 else data)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert errors > 5000 and most < 50_000_000
+
+
 def test_digest_reads_back_what_was_stored(spark, tmp_path):
     spark.createDataFrame([(1, "abc"), (2, None), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = media.op7_media(spark, str(tmp_path)).orderBy("doc_id").collect()
@@ -144,6 +186,47 @@ def test_layout_words_do_not_take_the_article():
     assert html.extract(f'<div><p>{text}</p><form><p>Send your name</p></form><span class="share">now</span></div>', None) == text
 
 
+def _paragraphs(n: int) -> str:
+    return "".join(f"<p>Paragraph {i} of the article with quite some words, so that it is text of some length.</p>" for i in range(n))
+
+
+def _comments(n: int) -> str:
+    return "".join(f"<li>Comment {i} by a reader who has an opinion on everything that is written here.</li>" for i in range(n))
+
+
+@pytest.mark.parametrize("times", [1, 5, 50])
+@pytest.mark.parametrize(
+    "layout",
+    [
+        "<body><article><h1>T</h1>{a}</article><section class='comments'><ul>{c}</ul></section></body>",
+        "<body><div class='post'><h1>T</h1>{a}</div><div class='comments'><ol>{c}</ol></div></body>",
+        "<body><div class='post'>{a}</div><div id='comments'><ol>{c}</ol></div></body>",
+        "<body><main><article><h1>T</h1>{a}<div id='disqus_thread'>{c}</div></article></main></body>",
+        "<body><div class='entry'><h1>T</h1>{a}</div><article class='comment'>{c}</article></body>",
+    ],
+)
+def test_comments_never_take_the_articles_place(layout, times):
+    page = layout.format(a=_paragraphs(3), c=_comments(3 * times))
+    text = html.extract(page, html.vote(page)[0])
+    assert "Paragraph 2" in text and "opinion" not in text and text.startswith("T\n\n" if "<h1>" in page else "Paragraph 0")
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        "<article><h1>H</h1><p class='lead'>Lead</p><div class='body'>{a}</div></article>",
+        "<body><div class='page'><div class='story'><h1>H</h1><p>Lead</p><div class='body'><div class='inner'>{a}</div></div></div></div></body>",
+        "<body><h1>H</h1><p>Lead</p><div class='body'>{a}</div></body>",
+        "<main><h1>H</h1><div><p>Lead</p><section>{a}</section></div></main>",
+        "<body><article><header><h1>H</h1><p>Lead</p></header><section class='text'>{a}</section></article></body>",
+    ],
+)
+def test_titles_and_leads_stay(layout):
+    page = layout.format(a=_paragraphs(10))
+    text = html.extract(page, html.vote(page)[0])
+    assert text.startswith("H\n\nLead\n\nParagraph 0") and "Paragraph 9" in text
+
+
 def test_words_in_class_names_are_not_boxes():
     text = "A long sentence of the article that goes on and on, as articles do."
     assert html.extract(f'<body><div class="container has-sidebar"><p>{text}</p></div></body>', None) == text
