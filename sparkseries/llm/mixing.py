@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,9 @@ from .common import WORD, cut, join_checked, table
 
 SEED = "mix"
 #: Production parameters: entropy as a share of that of equal weights, passes over a source, mix blocks.
-ENTROPY_SHARE, MAX_REPEATS, MIX_BLOCKS, STEPS = 0.95, 4.0, 64, 50
+ENTROPY_SHARE, MAX_REPEATS, MIX_BLOCKS = 0.95, 4.0, 64
+#: Halvings of the exponent's interval, and how many of them one aggregate decides.
+STEPS, BITS = 50, 5
 
 
 def token_count(text: str) -> Column:
@@ -21,45 +26,55 @@ def order_key(epoch: Column, key: str) -> Column:
     return F.substring(F.md5(F.concat_ws(":", F.lit(SEED), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 16)
 
 
-def _powers(shares: Column, a: Column) -> Column:
-    raised = F.transform(shares, lambda p: F.pow(p, a))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
-
+def _sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent a the sums over sources of p^a and of p^a ln p, in one aggregate."""
+    p = F.col("share")
+    row = shares.agg(*[f.alias(f"{n}{k}") for k, a in enumerate(exponents) for n, f in (("z", F.sum(F.pow(p, F.lit(a)))), ("l", F.sum(F.pow(p, F.lit(a)) * F.ln(p))))]).first()
+    return [(row[f"z{k}"], row[f"l{k}"]) for k in range(len(exponents))]
 
-def _bisect(lo: Column, hi: Column, up, steps: int) -> Column:
-    """(lo, hi) after ``steps`` halvings; lo moves to the middle where ``up(middle)`` holds, else hi does."""
 
-    def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        return F.when(up(mid), F.struct(mid.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(lo.alias("lo"), hi.alias("hi")), step)
+def _narrow(shares: DataFrame, lo: float, hi: float, up: Callable[[float, float, float], bool]) -> tuple[float, float]:
+    """(lo, hi) after ``STEPS`` halvings; lo moves to the middle where ``up(middle, its sums)`` holds, else hi does. Each aggregate has the middles of BITS halvings."""
+    for _ in range(STEPS // BITS):
+        n = 1 << BITS
+        grid = [lo + (hi - lo) * k / n for k in range(1, n)]
+        holds = [up(a, z, l) for a, (z, l) in zip(grid, _sums(shares, grid), strict=True)]
+        left, right = 0, n
+        while right - left > 1:
+            middle = (left + right) // 2
+            left, right = (middle, right) if holds[middle - 1] else (left, middle)
+        points = [lo, *grid, hi]
+        lo, hi = points[left], points[right]
+    return lo, hi
 
 
 def source_quotas(tokens: DataFrame, *, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget_share: float = 1.0) -> DataFrame:
     """One row per source with tokens: ``source, tokens, share, exponent, weight, quota``.
 
-    ``tokens`` has ``source, tokens``. Weights are the sources' token shares raised to an exponent from
+    ``tokens`` has ``source, tokens``, and is read several times. Weights are the sources' token shares raised to an exponent from
     0 to 1 and normalised. The exponent is the largest at which their entropy reaches ``entropy_share``
     of that of equal weights; if a source would then be read more than ``max_repeats`` times, the
     smallest larger one at which none is. The quota is the weight's part of ``budget_share`` times all tokens.
+
+    Sources stay rows, however many: entropy and repeats follow from two sums over them, and the driver has these sums for a grid of exponents only.
     """
     some = tokens.filter(F.col("tokens") > 0)
-    one = some.agg(F.array_sort(F.collect_list(F.struct("source", "tokens"))).alias("s"), F.sum("tokens").alias("total")).filter(F.size("s") > 0)
-    one = one.withColumn("shares", F.transform("s", lambda x: x["tokens"] / F.col("total"))).withColumn("target", F.lit(entropy_share) * F.ln(F.size("s").cast("double")))
-
-    def entropy(a: Column) -> Column:
-        return F.aggregate(_powers(F.col("shares"), a), F.lit(0.0), lambda s, w: s - w * F.ln(w))
-
-    def repeats(a: Column) -> Column:
-        return F.array_max(F.zip_with(_powers(F.col("shares"), a), F.col("shares"), lambda w, p: w * F.lit(budget_share) / p))
-
-    one = one.withColumn("by_entropy", F.when(entropy(F.lit(1.0)) >= F.col("target"), F.lit(1.0)).otherwise(_bisect(F.lit(0.0), F.lit(1.0), lambda m: entropy(m) >= F.col("target"), STEPS)["lo"]))
-    one = one.withColumn("exponent", F.when(repeats(F.col("by_entropy")) <= max_repeats, F.col("by_entropy")).otherwise(_bisect(F.col("by_entropy"), F.lit(1.0), lambda m: repeats(m) > F.lit(max_repeats), STEPS)["hi"]))
-    one = one.withColumn("weights", _powers(F.col("shares"), F.col("exponent")))
-    rows = one.select("total", "exponent", F.explode(F.arrays_zip("s", "shares", "weights")).alias("x"))
-    weight = F.col("x.weights")
-    return rows.select(F.col("x.s.source").alias("source"), F.col("x.s.tokens").alias("tokens"), F.col("x.shares").alias("share"), "exponent", weight.alias("weight"), F.floor(weight * F.lit(budget_share) * F.col("total")).cast("long").alias("quota"))
+    first = some.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total"), F.min("tokens").alias("least")).first()
+    shares = some.withColumn("share", F.col("tokens") / F.lit(first["total"]).cast("double"))
+    if not first["n"]:
+        return shares.withColumns({"exponent": F.lit(1.0), "weight": F.lit(1.0), "quota": F.lit(0).cast("long")})
+    target, least = entropy_share * math.log(first["n"]), first["least"] / first["total"]
+    enough = lambda a, z, l: math.log(z) - a * l / z >= target
+    # the smallest source is repeated most
+    repeats = lambda a, z: least ** (a - 1) / z * budget_share
+    exponent = 1.0 if enough(1.0, *_sums(shares, [1.0])[0]) else _narrow(shares, 0.0, 1.0, enough)[0]
+    z = _sums(shares, [exponent])[0][0]
+    if repeats(exponent, z) > max_repeats:
+        exponent = _narrow(shares, exponent, 1.0, lambda a, z, _: repeats(a, z) > max_repeats)[1]
+        z = _sums(shares, [exponent])[0][0]
+    weight = F.pow("share", F.lit(exponent)) / F.lit(z)
+    quota = F.floor(weight * F.lit(budget_share) * F.lit(first["total"])).cast("long")
+    return shares.select("source", "tokens", "share", F.lit(exponent).alias("exponent"), weight.alias("weight"), quota.alias("quota"))
 
 
 def mix_plan(counted: DataFrame, key: str, source: str, blocks: int = 4096, **quota_options) -> DataFrame:
@@ -70,7 +85,7 @@ def mix_plan(counted: DataFrame, key: str, source: str, blocks: int = 4096, **qu
     the runs' tokens find the run in which the quota ends; only that run is ordered by document.
     """
     held = counted.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source"), "n_tokens")
-    sums = held.groupBy(F.col("_source").alias("source")).agg(F.sum("n_tokens").alias("tokens"))
+    sums = cut(held.groupBy(F.col("_source").alias("source")).agg(F.sum("n_tokens").alias("tokens")))
     quotas = cut(source_quotas(sums, **quota_options).select(F.col("source").alias("_source"), "tokens", "quota"))
     quotas = quotas.withColumn("passes", F.expr("quota div tokens")).withColumn("rest", F.col("quota") % F.col("tokens")).withColumn("ratio", F.col("quota") / F.col("tokens"))
     keyed = join_checked(held, quotas.select("_source", "passes", "rest"), ["_source"]).withColumn("_h", order_key(F.col("passes"), "_key"))
@@ -94,7 +109,7 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sou
     stops at the last document with which the pass is still within the quota. Reading the rows by
     ``_mix_block, _order_key`` gives ``mix_blocks`` blocks, each with the target weights.
 
-    Null sources are one source; null or wordless texts cost nothing, follow their source, and are read
+    Null sources, and the source with an empty name, are one source; null or wordless texts cost nothing, follow their source, and are read
     once where the source has no tokens at all. Repeated rows share an order key and are taken
     together. An empty table gives no rows. Other columns are
     carried along, but for those named like an added one.
