@@ -31,10 +31,10 @@ _OTHER = re.compile(r"[^a-z]+")
 _OTHER_UNICODE = re.compile(r"[\W\d_]+")
 _FOLD_LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items() if k.isascii()})
 
-#: Labelled rows that the lexicon is learnt from at most, chosen evenly by a hash of the key.
+#: Labelled rows that the lexicon is learnt from at most, chosen evenly by a hash of the key; they bound its terms and exceptions too.
 TRAIN_ROWS = 20_000
-#: Bounds of the lexicon: characters of a stem, candidates, terms, exceptions.
-STEM, MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = (4, 5, 6), 50_000, 2_000, 5_000
+#: Characters of a stem.
+STEM = (4, 5, 6)
 #: Clean rows that a phrase must be in to be an exception.
 LEAST_CLEAN = 3
 #: A term's least weight (natural log of how much likelier it is in toxic rows), least share of toxic rows, least number of different neighbourhoods.
@@ -192,9 +192,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     different neighbours (rare words of a text that was copied often have few). A word whose stem is kept is left out unless it is heavier. Words that begin with a kept stem but are
     mostly in clean rows become exceptions, besides those given, and so do phrases, a term's word and a neighbour, that are likelier in clean rows.
 
-    Rows without a text, a label or a partner in the other table are not learnt from; a key with several labels is toxic if one of them is. Where
-    candidates, terms or exceptions are more than their bounds, the most frequent (heaviest) are kept, ties in order of the terms. Other columns, whatever
-    their names, are ignored. Without a toxic row the lexicon is empty.
+    Rows without a text, a label or a partner in the other table are not learnt from; a key with several labels is toxic if one of them is. The
+    bound on rows is the only one: all terms and exceptions that they show are kept. Other columns, whatever their names, are ignored. Without a toxic row the lexicon is empty.
     """
     spark = docs.sparkSession
     marked = labels.filter(F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
@@ -210,29 +209,26 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     counts = cut(train.mapInPandas(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") > 0))
     weight = F.ln((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.ln((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(3, math.ceil(LEAST_SHARE * n_toxic))
-    found = counts.withColumn("weight", weight).filter((F.col("toxic") >= least) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("toxic"), "term").limit(MAX_CANDIDATES).collect()
+    found = counts.withColumn("weight", weight).filter((F.col("toxic") >= least) & (F.col("weight") >= LEAST_WEIGHT)).collect()
     candidates = {r["term"]: r["weight"] for r in found}
     shared = spark.sparkContext.broadcast(frozenset(candidates))
     places = train.filter(F.col("toxic") == 1).select("text").mapInPandas(_places(shared), "term string, place string").distinct()
     spread = places.groupBy("term").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") >= LEAST_PLACES)
-    wide = spread.orderBy(F.desc("places"), "term").limit(MAX_CANDIDATES).collect()
-    kept = {r["term"]: candidates[r["term"]] for r in wide}
+    kept = {r["term"]: candidates[r["term"]] for r in spread.collect()}
 
     def covered(term: str) -> bool:
         """A stem that is at least as heavy, within a small margin, says as much."""
         return any(kept.get(term[: n + 1], -1.0) >= kept[term] - 1.0 for n in STEM if len(term) > n + 1)
 
-    weights = dict(sorted(((t, w) for t, w in kept.items() if not covered(t)), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
+    weights = dict(sorted(((t, w) for t, w in kept.items() if not covered(t)), key=lambda x: (-x[1], x[0])))
     stems = [t for t in weights if not t.endswith(" ")]
     spared: list[str] = list(exceptions)
     if stems:
-        begins = F.lit(False)
-        for s in stems:
-            begins = begins | F.col("term").startswith(s)
-        mostly = counts.filter(F.col("term").endswith(" ") & begins & (F.col("clean") > F.col("toxic"))).orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS)
-        spared += [r["term"] for r in mostly.collect()]
+        begins = spark.createDataFrame([(x,) for x in stems], "stem string")
+        words = counts.filter(F.col("term").endswith(" ") & (F.col("clean") > F.col("toxic"))).select("term", F.explode(F.array(*[F.substring("term", 1, n + 1) for n in STEM])).alias("stem"))
+        spared += sorted(r["term"] for r in words.join(begins, "stem", "left_semi").select("term").distinct().collect())
     pairs = train.select("toxic", "text").mapInPandas(_count_phrases(spark.sparkContext.broadcast(weights)), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    spared += [r["phrase"] for r in pairs.filter((F.col("clean") >= LEAST_CLEAN) & (weight < 0)).orderBy(F.desc("clean"), "phrase").limit(MAX_EXCEPTIONS).collect()]
+    spared += sorted(r["phrase"] for r in pairs.filter((F.col("clean") >= LEAST_CLEAN) & (weight < 0)).select("phrase").collect())
     lexicon = Lexicon(weights, tuple(spared))
     raws = train.select("toxic", "text").mapInPandas(_raws(spark.sparkContext.broadcast(lexicon)), "toxic int, raw double")
     low = raws.filter(F.col("toxic") == 1).agg(F.percentile_approx("raw", 0.02)).first()[0] or 0.0
