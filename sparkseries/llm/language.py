@@ -12,13 +12,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, in_short_batches, table, tidy_worker
 
-#: Bounds of the model, whatever the corpus: training rows (or one a language, if those are more), words and n-grams a language, characters of an n-gram.
-TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 10_000, 20_000, 8_000, 4
+#: Labelled rows that the model is learnt from (or one a language, if those are more), which bounds its words and n-grams; characters of an n-gram.
+TRAIN_ROWS, LONGEST = 4_000, 4
 #: Rows are chosen in units of one over this number, fine enough for any table.
 SHARES = 1 << 40
 WORDS = re.compile(r"[^\W\d_]+")
@@ -173,33 +173,30 @@ def sampled(rows: int, of: int) -> int:
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = TRAIN_ROWS) -> Model:
     """Fit on rows with a language whose key is not held out, all of them or about ``max_rows`` by hash: see ``rows_each`` for how many of each language.
 
-    A language of at most ``max_rows`` over the number of languages rows is thus learnt from all of them, and every language takes part. One
-    without a word in its rows is never predicted. A term that a language lacks has one frequency for all languages, below that
+    A language of at most ``max_rows`` over the number of languages rows is thus learnt from all of them, and every language takes part: the row with
+    its least hash is always among them. One without a word in its rows is never predicted. A term that a language lacks has one frequency for all languages, below that
     of any known term, however little a language was seen.
 
-    Of each language at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each length are kept, the most frequent, ties
-    in order of the terms. The sample and these bounds make the model's size independent of the corpus.
+    All words and n-grams of these rows are kept, so the number of rows alone makes the model's size independent of the corpus.
     """
     spark = docs.sparkSession
     rows = in_short_batches(docs).filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    chance = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(SHARES))
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(chance).alias("least")).collect()
     if not found:
         return Model([], [], [])
     each = rows_each([r["n"] for r in found], max_rows)
-    below = spark.createDataFrame([(r["lang"], sampled(each, r["n"])) for r in found], "lang string, below long")
-    some = rows.join(F.broadcast(below), "lang").filter(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(SHARES)) < F.col("below"))
+    below = spark.createDataFrame([(r["lang"], max(sampled(each, r["n"]), r["least"] + 1)) for r in found], "lang string, below long")
+    some = rows.join(F.broadcast(below), "lang").filter(chance < F.col("below"))
     counts = some.select("lang", "text").mapInPandas(tidy_worker(_count), "lang string, n int, term string, count long").groupBy("lang", "n", "term").agg(F.sum("count").alias("count"))
     counts = cut(counts)
     totals = {(r["lang"], r["n"]): (r["t"], r["k"]) for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("t"), F.count(F.lit(1)).alias("k")).collect()}
     langs = sorted({x for x, _ in totals})
-    most = F.when(F.col("n") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
-    # a window holds terms of the sample only
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "term")))
-    kept = ranked.filter(F.col("rank") <= most).select("lang", "n", "term", "count").collect()
     index = {x: k for k, x in enumerate(langs)}
     entries: list[list[tuple[str, int, float]]] = [[] for _ in range(LONGEST + 1)]
-    for r in kept:
-        entries[r["n"]].append((r["term"], index[r["lang"]], math.log((r["count"] + 0.1) / sum(totals[r["lang"], r["n"]]))))
+    for batch in counts.toArrow().to_batches():
+        for lang, n, term, count in zip(*(batch.column(c).to_pylist() for c in ("lang", "n", "term", "count")), strict=True):
+            entries[n].append((term, index[lang], math.log((count + 0.1) / sum(totals[lang, n]))))
     # of the language seen most: a language seen less must not be likelier where it knows nothing
     floors = [math.log(0.1 / max((sum(totals[x, n]) for x in langs if (x, n) in totals), default=1)) for n in range(LONGEST + 1)]
     return Model(langs, entries, floors)
@@ -249,6 +246,9 @@ def _accept(shared, at: int, least: float):
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, *, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of at least ``least``."""
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of at least ``least``.
+
+    Null, empty and wordless texts go. Each row is judged by its text alone, so repeated rows stay or go together; ids may be null. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     return docs.mapInArrow(tidy_worker(_accept(shared, docs.columns.index(text), least)), docs.schema)

@@ -310,11 +310,35 @@ def test_many_languages_and_words_that_occur_once(spark):
     assert all(r.lang_pred == rows[r.doc_id][2] for r in language.identify(d, model, ["doc_id"]).collect())
 
 
-def test_terms_of_one_frequency_are_kept_up_to_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_WORDS", 5)
-    d = spark.createDataFrame([(1, "b a d c f e h g", "x"), (2, "z y w", "y")], "doc_id long, text string, lang string")
-    words = language.learn(d).terms[0]
-    assert sorted(words) == ["a", "b", "c", "d", "e", "w", "y", "z"]
+def test_all_words_of_the_sample_are_kept(spark):
+    rng = random.Random(3)
+    words = list(dict.fromkeys("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30_000)))
+    d = spark.createDataFrame([(1, " ".join(words), "x"), (2, "z y w", "y")], "doc_id long, text string, lang string")
+    terms = language.learn(d).terms
+    assert set(terms[0]) == {*words, "z", "y", "w"}
+    assert set(terms[4]) == {g for w in (*words, "z", "y", "w") for g in language.grams_of(w, 4)}
+
+
+def test_every_language_has_a_row_in_the_sample(spark):
+    rows = [(k, f"{chr(0x4E00 + k // 30) * 3} common", f"l{k // 30}") for k in range(60 * 30)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=10)
+    assert len(model.langs) == 60 and len(model.terms[0]) == 61
+
+
+def test_many_sources(spark):
+    """A hundred thousand sources, whose exponent comes from sums over them."""
+    tokens = spark.range(100_000).select(F.col("id").cast("string").alias("source"), (1 + 1_000_000 / (1 + F.col("id"))).cast("long").alias("tokens"))
+    found = mixing.source_quotas(tokens.repartition(4)).toPandas()
+    p = np.array([1 + 1_000_000 // (1 + k) for k in range(100_000)], float)
+    p /= p.sum()
+    a = found["exponent"].iloc[0]
+    weights = lambda x: p**x / (p**x).sum()
+    entropy = lambda w: float((-w * np.log(w)).sum())
+    target = mixing.ENTROPY_SHARE * np.log(len(p))
+    # the largest exponent of enough entropy, or the smallest one at which no source is read too often
+    by_entropy = entropy(weights(a)) >= target - 1e-9 > entropy(weights(a + 1e-6))
+    assert by_entropy or (weights(a - 1e-6) / p).max() > mixing.MAX_REPEATS
+    assert (found["weight"] / found["share"]).max() <= mixing.MAX_REPEATS + 1e-9 and abs(found["weight"].sum() - 1) < 1e-9
 
 
 def plain_language(docs, text):
