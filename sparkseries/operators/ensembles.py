@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .correlogram import average_rank
-from .metrics import mse
+from .metrics import get_metric, mse, score_by
 from .ranges import RANGE_ROWS
 from .ridge import ridge_cv
 
@@ -88,6 +88,73 @@ def cross_fit_blend(df: DataFrame, names: Sequence[str], target: str, fold: str,
     return df.join(chosen, fold).withColumn(output, blend).drop("_weights")
 
 
+def _blend_of(names: Sequence[str], weights: str = "_weights") -> Column:
+    return reduce(lambda a, b: a + b, [F.get(weights, F.lit(i)) * F.col(c) for i, c in enumerate(names)])
+
+
+def vector_scores(df: DataFrame, names: Sequence[str], target: str, metric: str, vectors: Sequence[tuple], sets: str | None = None) -> DataFrame:
+    """``set, weight_id, score`` of weight vectors by any metric, all in one pass. ``vectors`` are (set, weight_id, weights); without ``sets``, a column of ``df``, all rows are set 0.
+
+    Metrics that are sums over rows are added up in each task; those that order rows (areas under curves) order each vector's blends.
+    """
+    table = df.sparkSession.createDataFrame([(s, i, [float(x) for x in w]) for s, i, w in vectors], "set int, weight_id int, _weights array<double>")
+    rows = df.select(F.col(target).alias("_y"), *names, (F.col(sets) if sets else F.lit(0)).cast("int").alias("_set"))
+    rows = rows.join(F.broadcast(table), F.col("_set") == F.col("set")).select("set", "weight_id", "_y", _blend_of(names).alias("_p"))
+    return score_by(rows, "_y", "_p", metric, ["set", "weight_id"])
+
+
+def metric_weights(df: DataFrame, names: Sequence[str], target: str, metric: str, sets: str | None = None, steps: int = 4, rounds: int = 6) -> dict[int, tuple[tuple[float, ...], float]]:
+    """For each set the weights, not negative and of sum 1, that are best by any metric, and their score; without ``sets``, a column of whole numbers, for set 0.
+
+    Begins with a grid of the simplex, on which are the members alone, and looks in each round at the moves of half the last step from one member to
+    another, so it is never worse than the best member or the grid. Each round is one pass over the rows for all sets and vectors. Equal scores go to the first vector.
+    """
+    better = max if get_metric(metric)[0].greater else min
+    k = len(names)
+    ids = [0] if sets is None else sorted(r[0] for r in df.select(F.col(sets).cast("int")).distinct().collect() if r[0] is not None)
+    even = tuple(1 / k for _ in names)
+    candidates = {s: [even, *weight_grid(k, steps)] for s in ids}
+    best: dict[int, tuple[tuple[float, ...], float]] = {}
+    step = 1 / steps
+    for _ in range(rounds + 1):
+        vectors = [(s, i, w) for s, ws in candidates.items() for i, w in enumerate(ws)]
+        found = {(r["set"], r["weight_id"]): r["score"] for r in vector_scores(df, names, target, metric, vectors, sets).collect()}
+        for s, ws in candidates.items():
+            scored = [(w, found[s, i]) for i, w in enumerate(ws) if found.get((s, i)) is not None]
+            options = ([best[s]] if s in best else []) + scored
+            if options:
+                top = better(x for _, x in options)
+                best[s] = next(o for o in options if o[1] == top)
+        step /= 2
+        candidates = {s: _moves(w, step) for s, (w, _) in best.items()}
+    return best
+
+
+def _moves(w: tuple[float, ...], step: float) -> list[tuple[float, ...]]:
+    """``w`` with up to ``step`` of one member's weight given to another."""
+    out = []
+    for i, j in product(range(len(w)), repeat=2):
+        if i != j and (part := min(step, w[i])) > 0:
+            out.append(tuple(x - part if m == i else x + part if m == j else x for m, x in enumerate(w)))
+    return out or [w]
+
+
+def blend_by_metric(df: DataFrame, names: Sequence[str], target: str, metric: str, output: str = "pred", **options) -> tuple[DataFrame, tuple[float, ...]]:
+    """``df`` with the blend whose weights are best by the metric over all rows, and the weights."""
+    w = metric_weights(df, names, target, metric, **options)[0][0]
+    return df.withColumn(output, reduce(lambda a, b: a + b, [F.lit(x) * F.col(c) for x, c in zip(w, names, strict=True)])), w
+
+
+def cross_fit_by_metric(df: DataFrame, names: Sequence[str], target: str, fold: str, metric: str, output: str = "pred", **options) -> DataFrame:
+    """Each fold's rows blended with the weights that are best by the metric on the rows of the other folds; null where there are none, or for a null fold."""
+    ids = sorted(r[0] for r in df.select(F.col(fold).cast("int")).distinct().collect() if r[0] is not None)
+    others = F.explode(F.array(*[F.lit(k) for k in ids])) if ids else F.lit(None).cast("int")
+    training = df.select(*dict.fromkeys([target, *names]), F.col(fold).cast("int").alias("_own"), others.alias("_of")).filter(F.col("_own") != F.col("_of"))
+    found = metric_weights(training, names, target, metric, sets="_of", **options)
+    table = df.sparkSession.createDataFrame([(s, list(w)) for s, (w, _) in found.items()], "_of int, _weights array<double>")
+    return df.join(F.broadcast(table), F.col(fold).cast("int") == F.col("_of"), "left").withColumn(output, _blend_of(names)).drop("_of", "_weights")
+
+
 def member_scores(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     """``model, n, rmse``: members and blends on the same rows."""
     long = df.select(target, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([target], list(names), "model", "_p")

@@ -206,6 +206,23 @@ def get_metric(name: str, task: str | None = None) -> tuple[Metric, dict[str, fl
     return metric, options
 
 
+def score_by(df: DataFrame, y: str, p: str, metric: str, by: Sequence[str]) -> DataFrame:
+    """``by, score``: any metric of one column of predictions (values, or probabilities of label 1) for each group; all groups in one pass."""
+    found, options = get_metric(metric)
+    if found.of is not None:
+        return df.groupBy(*by).agg(found.of(y, p).alias("score"))
+    if found.name in ("roc_auc", "roc_auc_micro", "roc_auc_macro", "pr_auc", "pauc"):
+        column = {"pr_auc": "average_precision", "pauc": "pauc"}.get(found.name, "roc_auc")
+        return ranking_scores(df, y, p, by, **options).select(*by, F.col(column).alias("score"))
+    matrix = confusion(df.withColumn("_label", binary_label(p)), y, "_label", [0, 1], by)
+    if found.name in ("accuracy", "mcc", "g_mean"):
+        return agreement_scores(matrix, by).select(*by, F.col(found.name).alias("score"))
+    name, _, average = found.name.partition("_")
+    if not average:
+        return class_scores(matrix, by).filter("class = 1").select(*by, F.col(name).alias("score"))
+    return averaged_scores(matrix, by).filter(F.col("average") == average).select(*by, F.col(name).alias("score"))
+
+
 def regression_scores(df: DataFrame, y: str, p: str, by: Sequence[str] = (), rollup: bool = False) -> DataFrame:
     """``by, n, rmse, mse, mae, mape, r2`` over finite pairs; with ``rollup`` also over all (nulls in ``by``)."""
     rows = df.filter(is_finite(y) & is_finite(p))

@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from statistics import median
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
@@ -214,6 +215,36 @@ def tune(objective: Callable[[dict], float], space: Mapping[str, tuple], trials:
     return points[order[0]], rows if spark is None else spark.createDataFrame(rows, "trial int, parameters map<string,string>, score double")
 
 
+def tune_by_folds(objective: Callable[[dict, int], float], space: Mapping[str, tuple], trials: int, folds: Sequence[int], greater: bool = False, seed: int = 0, threads: int = 4, startup: int = 4, warmup: int = 1) -> tuple[dict, list[dict]]:
+    """Seeded random search that stops bad trials early: the best parameters, and a row for each trial, complete and best first.
+
+    ``objective(params, fold)`` is the score of one fold. The folds are rungs: after each, a trial whose mean so far is worse than the median of the others' is stopped and fitted no further, if at
+    least ``startup`` trials are left and ``warmup`` rungs are done. Trials of a rung run side by side; what is stopped depends on scores only, so one seed gives one table.
+    Rows: trial, params, state (complete or stopped), rungs, score (the mean of the folds done), scores.
+    """
+    points = [sample_space(space, seed, k) for k in range(trials)]
+    scores: dict[int, list[float]] = {k: [] for k in range(trials)}
+    alive, sign = list(range(trials)), -1.0 if greater else 1.0
+    mean = lambda k: sum(scores[k]) / len(scores[k])
+    with ThreadPoolExecutor(threads) as pool:
+        for rung, fold in enumerate(folds):
+            for k, v in zip(alive, pool.map(lambda k, f=fold: float(objective(points[k], f)), alive), strict=True):
+                scores[k].append(v)
+            if rung + 1 >= len(folds) or rung + 1 < warmup or len(alive) < startup:
+                continue
+            # worse than the middle of the others at this rung
+            alive = [k for k in alive if sign * mean(k) <= median([sign * mean(j) for j in alive if j != k])]
+    whole = set(alive)
+    order = sorted(range(trials), key=lambda k: (k not in whole, sign * mean(k), k))
+    rows = [{"trial": k, "params": points[k], "state": "complete" if k in whole else "stopped", "rungs": len(scores[k]), "score": mean(k), "scores": scores[k]} for k in order]
+    return points[order[0]], rows
+
+
+def trials_table(spark, rows: Sequence[Mapping]) -> DataFrame:
+    """The rows of ``tune_by_folds``: ``trial, params, state, rungs, score, scores``."""
+    return spark.createDataFrame([(r["trial"], {n: str(v) for n, v in r["params"].items()}, r["state"], r["rungs"], r["score"], r["scores"]) for r in rows], "trial int, params map<string,string>, state string, rungs int, score double, scores array<double>")
+
+
 def leaderboard(scores: DataFrame, score: str = "score", greater: bool = False) -> DataFrame:
     """Scores with ``rank``: equal scores share the better rank."""
     from pyspark.sql import Window

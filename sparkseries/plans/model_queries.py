@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import correlogram, ensembles, evaluate, folds, forecasts, metrics, models, ridge, windows
+from ..operators import correlogram, ensembles, evaluate, folds, forecasts, metrics, models, ridge, selection, windows
 from .registry import BY_PRIORITY_SQL, DAILY_SQL, daily, events, panel, query, read, tidy
 
 # -- folds -------------------------------------------------------------------------------------------------------
@@ -251,6 +251,28 @@ def weighted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.withColumn("sse", F.col("sse") / 1e9), 4)
 
 
+_VECTORS = [(0, k, (k / 10, (10 - k) / 10)) for k in range(11)]
+
+
+@query(f"{_TWO}, w AS (SELECT unnest(range(0, 11)) AS weight_id) SELECT weight_id, round(avg(abs(weight_id / 10.0::DOUBLE * a + (10 - weight_id) / 10.0::DOUBLE * b - y)), 3) AS score FROM t, w GROUP BY 1")
+def weighted_grid_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(ensembles.vector_scores(_two(spark, sf_dir), ["a", "b"], "y", "mae", _VECTORS).drop("set"), 3)
+
+
+@query(f"""{_TWO}, w AS (SELECT unnest(range(0, 11)) AS weight_id), x AS (SELECT weight_id, weight_id / 10.0::DOUBLE * a + (10 - weight_id) / 10.0::DOUBLE * b AS p, y > 150000 AS hit FROM t, w),
+r AS (SELECT *, rank() OVER (PARTITION BY weight_id ORDER BY p) + (count(*) OVER (PARTITION BY weight_id, p) - 1) / 2.0::DOUBLE AS r FROM x)
+SELECT weight_id, round((sum(r) FILTER (hit) - count(*) FILTER (hit) * (count(*) FILTER (hit) + 1) / 2.0::DOUBLE) / (count(*) FILTER (hit) * count(*) FILTER (NOT hit)), 6) AS score FROM r GROUP BY 1""")
+def weighted_grid_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _two(spark, sf_dir).withColumn("hit", (F.col("y") > 150000).cast("int"))
+    return tidy(ensembles.vector_scores(rows, ["a", "b"], "hit", "roc_auc", _VECTORS).drop("set"))
+
+
+@query()
+def crossfit_blend_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold blended with the weights of the least absolute error on the others."""
+    return tidy(ensembles.cross_fit_by_metric(_two(spark, sf_dir), ["a", "b"], "y", "fold", "mae").select("series", "day", "pred"), 3)
+
+
 @query(f"""{_TWO}, w AS (SELECT unnest(range(0, 11)) AS k), g AS (SELECT fold, k, sum(pow(k / 10.0::DOUBLE * a + (10 - k) / 10.0::DOUBLE * b - y, 2)) AS sse FROM t, w GROUP BY 1, 2),
 o AS (SELECT fold, k, sum(sse) OVER (PARTITION BY k) - sse AS o FROM g), c AS (SELECT fold, k FROM o QUALIFY row_number() OVER (PARTITION BY fold ORDER BY o, k) = 1)
 SELECT series, day, round(k / 10.0::DOUBLE * a + (10 - k) / 10.0::DOUBLE * b, 3) AS pred FROM t JOIN c ON t.fold = c.fold""")
@@ -310,6 +332,31 @@ def oof_boosted_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.join(whole.withColumnRenamed("pred", "pred_refit"), "l_orderkey"), 3)
 
 
+def _ridge_sql(reg: float) -> str:
+    return f"(WITH {_least_squares(reg)} SELECT l_orderkey, l.fold, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3) AS pred FROM l JOIN fit ON l.fold = fit.fold)"
+
+
+def _members(**options) -> list[selection.Member]:
+    common = {"target": "price", "key": "l_orderkey", "metric": "mae", **options}
+    return [selection.ridge_member(n, ["quantity", "discount", "lines"], params={"reg": r}, **common) for n, r in (("light", 0.1), ("heavy", 50_000.0))]
+
+
+@query(f"""{_LINES}, a AS {_ridge_sql(0.1)}, b AS {_ridge_sql(50_000.0)}, t AS (SELECT a.y, a.pred AS light, b.pred AS heavy, (a.pred + b.pred) / 2 AS mean FROM a JOIN b ON a.l_orderkey = b.l_orderkey),
+s AS (SELECT 'member' AS kind, 'light' AS name, avg(abs(y - light)) AS score FROM t UNION ALL SELECT 'member', 'heavy', avg(abs(y - heavy)) FROM t UNION ALL SELECT 'blend', 'mean', avg(abs(y - mean)) FROM t)
+SELECT kind, name, round(score, 1) AS score, rank() OVER (ORDER BY score) AS rank, score = min(score) OVER () AS chosen FROM s""")
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ridges and their mean on the same rows; the best is chosen."""
+    return tidy(selection.select_model(_lines_by_key(spark, sf_dir), _members(), ["mean"]).summary, 1)
+
+
+@query()
+def median_stop_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trials of a search over the penalty of a ridge; those under the median of the others are stopped after a fold."""
+    member = selection.ridge_member("ridge", ["quantity", "discount", "lines"], target="price", key="l_orderkey", space={"reg": ("float", 0.1, 1e6, "log")}, trials=8)
+    _, rows = selection.searched(_lines_by_key(spark, sf_dir), member)
+    return tidy(models.trials_table(spark, rows).select("trial", F.round(F.col("params")["reg"].cast("double"), 3).alias("reg"), "state", "rungs", F.round("score", 3).alias("score")), 3)
+
+
 _ATTRIBUTED = f"{_LINES}, {_least_squares()}, a AS (SELECT l.*, b1 * (x1 - m1) AS a1, b2 * (x2 - m2) AS a2, b3 * (x3 - m3) AS a3 FROM l JOIN fit ON l.fold = fit.fold)"
 
 
