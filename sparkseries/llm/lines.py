@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, is_small, join_checked, table
+from .common import cut, join_checked, table
 
 #: Production parameters: code points of a key, documents that hold it.
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -41,7 +41,8 @@ def common_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     """
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.posexplode(lines_of(F.col(text))).alias("_pos", "_line"))
     keyed = rows.withColumn("_key", line_key(F.col("_line"))).filter(F.char_length("_key") >= least_chars)
-    lines = keyed.select("_id", "_t", "_pos", F.unhex(F.md5("_key")).alias("_hash"))
+    # written, as keys and hashes of all lines cost more than reading them again
+    lines = cut(keyed.select("_id", "_t", "_pos", F.unhex(F.md5("_key")).alias("_hash")))
     often = cut(lines.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_docs).select("_hash"))
     held = cut(join_checked(lines, often, ["_hash"]))
     # in a struct, as a null id is a document too, below all others
@@ -63,11 +64,12 @@ def drop_common_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     carried along, but for those named like an added one.
     """
     gone = cut(common_lines(docs, key=key, text=text, least_chars=least_chars, least_docs=least_docs))
-    small = gone.select(F.col("_id").alias("_gone_id"), F.col("_t").alias("_gone_t"), "_gone")
+    # texts are shuffled at any size: whether they are would otherwise depend on how many lose lines
+    losses = gone.select(F.col("_id").alias("_gone_id"), F.col("_t").alias("_gone_t"), "_gone").hint("merge")
     # the row as one column, so that none of its columns clashes with those added
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_t"))
     on = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_t") == F.col("_gone_t"))
-    joined = rows.join(F.broadcast(small) if is_small(gone) else small, on, "left").withColumn("_lines", lines_of(F.col(f"_row.`{text}`")))
+    joined = rows.join(losses, on, "left").withColumn("_lines", lines_of(F.col(f"_row.`{text}`")))
     lost = F.col("_gone").isNotNull()
     kept = F.when(lost, _without(F.col("_lines"), F.col("_gone"))).otherwise(F.col(f"_row.`{text}`"))
     added = {"_n_lines": F.size("_lines").cast("long"), "_n_dropped": F.when(lost, F.size("_gone")).otherwise(0).cast("long")}
