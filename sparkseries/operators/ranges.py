@@ -11,26 +11,31 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in a range, about; rows that are equal in all columns of the order are in one range.
 RANGE_ROWS = 1_000_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``, which driver and executors share; a folder of our own only in local mode, where none is set.
-
-    A lost executor costs a read, and what is read twice is worked out once. The folder is the session's to clear.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a folder of our own only in local mode, where none is set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sparkseries.tables", "")
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
         spark.conf.set("sparkseries.tables", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    A lost executor costs a read, and what is read twice is worked out once. The folder is the session's to clear.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import categorical, dates, joins, numeric, profile, reshape
 from ..operators.folds import global_index
+from ..operators.ranges import shared_folder
+from ..sources import files
 from .registry import DAILY_SQL, daily, events, query, read, tidy
 
 
@@ -316,3 +319,34 @@ def top_k_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
 
 
+# -- files ---------------------------------------------------------------------------------------------------------
+
+
+def _csv_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The orders of each priority as one CSV with a header, some prices missing and some rows twice."""
+    o = read(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("price"), F.regexp_replace(F.lower("o_orderpriority"), "[^a-z]", "").alias("file"))
+    rows = rows.unionByName(rows.filter("o_orderkey % 13 = 0"))
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows.repartition("file").write.partitionBy("file").option("header", True).option("nullValue", files.NULL_MARK).csv(folder)
+    return [r["path"] for r in files.list_files(spark, folder, "*.csv").select("path").orderBy("path").collect()]
+
+
+_FILE = "file=([a-z]+)"
+_FILES_SQL = "WITH o AS (SELECT regexp_replace(lower(o_orderpriority), '[^a-z]', '', 'g') AS file, o_orderkey AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price FROM orders), t AS (SELECT * FROM o UNION ALL SELECT * FROM o WHERE k % 13 = 0)"
+
+
+@query(f"""{_FILES_SQL} SELECT file, count(*) AS n_rows, 3::BIGINT AS n_columns, count(*) - count(DISTINCT k) AS duplicated_rows, CASE WHEN count(price) < count(*) THEN 1 ELSE 0 END::BIGINT AS missing_columns, count(*) - count(price) AS missing_cells,
+ round((count(*) - count(price)) / (3.0::DOUBLE * count(*)), 6) AS missing_rate FROM t GROUP BY 1""")
+def csv_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many CSV files profiled together."""
+    out = files.profile_files(spark, _csv_files(spark, sf_dir))
+    return tidy(out.select(F.regexp_extract("path", _FILE, 1).alias("file"), "n_rows", "n_columns", "duplicated_rows", "missing_columns", "missing_cells", "missing_rate"))
+
+
+@query(f"""{_FILES_SQL}, p AS (SELECT file, 2::BIGINT AS position, 'price' AS "column", 'number' AS kind, count(*) - count(price) AS missing, count(DISTINCT price) + CASE WHEN count(price) < count(*) THEN 1 ELSE 0 END AS n_unique, round(avg(price), 2) AS mean, round(stddev_samp(price), 2) AS std, min(price) AS min, max(price) AS max FROM t GROUP BY 1),
+k AS (SELECT file, 0::BIGINT, 'o_orderkey', 'number', 0::BIGINT, count(DISTINCT k), round(avg(k), 2), round(stddev_samp(k), 2), min(k)::DOUBLE, max(k)::DOUBLE FROM t GROUP BY 1), s AS (SELECT file, 1::BIGINT, 'o_orderstatus', 'text', 0::BIGINT, count(DISTINCT s), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM t GROUP BY 1)
+SELECT * FROM p UNION ALL SELECT * FROM k UNION ALL SELECT * FROM s""")
+def csv_column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = files.profile_file_columns(spark, _csv_files(spark, sf_dir))
+    return tidy(out.select(F.regexp_extract("path", _FILE, 1).alias("file"), "position", "column", "kind", "missing", "n_unique", "mean", "std", "min", "max"), 2)

@@ -2,30 +2,96 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import os
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.profile import table_profile
+from ..functions.exprs import ratio
+from ..operators.ranges import written
 
 NULL_MARK = "*"
+#: Bytes of a file that its header is looked for in, and bytes that are read at a time.
+HEADER_BYTES, CHUNK_BYTES = 1_000_000, 8_000_000
 #: Date and time formats that text columns are tried with, in this order (fixed values).
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd")
 
 
+def _opened(path: str):
+    """A file of any store that pyarrow knows by its address, for reads at a place."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/*", "/", path))
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def byte_ranges(files: DataFrame, size: int, n_bytes: int | None = None) -> DataFrame:
+    """``path, begin, end`` of the ranges of ``size`` bytes of each file (``path, size``), or of its first ``n_bytes`` only."""
+    upto = F.col("size") if n_bytes is None else F.least(F.col("size"), F.lit(n_bytes).cast("long"))
+    begins = F.sequence(F.lit(0).cast("long"), F.greatest(upto - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))
+    return files.select("path", upto.alias("_upto"), F.explode(begins).alias("begin")).select("path", "begin", F.least(F.col("begin") + size, F.col("_upto")).alias("end"))
+
+
+def file_heads(files: DataFrame, n_bytes: int = 1_000_000) -> DataFrame:
+    """``path, head, error``: the first bytes of each file (``path, size``). No more is read of it, however large; a file that can't be read has the error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                head = error = None
+                try:
+                    with _opened(path) as f:
+                        head = f.read_at(n_bytes, 0)
+                except OSError as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"path": [path], "head": [head], "error": [error]})
+
+    return files.select("path").mapInPandas(run, "path string, head binary, error string")
+
+
+def ascii_bodies(files: DataFrame, range_bytes: int = 64_000_000) -> DataFrame:
+    """``path, is_ascii``: whether all of a file (``path, size``) behind its first line end is ASCII. Files are read by ranges, in parallel, a chunk at a time; nothing is decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path, begin, end in zip(batch["path"], batch["begin"], batch["end"], strict=True):
+                with _opened(path) as f:
+                    at, ok, header = int(begin), True, begin == 0
+                    while ok and at < end and (chunk := f.read_at(min(CHUNK_BYTES, int(end) - at), at)):
+                        at += len(chunk)
+                        if header:
+                            _, newline, chunk = chunk.partition(b"\n")
+                            header = not newline
+                        ok = chunk.isascii()
+                found.append((path, ok))
+            yield pd.DataFrame(found, columns=["path", "is_ascii"])
+
+    return byte_ranges(files, range_bytes).mapInPandas(run, "path string, is_ascii boolean").groupBy("path").agg(F.bool_and("is_ascii").alias("is_ascii"))
+
+
+def _encoding(head: Column, complete: Column) -> Column:
+    """utf-8 if the whole lines of a file's first bytes are, else cp932; cut at the last line end, so that no character is cut in two."""
+    text = F.decode(head, "ISO-8859-1")
+    last = F.length(F.substring_index(text, "\n", -1))
+    cut = F.when(complete, head).otherwise(head.substr(F.lit(1), F.length(head) - last))
+    return F.when(F.is_valid_utf8(cut.cast("string")), "utf-8").otherwise("cp932")
+
+
 def detect_encodings(spark: SparkSession, path: str, sample_bytes: int = 1_000_000) -> DataFrame:
-    """``path, encoding`` of every file: utf-8 if the complete lines of its first bytes are, else cp932. One job for all files."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, sample_bytes)
-    # cut at the last line end, so that no character is cut in two
-    whole = F.when(F.length("content") <= sample_bytes, head).otherwise(F.encode(F.substring_index(F.decode(head, "ISO-8859-1"), "\n", -1), "ISO-8859-1"))
-    cut = F.when(F.length("content") <= sample_bytes, head).otherwise(head.substr(F.lit(1), F.lit(sample_bytes) - F.length(whole)))
-    return files.select("path", F.when(F.is_valid_utf8(cut.cast("string")), "utf-8").otherwise("cp932").alias("encoding"))
+    """``path, encoding`` of every file: utf-8 if the complete lines of its first bytes are, else cp932. One job for all files, which reads these bytes only."""
+    files = list_files(spark, path).select("path", "size")
+    heads = file_heads(files, sample_bytes)
+    return heads.select("path", _encoding(F.col("head"), F.length("head") < sample_bytes).alias("encoding"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str | None = None, date_sample: int = 100) -> DataFrame:
@@ -33,15 +99,34 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
 
     cp932 needs ``spark.sql.legacy.javaCharsets`` (see ``session.configure``).
     """
+    names = None
     if encoding is None:
         kinds = {r["encoding"] for r in detect_encodings(spark, path).collect()}
         encoding = "utf-8" if kinds <= {"utf-8"} else "cp932"
+        # only the header needs decoding where all behind it is ASCII; the rest is scanned as it is
+        if encoding == "cp932" and (names := _ascii_header(spark, path)):
+            encoding = "utf-8"
     reader = spark.read.option("header", True).option("nullValue", NULL_MARK).option("encoding", "windows-31j" if encoding == "cp932" else encoding)
     if schema is not None:
         return reader.schema(schema).csv(path)
     # timestamps are promoted below, by one rule for all
     frame = reader.option("inferSchema", True).option("timestampFormat", "'none'").option("timestampNTZFormat", "'none'").option("dateFormat", "'none'").option("preferDate", False).csv(path)
-    return promote_dates(frame, date_sample)
+    return promote_dates(frame.toDF(*names) if names and len(names) == len(frame.columns) else frame, date_sample)
+
+
+def _header(head: bytes, encoding: str) -> list[str]:
+    """The names in the first line."""
+    line = head.partition(b"\n")[0].rstrip(b"\r").removeprefix(b"\xef\xbb\xbf")
+    return next(csv.reader([line.decode(encoding, "replace")]), [])
+
+
+def _ascii_header(spark: SparkSession, path: str) -> list[str] | None:
+    """The column names of cp932 files with one header behind which all bytes are ASCII; else none."""
+    files = list_files(spark, path).select("path", "size")
+    headers = {tuple(_header(r["head"] or b"", "cp932")) for r in file_heads(files, HEADER_BYTES).collect()}
+    if len(headers) != 1 or not ascii_bodies(files).agg(F.bool_and("is_ascii")).first()[0]:
+        return None
+    return list(headers.pop())
 
 
 def parsed(c: str, form: str) -> Column:
@@ -165,16 +250,82 @@ def read_predictions(spark: SparkSession, path: str | None = None, runs: str | N
 
 
 def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The table profile of every file, and ``error`` for those that could not be read."""
-    out = None
-    for p in paths:
-        try:
-            one = table_profile(read_table(spark, p), dataset_name(p)).withColumn("error", F.lit(None).cast("string"))
-            one = spark.createDataFrame(one.collect(), one.schema)
-        except Exception as e:  # a bad file is a row of the report
-            one = spark.createDataFrame([(dataset_name(p), type(e).__name__)], "name string, error string")
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    """``name, path, n_rows, n_columns, duplicated_rows, duplicated_rate, missing_columns, missing_cells, missing_rate, error`` of every CSV, as ``table_profile`` counts them, in the order given (a path given twice is one row); a file that can't be read is a row with ``error``."""
+    rows, _ = _many_files(spark, paths)
+    return rows
+
+
+def profile_file_columns(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, position, column, kind, missing, missing_rate, n_unique, mode, mean, std, min, max`` of every column of every CSV that can be read.
+
+    ``n_unique`` counts null as a value; a column is a number if all its values are, and only then has mean to max; ties of the mode go to the first value in order.
+    """
+    _, columns = _many_files(spark, paths)
+    return columns
+
+
+def _many_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The tables above, from one read of the files' heads and one aggregate each over the values of all files by position, whatever the number of files."""
+    addresses = dict.fromkeys(p if "://" in p or p.startswith("file:") else f"file://{os.path.abspath(p)}" for p in paths)
+    given = spark.createDataFrame(list(enumerate(addresses)), "_i long, path string")
+    described = written(given.repartition(min(len(paths), 1000) or 1).mapInPandas(_describe, "_i long, path string, encoding string, names array<string>, error string"))
+    good = described.filter("error is null").withColumn("n_columns", F.size("names"))
+    widest = good.agg(F.max("n_columns")).first()[0] or 0
+    of_encoding = {r["encoding"]: r["paths"] for r in good.groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()}
+    schema = ", ".join(f"c{i} string" for i in range(max(1, widest)))
+    parts = [
+        spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", NULL_MARK).option("encoding", "windows-31j" if e == "cp932" else e).csv(found).select(F.col("_metadata.file_path").alias("_file"), F.array(*[f"c{i}" for i in range(max(1, widest))]).alias("values"))
+        for e, found in of_encoding.items()
+    ]
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "_file string, values array<string>")
+    # both sides' addresses in one form; Spark's own are encoded
+    form = lambda c: F.regexp_replace(c, "^file:/+", "file:///")
+    plain = F.url_decode(F.regexp_replace("_file", r"\+", "%2B"))
+    keyed = rows.withColumn("_file", form(plain)).join(F.broadcast(good.select(F.col("path").alias("_path"), form("path").alias("_file"), "n_columns")), "_file").select(F.col("_path").alias("path"), F.slice("values", 1, F.col("n_columns")).alias("values"), "n_columns")
+    # each row by its hash, so that repeated rows are counted without moving the values
+    distinct = keyed.groupBy("path", F.xxhash64("values").alias("_h"), F.xxhash64(F.lit(1), "values").alias("_g")).agg(F.count(F.lit(1)).alias("_n")).groupBy("path").agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("_d"))
+    cells = keyed.select("path", F.posexplode("values").alias("position", "v"))
+    counts = cells.groupBy("path", "position", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("v").try_cast("double"))
+    of_column = counts.groupBy("path", "position").agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("n_unique"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.min(F.when(F.col("v").isNotNull(), F.struct(-F.col("n"), "v"))).alias("m"), F.count_if(F.col("v").isNotNull() & F.col("x").isNull()).alias("texts"),
+        F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.when(F.col("x").isNotNull(), F.col("n"))).alias("k"), F.min("x").alias("least"), F.max("x").alias("most"),
+    )
+    of_column = written(of_column)
+    spread = counts.join(of_column.select("path", "position", (F.col("s") / F.col("k")).alias("_mean")), ["path", "position"]).groupBy("path", "position").agg(F.sum(F.col("n") * F.pow(F.col("x") - F.col("_mean"), F.lit(2.0))).alias("squares"))
+    names = good.select("path", F.posexplode("names").alias("position", "column"))
+    numeric = (F.col("texts") == 0) & (F.col("k") > 0)
+    only = lambda c: F.when(numeric, c)
+    columns = names.join(of_column.join(spread, ["path", "position"]), ["path", "position"], "left").select(
+        "path", "position", "column", F.when(numeric, "number").when(F.col("m").isNotNull(), "text").otherwise("empty").alias("kind"), F.coalesce("missing", F.lit(0).cast("long")).alias("missing"), ratio("missing", "rows").alias("missing_rate"), F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), F.col("m.v").alias("mode"),
+        only(F.col("s") / F.col("k")).alias("mean"), only(F.sqrt(ratio("squares", F.col("k") - 1))).alias("std"), only(F.col("least")).alias("min"), only(F.col("most")).alias("max"),
+    )
+    missing = of_column.groupBy("path").agg(F.count_if(F.col("missing") > 0).alias("missing_columns"), F.sum("missing").alias("missing_cells"))
+    zero = lambda c: F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0).cast("long")))
+    tables = described.join(distinct, "path", "left").join(missing, "path", "left").orderBy("_i").select("path", zero("n_rows").alias("n_rows"), F.when(F.col("error").isNull(), F.size("names").cast("long")).alias("n_columns"), zero(F.col("n_rows") - F.col("_d")).alias("duplicated_rows"), zero("missing_columns").alias("missing_columns"), zero("missing_cells").alias("missing_cells"), "error")
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.element_at(F.split("path", "://"), -1), r"(?U)\.\w+$", ""), r"(?U)[^\w]+", "_"), "^_+|_+$", "")
+    return tables.select(name.alias("name"), "path", "n_rows", "n_columns", "duplicated_rows", ratio("duplicated_rows", "n_rows").alias("duplicated_rate"), "missing_columns", "missing_cells", ratio("missing_cells", F.col("n_rows") * F.col("n_columns")).alias("missing_rate"), "error"), columns
+
+
+def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Encoding and column names of CSVs, or why they can't be read."""
+    for batch in batches:
+        out = []
+        for i, path in zip(batch["_i"], batch["path"], strict=True):
+            try:
+                with _opened(path) as f:
+                    head = f.read_at(HEADER_BYTES, 0)
+                whole = head if len(head) < HEADER_BYTES else head[: head.rfind(b"\n") + 1]
+                encoding = "utf-8"
+                try:
+                    whole.decode()
+                except UnicodeDecodeError:
+                    encoding = "cp932"
+                    whole.decode("cp932")
+                names = _header(head, encoding)
+                out.append((i, path, encoding, names, None) if names and b"\0" not in head else (i, path, None, None, "no header" if not head.strip() else "not text"))
+            except (OSError, UnicodeDecodeError, csv.Error) as e:
+                out.append((i, path, None, None, type(e).__name__))
+        yield pd.DataFrame(out, columns=["_i", "path", "encoding", "names", "error"])
 
 
 def dataset_name(path: str) -> str:
