@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import as_list
+from .ranges import written
 
 KINDS = ("kfold", "stratified", "group", "stratified_group", "time_series", "sliding_window", "time_cutoff")
 TIME_KINDS = ("time_series", "sliding_window", "time_cutoff")
@@ -122,6 +125,48 @@ def stratified_group(df: DataFrame, group: str, label: str, n_splits: int = 5, n
     return df.join(folds, group)
 
 
+def greedy_folds(counts: np.ndarray, n_splits: int) -> list[int]:
+    """A fold for each group of ``counts`` (groups x classes): those whose classes are most uneven first, each to the fold after which the shares of the classes differ least between folds; ties go to the fold of fewest rows."""
+    total = np.maximum(counts.sum(axis=0), 1)
+    loads = np.zeros((n_splits, counts.shape[1]))
+    folds = [0] * len(counts)
+    for g in np.argsort(-counts.std(axis=1), kind="stable"):
+        tried = np.repeat(loads[None], n_splits, axis=0)
+        tried[np.arange(n_splits), np.arange(n_splits)] += counts[g]
+        spread = np.round((tried / total).std(axis=1).mean(axis=1), 12)
+        best = min(range(n_splits), key=lambda k: (spread[k], loads[k].sum(), k))
+        loads[best] += counts[g]
+        folds[g] = best
+    return folds
+
+
+def balanced_group(df: DataFrame, group: str, label: str, n_splits: int = 5, name: str = "fold", part_groups: int = 20_000) -> DataFrame:
+    """Groups stay whole, and every class of mixed groups is spread evenly over the folds (``greedy_folds``).
+
+    Groups are counted by class in one aggregate; they are dealt by hash into parts of about ``part_groups``, each of which is balanced by itself, so no task holds all groups, and sums of
+    balanced parts are balanced. Classes are few (at most 1000); a null class is one, rows of a null group are one group. An empty table gives no rows.
+    """
+    keyed = df.select(F.struct(group).alias("_g"), F.col(label).cast("string").alias("_c"))
+    counts = written(keyed.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_n")))
+    classes = [r[0] for r in counts.select("_c").distinct().orderBy("_c").limit(1001).collect()]
+    if len(classes) > 1000:
+        raise ValueError("more than 1000 classes")
+    of_class = [F.sum(F.when(F.col("_c").eqNullSafe(F.lit(c)), F.col("_n")).otherwise(0)) for c in classes] or [F.lit(0)]
+    groups = counts.groupBy("_g").agg(F.array(*of_class).alias("_counts"))
+    parts = max(1, -(-counts.count() // part_groups))
+    # by the text of a group, so that ties are decided alike in every run
+    order = F.coalesce(F.col(f"_g.`{group}`").cast("string"), F.lit(""))
+    dealt = groups.select(F.pmod(F.xxhash64("_g"), F.lit(parts)).cast("int").alias("_part"), "_g", order.alias("_order"), "_counts")
+    kind = counts.schema["_g"].dataType.simpleString()
+
+    def assign(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_order", kind="stable")
+        return part[["_g"]].assign(**{name: greedy_folds(np.array(part["_counts"].tolist(), float), n_splits)})
+
+    folds = dealt.groupBy("_part").applyInPandas(assign, f"_g {kind}, `{name}` int")
+    return df.drop(name).withColumn("_g", F.struct(group)).join(folds, "_g").select(*[c for c in df.columns if c != name], name)
+
+
 def _expanding(df: DataFrame, time: str | Sequence[str], n_splits: int, gap: int, test_size: int | None, most: int | None) -> DataFrame:
     order = as_list(time)
     n = df.count()

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from ..functions.exprs import clip, is_finite
 from .base import as_list, ordered
 from .joins import overlapping_series
-from .windows import TargetHistory, step_index
+from .ranges import written
+from .windows import TargetHistory, step_index, tail
 
 
 @dataclass
@@ -170,38 +171,84 @@ def recursive_backtest(df: DataFrame, target: str, time: str, series, cutoffs: S
     return out
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; a folder of our own only in local mode, where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+def forecast_any(predict, history: DataFrame, future: DataFrame, builder: TargetHistory, time: str, series, low: float | None = None, high: float | None = None, difference: int = 0, log_offset: float | None = None) -> DataFrame:
+    """``series, time, pred, step`` with any fitted model: ``predict`` maps rows with the builder's features to ``keys, time, pred``.
 
+    With ``difference`` p the model's series is y_t - y_(t-p), with ``log_offset`` c it is log(y + c) before any difference (``model_series``); predictions come back on the scale of the target. The values that
+    the inverse begins from travel with the rows that the features look back at. Without either, each step is clipped to ``low`` and ``high`` before it becomes the history of the next; with one
+    of them only what is returned is clipped.
 
-def forecast_any(predict, history: DataFrame, future: DataFrame, builder: TargetHistory, time: str, series, low: float | None = None, high: float | None = None) -> DataFrame:
-    """The same with any fitted model: ``predict`` maps rows with the builder's features to ``keys, time, pred``; each step is clipped before it becomes the history of the next.
-
-    A loop over steps on the driver; each step carries ``lookback`` rows per series and is written to the shared checkpoint
+    A loop over steps on the driver; each step carries the last rows of each series and is written to the shared
     folder, so that a lost executor costs one step.
     """
-    from .windows import tail
-
     keys, target = as_list(series), builder.target
-    steps = step_index(future.drop(target), time, keys).withColumn(target, F.lit(None).cast("double"))
-    context = tail(history.select(*keys, time, F.col(target).cast("double").alias(target)), builder.lookback, time, keys)
+    plain, held = not difference and log_offset is None, max(builder.lookback, difference)
+    steps = written(step_index(future.drop(target), time, keys).withColumns({target: F.lit(None).cast("double"), "_y": F.lit(None).cast("double")}))
+    past = tail(history.select(*keys, time, F.col(target).cast("double").alias(target)), held + difference, time, keys)
+    context = tail(model_series(past, target, time, keys, difference, log_offset, "_y"), held, time, keys)
     out = None
     for h in range(1, int(steps.agg(F.max("step")).first()[0] or 0) + 1):
         now = steps.filter(F.col("step") == h).drop("step")
         rows = builder.transform(context.unionByName(now, allowMissingColumns=True))
-        made = predict(rows.join(now.select(*keys, time), [*keys, time], "left_semi")).select(*keys, time, clip(F.col("pred").cast("double"), low, high).alias("pred"))
-        made = _written(made)
-        part = made.withColumn("step", F.lit(h))
+        rows = rows.withColumn("_base", F.lag("_y", difference).over(ordered(time, keys)) if difference else F.lit(0.0))
+        rows = written(rows.join(now.select(*keys, time), [*keys, time], "left_semi"))
+        made = predict(rows.drop("_y", "_base")).select(*keys, time, F.col("pred").cast("double").alias("pred"))
+        made = made.join(rows.select(*keys, time, "_base"), [*keys, time]).withColumn("_y", F.col("pred") + F.col("_base"))
+        if plain:
+            made = made.withColumn("pred", clip(F.col("pred"), low, high)).withColumn("_y", F.col("pred"))
+        made = written(made.drop("_base"))
+        value = F.col("_y") if log_offset is None else F.exp("_y") - F.lit(float(log_offset))
+        part = made.select(*keys, time, clip(value, low, high).alias("pred"), F.lit(h).alias("step"))
         out = part if out is None else out.unionByName(part)
-        context = tail(context.unionByName(made.withColumnRenamed("pred", target)), builder.lookback, time, keys)
-        context = _written(context)
+        context = written(tail(context.unionByName(made.withColumnRenamed("pred", target)), held, time, keys))
     return out
 
 
+def model_series(df: DataFrame, target: str, time: str, series, difference: int = 0, log_offset: float | None = None, level: str | None = None) -> DataFrame:
+    """``df`` with the target as a model of differences or logarithms sees it: log(y + c), then less that of ``difference`` rows before (null for the first rows). ``level`` names a column for the values before the difference."""
+    rows = df.withColumn(level or "_level", F.col(target).cast("double") if log_offset is None else F.log(F.col(target) + F.lit(float(log_offset))))
+    moved = F.col(level or "_level") - F.lag(level or "_level", difference).over(ordered(time, series)) if difference else F.col(level or "_level")
+    rows = rows.withColumn(target, moved)
+    return rows if level else rows.drop("_level")
+
+
+def backtest_any(fit, df: DataFrame, builder: TargetHistory, time: str, series, cutoffs: Sequence, horizon: int, low: float | None = None, high: float | None = None, difference: int = 0, log_offset: float | None = None) -> DataFrame:
+    """``fold, series, time, step, target, pred`` of a recursive backtest with any model: ``fit`` maps training rows with the builder's features, in the model's scale, to the ``predict`` of ``forecast_any``.
+
+    For each cutoff it is fitted on the rows before it and forecasts up to ``horizon`` rows from it on, to the next cutoff at most. Rows without a finite target or feature train nothing.
+    """
+    keys, target, out = as_list(series), builder.target, None
+    kind = df.schema[time].dataType
+    for k, cutoff in enumerate(cutoffs):
+        train = df.filter(F.col(time) < F.lit(str(cutoff)).cast(kind))
+        valid = df.filter(F.col(time) >= F.lit(str(cutoff)).cast(kind))
+        if k + 1 < len(cutoffs):
+            valid = valid.filter(F.col(time) < F.lit(str(cutoffs[k + 1])).cast(kind))
+        valid = step_index(valid, time, keys).filter(F.col("step") <= horizon)
+        predict = fit(training_rows(train, builder, time, keys, difference, log_offset))
+        ahead = forecast_any(predict, train, valid.select(*keys, time), builder, time, keys, low, high, difference, log_offset)
+        part = valid.select(*keys, time, F.col(target).alias("target")).join(ahead, [*keys, time]).withColumn("fold", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def training_rows(df: DataFrame, builder: TargetHistory, time: str, series, difference: int = 0, log_offset: float | None = None) -> DataFrame:
+    """Rows with the builder's features and the target in the model's scale, all of them finite."""
+    rows = builder.transform(model_series(df, builder.target, time, series, difference, log_offset))
+    ok = is_finite(builder.target)
+    for c in builder.names:
+        ok = ok & is_finite(c)
+    return rows.filter(ok)
+
+
+def forecast_future(df: DataFrame, future: DataFrame, target: str, time: str, series, options: Mapping | None = None, cutoffs: Sequence = (), low: float | None = None, high: float | None = None) -> DataFrame:
+    """``series, time, step, pred`` of rows after all of ``df``, each from the whole history.
+
+    Without cutoffs by one linear model fitted on all rows; with those of a backtest by the mean of its folds' models, each fitted before its cutoff, on the scale of the target.
+    """
+    keys, kind = as_list(series), df.schema[time].dataType
+    histories = [df.filter(F.col(time) < F.lit(str(c)).cast(kind)) for c in cutoffs] or [df]
+    made = [recursive_forecast(fit_linear_history(h, target, time, keys, **(options or {})), df, future, target, time, keys, low, high) for h in histories]
+    if len(made) == 1:
+        return made[0]
+    return reduce(DataFrame.unionByName, made).groupBy(*keys, time, "step").agg(F.avg("pred").alias("pred"))

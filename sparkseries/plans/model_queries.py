@@ -292,6 +292,14 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(models.leaderboard(long), 3)
 
 
+@query()
+def balanced_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stay whole; the statuses of their orders are spread evenly."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    out = folds.balanced_group(o, "o_custkey", "o_orderstatus", 5)
+    return tidy(out.groupBy("fold", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")))
+
+
 # -- models --------------------------------------------------------------------------------------------------------
 
 
@@ -405,6 +413,14 @@ def recursive_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(forecasts.recursive_forecast(model, history, future, "total", "day", "series", low=_LOW, high=_HIGH), 1)
 
 
+@query()
+def forecast_future_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of two folds' models, each from the whole history."""
+    rows = panel(spark, sf_dir)
+    history, future = rows.filter("day < '2001-06-01'"), rows.filter("day >= '2001-06-01'")
+    return tidy(forecasts.forecast_future(history, future, "total", "day", "series", {"lags": [1, 7], "difference": 7}, ["2000-06-01", "2001-01-01"], low=0.0), 1)
+
+
 def _backtest_sql(there: str, back: str) -> str:
     """The backtest on weekly differences of a transformed total: of each cut a fit of two lags on the rows before, 28 steps ahead, and one step from the true past."""
     return f"""WITH RECURSIVE {BY_PRIORITY_SQL}, cuts(k, a, b) AS (VALUES (0, '2000-06-01', '2001-01-01'), (1, '2001-01-01', '9999-12-31')), y AS (SELECT series, day, total, {there} AS y FROM panel),
