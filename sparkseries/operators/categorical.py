@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 from .base import Learned, Learner, require
+from .ranges import along, written
 
 #: A learned table is broadcast only up to this many categories; beyond that it is joined by shuffle.
 BROADCAST_CATEGORIES = 1_000_000
+#: Categories of a one-hot encoding, or classes of a target, at most: the driver holds them.
+MOST_CATEGORIES = 10_000
 
 
 def lookup(df: DataFrame, variable: str, table: DataFrame, rows: int) -> DataFrame:
@@ -22,7 +25,7 @@ class OneHotEncoder(Learner):
     """``{c}_{category}`` columns of 0 and 1 beside the original; unseen values are 0 everywhere.
 
     Categories with fewer than ``min_frequency`` rows (a count, or a share below 1), or beyond the ``max_categories - 1``
-    most frequent, go to ``{c}_infrequent``.
+    most frequent, go to ``{c}_infrequent``. More than MOST_CATEGORIES categories, each of which would be a column or a literal, are an error.
     """
 
     def __init__(self, variables, min_frequency: float | None = None, max_categories: int | None = None):
@@ -34,7 +37,9 @@ class OneHotEncoder(Learner):
         total, kept, rare = dataset.count(), {}, {}
         for c in self.variables:
             counts = dataset.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            rows = [(r["v"], r["n"]) for r in counts.collect()]
+            rows = [(r["v"], r["n"]) for r in counts.limit(MOST_CATEGORIES + 1).collect()]
+            if len(rows) > MOST_CATEGORIES:
+                raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories; group the rare ones first (RareGrouper)")
             least = 0 if self.min_frequency is None else self.min_frequency * total if isinstance(self.min_frequency, float) and self.min_frequency < 1 else self.min_frequency
             few = {v for v, n in rows if n < least}
             if self.max_categories is not None and len(rows) - len(few) + bool(few) > self.max_categories:
@@ -84,7 +89,7 @@ class OrdinalEncoder(Learner):
         tables = {}
         for c in self.variables:
             seen = dataset.filter(F.col(c).isNotNull()).select(F.col(c).alias("v")).distinct()
-            tables[c] = seen.select(F.col("v").cast("string").alias("category"), (F.row_number().over(Window.orderBy("v")) - 1).cast("double").alias("value")).cache()
+            tables[c] = written(along(written(seen), [], ["v"], place="_k").select(F.col("v").cast("string").alias("category"), (F.col("_k") - 1).cast("double").alias("value")))
         return LookupModel(self.variables, tables, {})
 
 
@@ -103,8 +108,8 @@ class TargetOrdinalEncoder(_ByTarget):
 
     def _fit(self, dataset: DataFrame) -> LookupModel:
         require(dataset, [*self.variables, self.target])
-        order = Window.orderBy(F.col("s") / F.col("n"), "category")
-        tables = {c: self.sums(dataset, c).select("category", (F.row_number().over(order) - 1).cast("double").alias("value")).cache() for c in self.variables}
+        means = {c: written(self.sums(dataset, c).select("category", (F.col("s") / F.col("n")).alias("_mean"))) for c in self.variables}
+        tables = {c: written(along(m, [], ["_mean", "category"], place="_k").select("category", (F.col("_k") - 1).cast("double").alias("value"))) for c, m in means.items()}
         return LookupModel(self.variables, tables, {})
 
 
@@ -119,7 +124,7 @@ class TargetEncoder(_ByTarget):
         require(dataset, [*self.variables, self.target])
         mean = dataset.agg(F.avg(F.col(self.target).cast("double"))).first()[0]
         value = (F.col("s") + self.smoothing * F.lit(mean)) / (F.col("n") + self.smoothing)
-        tables = {c: self.sums(dataset, c).select("category", value.alias("value")).cache() for c in self.variables}
+        tables = {c: written(self.sums(dataset, c).select("category", value.alias("value"))) for c in self.variables}
         return LookupModel(self.variables, tables, dict.fromkeys(self.variables, mean))
 
     def fit_transform(self, df: DataFrame, fold: str) -> DataFrame:
@@ -153,7 +158,7 @@ class RareGrouper(Learner):
         least = max(self.min_frequency or 0, (self.min_ratio or 0) * total)
         for c in self.variables:
             counts = dataset.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n"))
-            tables[c] = counts.filter(F.col("n") >= least).select("category", F.col("category").alias("value")).cache()
+            tables[c] = written(counts.filter(F.col("n") >= least).select("category", F.col("category").alias("value")))
         return RareModel(self.variables, tables, self.other)
 
 
@@ -169,8 +174,10 @@ class RareModel(LookupModel):
 
 
 def encode_target(df: DataFrame, target: str, binary: bool = False, name: str = "label") -> tuple[DataFrame, list]:
-    """0..K-1 in the order of the classes, and the classes. A null is an error, as are other than two classes if ``binary``."""
-    classes = [r[0] for r in df.select(target).distinct().orderBy(F.col(target).asc_nulls_first()).collect()]
+    """0..K-1 in the order of the classes, and the classes. A null is an error, as are more than MOST_CATEGORIES classes, or other than two if ``binary``."""
+    classes = [r[0] for r in df.select(target).distinct().orderBy(F.col(target).asc_nulls_first()).limit(MOST_CATEGORIES + 1).collect()]
+    if len(classes) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} classes")
     if classes and classes[0] is None:
         raise ValueError("the target has nulls")
     if binary and len(classes) != 2:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation, is_finite, normal_density, normal_quantile, ratio
 from .base import as_list, ordered
-from .correlogram import acf, band, direction, pair_correlation
+from .correlogram import acf, band, direction, pacf, pair_correlation
 from .profile import histogram
 from .windows import blocks
 
@@ -47,7 +47,10 @@ def qq_correlation(points: DataFrame, series: Sequence[str] = ()) -> DataFrame:
 
 
 def residual_correlogram(df: DataFrame, residual: str, order_by, series, nlags: int = 40) -> DataFrame:
-    return acf(df, residual, order_by, series, nlags).withColumn("band", band(F.col("n")))
+    """``series, n, lag, acf, pacf, band``: both correlograms of each series' residuals and half the width of their band; ``pacf`` is null from lag n / 2 on."""
+    keys = as_list(series)
+    partial = pacf(df, residual, order_by, keys, nlags).select(*keys, "lag", "pacf")
+    return acf(df, residual, order_by, keys, nlags).join(partial, [*keys, "lag"], "left").select(*keys, "n", "lag", "acf", "pacf", band(F.col("n")).alias("band"))
 
 
 def residual_bands(df: DataFrame, residual: str, time: str, series, fold: str) -> DataFrame:

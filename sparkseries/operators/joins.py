@@ -22,8 +22,10 @@ def left_join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
 
 
 def master_join(left: DataFrame, master: DataFrame, left_key: str, master_key: str) -> DataFrame:
-    """A left join to a master table by keys of different names; rows without a match keep nulls."""
-    clean = master.filter(F.col(master_key).isNotNull()).dropDuplicates([master_key])
+    """A left join to a master table by keys of different names; rows without a match keep nulls. Of rows of one master key the first in order of the other columns counts."""
+    others = [c for c in master.columns if c != master_key]
+    first = F.min(F.struct(*others)).alias("_m") if others else F.lit(None).alias("_m")
+    clean = master.filter(F.col(master_key).isNotNull()).groupBy(master_key).agg(first).select(master_key, *[F.col(f"_m.`{c}`") for c in others])
     return left.join(clean, left[left_key] == clean[master_key], "left").drop(clean[master_key])
 
 

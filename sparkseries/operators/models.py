@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 from .base import Learned, Learner
+from .folds import most_recent
 from .numeric import StandardImputer
 from .reshape import ModelInput
 
@@ -143,14 +144,15 @@ def linear_attributions(df: DataFrame, coefficients: Mapping[str, float], means:
     return df.withColumns({f"{prefix}{c}": F.lit(float(b)) * (F.col(c) - F.lit(float(means[c]))) for c, b in coefficients.items()})
 
 
-def learning_curve(df: DataFrame, pipeline: Estimator, label: str, key: str, shares: Sequence[float], score: Callable[[DataFrame], float], fold: str = "fold") -> DataFrame:
-    """``share, train_score, valid_score, train_std, valid_std``: fits on a share of each fold's training rows, chosen by hash of the key."""
+def learning_curve(df: DataFrame, pipeline: Estimator, label: str, key: str, shares: Sequence[float], score: Callable[[DataFrame], float], fold: str = "fold", time: str | Sequence[str] | None = None) -> DataFrame:
+    """``share, train_score, train_std, valid_score, valid_std``: fits on a share of each fold's training rows, the most recent ones if ``time`` is given, else chosen by hash of the key."""
     rows = []
     folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] >= 0)
     for share in shares:
         scores = []
         for k in folds:
-            train = df.filter((F.col(fold) != k) & (F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000)))
+            others = df.filter(F.col(fold) != k)
+            train = most_recent(others, time, share) if time else others.filter(F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000))
             model = pipeline.fit(train)
             scores.append((score(model.transform(train)), score(model.transform(df.filter(F.col(fold) == k)))))
         rows.append((float(share), *_mean_std([s[0] for s in scores]), *_mean_std([s[1] for s in scores])))

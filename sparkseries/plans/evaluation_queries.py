@@ -89,6 +89,17 @@ def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(spark, sf_dir).filter("p is not null").select("series", "day", (F.col("y") - F.col("p")).alias("e"), (F.year("day") % 2).alias("fold"))
 
 
+@query(f"""{_NAIVE.replace("WITH", "WITH RECURSIVE", 1)}, x AS (SELECT series, y - p - avg(y - p) OVER (PARTITION BY series) AS x, row_number() OVER (PARTITION BY series ORDER BY day) AS i, count(*) OVER (PARTITION BY series) AS n FROM v),
+s AS (SELECT series, n, sum(x * x) AS s0 FROM x GROUP BY 1, 2), k AS (SELECT unnest(range(0, 21)) AS lag), c AS (SELECT a.series, k.lag, sum(a.x * b.x) AS s FROM x a, k, x b WHERE a.series = b.series AND b.i = a.i + k.lag GROUP BY 1, 2),
+r AS (SELECT c.series, n, list(c.s / s.s0 ORDER BY c.lag) AS r FROM c JOIN s ON c.series = s.series GROUP BY 1, 2),
+d(series, n, r, k, phi, last) AS (SELECT series, n, r, 0::BIGINT, []::DOUBLE[], 1.0::DOUBLE FROM r UNION ALL
+  SELECT series, n, r, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - next * phi[k + 1 - i]), next), next
+  FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i + 1])), 0)) AS next FROM d WHERE k + 1 < len(r)) t)
+SELECT series, n, k AS lag, round(r[k + 1], 6) AS acf, round(last, 6) AS pacf, round(1.96 / sqrt(n), 6) AS band FROM d""")
+def residual_correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(evaluate.residual_correlogram(_residuals(spark, sf_dir), "e", "day", "series", 20))
+
+
 @query(f"""{_NAIVE}, e AS (SELECT series, day, y - p AS e, year(day::DATE) % 2 AS fold FROM v), c AS (SELECT *, lag(fold) OVER (PARTITION BY series ORDER BY day) AS was, count(*) OVER (PARTITION BY series) AS n FROM e),
 b AS (SELECT *, sum((fold <> coalesce(was, fold))::INT) OVER (PARTITION BY series ORDER BY day) AS block, greatest(7, n // 20) AS width FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY series, block ORDER BY day) AS i FROM b)
 SELECT x.series, x.day, CASE WHEN count(y.e) >= any_value(x.width) // 2 THEN round(avg(y.e) / 3.14159::DOUBLE, 3) END AS rolling FROM r x JOIN r y ON x.series = y.series AND x.block = y.block AND y.i <= x.i AND y.i > x.i - x.width GROUP BY 1, 2""")

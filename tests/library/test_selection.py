@@ -124,3 +124,36 @@ def test_members_of_no_kind_are_refused():
     for members in ([], [selection.Member("a", None, task="multiclass", metric="logloss")], [selection.Member("a", None, metric="roc_auc")]):
         with pytest.raises(ValueError):
             selection.check_members(members)
+
+
+def test_learning_curve_over_the_most_recent_rows(spark):
+    """A series whose level jumps: a dummy fitted on the latest half of the training rows knows the new level only."""
+    df = spark.createDataFrame([(t, 0.0 if t < 40 else 10.0, int(t >= 60) - int(t < 60)) for t in range(80)], "key long, y double, fold int")
+    mae = lambda rows: rows.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
+    model = models.Dummy("y")
+    out = {r.share: r for r in models.learning_curve(df.withColumn("fold", F.when(F.col("key") >= 60, 0).otherwise(-1)), model, "y", "key", [0.33, 1.0], mae, time="key").collect()}
+    assert out[0.33].valid_score == pytest.approx(0) and out[1.0].valid_score == pytest.approx(10 * 40 / 60)
+    by_hash = models.learning_curve(df.withColumn("fold", F.when(F.col("key") >= 60, 0).otherwise(-1)), model, "y", "key", [0.33], mae).first()
+    assert by_hash.valid_score > 1
+
+
+def test_neural_network_of_classes(spark):
+    rng = np.random.default_rng(0)
+    data = [(i, float(a), float(b), int(a * b > 0), i % 2) for i, (a, b) in enumerate(rng.normal(size=(240, 2)))]
+    df = spark.createDataFrame(data, "key long, a double, b double, y int, fold int")
+    pipeline = models.make_pipeline(models.model_factory("mlp", "binary", "y", layers=[2, 8, 2], seed=1, maxIter=200), ["a", "b"])
+    out, _ = models.run_cv(df, pipeline, "binary", "key", "y")
+    assert metrics.score_by(out.withColumn("g", F.lit(0)), "y", "pred", "accuracy", ["g"]).first()["score"] > 0.85
+
+
+def test_limits_of_categories(spark, monkeypatch):
+    from sparkseries.operators import categorical, joins
+
+    monkeypatch.setattr(categorical, "MOST_CATEGORIES", 3)
+    df = spark.createDataFrame([(i, f"c{i}") for i in range(4)], "i long, c string")
+    for call in (lambda: categorical.OneHotEncoder(["c"]).fit(df), lambda: categorical.encode_target(df, "c")):
+        with pytest.raises(ValueError, match="more than 3"):
+            call()
+    twice = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("b", 5, "y"), (None, 1, "n")], "k string, n long, t string")
+    got = joins.master_join(spark.createDataFrame([("a",), ("c",), (None,)], "key string"), twice, "key", "k").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 1, "z"), ("c", None, None), (None, None, None)]
