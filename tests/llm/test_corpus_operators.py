@@ -518,3 +518,23 @@ def test_hashes_of_repeated_spans_are_digests_of_what_is_kept():
     assert suffix.cover([0, 500], [10, 501]) == [(0, 409), (500, 900)]
     assert suffix.keep(b"abcdef", [(1, 3)]) == b"adef"
     assert hashlib.sha256(suffix.keep(b"abc", [])).hexdigest() == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_planted_passages_by_their_bytes(spark, tmp_path):
+    """Two documents each share a passage of some bytes: those of 400 bytes and more go, shorter ones stay."""
+    rng = random.Random(1)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, want = [], []
+    for size in (399, 400, 401, 800):
+        passage = words(300)[:size]
+        for mark in "#|":
+            rows.append((len(rows), f"{words(80)}{mark}{passage}{'|#'['#|'.index(mark)]}{words(80)}"))
+            want.append(size if size >= 400 else 0)
+    for n in (51, 60, 70, 80):
+        passage = words(n)
+        for mark in "#|":
+            rows.append((len(rows), f"{words(80)}{mark}{passage}{'|#'['#|'.index(mark)]}{words(80)}"))
+            want.append(len(passage) if len(passage) >= 400 else 0)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in suffix.op2_suffix(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
