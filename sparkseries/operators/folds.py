@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import as_list
-from .ranges import written
+from .ranges import RANGE_ROWS, along, written
 
 KINDS = ("kfold", "stratified", "group", "stratified_group", "time_series", "sliding_window", "time_cutoff")
 TIME_KINDS = ("time_series", "sliding_window", "time_cutoff")
@@ -54,50 +53,16 @@ def kfold(df: DataFrame, key: str, n_splits: int = 5, shuffle: bool = False, see
     return rows.crossJoin(F.broadcast(total)).withColumn(name, F.floor(F.col("_i") * n_splits / F.col("_n")).cast("int")).drop("_i", "_n")
 
 
-#: Rows are sampled in units of one over this number, fine enough for any table.
-_SHARES = 1 << 40
-
-
-def _bounds_upto(place: Column, edges: Column, n: int) -> Column:
-    """How many of ``n`` ascending edges are at most ``place``, by halving."""
-
-    def halved(a: Column, _: Column) -> Column:
-        middle = F.shiftright(a["low"] + a["high"], 1)
-        right = place >= F.get(edges, middle)
-        smaller = F.struct(F.when(right, middle + 1).otherwise(a["low"]).alias("low"), F.when(right, a["high"]).otherwise(middle).alias("high"))
-        return F.when(a["low"] < a["high"], smaller).otherwise(a)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halved)["low"]
+def global_index(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """The place of each row in the order, from 0: rows are dealt into ranges (``parts`` of them, or of RANGE_ROWS rows), numbered in each, and moved up by the counts of the ranges before."""
+    rows = df.count()
+    size = RANGE_ROWS if parts is None else max(1, -(-rows // parts))
+    return along(df, [], order, place="_place", range_rows=size, rows=rows).withColumn(name, F.col("_place") - 1).drop("_place")
 
 
 def _index_within(df: DataFrame, by: str, order: Sequence[str], name: str) -> DataFrame:
     """The place of each row in the order of the rows with its value of ``by``, from 0; one hot value is dealt into ranges like many."""
-    rows = global_index(df, [by, *order], "_all")
-    first = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_c")).orderBy("_by")
-    first = first.withColumn("_first", F.coalesce(F.sum("_c").over(Window.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col("_all") - F.col("_first")).drop("_all", "_by", "_c", "_first")
-
-
-def global_index(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
-    """The place of each row in the order, from 0: rows are dealt into ranges, numbered in each, and moved up by the counts of the ranges before."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the bounds of the ranges are a bounded sample's quantiles, over all columns of the order, so that one hot value of the first
-    # is split too; fixed once, so that both uses agree
-    place = F.struct(*order)
-    some = df.select(place.alias("v"))
-    n = some.count()
-    below = math.ceil(min(1.0, 100_000 / max(n, 1)) * _SHARES)
-    picked = some.filter(F.pmod(F.xxhash64("v"), F.lit(_SHARES)) < below).distinct().orderBy("v").limit(200_000).collect()
-    bounds = list(dict.fromkeys(picked[len(picked) * k // parts]["v"] for k in range(1, parts))) if picked else []
-    if not bounds:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    edges = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True)]) for b in bounds])
-    keyed = df.withColumn("_part", _bounds_upto(place, edges, len(bounds)))
-    counts = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = keyed.withColumn("_l", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_l") + F.col("_before")).drop("_part", "_l", "_before")
+    return along(df, [by], order, place="_place").withColumn(name, F.col("_place") - 1).drop("_place")
 
 
 def stratified(df: DataFrame, key: str, label: str, n_splits: int = 5, shuffle: bool = False, seed: int = 0, name: str = "fold") -> DataFrame:

@@ -164,15 +164,18 @@ def bounds(df: DataFrame, time: str, value: str) -> DataFrame:
 
 
 def grouping_column(df: DataFrame, most: int = 500, time: str | None = None) -> DataFrame:
-    """``column, n_values, is_group``: the columns with at most ``most`` values, and whether time and that column together are unique. One aggregate."""
+    """``column, n_values, is_group``: the columns with at most ``most`` values, and whether time and that column together are unique. The values of all columns are counted in one unpivoted pass."""
     time = time or time_column(df)
     if time is None:
         return df.sparkSession.createDataFrame([], "column string, n_values long, is_group boolean")
     columns = [f.name for f in df.schema if f.name != time and not isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    parts = [x for i, c in enumerate(columns) for x in (F.count_distinct(F.struct(c)).alias(f"u{i}"), F.count_distinct(F.struct(time, c)).alias(f"p{i}"))]
-    one = df.agg(F.count(F.lit(1)).alias("n"), *parts)
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("n_values"), (F.col(f"p{i}") == F.col("n")).alias("is_group")) for i, c in enumerate(columns)])
-    return one.select(F.explode(items).alias("x")).select("x.*").filter(F.col("n_values") <= most)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n_values long, is_group boolean")
+    values = df.select(F.col(time).alias("_t"), *[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot(["_t"], columns, "column", "_v")
+    # in steps, so that no row is copied for each distinct count; null is a value, and a time
+    pairs = values.groupBy("column", "_v", "_t").agg(F.count(F.lit(1)).alias("_n")).groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_pairs"), F.sum("_n").alias("_n"))
+    found = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"), (F.sum("_pairs") == F.sum("_n")).alias("is_group"))
+    return found.filter(F.col("n_values") <= most)
 
 
 def group_values(df: DataFrame, column: str) -> DataFrame:
