@@ -25,7 +25,7 @@ def trees(builder):
 
 
 def test_trees_on_differences_follow_a_trend(spark):
-    df = spark.createDataFrame([("a", t, 10 + 0.5 * t) for t in range(60)], "s string, t int, y double")
+    df = spark.createDataFrame([("a", t, 3 + 0.8 * t) for t in range(60)], "s string, t int, y double")
     builder = TargetHistory("y", "t", "s", [1, 2])
     mae = {}
     for difference in (0, 1):

@@ -207,3 +207,14 @@ def test_profile_by_narrowing(spark):
     df = spark.createDataFrame(odd_values(), "g string, x double, y double, z double").drop("x")
     a, b = ([tuple(r) for r in profile.column_profile(df, n).orderBy("column").collect()] for n in (10**6, 25))
     assert str(a) == str(b)
+
+
+@pytest.mark.parametrize("parts", [None, 1, 9])
+def test_global_numbers(spark, parts):
+    from sparkseries.operators import folds
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), i) for i in range(200)]
+    got = {r.i: r.n for r in folds.global_index(spark.createDataFrame(rows, "k long, i long").repartition(4), ["k", "i"], "n", parts).collect()}
+    assert [got[i] for _, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))] == list(range(200))
+    assert folds.global_index(spark.createDataFrame([], "k long"), ["k"], "n", parts).count() == 0
