@@ -12,28 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import correlation, is_finite, ratio
-from .base import as_list, ordered
+from .base import as_list
 from .quantiles import quantiles
-from .ranges import RANGE_ROWS, along
+from .ranges import RANGE_ROWS, along, with_past
 
 
-def acf(df: DataFrame, value: str, order_by, series=(), nlags: int = 40, max_points: int | None = None) -> DataFrame:
+def acf(df: DataFrame, value: str, order_by, series=(), nlags: int = 40, max_points: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``series, n, lag, acf`` for lags 0 to min(nlags, n - 1); nulls are left out first; series of fewer than ten values have no rows.
 
-    ``max_points`` keeps the latest values only. One window for the centred values and their leads, one aggregate for all lags. A
+    ``max_points`` keeps the latest values only. Series are cut into chunks of about ``range_rows`` that overlap by the lags; one window for the centred values and those before them, one aggregate for all lags. A
     constant series has null beyond lag 0.
     """
-    keys = as_list(series)
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, *as_list(order_by), F.col(value).cast("double").alias("_v"))
+    keys, order = as_list(series), as_list(order_by)
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.struct(F.lit(0), *keys).alias("_g"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("_v"))
+    order = [f"_o{i}" for i in range(len(order))]
     if max_points:
-        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in as_list(order_by)]))).filter(F.col("_rn") <= max_points)
-    w = ordered(order_by, keys)
-    rows = rows.withColumn("_x", F.col("_v") - F.avg("_v").over(Window.partitionBy(*keys)))
-    products = F.transform(F.array(*[F.lead("_x", k).over(w) if k else F.col("_x") for k in range(nlags + 1)]), lambda y: y * F.col("_x"))
-    rows = rows.withColumn("_p", products)
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_p")[k]).alias(f"_s{k}") for k in range(nlags + 1)]).filter(F.col("n") >= 10)
-    out = sums.select(*keys, "n", F.posexplode(F.array(*[F.col(f"_s{k}") / F.nullif(F.col("_s0"), F.lit(0.0)) for k in range(nlags + 1)])).alias("lag", "acf"))
-    return out.filter(F.col("lag") < F.col("n")).select(*keys, "n", F.col("lag").cast("long").alias("lag"), F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.col("acf")).alias("acf"))
+        rows = along(rows, ["_g"], order, place="_rn", descending=True, range_rows=range_rows).filter(F.col("_rn") <= max_points).drop("_rn")
+    means = rows.groupBy("_g").agg(F.avg("_v").alias("_m"))
+    past, by, place, own = with_past(rows.join(means, "_g").select("_g", *order, (F.col("_v") - F.col("_m")).alias("_x")), ["_g"], order, nlags, range_rows)
+    w = Window.partitionBy(*by).orderBy(place)
+    products = F.transform(F.array(*[F.lag("_x", k).over(w) if k else F.col("_x") for k in range(nlags + 1)]), lambda y: y * F.col("_x"))
+    sums = past.withColumn("_p", products).filter(own).groupBy("_g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_p")[k]).alias(f"_s{k}") for k in range(nlags + 1)]).filter(F.col("n") >= 10)
+    out = sums.select("_g", "n", F.posexplode(F.array(*[F.col(f"_s{k}") / F.nullif(F.col("_s0"), F.lit(0.0)) for k in range(nlags + 1)])).alias("lag", "acf"))
+    return out.filter(F.col("lag") < F.col("n")).select(*[F.col(f"_g.`{k}`").alias(k) for k in keys], "n", F.col("lag").cast("long").alias("lag"), F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.col("acf")).alias("acf"))
 
 
 def partial_from_acf(r: Sequence[float]) -> list[float]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlogram, difference, longseries, unitroot, windows
-from .registry import BY_PRIORITY_SQL, DAILY_SQL, daily, events, panel, query, tidy
+from .registry import BY_PRIORITY_SQL, events, panel, query, tidy
 
 _USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 _SERIES = "OVER (PARTITION BY series ORDER BY day)"

@@ -218,3 +218,17 @@ def test_global_numbers(spark, parts):
     got = {r.i: r.n for r in folds.global_index(spark.createDataFrame(rows, "k long, i long").repartition(4), ["k", "i"], "n", parts).collect()}
     assert [got[i] for _, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))] == list(range(200))
     assert folds.global_index(spark.createDataFrame([], "k long"), ["k"], "n", parts).count() == 0
+
+
+@pytest.mark.parametrize("range_rows", [R, 10_000])
+@pytest.mark.parametrize("most", [None, 60])
+def test_correlograms(df, range_rows, most):
+    got = {(r.k, r.lag): r.acf for r in correlogram.acf(df, "v", "t", "k", 12, most, range_rows).collect()}
+    want = {}
+    for key, rows in of_series(series_rows()).items():
+        x = [v for _, v in rows if v is not None][-(most or 10**6) :]
+        if len(x) >= 10:
+            mean = sum(x) / len(x)
+            e = [v - mean for v in x]
+            want |= {(key, k): sum(a * b for a, b in zip(e, e[k:], strict=False)) / sum(a * a for a in e) for k in range(min(12, len(x) - 1) + 1)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
