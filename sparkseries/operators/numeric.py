@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,8 +177,18 @@ def power_expression(x: Column, lam: float, method: str) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+#: Powers of the distance to its middle that are summed in a range, and the width of a range times the largest exponent: what is cut off is under 1e-13 of a variance.
+MOMENTS, REACH = 8, 1 / 16
+#: Ranges of a column at least.
+LEAST_RANGES = 64
+
+
 class PowerTransformer(Learner):
-    """Box-Cox or Yeo-Johnson; the exponent of the greatest likelihood is searched on grids, each grid in one aggregate over all variables."""
+    """Box-Cox or Yeo-Johnson; the exponent of the greatest likelihood is searched on grids.
+
+    The rows are read twice, for limits and for sums by ranges of the logarithm: within a range the transformed value is a power series in the distance to the range's middle, so sums of its powers give the
+    variance under any exponent. They are a table of a bounded number of rows (64 at least, usually some hundreds a column), from which all grids follow.
+    """
 
     def __init__(self, variables, method: str = "yeo-johnson", passes: int = 5, points: int = 17, span: tuple[float, float] = (-5.0, 5.0)):
         super().__init__(variables)
@@ -187,25 +198,67 @@ class PowerTransformer(Learner):
 
     def _fit(self, dataset: DataFrame) -> PowerModel:
         require(dataset, self.variables)
-        xs = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in self.variables}
-        if self.method == "box-cox":
-            bad = dataset.agg(*[F.count_if(x <= 0).alias(c) for c, x in xs.items()]).first()
-            if wrong := [c for c in self.variables if bad[c]]:
-                raise ValueError(f"Box-Cox needs positive values: {wrong}")
-        brackets = {c: self.span for c in self.variables}
-        for _ in range(self.passes):
-            grids = {c: [lo + (hi - lo) * k / (self.points - 1) for k in range(self.points)] for c, (lo, hi) in brackets.items()}
-            parts = []
-            for i, (c, x) in enumerate(xs.items()):
-                logs = F.ln(x) if self.method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
-                parts += [F.sum(logs).alias(f"l{i}"), F.count(x).alias(f"n{i}")]
-                parts += [F.var_pop(power_expression(x, lam, self.method)).alias(f"v{i}_{k}") for k, lam in enumerate(grids[c])]
-            row = dataset.agg(*parts).first()
-            for i, c in enumerate(self.variables):
-                score = [(-0.5 * row[f"n{i}"] * math.log(v) + (lam - 1) * row[f"l{i}"] if (v := row[f"v{i}_{k}"]) and v > 0 and math.isfinite(v) else -math.inf) for k, lam in enumerate(grids[c])]
+        xs = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in self.variables]
+        row = dataset.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(xs) for n, f in (("a", F.min), ("b", F.max))]).first()
+        limits = [(row[f"a{i}"], row[f"b{i}"]) for i in range(len(xs))]
+        if self.method == "box-cox" and (wrong := [c for c, (a, _) in zip(self.variables, limits, strict=True) if a is not None and a <= 0]):
+            raise ValueError(f"Box-Cox needs positive values: {wrong}")
+        sums = self._sums(dataset, xs, limits)
+        lambdas = {}
+        for i, c in enumerate(self.variables):
+            lo, hi = self.span
+            for _ in range(self.passes):
+                grid = [lo + (hi - lo) * k / (self.points - 1) for k in range(self.points)]
+                score = [_likelihood(sums[i], lam) if i in sums else -math.inf for lam in grid]
                 k = max(range(self.points), key=score.__getitem__)
-                brackets[c] = (grids[c][max(0, k - 1)], grids[c][min(self.points - 1, k + 1)])
-        return PowerModel(self.variables, {c: (lo + hi) / 2 for c, (lo, hi) in brackets.items()}, self.method)
+                lo, hi = grid[max(0, k - 1)], grid[min(self.points - 1, k + 1)]
+            lambdas[c] = (lo + hi) / 2
+        return PowerModel(self.variables, lambdas, self.method)
+
+    def _sums(self, dataset: DataFrame, xs: Sequence[Column], limits: Sequence[tuple]) -> dict[int, np.ndarray]:
+        """Of each column whose values are finite and differ: for each range with values its sign, middle, number of values and sums of powers of the distance to the middle."""
+        log = math.log if self.method == "box-cox" else lambda x: math.copysign(math.log1p(abs(x)), x)
+        ends = [abs(e) for e in self.span] + ([abs(2 - e) for e in self.span] if self.method == "yeo-johnson" else [])
+        spans, items = {}, []
+        for i, (x, (a, b)) in enumerate(zip(xs, limits, strict=True)):
+            if a is None or a == b or not (math.isfinite(a) and math.isfinite(b)) or not (low := log(a)) < (high := log(b)):
+                continue
+            spans[i] = low, min(REACH / max(1.0, *ends), (high - low) / LEAST_RANGES)
+            u = F.ln(x) if self.method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
+            items.append(F.struct(F.lit(i).alias("i"), (u - spans[i][0]).alias("u"), F.lit(spans[i][1]).alias("w"), (F.lit(False) if self.method == "box-cox" else x < 0).alias("down")))
+        if not items:
+            return {}
+        rows = dataset.select(F.inline(F.array(*items))).filter("u is not null")
+        rows = rows.select("i", "w", "down", "u", F.floor(F.col("u") / F.col("w")).alias("k")).select("i", "down", "k", (F.col("u") - (F.col("k") + 0.5) * F.col("w")).alias("d"))
+        powers = [F.col("d")]
+        for _ in range(MOMENTS - 1):
+            powers.append(powers[-1] * F.col("d"))
+        found: dict[int, list] = {}
+        for r in rows.groupBy("i", "down", "k").agg(F.count(F.lit(1)), *map(F.sum, powers)).collect():
+            low, width = spans[r[0]]
+            side = -1 if r[1] else 1
+            found.setdefault(r[0], []).append([side, side * (low + (r[2] + 0.5) * width), r[3], *(v * side ** (j + 1) for j, v in enumerate(r[4:]))])
+        return {i: np.array(v, dtype=float) for i, v in found.items()}
+
+
+def _likelihood(sums: np.ndarray, lam: float) -> float:
+    """The log-likelihood of an exponent from the sums of ranges (``PowerTransformer._sums``); -inf where the variance is 0 or no number."""
+    side, middle, n, first = sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3]
+    count, logs = n.sum(), side @ (n * middle + first)
+    e = np.where(side > 0, lam, 2 - lam)
+    # on one side of 0 a factor may be taken out, here that of the mean, so that differences stay exact
+    shift = (n @ middle + first.sum()) / count if (side == side[0]).all() else 0.0
+    at = middle - shift
+    with np.errstate(all="ignore"):
+        # with d the distance to the middle, a value is scale * f(d) + base, f(d) = (exp(e d) - 1) / e
+        scale, base = np.exp(e * at), np.where(e == 0, at, np.expm1(e * at) / np.where(e == 0, 1, e))
+        f1 = sum(e ** (j - 1) * sums[:, 2 + j] / math.factorial(j) for j in range(1, MOMENTS + 1))
+        f2 = sum((2**j - 2) * e ** (j - 2) * sums[:, 2 + j] / math.factorial(j) for j in range(2, MOMENTS + 1))
+        means = side * (scale * f1 / n + base)
+        v = float((scale**2 * (f2 - f1**2 / n)).sum() + n @ (means - (n @ means) / count) ** 2) / count
+    if not (v > 0 and math.isfinite(v)):
+        return -math.inf
+    return float(-0.5 * count * (math.log(v) + 2 * e[0] * shift) + (lam - 1) * logs)
 
 
 class PowerModel(Learned):

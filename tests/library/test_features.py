@@ -44,6 +44,40 @@ def test_power_transform_finds_the_exponent(spark, method):
     assert back.agg(F.sum("x")).first()[0] == pytest.approx(df.agg(F.sum("x")).first()[0])
 
 
+def _exponent(x, method, passes=5, points=17):
+    """The grid search on the values themselves, in extended precision about their mean logarithm (values of one sign) or as they are."""
+    x, (lo, hi) = x.astype(np.longdouble), (-5.0, 5.0)
+    logs = np.log(x) if method == "box-cox" else np.sign(x) * np.log1p(np.abs(x))
+    for _ in range(passes):
+        grid = [lo + (hi - lo) * k / (points - 1) for k in range(points)]
+        score = []
+        for lam in grid:
+            up = logs >= 0
+            one = method == "box-cox" or up.all() or not up.any()
+            c = np.abs(logs).mean() * np.sign(logs[0]) if one and method != "box-cox" else logs.mean() if one else 0
+            u = np.abs(logs) - abs(c) if method != "box-cox" else logs - c
+            e = np.where(up, lam, 2 - lam) if method != "box-cox" else np.full(len(x), lam)
+            y = np.where(e == 0, u, np.expm1(e * u) / np.where(e == 0, 1, e)) * (1 if method == "box-cox" else np.where(up, 1, -1))
+            v = np.log(y.var()) + (2 * e[0] * (c if method == "box-cox" else abs(c)) if one else 0)
+            score.append(-0.5 * len(x) * v + (lam - 1) * logs.sum())
+        k = int(np.argmax(score))
+        lo, hi = grid[max(0, k - 1)], grid[min(points - 1, k + 1)]
+    return (lo + hi) / 2
+
+
+def test_power_transform_of_large_and_mixed_values(spark):
+    rng = np.random.default_rng(7)
+    values = {"large": 1e6 + rng.gamma(2, 1e5, 3000), "mixed": rng.normal(size=3000) * 3 - 1, "negative": -rng.gamma(2, 9, 3000), "price": 900 + rng.random(3000) * 1e5}
+    rows = spark.createDataFrame([tuple(float(v[i]) for v in values.values()) for i in range(3000)], ", ".join(f"{c} double" for c in values)).withColumns({"same": F.lit(3.1), "none": F.lit(None).cast("double")})
+    found = numeric.PowerTransformer([*values, "same", "none"]).fit(rows).lambdas
+    assert {c: found[c] for c in values} == {c: pytest.approx(_exponent(v, "yeo-johnson"), abs=1e-9) for c, v in values.items()}
+    assert found["same"] == found["none"]  # no spread, no exponent better than another
+    positive = numeric.PowerTransformer(["large", "price"], "box-cox").fit(rows).lambdas
+    assert positive == {c: pytest.approx(_exponent(values[c], "box-cox"), abs=1e-9) for c in ("large", "price")}
+    with pytest.raises(ValueError, match="mixed"):
+        numeric.PowerTransformer(["price", "mixed"], "box-cox").fit(rows)
+
+
 def test_encoders(spark):
     df = spark.createDataFrame([(0, "banana", 1.0), (1, "apple", 3.0), (2, "cherry", 10.0), (3, "apple", 5.0)], "i long, c string, y double")
     new = spark.createDataFrame([(9, "fig", 0.0)], "i long, c string, y double")
