@@ -217,10 +217,10 @@ def tune(objective: Callable[[dict], float], space: Mapping[str, tuple], trials:
     return points[order[0]], rows if spark is None else spark.createDataFrame(rows, "trial int, parameters map<string,string>, score double")
 
 
-def tune_by_folds(objective: Callable[[dict, int], float], space: Mapping[str, tuple], trials: int, folds: Sequence[int], greater: bool = False, seed: int = 0, threads: int = 4, startup: int = 4, warmup: int = 1) -> tuple[dict, list[dict]]:
+def tune_by_folds(objective: Callable, space: Mapping[str, tuple], trials: int, folds: Sequence[int], greater: bool = False, seed: int = 0, threads: int = 4, startup: int = 4, warmup: int = 1, together: bool = False) -> tuple[dict, list[dict]]:
     """Seeded random search that stops bad trials early: the best parameters, and a row for each trial, complete and best first.
 
-    ``objective(params, fold)`` is the score of one fold. The folds are rungs: after each, a trial whose mean so far is worse than the median of the others' is stopped and fitted no further, if at
+    ``objective(params, fold)`` is the score of one fold; with ``together`` it is given a list of parameters and gives a list of scores. The folds are rungs: after each, a trial whose mean so far is worse than the median of the others' is stopped and fitted no further, if at
     least ``startup`` trials are left and ``warmup`` rungs are done. Trials of a rung run side by side; what is stopped depends on scores only, so one seed gives one table.
     Rows: trial, params, state (complete or stopped), rungs, score (the mean of the folds done), scores.
     """
@@ -230,8 +230,9 @@ def tune_by_folds(objective: Callable[[dict, int], float], space: Mapping[str, t
     mean = lambda k: sum(scores[k]) / len(scores[k])
     with ThreadPoolExecutor(threads) as pool:
         for rung, fold in enumerate(folds):
-            for k, v in zip(alive, pool.map(lambda k, f=fold: float(objective(points[k], f)), alive), strict=True):
-                scores[k].append(v)
+            found = objective([points[k] for k in alive], fold) if together else pool.map(lambda k, f=fold: objective(points[k], f), alive)
+            for k, v in zip(alive, found, strict=True):
+                scores[k].append(float(v))
             if rung + 1 >= len(folds) or rung + 1 < warmup or len(alive) < startup:
                 continue
             # worse than the middle of the others at this rung

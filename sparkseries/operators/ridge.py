@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +52,26 @@ def _solved(gram: np.ndarray, fills: np.ndarray, center: np.ndarray, scale: np.n
     return Ridge(float(m[p] * scale[p] + center[p] - coefficients @ means), tuple(coefficients.tolist()), tuple(fills.tolist()), tuple(means.tolist()), int(gram[0, 0]))
 
 
+@dataclass(frozen=True)
+class FoldSums:
+    """What the ridges of all folds follow from, for any penalty."""
+
+    training: dict[int, np.ndarray]
+    fills: dict[int, np.ndarray]
+    center: np.ndarray
+    scale: np.ndarray
+
+    def ridges(self, reg: float = 0.0) -> dict[int, Ridge]:
+        return {k: _solved(g, self.fills[k], self.center, self.scale, reg) for k, g in self.training.items() if g[0, 0]}
+
+
 def fold_ridges(df: DataFrame, features: Sequence[str], label: str, fold: str, reg: float = 0.0) -> dict[int, Ridge]:
-    """For each fold from 0 the ridge of all other rows, those of fold -1 among them.
+    """For each fold from 0 the ridge of all other rows, those of fold -1 among them (``fold_sums``)."""
+    return fold_sums(df, features, label, fold).ridges(reg)
+
+
+def fold_sums(df: DataFrame, features: Sequence[str], label: str, fold: str) -> FoldSums:
+    """The sums that the ridges of the folds from 0 are made from.
 
     A feature that is not finite counts as the median of the model's training rows; rows whose label is not finite, or without a fold, train no model; a fold without
     training rows has none. The penalty is that of ``pyspark.ml``'s LinearRegression with ``regParam=reg``. Sums of products of all columns by fold, a table of the number of
@@ -87,7 +105,27 @@ def fold_ridges(df: DataFrame, features: Sequence[str], label: str, fold: str, r
             for i in missing:
                 fills[r["_of"]][i] = r[f"_{i}"][0] if r[f"_{i}"] is not None else 0.0
     training = {k: sum((g for f, g in grams.items() if f != k), np.zeros((size, size))) for k in folds}
-    return {k: _solved(g, fills[k], center, scale, reg) for k, g in training.items() if g[0, 0]}
+    return FoldSums(training, fills, center, scale)
+
+
+def search_predictions(df: DataFrame, features: Sequence[str], label: str, fold: str) -> Callable[[Sequence[float], int], DataFrame]:
+    """A function from penalties and a fold to ``trial, label, pred``: the rows of that fold predicted by the ridges of all other rows, for each penalty by its number.
+
+    Sums are taken once; a fold is read once for all its penalties. Rows without a fold are in training only.
+    """
+    sums = fold_sums(df.withColumn(fold, F.coalesce(F.col(fold).cast("int"), F.lit(-1))), features, label, fold)
+
+    def predicted(regs: Sequence[float], k: int) -> DataFrame:
+        found = [sums.ridges(r).get(k) for r in regs]
+        items = []
+        for t, m in enumerate(found):
+            pred = F.lit(m.intercept if m else None).cast("double")
+            for c, b, v in zip(features, m.coefficients, m.fills, strict=True) if m else ():
+                pred = pred + F.lit(b) * F.when(is_finite(c), F.col(c).cast("double")).otherwise(F.lit(v))
+            items.append(F.struct(F.lit(t).alias("trial"), pred.alias("pred")))
+        return df.filter(F.col(fold) == k).select(label, F.inline(F.array(*items)))
+
+    return predicted
 
 
 def _with_models(df: DataFrame, models: dict[int, Ridge], fold: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .ensembles import cross_fit_by_metric, join_members, mean_blend, rank_mean_
 from .metrics import get_metric, score_by
 from .models import leaderboard, make_pipeline, model_factory, run_cv, tune_by_folds
 from .ranges import written
-from .ridge import ridge_cv
+from .ridge import ridge_cv, search_predictions
 
 METHODS = ("mean", "weighted", "rank_mean", "stacking")
 
@@ -21,7 +21,8 @@ METHODS = ("mean", "weighted", "rank_mean", "stacking")
 class Member:
     """One model of a selection: ``oof(df, params)`` gives ``key, fold, target, pred`` of a table whose folds are in ``fold``.
 
-    ``data`` names the table it is for. With a ``space`` (``models.sample_space``) its parameters are searched first, in ``trials`` trials.
+    ``data`` names the table it is for. With a ``space`` (``models.sample_space``) its parameters are searched first, in ``trials`` trials: all trials of a fold together where there is
+    ``several(df)``, which gives a function from a list of parameters and a fold to ``trial, target, pred``, the fold's rows predicted with each, else each by ``oof``.
     """
 
     name: str
@@ -35,6 +36,7 @@ class Member:
     params: Mapping[str, object] = field(default_factory=dict)
     space: Mapping[str, tuple] = field(default_factory=dict)
     trials: int = 8
+    several: Callable[[DataFrame], Callable[[Sequence[dict], int], DataFrame]] | None = None
 
     @property
     def shared(self) -> dict[str, object]:
@@ -45,7 +47,13 @@ class Member:
 def ridge_member(name: str, features: Sequence[str], **options) -> Member:
     """A ridge by second moments; parameter ``reg``."""
     target, key, fold = (options.get(n, d) for n, d in (("target", "y"), ("key", "key"), ("fold", "fold")))
-    return Member(name, lambda df, params: ridge_cv(df, features, target, key, fold, float(params.get("reg", 0.0)))[0], **options)
+    penalty = lambda params: float(params.get("reg", 0.0))
+
+    def several(df: DataFrame) -> Callable[[Sequence[dict], int], DataFrame]:
+        predicted = search_predictions(df, features, target, fold)
+        return lambda points, k: predicted([penalty(p) for p in points], k)
+
+    return Member(name, lambda df, params: ridge_cv(df, features, target, key, fold, penalty(params))[0], several=several, **options)
 
 
 def model_member(name: str, kind: str, features: Sequence[str], **options) -> Member:
@@ -77,7 +85,8 @@ def check_members(members: Sequence[Member], methods: Sequence[str] = ("mean",))
 
 
 def searched(df: DataFrame, member: Member, seed: int = 0) -> tuple[dict, list[dict]]:
-    """The best parameters of a member and its trials: one fold of the table after another is held out, and trials under the median of the others stop."""
+    """The best parameters of a member and its trials: one fold of the table after another is held out, and trials under the median of the others stop. The table is written once."""
+    df = written(df)
     folds = sorted(r[0] for r in df.select(member.fold).distinct().collect() if r[0] is not None and r[0] >= 0)
 
     def objective(params: dict, fold: int) -> float:
@@ -86,7 +95,14 @@ def searched(df: DataFrame, member: Member, seed: int = 0) -> tuple[dict, list[d
         out = member.oof(split, {**member.params, **params}).filter(F.col(member.fold) == 0)
         return score_by(out, member.target, "pred", member.metric, [member.fold]).first()["score"]
 
-    best, rows = tune_by_folds(objective, member.space, member.trials, folds, get_metric(member.metric)[0].greater, seed)
+    predicted = member.several(df) if member.several else None
+
+    def together(points: Sequence[dict], fold: int) -> list[float]:
+        out = predicted([{**member.params, **p} for p in points], fold)
+        found = {r["trial"]: r["score"] for r in score_by(out, member.target, "pred", member.metric, ["trial"]).collect()}
+        return [found[t] for t in range(len(points))]
+
+    best, rows = tune_by_folds(together if predicted else objective, member.space, member.trials, folds, get_metric(member.metric)[0].greater, seed, together=predicted is not None)
     return {**member.params, **best}, rows
 
 

@@ -1,5 +1,7 @@
 """Blends by any metric, searches that stop, and the choice of a model, against plain versions."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,26 @@ def test_limits_of_categories(spark, monkeypatch):
     twice = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("b", 5, "y"), (None, 1, "n")], "k string, n long, t string")
     got = joins.master_join(spark.createDataFrame([("a",), ("c",), (None,)], "key string"), twice, "key", "k").collect()
     assert sorted(map(tuple, got), key=str) == [("a", 1, "z"), ("c", None, None), (None, None, None)]
+
+
+@pytest.mark.parametrize("metric", ["rmse", "r2"])
+def test_trials_of_a_ridge_are_scored_together(spark, metric):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    data = [(i, float(a) if i % 7 else None, float(b), float(3 * a - b + rng.normal()), None if i % 50 == 3 else i % 4 - 1) for i, (a, b) in enumerate(x)]
+    plain = spark.createDataFrame(data, "i long, a double, b double, y double, fold int").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    df = plain.withColumn("b", counted("b"))
+    member = selection.ridge_member("r", ["a", "b"], target="y", key="i", metric=metric, space={"reg": ("float", 0.01, 100.0, "log")}, trials=6)
+    best, rows = selection.searched(df, member)
+    assert read.value == 300
+    apart, want = selection.searched(plain, dataclasses.replace(member, several=None))
+    assert best == apart and [(r["trial"], r["state"], r["rungs"]) for r in rows] == [(r["trial"], r["state"], r["rungs"]) for r in want]
+    for r, w in zip(rows, want, strict=True):
+        assert r["scores"] == pytest.approx(w["scores"], rel=1e-9)
