@@ -83,3 +83,18 @@ def test_the_number_of_jobs_does_not_follow_the_number_of_files(spark, folder):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(25) <= jobs(2) + 2
+
+
+def test_csv_files_are_written_without_sorting(spark):
+    """A sort holds all rows of a file in one task's memory."""
+    from sparkseries.plans import table_queries
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    paths = table_queries._csv_files(spark, "/root/testdata/sf0.001")
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    writes = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p]
+    assert writes and not any("Sort" in p for p in writes)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert len(paths) == len(set(paths)) == orders.select("o_orderpriority").distinct().count()
+    assert spark.read.option("header", True).csv(paths).count() == orders.count() + orders.filter("o_orderkey % 13 = 0").count()
