@@ -20,6 +20,7 @@ from ..functions.exprs import ratio
 from .base import Learned, Learner
 from .folds import most_recent
 from .numeric import StandardImputer
+from .ranges import written
 from .reshape import ModelInput
 
 
@@ -96,6 +97,8 @@ def fit_early(pipeline: Pipeline, train: DataFrame, held: DataFrame) -> Pipeline
         raise ValueError("only boosted trees of one score stop early")
     before = Pipeline(stages=steps).fit(train)
     rows = before.transform(train).withColumn("_held", F.lit(False)).unionByName(before.transform(held).withColumn("_held", F.lit(True)))
+    # the trees read them several times over
+    rows = written(rows.select(last.getFeaturesCol(), last.getLabelCol(), "_held"))
     return PipelineModel([*before.stages, last.copy({last.getParam("validationIndicatorCol"): "_held"}).fit(rows)])
 
 
@@ -114,9 +117,10 @@ def run_cv(df: DataFrame, pipeline: Estimator, task: str, key: str, label: str,
     """Out-of-fold predictions and the folds' models.
 
     For each fold, preprocessing and model are fitted on the other rows and predict the fold's own. Rows of fold -1 are in
-    training only, and have null predictions. The driver loops over folds; fitting and scoring are Spark jobs. ``early`` stops
-    boosted trees by the fold's own rows (``fit_early``).
+    training only, and have null predictions. The driver loops over folds; fitting and scoring are Spark jobs, which read the table as it is written
+    once. ``early`` stops boosted trees by the fold's own rows (``fit_early``).
     """
+    df = written(df)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None and r[0] >= 0)
     parts, fitted = [], {}
     for k in folds:

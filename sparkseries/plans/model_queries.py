@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import correlogram, ensembles, evaluate, folds, forecasts, metrics, models, ridge, selection, windows
+from ..operators.ranges import written
 from .registry import BY_PRIORITY_SQL, DAILY_SQL, daily, events, panel, query, read, tidy
 
 # -- folds -------------------------------------------------------------------------------------------------------
@@ -333,7 +334,7 @@ def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def oof_boosted_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees stopped by each fold's own rows, then all rows predicted by a refit with the folds' mean best iteration."""
-    rows, features = _lines(spark, sf_dir), ["quantity", "discount", "lines"]
+    rows, features = written(_lines(spark, sf_dir)), ["quantity", "discount", "lines"]
     pipeline = models.make_pipeline(models.model_factory("gbt", "regression", "price", maxIter=10, maxDepth=4, stepSize=0.3), features)
     out, fitted = models.run_cv(rows, pipeline, "regression", "l_orderkey", "price", early=True)
     whole = models.predict_test(rows, "regression", "l_orderkey", refit=models.refit(rows, pipeline, fitted))

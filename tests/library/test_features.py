@@ -234,6 +234,21 @@ def test_boosted_trees_stop_early_and_are_refitted(spark):
         models.fit_early(models.make_pipeline(models.model_factory("linear", "regression", "y"), ["a"]), df, df)
 
 
+def test_folds_read_their_table_once(spark):
+    data = [(i, float(i % 9), float(i % 9 > 4), i % 2) for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    df = spark.createDataFrame(data, "i long, a double, y double, fold int").withColumn("a", counted("a"))
+    pipeline = models.make_pipeline(models.model_factory("gbt", "regression", "y", maxIter=2, maxDepth=2), ["a"])
+    out, _ = models.run_cv(df, pipeline, "regression", "i", "y", early=True)
+    assert out.filter("pred is not null").count() == 60 and read.value == 60
+
+
 @pytest.mark.parametrize("difference", [0, 1, 7])
 def test_forecasts_of_logarithms(spark, difference):
     n = 60
