@@ -67,6 +67,27 @@ def test_plan_places_every_item_once(counts):
     assert all(v <= 2048 for v in fill.values()) and len(fill) == opened
 
 
+def test_words_are_encoded_once_though_the_table_is_small(monkeypatch):
+    """Many plain words are one text to the model, ids are the tokenizer's, and a table that is full keeps the words at hand."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abeéßñç") for _ in range(rng.randint(1, 12))) for _ in range(700)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)] + ["l'été Éeau, it's İ ª x1 don't!? ¼ \x1c a\x1cb ǅ", "", "  "]
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer = Tokenizer.from_file(path)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    learnt = []
+    learn = packing._learn
+    monkeypatch.setattr(packing, "_learn", lambda ws, state: (learnt.extend(ws), learn(ws, state)))
+    for entries, most in ((packing.CACHE_ENTRIES, 1), (len(words) + 10, 3)):
+        monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
+        packing._forget()
+        learnt.clear()
+        assert [e for t in texts for e in packing.encode_all([t, texts[0]], path)[:1]] == want
+        assert learnt and Counter(learnt).most_common(1)[0][1] <= most
+        assert all(Counter(learnt)[w] == 1 for w in texts[0].split())
+    packing._forget()
+
+
 # -- suffix-array dedup ------------------------------------------------------------------------------------------
 
 
