@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import contextlib
 import gc
+import itertools
 import math
 import os
 import zlib
@@ -14,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,20 +23,39 @@ from pyspark.sql import functions as F
 from .common import cut, dense_rank_in, in_short_batches, table, tidy_worker
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's table from words to their ids; when full it keeps those of the texts at hand, and it is emptied when the task ends.
+#: Words of a worker's table up to which it takes in those of more texts; beyond, and when the task ends, it is emptied.
 CACHE_ENTRIES = 500_000
 #: Plain words that are encoded as one text.
 JOINED_WORDS = 256
-#: str.split() also splits at these four, which the tokenizer's \s does not hold for white space.
+#: Arrow also splits at these four, which the tokenizer's \s does not hold for white space.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: White space of the tokenizer (fixed values).
 _SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = dict.fromkeys(map(ord, _SPACES), " ")
 #: Marks that may follow a word; the apostrophe, which the tokenizer treats in its own way, is not among them.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _state: dict = {}
 
 
+class _Numbers(dict):
+    """Numbers of strings in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Table:
+    """A word is two units, of which the second may be the empty one; of each unit the table has its ids, all units' in a row."""
+
+    def __init__(self) -> None:
+        self.words, self.units = _Numbers(), _Numbers({"": 0})
+        self.pairs = np.zeros((0, 2), dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+        self.ends = np.zeros(1, dtype=np.int64)
+
+
 def _forget() -> None:
     _state.clear()
 
@@ -53,7 +74,7 @@ def _tokenizer(path: str) -> dict:
         # the last id of a word is one whose token has the model's suffix
         suffix = tokenizer.model.end_of_word_suffix
         last = np.array([(joined.id_to_token(i) or "").endswith(suffix) for i in range(joined.get_vocab_size())])
-        _state.update(path=path, tokenizer=tokenizer, joined=joined, last=last, letters=letters, ids={})
+        _state.update(path=path, tokenizer=tokenizer, joined=joined, last=last, letters=letters, table=_Table())
     return _state
 
 
@@ -69,12 +90,11 @@ def _uncollected() -> Iterator[None]:
             gc.enable()
 
 
-def _split(text: str) -> list[str]:
-    if any(c in text for c in _SEPARATORS):
-        for s in _SPACES:
-            text = text.replace(s, " ")
-        return [w for w in text.split(" ") if w]
-    return text.split()
+def _split(texts: list[str]) -> pa.ListArray:
+    """The blank-delimited strings of each text; some may be empty."""
+    if not any(c in t for t in texts for c in _SEPARATORS):
+        return pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+    return pa.array([t.translate(_BLANKS).split(" ") for t in texts], pa.list_(pa.string()))
 
 
 def _plain(word: str) -> bool:
@@ -82,24 +102,31 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
-def _learn(words: list[str], state: dict) -> None:
-    """Put the ids of these words into the worker's table. What is plain is one word to the model behind the tokenizer, which takes many of them as one text, quicker than the tokenizer does."""
-    known, letters = state["ids"], state["letters"]
-    plain: list[str] = []
-    rest: list[str] = []
-    for w in words:
-        (plain if _plain(w) else rest).append(w)
-    spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in plain]
-    texts = [" ".join(spelt[k : k + JOINED_WORDS]) for k in range(0, len(spelt), JOINED_WORDS)]
-    found = [np.array(e.ids, dtype="<u4") for e in state["joined"].encode_batch_fast(texts, add_special_tokens=False)]
-    if found:
-        ids = np.concatenate(found)
-        ends = (4 * (np.flatnonzero(state["last"][ids]) + 1)).tolist()
-        ids = ids.tobytes()
-        for w, begin, end in zip(plain, [0, *ends[:-1]], ends, strict=True):
-            known[w] = ids[begin:end]
-    for w, e in zip(rest, state["tokenizer"].encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype="<u4").tobytes()
+def _learn(units: list[str], state: dict) -> None:
+    """Put the ids of these units into the worker's table. What is plain is one word to the model behind the tokenizer, which takes many of them as one text, quicker than the tokenizer does."""
+    table, letters = state["table"], state["letters"]
+    is_plain = np.array([_plain(w) for w in units], dtype=bool)
+    plain = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in itertools.compress(units, is_plain)]
+    texts = [" ".join(plain[k : k + JOINED_WORDS]) for k in range(0, len(plain), JOINED_WORDS)]
+    rest = list(itertools.compress(units, ~is_plain))
+    joined = [np.array(e.ids, dtype="<u4") for e in state["joined"].encode_batch_fast(texts, add_special_tokens=False)]
+    others = [np.array(e.ids, dtype="<u4") for e in state["tokenizer"].encode_batch_fast(rest, add_special_tokens=False)]
+    ids = np.concatenate([np.zeros(0, dtype="<u4"), *joined])
+    ends = np.flatnonzero(state["last"][ids]) + 1
+    if len(ends) != len(plain):
+        raise ValueError("the tokenizer's model does not mark the ends of words")
+    # plain units first, then brought into the order of the units' numbers
+    lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in others], dtype=np.int64)])
+    order = np.argsort(np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)]))
+    ids = _gathered(np.concatenate([ids, *others]), np.cumsum(lengths) - lengths, lengths, order)
+    table.ends = np.concatenate([table.ends, len(table.ids) + np.cumsum(lengths[order])])
+    table.ids = np.concatenate([table.ids, ids])
+
+
+def _gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` with these numbers one after another."""
+    n = lengths[which]
+    return values[np.repeat(begins[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
@@ -110,30 +137,29 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
     is the lower-case word and the marks, which the tokenizer separates.
     """
     state = _tokenizer(path)
-    known, words = state["ids"], [_split(t) for t in texts]
-    new = set().union(*words).difference(known)
-    if len(known) + len(new) > CACHE_ENTRIES:
-        held = {w: known[w] for w in set().union(*words) if w in known}
-        known.clear()
-        known.update(held)
-    parts: dict[str, tuple[str, str]] = {}
-    needed: set[str] = set()
-    for w in new:
+    if len(state["table"].words) > CACHE_ENTRIES:
+        state["table"] = _Table()
+    table, words = state["table"], _split(texts)
+    before, units_before = len(table.words), len(table.units)
+    places = words.flatten().dictionary_encode()
+    different = places.dictionary.to_numpy(zero_copy_only=False)
+    numbers = np.fromiter(map(table.words.__getitem__, different), dtype=np.int64, count=len(different))[places.indices.to_numpy()]
+    pairs: list[int] = []
+    unit = table.units.__getitem__
+    for w in itertools.islice(table.words, before, None):
         stem = w.rstrip(_MARKS)
         if _plain(stem):
-            stem, marks = stem.lower(), w[len(stem) :]
-            needed.add(stem)
-            if marks:
-                needed.add(marks)
-            if stem != w:
-                parts[w] = (stem, marks)
+            pairs += (unit(stem.lower()), unit(w[len(stem) :]))
         else:
-            needed.add(w)
-    _learn([w for w in needed if w not in known], state)
-    for w, (stem, marks) in parts.items():
-        known[w] = known[stem] + known[marks] if marks else known[stem]
-    get = known.__getitem__
-    return [b"".join(map(get, ws)) for ws in words]
+            pairs += (unit(w), 0)
+    table.pairs = np.concatenate([table.pairs, np.array(pairs, dtype=np.int64).reshape(-1, 2)])
+    _learn(list(itertools.islice(table.units, units_before, None)), state)
+    begins = np.concatenate([[0], table.ends[:-1]])
+    lengths = table.ends - begins
+    units = table.pairs[numbers].ravel()
+    ids = _gathered(table.ids, begins, lengths, units).tobytes()
+    at = 4 * np.concatenate([[0], np.cumsum(lengths[units])])[2 * words.offsets.to_numpy()]
+    return [ids[a:b] for a, b in itertools.pairwise(at.tolist())]
 
 
 def _pieces(path: str, capacity: int, end_id: int):

@@ -67,25 +67,34 @@ def test_plan_places_every_item_once(counts):
     assert all(v <= 2048 for v in fill.values()) and len(fill) == opened
 
 
-def test_words_are_encoded_once_though_the_table_is_small(monkeypatch):
-    """Many plain words are one text to the model, ids are the tokenizer's, and a table that is full keeps the words at hand."""
+def test_ids_from_the_table_of_words(monkeypatch):
+    """Ids are the tokenizer's for plain and odd words, also when the table is emptied again and again."""
     rng = random.Random(4)
-    words = ["".join(rng.choice("abeéßñç") for _ in range(rng.randint(1, 12))) for _ in range(700)]
-    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)] + ["l'été Éeau, it's İ ª x1 don't!? ¼ \x1c a\x1cb ǅ", "", "  "]
+    words = ["".join(rng.choice("abeéßñçȺ") for _ in range(rng.randint(1, 12))) for _ in range(700)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", "!?"]) for _ in range(40)) for _ in range(60)] + ["l'été Éeau, it's İ ª x1 don't!? ¼ \x1c a\x1cb ǅ", "", "  ", "e\u0301 , ."]
     path = public_tokenizers.path(packing.TOKENIZER)
     tokenizer = Tokenizer.from_file(path)
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    learnt = []
-    learn = packing._learn
-    monkeypatch.setattr(packing, "_learn", lambda ws, state: (learnt.extend(ws), learn(ws, state)))
-    for entries, most in ((packing.CACHE_ENTRIES, 1), (len(words) + 10, 3)):
+    for entries in (packing.CACHE_ENTRIES, 100):
         monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
         packing._forget()
-        learnt.clear()
-        assert [e for t in texts for e in packing.encode_all([t, texts[0]], path)[:1]] == want
-        assert learnt and Counter(learnt).most_common(1)[0][1] <= most
-        assert all(Counter(learnt)[w] == 1 for w in texts[0].split())
+        assert packing.encode_all(texts, path) == want
+        assert [e for t in texts for e in packing.encode_all([t], path)] == want
+    packing._forget()
+    assert packing.encode_all([], path) == [] and packing.encode_all([""], path) == [b""]
+
+
+def test_words_of_a_task_are_encoded_once(monkeypatch):
+    """As many different words as a task over some 16 MB has; those that come again are not encoded again."""
+    words = ["".join(w) for w in itertools.islice(itertools.product("etaoin", repeat=7), 200_000)]
+    texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+    learnt, learn = [], packing._learn
+    monkeypatch.setattr(packing, "_learn", lambda ws, state: (learnt.extend(ws), learn(ws, state)))
+    packing._forget()
+    for k in range(0, 2 * len(texts), 50):
+        packing.encode_all((texts + texts)[k : k + 50], public_tokenizers.path(packing.TOKENIZER))
     packing._forget()
+    assert len(learnt) == len(words)
 
 
 # -- suffix-array dedup ------------------------------------------------------------------------------------------
