@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut, dense_rank_in, in_short_batches, table, tidy_worker
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words of a worker's table up to which it takes in those of more texts; beyond, and when the task ends, it is emptied.
-CACHE_ENTRIES = 500_000
+#: Units (words without case, and marks) of a worker's table up to which it takes in those of more texts; beyond, and when the task ends, it is emptied.
+CACHE_ENTRIES = 250_000
 #: Plain words that are encoded as one text.
 JOINED_WORDS = 256
 #: Arrow also splits at these four, which the tokenizer's \s does not hold for white space.
@@ -34,6 +34,9 @@ _SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u20
 _BLANKS = dict.fromkeys(map(ord, _SPACES), " ")
 #: Marks that may follow a word; the apostrophe, which the tokenizer treats in its own way, is not among them.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What ``_plain`` takes, and the marks at the end of a word, for Arrow.
+_PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+_ENDING = "(?P<marks>[" + "".join("\\" + c for c in _MARKS) + "]*)$"
 
 _state: dict = {}
 
@@ -47,11 +50,10 @@ class _Numbers(dict):
 
 
 class _Table:
-    """A word is two units, of which the second may be the empty one; of each unit the table has its ids, all units' in a row."""
+    """Of each unit its ids, all units' in a row."""
 
     def __init__(self) -> None:
-        self.words, self.units = _Numbers(), _Numbers({"": 0})
-        self.pairs = np.zeros((0, 2), dtype=np.int64)
+        self.units = _Numbers({"": 0})
         self.ids = np.zeros(0, dtype="<u4")
         self.ends = np.zeros(1, dtype=np.int64)
 
@@ -129,6 +131,13 @@ def _gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray, which
     return values[np.repeat(begins[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
+def _numbers(units: pa.StringArray, table: _Table) -> np.ndarray:
+    """The number of each unit in the worker's table."""
+    places = units.dictionary_encode()
+    different = places.dictionary.to_numpy(zero_copy_only=False)
+    return np.fromiter(map(table.units.__getitem__, different), dtype=np.int64, count=len(different))[places.indices.to_numpy()]
+
+
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them without special tokens.
 
@@ -137,29 +146,23 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
     is the lower-case word and the marks, which the tokenizer separates.
     """
     state = _tokenizer(path)
-    if len(state["table"].words) > CACHE_ENTRIES:
+    if len(state["table"].units) > CACHE_ENTRIES:
         state["table"] = _Table()
     table, words = state["table"], _split(texts)
-    before, units_before = len(table.words), len(table.units)
     places = words.flatten().dictionary_encode()
-    different = places.dictionary.to_numpy(zero_copy_only=False)
-    numbers = np.fromiter(map(table.words.__getitem__, different), dtype=np.int64, count=len(different))[places.indices.to_numpy()]
-    pairs: list[int] = []
-    unit = table.units.__getitem__
-    for w in itertools.islice(table.words, before, None):
-        stem = w.rstrip(_MARKS)
-        if _plain(stem):
-            pairs += (unit(stem.lower()), unit(w[len(stem) :]))
-        else:
-            pairs += (unit(w), 0)
-    table.pairs = np.concatenate([table.pairs, np.array(pairs, dtype=np.int64).reshape(-1, 2)])
-    _learn(list(itertools.islice(table.units, units_before, None)), state)
+    different = places.dictionary
+    # a word is two units, of which the second may be the empty one
+    stems = pc.utf8_rtrim(different, _MARKS)
+    plain = pc.match_substring_regex(stems, _PLAIN)
+    first = pc.if_else(plain, pc.utf8_lower(stems), different)
+    marks = pc.if_else(plain, pc.struct_field(pc.extract_regex(different, _ENDING), "marks"), "")
+    before = len(table.units)
+    pairs = np.stack([_numbers(first, table), _numbers(marks, table)], axis=1)
+    _learn(list(itertools.islice(table.units, before, None)), state)
     begins = np.concatenate([[0], table.ends[:-1]])
     lengths = table.ends - begins
-    units = table.pairs[numbers].ravel()
-    ids = _gathered(table.ids, begins, lengths, units).tobytes()
-    at = 4 * np.concatenate([[0], np.cumsum(lengths[units])])[2 * words.offsets.to_numpy()]
-    return [ids[a:b] for a, b in itertools.pairwise(at.tolist())]
+    indices = places.indices.to_numpy()
+    return [_gathered(table.ids, begins, lengths, pairs[indices[a:b]].ravel()).tobytes() for a, b in itertools.pairwise(words.offsets.to_pylist())]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
