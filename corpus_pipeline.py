@@ -10,7 +10,7 @@ from sparkseries.llm.language import accepted, learn
 from sparkseries.llm.mixing import mix_sources
 from sparkseries.llm.neardup import near_duplicates
 from sparkseries.llm.packing import pack_documents
-from sparkseries.llm.suffix import remove_repeats
+from sparkseries.llm.suffix import WORDS, remove_repeats
 
 CAPACITY, LEAST_SCORE = 2048, 0.5
 
@@ -34,8 +34,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur more than once are taken out of the texts; every row stays."""
-    return remove_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Strings of 400 bytes that occur more than once are taken out of the texts, then passages of 50 words that occur more than once in what is left; every row stays."""
+    left = cut(remove_repeats(docs))
+    return remove_repeats(left, of=WORDS).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

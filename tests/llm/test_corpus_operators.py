@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -144,6 +145,45 @@ def test_suffix_query_against_brute_force(spark, rows, tmp_path, monkeypatch, ho
     assert Counter(tuple(r) for r in suffix.op2_suffix(spark, str(tmp_path)).collect()) == want
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 2])
+def test_repeated_passages_of_words_against_brute_force(spark, docs, rows, monkeypatch, hot):
+    """Also one in 40 texts whose surroundings and white space differ, one that a text repeats, and texts in several pieces."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    passage, twice = words(70), words(51)
+    more = [(1000 + k, "\x0b\n".join(words(k % 4)) + rng.choice([" ", "\t\r"]).join(["", *passage[: 45 + rng.randrange(26)], ""]) + " ".join(words(rng.randrange(60)))) for k in range(40)]
+    more += [(2000, " ".join(twice + ["|"] + twice)), (2001, " ".join(words(50))), (2002, " ".join(passage[:49]))]
+    some = [r[:2] for r in rows] + more
+    parts = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw(t))] for _, t in some]
+    strings = [[tuple(raw(t)[a:b] for a, b in p[k : k + 50]) for k in range(len(p) - 49)] for (_, t), p in zip(some, parts, strict=True)]
+    seen, want = Counter(s for ss in strings for s in ss), Counter()
+    for (i, text), p, ss in zip(some, parts, strings, strict=True):
+        gone = bytearray(len(raw(text)))
+        for k, s in enumerate(ss):
+            if seen[s] > 1:
+                gone[p[k][0] : p[k + 49][1]] = b"\1" * (p[k + 49][1] - p[k][0])
+        want[i, None if text is None else bytes(b for b, x in zip(raw(text), gone, strict=True) if not x).decode()] += 1
+    assert want[2001, more[-2][1]] and want[2000, " | "]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in suffix.remove_repeats(table, of=suffix.WORDS).collect()) == want
+
+
+@pytest.mark.parametrize("of", [suffix.BYTES, suffix.WORDS])
+def test_contexts_of_long_texts_are_those_of_their_pieces(monkeypatch, of):
+    """Windows of a text that is split into pieces are all there once."""
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(900)).encode()
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(suffix, "MOST_BYTES", 170)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([5, 6, 7]), pa.array([text, None, text[:1000]], pa.binary())], names=["id", "h", "text"])
+    with np.errstate(over="ignore"):
+        sizes = [len(s) for _, s in suffix._symbols(batch.column(2), of)]
+    assert sizes == [len(text if of is suffix.BYTES else text.split()), 0, len(text[:1000] if of is suffix.BYTES else text[:1000].split())]
+    got = Counter((i, lo + k) for b in suffix._contexts(of)([batch]) for i, lo, n in zip(*(b.column(c).to_pylist() for c in ("id", "lo", "windows")), strict=True) for k in range(n))
+    assert got == Counter((i, k) for i, n in zip((1, 2, 3), sizes, strict=True) for k in range(n - of.length + 1))
+
+
 def test_suffix_of_nothing(none):
     assert suffix.remove_repeats(none).count() == 0
 

@@ -1,5 +1,6 @@
 """The stages one after another, each against brute force on its own input."""
 
+import random
 import re
 
 import corpus_pipeline as pipeline
@@ -37,3 +38,20 @@ def test_stages(spark, rows, tmp_path):
 def test_run_over_a_table(spark, rows, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_repeated_passages_shorter_than_the_strings_go(spark, tmp_path):
+    """Passages of 51 to 58 words and fewer than 400 bytes go from two documents that share them; what stands beside them, and one of 45 words, stays."""
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    rows, want = [], {}
+    for n in (51, 52, 55, 58, 45):
+        passage = words(n)
+        assert len(passage) < 400
+        for _ in range(2):
+            before, after = words(90), words(90)
+            want[len(rows)] = f"{before} {after}" if n > 50 else f"{before} {passage} {after}"
+            rows.append((len(rows), f"{before} {passage} {after}", "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.repeated_strings(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: " ".join(r.text.split()) for r in out} == want and all(r.n_chars == len(r.text) for r in out)
