@@ -147,13 +147,14 @@ def test_suffix_query_against_brute_force(spark, rows, tmp_path, monkeypatch, ho
 
 @pytest.mark.parametrize("hot", [suffix.HOT, 2])
 def test_repeated_passages_of_words_against_brute_force(spark, docs, rows, monkeypatch, hot):
-    """Also one in 40 texts whose surroundings and white space differ, one that a text repeats, and texts in several pieces."""
+    """Also one in 40 texts whose surroundings and white space differ, one that a text repeats, and two that follow each other."""
     monkeypatch.setattr(suffix, "HOT", hot)
     rng = random.Random(3)
     words = lambda n: ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 4))) for _ in range(n)]
-    passage, twice = words(70), words(51)
+    passage, twice, one, other = words(70), words(51), words(50), words(50)
     more = [(1000 + k, "\x0b\n".join(words(k % 4)) + rng.choice([" ", "\t\r"]).join(["", *passage[: 45 + rng.randrange(26)], ""]) + " ".join(words(rng.randrange(60)))) for k in range(40)]
     more += [(2000, " ".join(twice + ["|"] + twice)), (2001, " ".join(words(50))), (2002, " ".join(passage[:49]))]
+    more += [(2003, " ".join(one)), (2004, " ".join(one) + "\t" + " ".join(other)), (2005, " ".join(other))]
     some = [r[:2] for r in rows] + more
     parts = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw(t))] for _, t in some]
     strings = [[tuple(raw(t)[a:b] for a, b in p[k : k + 50]) for k in range(len(p) - 49)] for (_, t), p in zip(some, parts, strict=True)]
@@ -164,7 +165,7 @@ def test_repeated_passages_of_words_against_brute_force(spark, docs, rows, monke
             if seen[s] > 1:
                 gone[p[k][0] : p[k + 49][1]] = b"\1" * (p[k + 49][1] - p[k][0])
         want[i, None if text is None else bytes(b for b, x in zip(raw(text), gone, strict=True) if not x).decode()] += 1
-    assert want[2001, more[-2][1]] and want[2000, " | "]
+    assert want[2001, more[-5][1]] and want[2000, " | "] and want[2004, "\t"]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     assert Counter(tuple(r) for r in suffix.remove_repeats(table, of=suffix.WORDS).collect()) == want
 
